@@ -1,6 +1,8 @@
-"""Registered queries of the library's own operators, each with its SQL."""
+"""All registered queries of the library's own operators, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import corpus  # noqa: F401
+from tessera.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
