@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus, telemetry  # noqa: F401
+from tessera.plans import corpus, evaluation, screening, telemetry  # noqa: F401
 from tessera.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
