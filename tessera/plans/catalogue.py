@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import conversations, corpus, evaluation, retrieval, screening, telemetry  # noqa: F401
+from tessera.plans import conversations, corpus, evaluation, retrieval, screening, streams, telemetry  # noqa: F401
 from tessera.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
