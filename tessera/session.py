@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +62,24 @@ def join_checked(left: DataFrame, right: DataFrame, on, how: str = "inner", max_
     """
     small = right.limit(max_rows + 1).count() <= max_rows
     return left.join(F.broadcast(right) if small else right, on, how)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application, so that Python workers can import it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    digest = hashlib.sha256(context.applicationId.encode()).hexdigest()[:12]
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), f"tessera-{digest}.zip")
+    with zipfile.ZipFile(target, "w") as archive:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("tessera", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
