@@ -95,3 +95,42 @@ def chunk_files(spark, sf_dir):
 def eval_rows(spark, sf_dir):
     rows = files.write_eval(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), shared_path(spark, "eval"))
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg("n_chars").alias("mean_chars"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "conversations").schema
+    K.use_rocksdb(spark)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parque[t]").withColumnRenamed("conv_id", "conversation_id")
+
+
+@query("SELECT conv_id AS conversation_id, row_number() OVER (PARTITION BY conv_id) AS turn_index FROM conversations")
+def stream_turn_index(spark, sf_dir):
+    return drained(K.stream_turn_index(_turns(spark, sf_dir).select("conversation_id", "text"))).select("conversation_id", "turn_index")
+
+
+@query("SELECT conv_id AS conversation_id, unnest(range(2, n - 1, 2)) AS up_to_turn FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def stream_compaction(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select("conversation_id", "text")
+    return drained(K.stream_compact(rows, threshold=3, keep=2)).select("conversation_id", "up_to_turn")
+
+
+@query()
+def stream_near_dedup(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select("conversation_id", "text")
+    return drained(K.stream_dedup(rows, 0.9, "conversation_id"))
+
+
+@query()
+def stream_failure_streaks(spark, sf_dir):
+    K.use_rocksdb(spark)
+    rows = _stream(spark, sf_dir).select("user_id", (F.col("event_type") != "error").alias("success"))
+    return drained(K.stream_streaks(rows, 3))
+
+
+@query("SELECT user_id AS query_id, score, rank FROM (SELECT user_id, value AS score, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS rank FROM events) WHERE rank <= 3")
+def stream_best(spark, sf_dir):
+    K.use_rocksdb(spark)
+    rows = _stream(spark, sf_dir).select(F.col("user_id").alias("query_id"), F.col("value").alias("score"))
+    sent = drained(K.stream_topk(rows, 3), "update")
+    # A key is sent anew whenever it has new rows, so the best of what was sent is the state at the end.
+    return sent.groupBy("query_id", "rank").agg(F.max("score").alias("score")).select("query_id", "score", "rank")
