@@ -124,13 +124,19 @@ def success_rate(turns: DataFrame) -> DataFrame:
 
 
 def percentile_nearest(rows: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
-    """Nearest-rank percentiles: the value at place min(int(n * p), n - 1) of the sorted ones, 0-based; by window, so that groups may be large."""
-    keys = keys or []
+    """Nearest-rank percentiles: the value at place min(int(n * p), n - 1) of the sorted ones, 0-based.
+
+    With keys the place is found by window, so that a group may be large. Without, the rows are counted first and
+    the place becomes the share of a discrete percentile, whose partial sums are made in each task.
+    """
     known = rows.filter(F.col(value).isNotNull())
+    if not keys:
+        n = known.count()
+        share = lambda p: (min(int(n * p), n - 1) + 0.5) / n if n else p
+        return known.agg(*[F.expr(f"percentile_disc({share(p)!r}D) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in shares])
     counts = known.groupBy(*keys).agg(F.count("*").alias("__n"))
-    at = F.row_number().over(W.partitionBy(*[F.col(k) for k in keys]).orderBy(value)) - 1
-    ranked = known.select(*keys, F.col(value).alias("__v"), at.alias("__at"))
-    joined = ranked.join(counts, keys) if keys else ranked.join(F.broadcast(counts), F.lit(True))
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(value)) - 1
+    joined = known.select(*keys, F.col(value).alias("__v"), at.alias("__at")).join(counts, keys)
     place = lambda p: F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1)
     return joined.groupBy(*keys).agg(*[F.max(F.when(F.col("__at") == place(p), F.col("__v"))).alias(f"p{round(p * 100)}") for p in shares])
 
