@@ -23,14 +23,14 @@ def turns(spark, sf_dir):
     field = F.when(F.col("mode") == "open_analysis", "analysis").when(F.col("mode") == "guided_learning", "explanation").otherwise("character_response")
     return rows.select(
         F.col("conv_id").alias("conversation_id"), "turn_index", "user_message", F.concat(F.lit('{"'), field, F.lit('": "'), F.col("said"), F.lit('"}')).alias("agent_response"), "mode",
-        F.when(F.col("conv_id") % 3 == 0, "luna").alias("character"), words(F.col("text")).alias("tokens_in"), words(F.col("reply")).alias("tokens_out"), (words(F.col("text")) / 1000).alias("cost_usd"), "said",
+        F.when(F.col("conv_id") % 3 == 0, "iris").alias("character"), words(F.col("text")).alias("tokens_in"), words(F.col("reply")).alias("tokens_out"), (words(F.col("text")) / 1000).alias("cost_usd"), "said",
     )
 
 
 _BASE = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_index FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) WHERE role = 'user')"
 _CLEAN = "regexp_replace(substr({x}, 1, {n}), '[\"\\\\\\n]', ' ', 'g')"
 TURNS = f"""(SELECT conv_id AS conversation_id, turn_index, {_CLEAN.format(x='text', n=40)} AS user_message, trim({_CLEAN.format(x="coalesce(reply, 'none')", n=60)}, ' ') AS said, ['open_analysis', 'guided_learning', 'perspective_shift', 'none'][(conv_id + turn_index * turn_index) % 4 + 1] AS mode,
- CASE WHEN conv_id % 3 = 0 THEN 'luna' END AS character, {count_sql('text')} AS tokens_in, coalesce({count_sql('reply')}, 0) AS tokens_out, {count_sql('text')} / 1000.0::DOUBLE AS cost_usd FROM {_BASE})"""
+ CASE WHEN conv_id % 3 = 0 THEN 'iris' END AS character, {count_sql('text')} AS tokens_in, coalesce({count_sql('reply')}, 0) AS tokens_out, {count_sql('text')} / 1000.0::DOUBLE AS cost_usd FROM {_BASE})"""
 
 
 def summaries(spark, sf_dir):

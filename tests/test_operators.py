@@ -128,7 +128,7 @@ def test_fit_budget(spark):
         ("debate", "low", None, None, "debate", "router"),
         ("debate", "low", "none", None, "debate", "router"),
         ("debate", "low", "debate", None, "debate", "router"),
-        ("open_analysis", "high", "perspective_shift", "luna", "perspective_shift", "character-lock"),
+        ("open_analysis", "high", "perspective_shift", "iris", "perspective_shift", "character-lock"),
         ("open_analysis", "high", "perspective_shift", "Dumbledore", "open_analysis", "router-override"),
         ("none", "high", "debate", None, "debate", "sticky"),
         (None, "high", "debate", None, "debate", "sticky"),
