@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import map_batches
+
 #: Stop words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     (
@@ -208,5 +210,5 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     repeated rows are returned as they come; other columns are not looked at.
     """
     rows = pages.select(F.col(html_col).cast("string").alias("html"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    out = rows.mapInArrow(_batches, "page_id long, url string, text string")
+    out = map_batches(rows, _batches, "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tessera.llm.memory import map_batches
+
 UNKNOWN = "und"
 #: Characters of labelled text for each language's automaton, at most, and from each document, at most.
-SAMPLE_CHARS, DOCUMENT_CHARS = 40_000, 2_000
+SAMPLE_CHARS, DOCUMENT_CHARS = 24_000, 2_000
 #: Symbols that have transitions, at most; all other characters are in no phrase of more than one.
 SYMBOLS = 56
 #: Segments of a text that are walked side by side; a phrase ends where a segment ends.
@@ -30,7 +32,7 @@ SEGMENT = 1024
 
 _COUNT_SHIFT = 26
 _STATE_MASK = (1 << _COUNT_SHIFT) - 1
-_BATCH_CHARS = 4_000_000
+_BATCH_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -225,4 +227,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     langs, scores = predict(known.value, part.column(place).to_pylist())
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[f.name for f in target.fields])
 
-    return docs.mapInArrow(run, target)
+    return map_batches(docs, run, target)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
+from tessera.llm.memory import map_batches
 from tessera.session import materialise
 
 SHINGLE = 3
@@ -57,7 +58,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)`` for each row of ``docs``; fp holds the 64 bits as a signed long."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(_fingerprint_batches, "id long, fp long")
+    return map_batches(slim, _fingerprint_batches, "id long, fp long")
 
 
 def _flips() -> list[list[int]]:
@@ -173,7 +174,7 @@ def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) ->
         members = members.select("anchor", "a", F.explode(own).alias("b"), "fp", F.lit(False).alias("home"))
         rows = homes.union(members)
     dealt = rows.repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
-    return dealt.mapInArrow(_link_batches(threshold), "u long, v long")
+    return map_batches(dealt, _link_batches(threshold), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import map_batches
 from tessera.session import materialise, shared_path
 
 #: Rank file of a public byte-level tokenizer, its end-of-document id, and the fixed split pattern that belongs to it.
@@ -70,7 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), places, part.column(0)], names=["file", "ordinal", "doc_id"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(rows.mapInArrow(run, "file string, ordinal long, doc_id long"), "manifest")
+    return materialise(map_batches(rows, run, "file string, ordinal long, doc_id long"), "manifest")
 
 
 def token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,7 +103,7 @@ def scan_token_files(files: DataFrame, separator: int = END_OF_DOCUMENT, block_b
     total = F.floor(F.col("bytes") / 2).cast("long")
     blocks = files.filter("bytes >= 2").select("path", "file", total.alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), total - 1, F.lit(step).cast("long"))).alias("start"))
     blocks = blocks.select("path", "file", F.floor(F.col("start") / step).alias("block"), "start", F.least(F.lit(step).cast("long"), F.col("total") - F.col("start")).alias("n"))
-    found = materialise(blocks.repartition("file", "block").mapInArrow(run, "file string, block long, block_start long, n long, ends array<long>"), "blocks")
+    found = materialise(map_batches(blocks.repartition("file", "block"), run, "file string, block long, block_start long, n long, ends array<long>"), "blocks")
     order = W.partitionBy("file").orderBy("block")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     has = F.size("ends") > 0
