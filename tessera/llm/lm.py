@@ -1,8 +1,8 @@
 """LM scoring: word counts, and an online logistic mix of hashed-context bit predictors.
 
 A text, A-Z in lower case, is coded byte by byte and then an end mark. Each byte is a path of bits in a code tree
-that belongs to the byte before it. For a bit four predictors, the tree's node alone and with two, three and five
-earlier bytes, look up how often it was set in all training texts, by hashed context. Their log-odds are mixed by
+that belongs to the byte before it. For a bit three predictors, the tree's node alone and with two and four bytes
+before that, look up how often it was set in all training texts, by hashed context. Their log-odds are mixed by
 weights that a gate selects, from how well known the longer contexts are. Weights start alike for every text, move
 along the gradient after each chunk of the text, and a table from mixed to observed odds refines the result,
 so that a text's score does not depend on where or beside what it is scored.
@@ -19,16 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import map_batches
 from tessera.session import materialise
 
 #: Slots of the hashed tables, as a power of two.
 SLOT_BITS = 19
-#: Counted words that are broadcast, the most frequent, at most; the rest are joined by shuffle.
+#: Counted words that every task is given, the most frequent, at most; the rest are joined by shuffle.
 HEAD_WORDS = 400_000
-CHUNK, RATE, REFINE_RATE, START_WEIGHT = 256, 0.005, 0.02, 0.4
+CHUNK, RATE, REFINE_RATE, START_WEIGHT = 512, 0.005, 0.02, 0.4
 
 _END = 255  # no byte of UTF-8
-_BACK = ((), (2,), (2, 3), (2, 3, 4, 5))  # earlier bytes of each predictor, beside the last one
+_BACK = ((), (2, 3), (2, 3, 4, 5))  # earlier bytes of each predictor, beside the last one
 _GATES, _BINS = 16, 33
 _HELD = 3_000_000  # decisions that are counted at a time
 _STRETCH = 127.0  # steps of a quantised log-odds unit; 8 levels of confidence above it
@@ -46,7 +47,7 @@ class Trees:
 
 def build_trees(pairs: np.ndarray) -> Trees:
     """Huffman trees from counts of (last byte, byte); a byte that was never seen has a path too."""
-    length, paths = np.zeros(65536, np.int64), [()] * 65536
+    length, nodes, bits = np.zeros(65536, np.int64), [], []
     for last in range(256):
         heap = [(int(n) * 256 + 1, b, b) for b, n in enumerate(pairs[last])]
         heapq.heapify(heap)
@@ -57,23 +58,65 @@ def build_trees(pairs: np.ndarray) -> Trees:
             parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
             heapq.heappush(heap, (a[0] + b[0], made, made))
             made += 1
+        own_nodes: list[int] = []
+        own_bits: list[int] = []
         for b in range(256):
-            path, at = [], b
+            at, first = b, len(own_nodes)
             while at in parent:
                 at, bit = parent[at]
-                path.append((last * 255 + at - 256, bit))
-            paths[last * 256 + b] = tuple(path[::-1])
-            length[last * 256 + b] = len(path)
-    flat = [x for p in paths for x in p]
-    return Trees(np.cumsum(length) - length, length, np.array([x[0] for x in flat], np.int32), np.array([x[1] for x in flat], np.uint8))
+                own_nodes.insert(first, last * 255 + at - 256)
+                own_bits.insert(first, bit)
+            length[last * 256 + b] = len(own_nodes) - first
+        nodes.append(np.array(own_nodes, np.int32))
+        bits.append(np.array(own_bits, np.uint8))
+    return Trees(np.cumsum(length) - length, length, np.concatenate(nodes), np.concatenate(bits))
+
+
+def _raw(texts: list[str | None]) -> list[bytes]:
+    """Texts as bytes, A-Z in lower case."""
+    return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
 
 
 def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' bytes, each text with an end mark, and their lengths."""
-    raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    raw = _raw(texts)
     return np.frombuffer(b"".join(r + b"\xff" for r in raw), np.uint8), np.array([len(r) + 1 for r in raw], np.int64)
 
 
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, _END])
+_BYTE_KEYS = np.random.default_rng(20240517).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_END_HASH = np.uint64(1)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the hash's base and of its inverse, 0 to n at least."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(1 << 18, 2 * n)
+        _POWERS[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size, base, np.uint64))) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, each text with an end, and their numbers; a word's hash is a mixed polynomial of its bytes."""
+    data, lengths = _bytes(texts)
+    up, down = _powers(len(data))
+    total = np.append(np.uint64(0), np.cumsum(_BYTE_KEYS[data] * up[: len(data)]))
+    gap = _SPACE[data]
+    before = np.append(True, gap[:-1]) if len(data) else gap
+    start, stop = np.flatnonzero(before & ~gap), np.flatnonzero(gap & ~before)
+    hashes = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0xBF58476D1CE4E5B9)
+    hashes ^= hashes >> np.uint64(32)
+    owner = np.searchsorted(np.cumsum(lengths), start, side="right")
+    sizes = np.bincount(owner, minlength=len(lengths)) + 1
+    out = np.full(int(sizes.sum()), _END_HASH, np.uint64)
+    out[np.arange(len(start)) + owner] = hashes
+    return out.view(np.int64), sizes
+
+
 def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots (predictor, decision), bits, and the decisions of each text."""
     starts = np.cumsum(lengths) - lengths
@@ -86,15 +129,17 @@ def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: i
     node, bit = trees.node[path], trees.bit[path]
     slots = np.empty((len(_BACK), len(node)), np.int32)
     slots[0] = node
-    mask = np.uint32((1 << slot_bits) - 1)
     spread = node.astype(np.uint32) * np.uint32(0x9E3779B1)
     for k, back in enumerate(_BACK[1:], 1):
         code = np.zeros(len(data), np.uint32)
         for j in back:
             code = (code + before(j) + np.uint32(1)) * np.uint32(0x85EBCA6B)
             code ^= code >> np.uint32(13)
-        mixed = (np.repeat(code, size) ^ spread) * np.uint32(0xC2B2AE35)
-        slots[k] = (mixed >> np.uint32(32 - slot_bits)) & mask
+        mixed = np.repeat(code, size)
+        mixed ^= spread
+        mixed *= np.uint32(0xC2B2AE35)
+        mixed >>= np.uint32(32 - slot_bits)
+        slots[k] = mixed
     return slots, bit, np.add.reduceat(size, starts) if len(starts) else size
 
 
@@ -110,6 +155,19 @@ def _slices(column: pa.Array, limit: int = 200_000) -> Iterator[tuple[int, int]]
         yield a, len(column)
 
 
+def _alike(sizes: np.ndarray, limit: int = 100_000, least: int = 8) -> Iterator[np.ndarray]:
+    """Rows in groups of about ``limit`` bytes and ``least`` rows, of like sizes, so that no text is long after the others' end."""
+    order = np.argsort(sizes, kind="stable")
+    total = first = 0
+    for i, row in enumerate(order.tolist()):
+        total += int(sizes[row]) + 1
+        if total >= limit and i + 1 - first >= least:
+            yield order[first : i + 1]
+            total, first = 0, i + 1
+    if first < len(order):
+        yield order[first:]
+
+
 @dataclass(frozen=True)
 class Model:
     """Code trees and, for each predictor, quantised log-odds and confidence of each slot."""
@@ -120,38 +178,75 @@ class Model:
 
 
 def _pack(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Quantised log-odds and, in the last three bits, how often a slot was seen."""
     odds = np.log((ones + 0.2) / (total - ones + 0.2))
-    sure = np.minimum(7, np.log2(total + 1).astype(np.int64))
-    return (np.rint(np.clip(odds, -8, 8) * _STRETCH).astype(np.int64) * 8 + sure).astype(np.int16)
+    sure = np.minimum(7, np.floor(np.log2(total + 1)))
+    return (np.rint(np.clip(odds, -8, 8) * _STRETCH) * 8 + sure).astype(np.int16)
+
+
+def _packed(ones: Column, total: Column) -> Column:
+    """The same as a column."""
+    odds = F.log((ones + 0.2) / (total - ones + 0.2))
+    sure = F.least(F.lit(7.0), F.floor(F.log2(total + 1.0)).cast("double"))
+    return (F.rint(F.least(F.lit(8.0), F.greatest(F.lit(-8.0), odds)) * _STRETCH) * 8 + sure).cast("smallint")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def train(docs: DataFrame, text_col: str = "text", slot_bits: int = SLOT_BITS) -> Model:
-    """Count over all rows of ``docs``: byte pairs for the trees, then bits in hashed contexts.
+def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of byte pairs (what 0) and of words (what 1); words go out whenever many are held."""
+    pairs = np.zeros(65536, np.int64)
+    held: list[np.ndarray] = []
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(what: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int8)), pa.array(key), pa.array(n)], names=["what", "key", "n"])
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        new, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+        held.clear()
+        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+        return both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
+
+    for batch in batches:
+        for a, b in _slices(batch.column(0)):
+            texts = batch.column(0).slice(a, b - a).to_pylist()
+            data, lengths = _bytes(texts)
+            last = np.roll(data, 1)
+            last[np.cumsum(lengths) - lengths] = _END
+            pairs += np.bincount(last.astype(np.int64) * 256 + data, minlength=65536)
+            held.append(_words(texts)[0])
+            if sum(map(len, held)) > _HELD // 3:
+                keys, counts = merged()
+                if len(keys) > _HELD // 3:
+                    yield rows(1, keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+    yield rows(1, *merged())
+    seen = np.flatnonzero(pairs)
+    yield rows(0, seen, pairs[seen])
+
+
+def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The materialised ``(what, key, n)``: byte pairs (0) and words by hash (1) of all rows of ``docs``."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    found = map_batches(texts, _first_pass, "what tinyint, key long, n long")
+    return materialise(found.groupBy("what", "key").agg(F.sum("n").alias("n")), "counts")
+
+
+def train(docs: DataFrame, text_col: str = "text", slot_bits: int = SLOT_BITS, counts: DataFrame | None = None) -> Model:
+    """Learn from all rows of ``docs``: byte pairs for the trees, then bits in hashed contexts.
 
     Each task sums its own counts into tables of fixed size; Spark adds up the slots that are not empty. What
-    comes to the driver is bounded by the tables: 65,536 pairs, as many nodes, and 2^slot_bits slots for each hashed predictor.
+    comes to the driver is bounded by the tables: 65,536 pairs, as many nodes, and 2^slot_bits slots for each
+    hashed predictor.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(65536, np.int64)
-        for batch in batches:
-            for a, b in _slices(batch.column(0), 4_000_000):
-                data, lengths = _bytes(batch.column(0).slice(a, b - a).to_pylist())
-                last = np.roll(data, 1)
-                last[np.cumsum(lengths) - lengths] = _END
-                counts += np.bincount(last.astype(np.int64) * 256 + data, minlength=65536)
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["pair", "n"])
-
-    found = texts.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = (count(docs, text_col) if counts is None else counts).filter("what = 0").toArrow()
     table = np.zeros(65536, np.int64)
-    table[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    table[found["key"].to_numpy()] = found["n"].to_numpy()
     trees = build_trees(table.reshape(256, 256))
     known = spark.sparkContext.broadcast(trees)
     sizes = [1 << 16, *[1 << slot_bits] * (len(_BACK) - 1)]
@@ -178,13 +273,12 @@ def train(docs: DataFrame, text_col: str = "text", slot_bits: int = SLOT_BITS) -
             seen = np.flatnonzero(zero + one)
             for at in range(0, len(seen), 100_000):
                 part = seen[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part + offsets[k]), pa.array(one[part]), pa.array((zero + one)[part])], names=["slot", "ones", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array((part + offsets[k]).astype(np.int32)), pa.array(one[part]), pa.array((zero + one)[part])], names=["slot", "ones", "total"])
 
-    counted = texts.mapInArrow(bits, "slot long, ones long, total long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
-    rows = counted.toPandas()
-    slot = rows["slot"].to_numpy(np.int64)
+    counted = map_batches(texts, bits, "slot int, ones long, total long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
+    rows = counted.select("slot", _packed(F.col("ones"), F.col("total")).alias("p")).toArrow()
     flat = np.zeros(offsets[-1], np.int16)
-    flat[slot] = _pack(rows["ones"].to_numpy(float), rows["total"].to_numpy(float))
+    flat[rows["slot"].to_numpy()] = rows["p"].to_numpy()
     return Model(trees, np.split(flat, offsets[1:-1]), slot_bits)
 
 
@@ -206,12 +300,12 @@ def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
     place = np.arange(len(bit)) + np.repeat(rank * CHUNK - (np.cumsum(count) - count), count)
     text, turn = text[by_turn], turn[by_turn]
     odds = np.zeros((len(_BACK), len(text) * CHUNK), np.float32)
-    gate = np.zeros(len(text) * CHUNK, np.uint8)
+    gate, longest = np.zeros(len(text) * CHUNK, np.uint8), len(_BACK) - 1
     for k, table in enumerate(model.tables):
         packed = np.take(table, slots[k], mode="clip")
         odds[k][place] = (packed >> 3) * np.float32(1 / _STRETCH)
-        if k >= 2:
-            gate[place] += ((packed & 6) >> 1 if k == 2 else (packed & 6) << 1).astype(np.uint8)
+        if k >= longest - 1:
+            gate[place] += ((packed & 6) >> 1 if k == longest - 1 else (packed & 6) << 1).astype(np.uint8)
     sign = np.zeros(gate.shape, np.float32)
     sign[place] = bit * np.float32(2) - 1
     weights = np.full((len(_BACK), len(sizes) * _GATES), START_WEIGHT, np.float32)
@@ -250,22 +344,41 @@ def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
     return out / np.log(2) - (chunks * CHUNK - sizes)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with ``bits`` and ``n_bytes``, row for row."""
-    known = docs.sparkSession.sparkContext.broadcast(model)
+def _known_words(head: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[pa.Array]:
+    """Of each text: words and end, those in ``head``, the sum of their logs, and the hashes of the others."""
+    hashes, sizes = _words(texts)
+    starts = np.cumsum(sizes) - sizes
+    one, place = np.unique(hashes, return_inverse=True)
+    at = np.minimum(np.searchsorted(head[0], one), max(0, len(head[0]) - 1))
+    there = head[0][at] == one if len(head[0]) else np.zeros(len(one), bool)
+    logs = np.where(there, head[1][at], 0.0)[place] if len(head[0]) else np.zeros(len(hashes))
+    known = there[place]
+    tail = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.add.reduceat(~known, starts))), pa.int32()), pa.array(hashes[~known]))
+    return [pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), tail]
+
+
+def score(docs: DataFrame, model: Model, text_col: str = "text", head: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """All columns of ``docs`` but the text, with ``bits`` and ``n_bytes``, row for row.
+
+    With ``head``, sorted hashes of words and logs of their counts, also ``n_tokens``, ``n_known``, ``logs`` and ``tail``.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((model, head))
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *rest)
-    target = rows.drop("__text").withColumn("bits", F.lit(0.0)).withColumn("n_bytes", F.lit(0).cast("long")).schema
+    more = ["bits double", "n_bytes long", *(["n_tokens long", "n_known long", "logs double", "tail array<long>"] if head else [])]
+    target = rows.drop("__text").limit(0).selectExpr("*", *(f"cast(null as {t}) as {n}" for n, t in map(str.split, more))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, head = known.value
         for batch in batches:
-            for a, b in _slices(batch.column(0)):
-                part = batch.slice(a, b - a)
-                texts = part.column(0).to_pylist()
-                sizes = pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(score_bits(known.value, texts)), sizes], names=[f.name for f in target.fields])
+            sizes = np.array([len(x.as_buffer() or b"") for x in batch.column(0)], np.int64)
+            for part in _alike(sizes):
+                rows = batch.take(pa.array(part))
+                texts = rows.column(0).to_pylist()
+                words = _known_words(head, texts) if head else []
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(score_bits(model, texts)), pa.array(sizes[part]), *words], names=[f.name for f in target.fields])
 
-    return rows.mapInArrow(run, target)
+    return map_batches(rows, run, target)
 
 
 def held_out(id_col: str) -> Column:
@@ -273,15 +386,6 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 7 == 2
 
 
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def _token_hashes(text: Column) -> Column:
-    """Hashes of a text's words, A-Z in lower case, and of one end."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), _CAPITALS, _CAPITALS.lower()), r"[\x20\x09-\x0D]+")
-    return F.transform(F.concat(F.filter(words, lambda w: w != ""), F.array(F.lit("\n"))), lambda w: F.xxhash64(w))
-
-
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)``, row for row.
 
@@ -294,38 +398,35 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
     rows = _texts(docs, id_col, text_col)
     teach = F.coalesce(~held_out("doc_id"), F.lit(False))
-    model = train(rows.filter(teach), slot_bits=slot_bits)
-    keyed = rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = materialise(score(keyed.withColumn("text_key", key), model), "scored")
-
-    tokens = keyed.select(key.alias("text_key"), (~F.col("held_out") & F.col("doc_id").isNotNull()).alias("teach"), F.explode(_token_hashes(F.col("text"))).alias("h"))
-    counts = materialise(tokens.filter("teach").groupBy("h").agg(F.count("*").alias("c")), "words")
-    levels = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") >= 1 << j).cast("long")).alias(f"l{j}") for j in range(48)]).first()
+    counts = count(rows.filter(teach))
+    model = train(rows.filter(teach), slot_bits=slot_bits, counts=counts)
+    words = counts.filter("what = 1").select(F.col("key").alias("h"), F.col("n").alias("c"))
+    levels = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") >= 1 << j).cast("long")).alias(f"l{j}") for j in range(48)]).first()
     n, v = levels["n"] or 0, levels["v"]
     least = next(1 << j for j in range(48) if (levels[f"l{j}"] or 0) <= head_words)
-    head, tail = F.broadcast(counts.filter(F.col("c") >= least)), counts.filter(F.col("c") < least)
-    sums = [F.sum("k").alias("k"), F.sum("known").alias("known"), F.sum("logs").alias("logs")]
-    often = tokens.join(head, "h").groupBy("text_key").agg(F.count("*").alias("k"), F.count("*").alias("known"), F.sum(F.log10(F.col("c") + 1.0)).alias("logs"))
-    other = tokens.join(head, "h", "left_anti").groupBy("text_key", "h").agg(F.count("*").alias("k")).join(tail, "h", "left")
-    seen = F.col("c").isNotNull().cast("long")
-    seldom = other.groupBy("text_key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * seen).alias("known"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"))
+    top = words.filter(F.col("c") >= least).toArrow()
+    order = np.argsort(top["h"].to_numpy())
+    head = top["h"].to_numpy()[order], np.log10(top["c"].to_numpy()[order] + 1.0)
+    keyed = rows.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    scored = materialise(score(keyed.withColumn("text_key", key), model, head=head), "scored")
+
+    tail = words.filter(F.col("c") < least)
+    other = scored.select("text_key", F.explode("tail").alias("h")).groupBy("text_key", "h").agg(F.count("*").alias("k")).join(tail, "h")
+    seldom = other.groupBy("text_key").agg(F.sum("k").alias("known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("logs"))
     # Rows with one text fall together here; their number is known from the scored rows.
     copies = scored.groupBy("text_key").agg(F.count("*").alias("copies"))
-    base = often.union(seldom).groupBy("text_key").agg(*sums).join(copies, "text_key")
-    base = base.select(
-        F.col("text_key").alias("base_key"),
-        F.floor(F.col("k") / F.col("copies")).cast("long").alias("n_tokens"),
-        F.floor(F.col("known") / F.col("copies")).cast("long").alias("n_known"),
-        (F.col("logs") / F.col("copies")).alias("logs"),
+    seldom = seldom.join(copies, "text_key").select(
+        F.col("text_key").alias("seldom_key"), F.floor(F.col("known") / F.col("copies")).cast("long").alias("more_known"), (F.col("logs") / F.col("copies")).alias("more_logs")
     )
-    out = scored.join(base, F.col("text_key") == F.col("base_key"))
+    out = scored.drop("tail").join(seldom, F.col("text_key") == F.col("seldom_key"), "left")
+    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
+        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
+        (logs - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))).alias("base_score"),
         (-F.col("bits") * F.log10(F.lit(2.0))).alias("score"),
         (F.col("bits") / F.greatest(F.col("n_bytes"), F.lit(1))).alias("bits_per_byte"),
     )
