@@ -116,7 +116,10 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", suppo
     those terms only that stand beside one entity in ``support`` texts.
     """
     pairs = found.filter("beside is not null").select("text_key", F.explode("beside").alias("p")).select("text_key", "p.entity", "p.term").distinct()
+    # A term is in as many texts at least as hold it beside any entity: those that cannot reach ``given`` go at once.
+    beside = pairs.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
+    pairs = pairs.join(beside, "term").filter(F.col("both") >= given * F.col("n_beside")).drop("n_beside")
     pairs = materialise(pairs, "pairs")
     asked = materialise(pairs.select("term").distinct(), "terms")
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
