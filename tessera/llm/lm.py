@@ -1,8 +1,10 @@
-"""LM scoring: word counts, and an online logistic mix of hashed-context bit predictors.
+"""LM scoring: word counts, and an online logistic mix of context bit predictors.
 
 A text, A-Z in lower case, is coded byte by byte and then an end mark. Each byte is a path of bits in a code tree
-that belongs to the byte before it. For a bit three predictors, the tree's node alone and with two and four bytes
-before that, look up how often it was set in all training texts, by hashed context. Their log-odds are mixed by
+that belongs to the byte before it. For a bit four predictors, the tree's node alone and with one, two and four
+bytes before that, look up how often it was set in all training texts in that very context. The counts are a table
+that grows with the texts, dealt out by ranges of mixed contexts: texts are put into blocks, a block asks for the
+contexts it holds, and is scored beside the answers. The predictors' log-odds are mixed by
 weights that a gate selects, from how well known the longer contexts are. Weights start alike for every text, move
 along the gradient after each chunk of the text, and a table from mixed to observed odds refines the result,
 so that a text's score does not depend on where or beside what it is scored.
@@ -11,27 +13,30 @@ so that a text's score does not depend on where or beside what it is scored.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.memory import map_batches
 from tessera.session import materialise
 
-#: Slots of the hashed tables, as a power of two.
-SLOT_BITS = 19
+#: Bytes of text in a block, and of training text for each range of contexts, about.
+BLOCK_BYTES = 4_000_000
 #: Counted words that every task is given, the most frequent, at most; the rest are joined by shuffle.
 HEAD_WORDS = 400_000
-CHUNK, RATE, REFINE_RATE, START_WEIGHT = 512, 0.005, 0.02, 0.4
+CHUNK, RATE, REFINE_RATE, START_WEIGHT = 256, 0.005, 0.02, 0.4
 
 _END = 255  # no byte of UTF-8
-_BACK = ((), (2, 3), (2, 3, 4, 5))  # earlier bytes of each predictor, beside the last one
+_BACK = ((), (2,), (2, 3), (2, 3, 4, 5))  # earlier bytes of each predictor, beside the last one
 _GATES, _BINS = 16, 33
 _HELD = 3_000_000  # decisions that are counted at a time
+_KEPT = 2_000_000  # contexts that a task sums up before they go out
+_KEY_BITS, _KEY_MIX = 62, 0x1E3779B97F4A7C15
 _STRETCH = 127.0  # steps of a quantised log-odds unit; 8 levels of confidence above it
 
 
@@ -117,8 +122,8 @@ def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out.view(np.int64), sizes
 
 
-def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots (predictor, decision), bits, and the decisions of each text."""
+def _paths(trees: Trees, data: np.ndarray, lengths: np.ndarray) -> tuple[Callable[[int], np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k-th byte before each byte, decisions of each byte, nodes, bits, and the decisions of each text."""
     starts = np.cumsum(lengths) - lengths
     within = np.arange(len(data)) - np.repeat(starts, lengths)
     before = lambda k: np.where(within >= k, np.roll(data, k), _END)
@@ -126,7 +131,12 @@ def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: i
     size = trees.length[pair]
     ends = np.cumsum(size)
     path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(trees.start[pair] - (ends - size), size)
-    node, bit = trees.node[path], trees.bit[path]
+    return before, size, trees.node[path], trees.bit[path], np.add.reduceat(size, starts) if len(starts) else size
+
+
+def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots (predictor, decision), bits, and the decisions of each text, for tables of hashed slots."""
+    before, size, node, bit, sizes = _paths(trees, data, lengths)
     slots = np.empty((len(_BACK), len(node)), np.int32)
     slots[0] = node
     spread = node.astype(np.uint32) * np.uint32(0x9E3779B1)
@@ -140,7 +150,25 @@ def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: i
         mixed *= np.uint32(0xC2B2AE35)
         mixed >>= np.uint32(32 - slot_bits)
         slots[k] = mixed
-    return slots, bit, np.add.reduceat(size, starts) if len(starts) else size
+    return slots, bit, sizes
+
+
+def _keys(trees: Trees, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys (longer predictor, decision), nodes, bits, and the decisions of each text.
+
+    A key holds the predictor, its earlier bytes and the node, 50 bits, multiplied by an odd number: no two contexts share one.
+    """
+    before, size, node, bit, sizes = _paths(trees, data, lengths)
+    keys = np.empty((len(_BACK) - 1, len(node)), np.int64)
+    for k, back in enumerate(_BACK[1:]):
+        code = np.full(len(data), k, np.int64)
+        for j in back:
+            code = code << 8 | before(j)
+        keys[k] = np.repeat(code << 16, size)
+        keys[k] |= node
+    keys *= _KEY_MIX
+    keys &= (1 << _KEY_BITS) - 1
+    return keys, node, bit, sizes
 
 
 def _slices(column: pa.Array, limit: int = 200_000) -> Iterator[tuple[int, int]]:
@@ -170,11 +198,17 @@ def _alike(sizes: np.ndarray, limit: int = 100_000, least: int = 8) -> Iterator[
 
 @dataclass(frozen=True)
 class Model:
-    """Code trees and, for each predictor, quantised log-odds and confidence of each slot."""
+    """Code trees and, for each predictor, quantised log-odds and confidence of each slot.
+
+    With ``contexts``, a materialised ``(p, keys, vals)`` of the longer predictors' contexts by ranges of their keys,
+    2^part_bits in all, ``tables`` holds the nodes' alone.
+    """
 
     trees: Trees
     tables: list[np.ndarray]
-    slot_bits: int
+    slot_bits: int = 0
+    contexts: DataFrame | None = None
+    part_bits: int = 0
 
 
 def _pack(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -184,13 +218,6 @@ def _pack(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
     return (np.rint(np.clip(odds, -8, 8) * _STRETCH) * 8 + sure).astype(np.int16)
 
 
-def _packed(ones: Column, total: Column) -> Column:
-    """The same as a column."""
-    odds = F.log((ones + 0.2) / (total - ones + 0.2))
-    sure = F.least(F.lit(7.0), F.floor(F.log2(total + 1.0)).cast("double"))
-    return (F.rint(F.least(F.lit(8.0), F.greatest(F.lit(-8.0), odds)) * _STRETCH) * 8 + sure).cast("smallint")
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
@@ -235,61 +262,112 @@ def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return materialise(found.groupBy("what", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def train(docs: DataFrame, text_col: str = "text", slot_bits: int = SLOT_BITS, counts: DataFrame | None = None) -> Model:
-    """Learn from all rows of ``docs``: byte pairs for the trees, then bits in hashed contexts.
+def _summed(keys: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their sums."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return (keys[start], np.add.reduceat(ones[order], start), np.add.reduceat(total[order], start)) if len(keys) else (keys, ones, total)
+
+
+class _Counts:
+    """Distinct contexts of what was added, with how often their bit was set and how often they came."""
+
+    def __init__(self) -> None:
+        self.codes: list[np.ndarray] = []
+        self.sums = (np.zeros(0, np.int64),) * 3
+
+    def add(self, keys: np.ndarray, bit: np.ndarray) -> None:
+        self.codes.append((keys << 1 | bit).ravel())
+        if sum(map(len, self.codes)) > 4 * _HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        if self.codes:
+            codes = np.concatenate(self.codes)
+            self.codes.clear()
+            codes.sort()
+            keys = codes >> 1
+            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            new = keys[start], np.add.reduceat(codes & 1, start), np.diff(start, append=len(keys))
+            self.sums = _summed(*map(np.concatenate, zip(self.sums, new)))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.merge()
+        out, self.sums = self.sums, (np.zeros(0, np.int64),) * 3
+        return out
+
+
+def _ranges(keys: np.ndarray, part_bits: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of sorted keys that are not empty."""
+    cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.int64) << (_KEY_BITS - part_bits)).tolist()
+    for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)])):
+        if a < b:
+            yield p, slice(a, b)
+
 
-    Each task sums its own counts into tables of fixed size; Spark adds up the slots that are not empty. What
-    comes to the driver is bounded by the tables: 65,536 pairs, as many nodes, and 2^slot_bits slots for each
-    hashed predictor.
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The numbers in all rows of a column of bytes."""
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+
+
+def train(docs: DataFrame, text_col: str = "text", slot_bits: int | None = None, counts: DataFrame | None = None) -> Model:
+    """Learn from all rows of ``docs``: byte pairs for the trees, then bits in every context that occurs.
+
+    Nothing but the 65,536 pairs comes to the driver. Contexts stay a table, which grows with the texts: each task
+    sums its own, and a range of keys, of which there are as many as the texts need, is summed up by one task.
+    Contexts are told apart exactly; ``slot_bits`` is not used any more.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     found = (count(docs, text_col) if counts is None else counts).filter("what = 0").toArrow()
-    table = np.zeros(65536, np.int64)
-    table[found["key"].to_numpy()] = found["n"].to_numpy()
-    trees = build_trees(table.reshape(256, 256))
+    pairs = np.zeros(65536, np.int64)
+    pairs[found["key"].to_numpy()] = found["n"].to_numpy()
+    trees = build_trees(pairs.reshape(256, 256))
     known = spark.sparkContext.broadcast(trees)
-    sizes = [1 << 16, *[1 << slot_bits] * (len(_BACK) - 1)]
-    offsets = np.cumsum([0, *sizes])
+    each = np.repeat(pairs, trees.length)
+    nodes = _pack(np.bincount(trees.node, each * trees.bit, 1 << 16), np.bincount(trees.node, each, 1 << 16))
+    part_bits = max(3, int(pairs.sum() // BLOCK_BYTES).bit_length())
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [np.zeros(2 * size, np.int32) for size in sizes]
-        kept: list[np.ndarray] = []
+        held = _Counts()
 
-        def add() -> None:
-            for k in range(len(_BACK) if kept else 0):
-                counts[k] += np.bincount(np.concatenate([x[k] for x in kept]), minlength=2 * sizes[k]).astype(np.int32)
-            kept.clear()
+        def rows() -> pa.RecordBatch:
+            keys, ones, total = held.take()
+            parts = list(_ranges(keys, part_bits))
+            data = [pa.array([x[r].tobytes() for _, r in parts], pa.binary()) for x in (keys, ones.astype(np.int32), total.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), *data], names=["p", "keys", "ones", "total"])
 
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                slots, bit, _ = _decisions(known.value, *_bytes(batch.column(0).slice(a, b - a).to_pylist()), slot_bits)
-                kept.append(slots * 2 + bit)
-                if sum(x.shape[1] for x in kept) > _HELD:
-                    add()
-        add()
-        for k, both in enumerate(counts):
-            zero, one = both[::2].astype(np.int64), both[1::2].astype(np.int64)
-            seen = np.flatnonzero(zero + one)
-            for at in range(0, len(seen), 100_000):
-                part = seen[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((part + offsets[k]).astype(np.int32)), pa.array(one[part]), pa.array((zero + one)[part])], names=["slot", "ones", "total"])
-
-    counted = map_batches(texts, bits, "slot int, ones long, total long").groupBy("slot").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total"))
-    rows = counted.select("slot", _packed(F.col("ones"), F.col("total")).alias("p")).toArrow()
-    flat = np.zeros(offsets[-1], np.int16)
-    flat[rows["slot"].to_numpy()] = rows["p"].to_numpy()
-    return Model(trees, np.split(flat, offsets[1:-1]), slot_bits)
+                keys, _, bit, _ = _keys(known.value, *_bytes(batch.column(0).slice(a, b - a).to_pylist()))
+                held.add(keys, bit)
+                if len(held.sums[0]) > _KEPT:
+                    yield rows()
+        yield rows()
+
+    def summed(rows: pa.Table) -> pa.Table:
+        ones, total = (_joined(rows[c], np.int32).astype(np.int64) for c in ("ones", "total"))
+        keys, ones, total = _summed(_joined(rows["keys"], np.int64), ones, total)
+        return pa.table({"p": rows["p"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "vals": pa.array([_pack(ones, total).tobytes()], pa.binary())})
+
+    counted = map_batches(texts, bits, "p long, keys binary, ones binary, total binary").repartition(1 << part_bits, "p")
+    contexts = materialise(counted.groupBy("p").applyInArrow(summed, "p long, keys binary, vals binary"), "contexts")
+    return Model(trees, [nodes], contexts=contexts, part_bits=part_bits)
 
 
 def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Bits that the model takes for each text and its end mark.
+    """Bits that a model with tables of hashed slots takes for each text and its end mark."""
+    slots, bit, sizes = _decisions(model.trees, *_bytes(texts), model.slot_bits)
+    return _mixed(model.tables, slots, bit, sizes)
+
+
+def _mixed(tables: list[np.ndarray], slots: np.ndarray, bit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits that each text takes, from each predictor's table and the slots of its decisions.
 
     Decisions are laid out in chunks, one row each, filled up with decisions without a sign, which move nothing.
     A turn takes one chunk of every text that has as many, and then moves the weights.
     """
-    data, lengths = _bytes(texts)
-    slots, bit, sizes = _decisions(model.trees, data, lengths, model.slot_bits)
     chunks = -(-sizes // CHUNK)
     text = np.repeat(np.arange(len(sizes)), chunks)
     turn = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
@@ -301,7 +379,7 @@ def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
     text, turn = text[by_turn], turn[by_turn]
     odds = np.zeros((len(_BACK), len(text) * CHUNK), np.float32)
     gate, longest = np.zeros(len(text) * CHUNK, np.uint8), len(_BACK) - 1
-    for k, table in enumerate(model.tables):
+    for k, table in enumerate(tables):
         packed = np.take(table, slots[k], mode="clip")
         odds[k][place] = (packed >> 3) * np.float32(1 / _STRETCH)
         if k >= longest - 1:
@@ -357,28 +435,110 @@ def _known_words(head: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -
     return [pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), tail]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, their text first, in blocks of about BLOCK_BYTES of text: a number and the rows as an Arrow stream."""
+    task, made, size, held = TaskContext.get().partitionId(), 0, 0, []
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema) as out:
+            out.write_table(pa.Table.from_batches(held).combine_chunks())
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+    for batch in batches:
+        for a, b in _slices(batch.column(0)):
+            part = batch.slice(a, b - a)
+            held.append(part)
+            size += sum(len(x.as_buffer() or b"") for x in part.column(0))
+            if size >= BLOCK_BYTES:
+                yield block()
+                made, size = made + 1, 0
+    if held:
+        yield block()
+
+
+class _Lookup:
+    """Places in sorted distinct keys of keys that are all there."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = len(keys).bit_length() + 1
+        self.keys, self.shift = keys, _KEY_BITS - bits
+        self.first = np.append(0, np.cumsum(np.bincount(keys >> self.shift, minlength=1 << bits))).astype(np.int32)
+
+    def __call__(self, asked: np.ndarray) -> np.ndarray:
+        at = self.first[asked >> self.shift]
+        left = np.flatnonzero(self.keys[at] != asked)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] != asked[left]]
+        return at
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "text", head: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """All columns of ``docs`` but the text, with ``bits`` and ``n_bytes``, row for row.
 
-    With ``head``, sorted hashes of words and logs of their counts, also ``n_tokens``, ``n_known``, ``logs`` and ``tail``.
+    ``model`` is one of :func:`train`. With ``head``, sorted hashes of words and logs of their counts, also
+    ``n_tokens``, ``n_known``, ``logs`` and ``tail``. Blocks of rows and ranges of contexts meet by shuffle.
     """
-    known = docs.sparkSession.sparkContext.broadcast((model, head))
+    part_bits = model.part_bits
+    known = docs.sparkSession.sparkContext.broadcast((model.trees, model.tables[0], head))
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.col(text_col).cast("string").alias("__text"), *rest)
     more = ["bits double", "n_bytes long", *(["n_tokens long", "n_known long", "logs double", "tail array<long>"] if head else [])]
     target = rows.drop("__text").limit(0).selectExpr("*", *(f"cast(null as {t}) as {n}" for n, t in map(str.split, more))).schema
+    names = [f.name for f in target.fields]
+    blocks = materialise(map_batches(rows, _blocks, "block long, rows binary"), "blocks")
+    n_blocks = max(1, blocks.count())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head = known.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = known.value[0]
         for batch in batches:
-            sizes = np.array([len(x.as_buffer() or b"") for x in batch.column(0)], np.int64)
-            for part in _alike(sizes):
-                rows = batch.take(pa.array(part))
-                texts = rows.column(0).to_pylist()
-                words = _known_words(head, texts) if head else []
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], pa.array(score_bits(model, texts)), pa.array(sizes[part]), *words], names=[f.name for f in target.fields])
-
-    return map_batches(rows, run, target)
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text, held = pa.ipc.open_stream(data.as_buffer()).read_all().column(0).combine_chunks(), _Counts()
+                for a, b in _slices(text):
+                    keys, _, bit, _ = _keys(trees, *_bytes(text.slice(a, b - a).to_pylist()))
+                    held.add(keys, bit)
+                keys = held.take()[0]
+                parts = list(_ranges(keys, part_bits))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([keys[r].tobytes() for _, r in parts], pa.binary())], names=["p", "block", "keys"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        p, block, asked, vals = (rows[c].to_pylist() for c in ("p", "block", "keys", "vals"))
+        own = [i for i, b in enumerate(block) if b is None]
+        keys, packed = (np.frombuffer(x[own[0]] if own else b"", t) for x, t in ((asked, np.int64), (vals, np.int16)))
+        keys, packed = np.append(keys, np.int64(-1)), np.append(packed, np.int16(0))  # the last for those that are not there
+        out = []
+        for b, x in zip(block, asked):
+            if b is not None:
+                want = np.frombuffer(x, np.int64)
+                at = np.searchsorted(keys[:-1], want)
+                out.append((b, np.where(keys[at] == want, packed[at], np.int16(0)).tobytes(), x))
+        data = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (2, pa.binary()), (1, pa.binary()))]
+        return pa.table({"block": data[0], "p": pa.array(p[:1] * len(out), pa.int64()), "keys": data[1], "vals": data[2]})
+
+    def run(table: pa.Table) -> pa.Table:
+        trees, nodes, head = known.value
+        table = table.sort_by("p")
+        texts = pa.ipc.open_stream(next(x for x in table["rows"] if x.is_valid).as_buffer()).read_all()
+        place, vals = _Lookup(_joined(table["keys"], np.int64)), _joined(table["vals"], np.int16)
+        tables = [nodes, *[vals] * (len(_BACK) - 1)]
+        sizes = np.array([len(x.as_buffer() or b"") for x in texts.column(0)], np.int64)
+        out = []
+        for part in _alike(sizes):
+            rows = texts.take(pa.array(part)).combine_chunks()
+            some = rows.column(0).to_pylist()
+            keys, node, bit, counts = _keys(trees, *_bytes(some))
+            words = _known_words(head, some) if head else []
+            bits = _mixed(tables, [node, *map(place, keys)], bit, counts)
+            out.append(pa.Table.from_arrays([*rows.columns[1:], pa.array(bits), pa.array(sizes[part]), *words], names=names))
+        return pa.concat_tables(out)
+
+    asked = map_batches(blocks, ask, "p long, block long, keys binary").withColumn("vals", F.lit(None).cast("binary"))
+    stored = model.contexts.select("p", F.lit(None).cast("long").alias("block"), "keys", "vals")
+    met = asked.unionByName(stored).repartition(1 << part_bits, "p").groupBy("p").applyInArrow(answer, "block long, p long, keys binary, vals binary")
+    both = met.unionByName(blocks.withColumn("p", F.lit(-1).cast("long")), allowMissingColumns=True)
+    return both.repartition(n_blocks, "block").groupBy("block").applyInArrow(run, target)
 
 
 def held_out(id_col: str) -> Column:
@@ -386,20 +546,21 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 7 == 2
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = SLOT_BITS, head_words: int = HEAD_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)``, row for row.
 
     base_score is the add-one unigram score of words and end in log10, score the mixed model's log10 probability
     of the whole text in lower case (A-Z) and its end, bits_per_byte its bits over the text's bytes. Both learn
     from the rows whose crc32 of the id as text, modulo seven, is not two. A null text is empty and has the end
     alone; a row with a null id is scored, teaches nothing and is not held out; repeated rows count as often as
-    they come; an empty table gives an empty result. Words are told by 64-bit hashes.
+    they come; an empty table gives an empty result. Words are told by 64-bit hashes,
+    contexts by themselves; ``slot_bits`` is not used any more.
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
     rows = _texts(docs, id_col, text_col)
     teach = F.coalesce(~held_out("doc_id"), F.lit(False))
     counts = count(rows.filter(teach))
-    model = train(rows.filter(teach), slot_bits=slot_bits, counts=counts)
+    model = train(rows.filter(teach), counts=counts)
     words = counts.filter("what = 1").select(F.col("key").alias("h"), F.col("n").alias("c"))
     levels = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") >= 1 << j).cast("long")).alias(f"l{j}") for j in range(48)]).first()
     n, v = levels["n"] or 0, levels["v"]

@@ -80,3 +80,29 @@ def test_held_out_text_takes_fewer_bits_than_its_letters(spark):
     model = lm.train(docs.filter(~lm.held_out("doc_id")), slot_bits=16)
     bits, size = lm.score(docs.filter(lm.held_out("doc_id")), model).selectExpr("sum(bits) b", "sum(n_bytes) n").first()
     assert bits / size < 3
+
+
+def test_contexts_are_counted_apart_and_grow_with_the_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefghij klmnop", k=400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(docs, slot_bits=4)
+    assert len(lm._BACK) == 4 and lm.CHUNK <= 256
+    want = Counter()
+    for t in texts:
+        raw = b"\xff" * 6 + t.encode() + b"\xff"
+        for i in range(6, len(raw)):
+            pair = raw[i - 1] * 256 + raw[i]
+            at = model.trees.start[pair]
+            for node, bit in zip(model.trees.node[at : at + model.trees.length[pair]].tolist(), model.trees.bit[at:].tolist()):
+                for k in (1, 2, 4):
+                    want[k, raw[i - 1 - k : i - 1], node, 1] += bit
+                    want[k, raw[i - 1 - k : i - 1], node, 0] += 1
+    contexts = {x[:3] for x in want}
+    rows = model.contexts.collect()
+    assert sum(len(r.keys) for r in rows) == 8 * len(contexts) > 8 << 14
+    packed = lm._pack(np.array([want[*c, 1] for c in contexts]), np.array([want[*c, 0] for c in contexts]))
+    assert sorted(packed.tolist()) == sorted(np.frombuffer(b"".join(r.vals for r in rows), np.int16).tolist())
+    got = lm.score(docs, model).selectExpr("sum(bits) b").first().b
+    # Slots enough for all of them give nearly the same.
+    assert got == pytest.approx(lm.score_bits(model_of(texts, slot_bits=26), texts).sum(), rel=0.01)
