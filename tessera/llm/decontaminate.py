@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, with DataFrame functions only.
 
 Texts become templates: numbers, names and units are replaced by typed placeholders, so that a question with
-other parameters keeps its template. Windows of five template words are hashed and joined. Where a document
+other parameters keeps its template. Windows of five words are hashed and joined in two forms, in lower case and
+with every capitalised word as a name, so that neither case nor what stands before a word decides. Where a document
 holds enough of an item's windows, the values in the slots of the best alignment are compared: one value of the
 item must always stand for one value of the document, else the likeness is by chance.
 """
@@ -25,11 +26,12 @@ UNITS = (
     "kilometers kilometres miles mile feet foot inches inch grams kilograms liters litres watts volts percent degrees"
 ).split()
 
-_NAME, _NUMBER, _UNIT = "\u0001", "\u0002", "\u0003"
+_NAME, _NUMBER, _UNIT, _FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
 _NAME_RE = r"\p{Lu}(?<=[\p{Ll},;:)] \p{Lu})\p{L}*"
+_CAPITAL_RE = r"(?<![\p{L}\p{N}\u0001-\u0004])\p{Lu}\p{L}*"
 _NUMBER_RE = r"[0-9]+(?:[.,][0-9]+)*"
 _UNIT_RE = rf"(?<={_NUMBER}[0-9.,]{{0,24}}) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
-_GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0003.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
+_GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0004.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
 
 
 def let(value: Column, body) -> Column:
@@ -46,6 +48,38 @@ def template_words(text: Column, values: bool = False) -> Column:
     return F.filter(F.split(F.lower(out), _GAP_RE), lambda w: w != "")
 
 
+def marked_words(text: Column, values: bool = False) -> Column:
+    """The words of a text in lower case, numbers and units replaced, capitalised words marked.
+
+    The mark tells names within a sentence from words that may be capitalised by their place. White space and
+    case change no more than marks. With ``values`` a placeholder is followed by what it stands for.
+    """
+    keep = "$0" if values else ""
+    out = F.regexp_replace(F.translate(text, _NAME + _NUMBER + _UNIT + _FIRST, ""), r"[\s\u00a0]+", " ")
+    out = F.regexp_replace(out, _NUMBER_RE, _NUMBER + keep)
+    out = F.when(F.contains(out, F.lit(_NUMBER)), F.regexp_replace(out, "(?i)" + _UNIT_RE, f" {_UNIT}" + ("$1" if values else ""))).otherwise(out)
+    out = F.regexp_replace(F.regexp_replace(out, _NAME_RE, _NAME + "$0"), _CAPITAL_RE, _FIRST + "$0")
+    return F.filter(F.split(F.lower(out), _GAP_RE), lambda w: w != "")
+
+
+def _marked(word: Column) -> Column:
+    return F.startswith(word, F.lit(_NAME)) | F.startswith(word, F.lit(_FIRST))
+
+
+def _unmarked(word: Column) -> Column:
+    return F.when(_marked(word), F.substring(word, 2, 1 << 30)).otherwise(word)
+
+
+def _lower(words: Column) -> Column:
+    """Marked words as lower-case template words."""
+    return F.transform(words, _unmarked)
+
+
+def _named(words: Column) -> Column:
+    """Marked words with every capitalised one as a name."""
+    return F.transform(words, lambda w: F.when(_marked(w), F.lit(_NAME)).otherwise(w))
+
+
 def window_hashes(words: Column, window: int = WINDOW) -> Column:
     """Hashes of all windows of ``window`` words, in order; none in a shorter text."""
 
@@ -66,6 +100,11 @@ def _plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(_slot(w), F.substring(w, 1, 1)).otherwise(F.regexp_replace(w, r"\u0002[0-9.,]+", _NUMBER)))
 
 
+def _plain_marked(words: Column) -> Column:
+    """The same, with the marks of capitalised words."""
+    return F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[\u0002\u0003]")), F.substring(w, 1, 1)).otherwise(F.regexp_replace(w, r"\u0002[0-9.,]+", _NUMBER)))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_found, coverage, n_slots, consistency, reparameterised, text_hash)``.
 
@@ -76,27 +115,37 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     columns are not looked at. Items' windows are broadcast when there are 200,000 at most (counted).
     """
     quiz = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
-    quiz = quiz.select("item_id", "item_text", window_hashes(template_words(F.col("item_text")), window).alias("hashes"))
-    quiz = quiz.select("item_id", "item_text", F.xxhash64("item_text").alias("item_hash"), F.array_distinct("hashes").alias("hashes")).filter(F.size("hashes") > 0)
-    quiz = materialise(quiz.withColumn("n_windows", F.size("hashes")), "items")
-    asked = materialise(quiz.select("item_id", "item_hash", "n_windows", F.explode("hashes").alias("h")), "windows")
+    quiz = quiz.select("item_id", "item_text", F.xxhash64("item_text").alias("item_hash"), marked_words(F.col("item_text")).alias("words"))
+    quiz = quiz.select("item_id", "item_text", "item_hash", *[window_hashes(form(F.col("words")), window).alias(name) for name, form in (("hashes", _lower), ("named", _named))])
+    quiz = materialise(quiz.filter(F.size("hashes") > 0).withColumn("n_windows", F.size(F.array_distinct("hashes"))), "items")
+    asked = quiz.select("item_id", "item_hash", "n_windows", F.explode(F.arrays_zip("hashes", "named")).alias("z"))
+    asked = asked.select("item_id", "item_hash", "n_windows", F.col("z.hashes").alias("own"), F.explode(F.array("z.hashes", "z.named")).alias("h"))
+    asked = materialise(asked.distinct(), "windows")
 
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).withColumn("text_hash", F.xxhash64("doc_text"))
-    windows = text.select("doc_id", "text_hash", F.explode(window_hashes(template_words(F.col("doc_text")), window)).alias("h"))
+    # Each array is made once.
+    windows = let(marked_words(F.col("doc_text")), lambda w: F.struct(window_hashes(_lower(w), window).alias("a"), window_hashes(_named(w), window).alias("b")))
+    found = let(windows, lambda x: F.concat(x.a, F.array_except(x.b, x.a)))
+    windows = text.select("doc_id", "text_hash", F.explode(found).alias("h"))
     met = join_checked(windows, asked, "h")
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
-    near = met.groupBy(*pair, "n_windows").agg(F.count_distinct("h").alias("n_found"))
+    near = met.groupBy(*pair, "n_windows").agg(F.count_distinct("own").alias("n_found"))
     near = materialise(near.filter(F.col("n_found") >= coverage * F.col("n_windows")), "near")
 
     known = text.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
     some = materialise(near.select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct(), "found")
     texts = join_checked(known.withColumn("k", F.xxhash64("d", "t")), some, "k", "left_semi").drop("k").distinct()
-    full = texts.select("d", "t", template_words(F.col("doc_text"), values=True).alias("words"))
-    full = full.select("d", "t", F.posexplode(F.arrays_zip(window_hashes(_plain(F.col("words")), window).alias("h"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"))), lambda i: F.slice(F.col("words"), i, window)).alias("w"))).alias("at", "z"))
-    full = full.select("d", "t", "at", F.col("z.h").alias("h"), F.col("z.w").alias("w")).filter("h is not null")
-    asks = quiz.select("item_id", "item_hash", template_words(F.col("item_text"), values=True).alias("words"))
-    asks = asks.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), F.posexplode(F.arrays_zip(window_hashes(_plain(F.col("words")), window).alias("h"), F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"))), lambda i: F.slice(F.col("words"), i, window)).alias("w"))).alias("item_at", "z"))
-    asks = asks.select("i", "ih", "item_at", F.col("z.h").alias("ih_window"), F.col("z.w").alias("item_w")).filter("ih_window is not null")
+    def placed(words: Column) -> Column:
+        """Each window's hashes in both forms and its words."""
+        slices = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda i: F.slice(words, i, window))
+        plain = _plain(_lower(words)), _named(_plain_marked(words))
+        return F.arrays_zip(window_hashes(plain[0], window).alias("a"), window_hashes(plain[1], window).alias("b"), slices.alias("w"))
+
+    full = texts.select("d", "t", marked_words(F.col("doc_text"), values=True).alias("words")).select("d", "t", F.posexplode(placed(F.col("words"))).alias("at", "z"))
+    full = full.select("d", "t", "at", F.explode(F.array_distinct(F.array("z.a", "z.b"))).alias("h"), F.col("z.w").alias("w")).filter("h is not null")
+    asks = quiz.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), marked_words(F.col("item_text"), values=True).alias("words"))
+    asks = asks.select("i", "ih", F.posexplode(placed(F.col("words"))).alias("item_at", "z"))
+    asks = asks.select("i", "ih", "item_at", F.explode(F.array_distinct(F.array("z.a", "z.b"))).alias("ih_window"), F.col("z.w").alias("item_w")).filter("ih_window is not null")
     sides = near.join(full, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
     sides = sides.join(asks, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")) & (F.col("h") == F.col("ih_window")))
     lined = sides.select(*pair, "n_windows", "n_found", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "w", "item_w")
@@ -106,8 +155,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & F.col(f"{a}.item_id").eqNullSafe(F.col(f"{b}.item_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash")) & (F.col(f"{a}.item_hash") == F.col(f"{b}.item_hash"))
     chosen = lined.alias("a").join(best.alias("b"), same("a", "b") & (F.col("a.shift") == F.col("b.best_shift")))
     slots = chosen.select(*[F.col(f"a.{c}") for c in pair], F.explode(F.arrays_zip("item_w", "w")).alias("z")).select(*pair, F.col("z.item_w").alias("asked"), F.col("z.w").alias("stands"))
-    values = slots.filter(_slot(F.col("asked"))).groupBy(*pair, "asked").agg(F.count_distinct("stands").alias("forms"), F.max((F.col("asked") != F.col("stands")).cast("int")).alias("other"))
-    values = values.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.avg((F.col("forms") == 1).cast("double")).alias("consistency"), (F.max("other") == 1).alias("reparameterised"))
+    # A word that may be capitalised by its place shows other parameters, but is no value that must be consistent.
+    slots = slots.filter(F.rlike("asked", F.lit("^[\u0001-\u0004]"))).select(*pair, _slot(F.col("asked")).alias("slot"), _unmarked(F.col("asked")).alias("asked"), _unmarked(F.col("stands")).alias("stands"))
+    values = slots.groupBy(*pair, "asked").agg(F.max("slot").alias("slot"), F.count_distinct("stands").alias("forms"), F.max((F.col("asked") != F.col("stands")).cast("int")).alias("other"))
+    consistent = F.avg(F.when(F.col("slot"), (F.col("forms") == 1).cast("double")))
+    values = values.groupBy(*pair).agg(F.count_if("slot").alias("n_slots"), consistent.alias("consistency"), (F.max("other") == 1).alias("reparameterised"))
     out = near.alias("a").join(values.alias("b"), same("a", "b"), "left")
     out = out.select(
         F.col("a.doc_id"), F.col("a.item_id"), "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("coverage"),

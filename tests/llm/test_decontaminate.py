@@ -53,3 +53,17 @@ def test_empty(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(docs, none).count() == 0 and dc.clean(docs, none).count() == 1
+
+
+def test_case_place_and_white_space_do_not_hide_items(spark):
+    short = "What is the capital city of France?"
+    long = "J. Smith bought 12 red apples at the big market. Anna then ate 3 of them before 5 KG of pears arrived from Spain"
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    docs = [
+        (1, f"Question: {short}"), (2, f"text, {short.lower()}"), (3, short.replace(" ", "\n  ")), (4, short.upper()),
+        (5, long.replace("Anna", "Berta")), (6, long.replace("Smith", "Miller")), (7, long.lower()), (8, long.replace("5 KG", "5\nkg")),
+        (9, "What was the capital of that old city in France?"), (10, f'He said: "{long}"'),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert sorted(got) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (7, 2), (8, 2), (10, 2)]
+    assert [d for d, i in got if got[d, i].reparameterised] in ([5, 6], [6, 5]) and all(r.coverage == 1 for r in got.values())
