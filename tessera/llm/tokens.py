@@ -8,6 +8,8 @@ lies across blocks is stitched by a prefix scan over one narrow row for each blo
 from __future__ import annotations
 
 import base64
+import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ from tessera.session import materialise, shared_path
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 END_OF_DOCUMENT = 50256
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The characters that the pattern takes for white space.
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of so many white-space characters are found here; the pattern's search for their end goes as deep as they are long.
+LONG_RUN = 1024
 #: Bytes of a block.
 BLOCK_BYTES = 8 << 20
 
@@ -39,6 +45,24 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_LONG_RUN = re.compile(f"[{WHITE_SPACE}]{{{LONG_RUN},}}")
+
+
+def encode(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The token ids of a text, as ``encode_ordinary`` gives them.
+
+    A long run of white space is one piece by the pattern, but for its last character where another follows, which
+    starts the next piece. Such a piece is encoded as it is, so that no search goes deep.
+    """
+    out, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        stop = run.end() if run.end() == len(text) else run.end() - 1
+        out += [encoding.encode_ordinary(text[at : run.start()]), encoding._encode_single_piece(text[run.start() : stop])]
+        at = stop
+    out.append(encoding.encode_ordinary(text[at:]))
+    return np.concatenate([np.array(ids, "<u2") for ids in out])
+
+
 def _file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
     if uri.startswith("file:"):
         return pa.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
@@ -50,10 +74,12 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
 
     Every attempt of a task writes a file of its own name; the manifest, written by Spark, names those of
     attempts that were committed, so a repeated or lost attempt does no harm. Null texts are empty documents.
+    The tokenizer file, of fixed size, is sent to the executors.
     """
+    docs.sparkSession.sparkContext.addFile(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, ordinal = _encoding(tokenizer), 0
+        encoding, ordinal = _encoding(SparkFiles.get(os.path.basename(tokenizer))), 0
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
         name = f"tokens-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
@@ -61,11 +87,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
             for batch in batches:
                 for at in range(0, batch.num_rows, 64):
                     part = batch.slice(at, 64)
-                    ids: list[int] = []
                     for text in part.column(1):
-                        ids += encoding.encode_ordinary(text.as_py() or "")
-                        ids.append(separator)
-                    out.write(np.array(ids, "<u2").tobytes())
+                        out.write(np.append(encode(encoding, text.as_py() or ""), np.uint16(separator)).astype("<u2").tobytes())
                     places = pa.array(range(ordinal, ordinal + part.num_rows), pa.int64())
                     ordinal += part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), places, part.column(0)], names=["file", "ordinal", "doc_id"])

@@ -45,3 +45,24 @@ def test_counts_and_round_trip(spark):
         doc = found[r.file, r.ordinal]
         assert encoding.decode(ids[doc.start : doc.start + doc.n_tokens].tolist()) == (dict((i, t) for i, t, _ in rows)[r.doc_id] or "")
     assert tokens.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_long_white_space_is_one_piece():
+    encoding = tokens._encoding(tokens.TOKENIZER)
+    plain = lambda t: encoding.encode_ordinary(t)
+    rng = random.Random(4)
+    kinds = " \n\t\r\u00a0\u3000\x85\x1c"
+    for n in (1023, 1024, 1025, 3000, 20000):
+        for run in (" " * n, "\n" * n, "".join(rng.choices(kinds, k=n))):
+            for text in (run, run + "a", "a" + run, f"a b{run}c{run}", run + "\n.", run + "1" + run):
+                assert tokens.encode(encoding, text).tolist() == plain(text)
+    for text in (" " * 5_000_000, "\n" * 2_000_000 + "x", "a" + "\t \n" * 700_000 + "b"):
+        assert 0 < len(tokens.encode(encoding, text)) <= len(text)
+    assert len(tokens.encode(encoding, "")) == 0
+
+
+def test_long_runs_in_documents(spark):
+    docs = spark.createDataFrame([(1, " " * 1_500_000), (2, "x" + "\n" * 1_200_000 + "y")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs).collect()}
+    encoding = tokens._encoding(tokens.TOKENIZER)
+    assert got == {i: len(tokens.encode(encoding, t)) for i, t in docs.collect()}
