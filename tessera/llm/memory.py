@@ -1,4 +1,7 @@
-"""Python workers are used again by later stages: what a task has freed goes back to the system when it ends."""
+"""Batches in Python workers, and names of columns.
+
+Workers are used again by later stages: what a task has freed goes back to the system when it ends.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +37,20 @@ def released(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return wrapped
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def others(columns: list[str], names: list[str]) -> list[str]:
+    """Those of ``columns`` that have none of ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def map_batches(df: DataFrame, run: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
     """``mapInArrow`` with this package on the workers and freed memory returned after each task."""
     ship(df.sparkSession)
