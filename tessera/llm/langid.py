@@ -17,16 +17,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tessera.llm.memory import map_batches
+from tessera.llm.memory import fresh, map_batches, others
 
 UNKNOWN = "und"
 #: Characters of labelled text for each language's automaton, at most, and from each document, at most.
 SAMPLE_CHARS, DOCUMENT_CHARS = 24_000, 2_000
-#: Symbols that have transitions, at most; all other characters are in no phrase of more than one.
-SYMBOLS = 56
+#: Characters that are one symbol, the most frequent in the samples, at most; all others of the samples are written as a
+#: lead symbol, which tells how many follow, and one to three trail symbols. Characters that no sample has are a phrase each.
+COMMON, LEADS, TRAILS = 44, (6, 6, 4), 16
+SYMBOLS = COMMON + sum(LEADS) + TRAILS + 2
 #: Segments of a text that are walked side by side; a phrase ends where a segment ends.
 SEGMENT = 1024
 
@@ -40,7 +43,7 @@ class Model:
     """Learned languages, the symbol of each code point and the stacked automata."""
 
     langs: list[str]
-    symbol: np.ndarray  # of a code point; 0: other
+    symbol: np.ndarray  # of a code point: up to four symbols, the first in the lowest byte; 0: other
     table: np.ndarray  # (states, symbols + 1): next state and, above, the phrases that end; the last symbol is no step
     roots: np.ndarray  # of each language
     bits: np.ndarray  # log2 of each sample's length
@@ -90,21 +93,45 @@ def _parser(step: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.arange(len(table), dtype=np.int32)[:, None]], axis=1)
 
 
+def _codes() -> Iterator[int]:
+    """The symbols of the first, second, ... most frequent character, packed with the first in the lowest byte."""
+    yield from range(1, COMMON + 1)
+    lead, trail = COMMON + 1, COMMON + 1 + sum(LEADS)
+    for more, leads in enumerate(LEADS, 1):
+        for first in range(lead, lead + leads):
+            for k in range(TRAILS**more):
+                yield first | sum((trail + k // TRAILS**j % TRAILS) << 8 * (j + 1) for j in range(more))
+        lead += leads
+
+
+def coded(symbol: np.ndarray, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts whose code points lie one after the other, and how many each text has."""
+    packed = symbol[points]
+    if not len(packed) or packed.max() < 256:
+        return packed.astype(np.uint8), lengths
+    each = 1 + (packed > 0xFF).astype(np.int64) + (packed > 0xFFFF) + (packed > 0xFFFFFF)
+    ends = np.append(0, np.cumsum(each))
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], each)
+    return (np.repeat(packed, each) >> (8 * place).astype(np.uint32)).astype(np.uint8), np.diff(ends[np.append(0, np.cumsum(lengths))])
+
+
 def build(samples: dict[str, list[str]]) -> Model:
     """A model from each language's texts."""
     langs = sorted(samples)
     seen = Counter(ch for texts in samples.values() for t in texts for ch in t.lower())
-    common = sorted(seen, key=lambda ch: (-seen[ch], ch))[: SYMBOLS - 2]
-    number = {ch: i + 1 for i, ch in enumerate(common)}
-    symbol = np.zeros(0x110000, np.uint8)
-    for ch, i in number.items():
+    symbol = np.zeros(0x110000, np.uint32)
+    for ch, code in zip(sorted(seen, key=lambda ch: (-seen[ch], ch)), _codes()):
         for form in {ch, ch.upper(), ch.title()}:
             if len(form) == 1 and symbol[ord(form)] == 0:
-                symbol[ord(form)] = i
+                symbol[ord(form)] = code
     gap = SYMBOLS - 1
     tables, roots, bits, at = [], [], [], 0
     for lang in langs:
-        line = [i for t in samples[lang] for i in [*(number.get(ch, 0) or gap for ch in t.lower()), gap]]
+        line: list[int] = []
+        for t in samples[lang]:
+            points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            own = coded(symbol, points, np.array([len(points)]))[0].tolist()
+            line += [c or gap for c in own] + [gap]
         step = _suffix_automaton(line, SYMBOLS)
         step[:, 0] = step[:, gap] = -1
         table = _parser(step)
@@ -168,7 +195,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     if not model.langs or not has.any():
         return langs, score
-    entropy = _phrases(model, model.symbol[every], lengths) * model.bits / np.maximum(lengths, 1)[:, None]
+    entropy = _phrases(model, *coded(model.symbol, every, lengths)) * model.bits / np.maximum(lengths, 1)[:, None]
     best = entropy.argmin(1)
     weight = 1 / np.exp2(-4 * (entropy - entropy.min(1, keepdims=True))).sum(1)
     return [model.langs[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist())], np.where(has, weight, 0.0)
@@ -181,8 +208,8 @@ def _hash_share(id_col: str, text: F.Column) -> F.Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on rows with a text and a label: about SAMPLE_CHARS for each language, from documents drawn by hash.
 
-    One pass counts the rows of each language; the other brings at most a few hundred cut texts a language to
-    the driver, from which the automata are built.
+    One pass counts the rows of each language; the other brings at most a few hundred cut texts a language, which
+    differ, to the driver, from which the automata are built. Rows with a null in text or label teach nothing.
     """
     rows = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
@@ -193,9 +220,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     drawn = rows.filter(_hash_share(id_col, F.col(text_col)) < share[F.col(lang_col)]).select(
         F.col(lang_col).alias("lang"), F.substring(text_col, 1, DOCUMENT_CHARS).alias("text"), _hash_share(id_col, F.col(text_col)).alias("h")
     )
+    first = W.partitionBy("lang").orderBy("h", "text")
+    drawn = drawn.distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= 4 * want).drop("r")
     samples: dict[str, list[str]] = {k: [] for k in counts}
     left = dict.fromkeys(counts, SAMPLE_CHARS)
-    for lang, text, _ in sorted({tuple(r) for r in drawn.collect()}, key=lambda r: (r[0], r[2], r[1])):
+    for lang, text, _ in sorted((tuple(r) for r in drawn.collect()), key=lambda r: (r[0], r[2], r[1])):
         if left[lang] > 0:
             samples[lang].append(text[: left[lang]])
             left[lang] -= len(text)
@@ -207,24 +236,36 @@ def training_rows(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 != 1, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+OUTPUT = ["lang_pred", "lang_score"]
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", output: list[str] = OUTPUT) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``lang_score``, row for row.
 
     Whole texts are parsed. A text that is null or has no letter, or any text without a learned language, is
-    ``und`` with score 0. Ties go to the first language in code point order.
+    ``und`` with score 0. Ties go to the first language in code point order. Null ids and repeated rows come out as
+    they go in; an empty table gives an empty result. A column of ``docs`` that has the name of an output, which
+    ``output`` can change, is left out in its favour.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
-    target = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType())])
-    place = docs.columns.index(text_col)
+    rows = docs.select(F.col(text_col).cast("string").alias(fresh(docs.columns, "text_")), *others(docs.columns, output))
+    target = StructType([*rows.schema.fields[1:], StructField(output[0], StringType()), StructField(output[1], DoubleType())])
+    names = [f.name for f in target.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x.as_py() or "") for x in batch.column(place)], np.int64)
+            sizes = np.array([len(x.as_py() or "") for x in batch.column(0)], np.int64)
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // _BATCH_CHARS, prepend=0)).tolist()
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
                 part = batch.slice(a, b - a)
                 if part.num_rows:
-                    langs, scores = predict(known.value, part.column(place).to_pylist())
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], names=[f.name for f in target.fields])
+                    langs, scores = predict(known.value, part.column(0).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(langs, pa.string()), pa.array(scores)], names=names)
+
+    return map_batches(rows, run, target)
+
 
-    return map_batches(docs, run, target)
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have a language, with their own columns, whatever those are called."""
+    output = [fresh(docs.columns, c) for c in OUTPUT]
+    return identify(docs, model, text_col, output).filter(F.col(output[0]) != UNKNOWN).select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
-from tessera.llm.memory import map_batches
+from tessera.llm.memory import fresh, map_batches
 from tessera.session import materialise
 
 SHINGLE = 3
@@ -205,16 +205,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """``docs`` with one row of each component of near-duplicates, the one with the least id.
 
     A null id counts as a negative number made from the text. Of repeated rows with one id and text one stays.
+    Null and wordless texts are copies of one another. Columns may have any name; an empty table stays empty.
     The ids to drop are broadcast if they are at most ``max_broadcast`` (counted); else the join shuffles.
     """
+    key = fresh(docs.columns, "row_key")
     number = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1) - 1)
-    keyed = docs.withColumn("__row_key", number)
-    found = materialise(near_duplicates(keyed, "__row_key", text_col), "components")
-    dropped = materialise(found.filter("id <> component").select(F.col("id").alias("__row_key")).distinct(), "dropped")
+    keyed = docs.withColumn(key, number)
+    found = materialise(near_duplicates(keyed, key, text_col), "components")
+    dropped = materialise(found.filter("id <> component").select(F.col("id").alias(key)).distinct(), "dropped")
     small = dropped.count() <= max_broadcast
-    kept = keyed.join(F.broadcast(dropped) if small else dropped, "__row_key", "left_anti")
-    twice = materialise(found.groupBy("id").count().filter("count > 1").select(F.col("id").alias("__row_key")), "twice")
+    kept = keyed.join(F.broadcast(dropped) if small else dropped, key, "left_anti")
+    twice = materialise(found.groupBy("id").count().filter("count > 1").select(F.col("id").alias(key)), "twice")
     if not twice.isEmpty():
-        single = kept.join(twice, "__row_key", "left_anti")
-        kept = single.unionByName(kept.join(twice, "__row_key", "left_semi").dropDuplicates(["__row_key"]))
-    return kept.drop("__row_key")
+        single = kept.join(twice, key, "left_anti")
+        kept = single.unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)
