@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import fresh
 from tessera.session import join_checked, materialise
 
 WINDOW = 5
+#: Items of fewer template words say nothing in particular and are not searched; items of fewer than WINDOW are one window.
+LEAST = 3
 #: Least share of an item's windows in a document; least share of an item's values that are replaced in one way.
 COVERAGE, CONSISTENCY = 0.8, 0.8
 
@@ -30,7 +33,7 @@ _NAME, _NUMBER, _UNIT, _FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
 _NAME_RE = r"\p{Lu}(?<=[\p{Ll},;:)] \p{Lu})\p{L}*"
 _CAPITAL_RE = r"(?<![\p{L}\p{N}\u0001-\u0004])\p{Lu}\p{L}*"
 _NUMBER_RE = r"[0-9]+(?:[.,][0-9]+)*"
-_UNIT_RE = rf"(?<={_NUMBER}[0-9.,]{{0,24}}) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
+_UNIT_RE = rf"(?i)(?<=\u0002) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
 _GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0004.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
 
 
@@ -39,25 +42,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def template_words(text: Column, values: bool = False) -> Column:
-    """The words of a text's template; with ``values`` a placeholder is followed by what it stands for."""
-    keep = "$0" if values else ""
-    out = F.regexp_replace(F.translate(text, _NAME + _NUMBER + _UNIT, ""), _NAME_RE, _NAME + keep)
-    out = F.regexp_replace(out, _NUMBER_RE, _NUMBER + keep)
-    out = F.when(F.contains(out, F.lit(_NUMBER)), F.regexp_replace(out, _UNIT_RE, f" {_UNIT}" + ("$1" if values else ""))).otherwise(out)
-    return F.filter(F.split(F.lower(out), _GAP_RE), lambda w: w != "")
-
-
 def marked_words(text: Column, values: bool = False) -> Column:
     """The words of a text in lower case, numbers and units replaced, capitalised words marked.
 
     The mark tells names within a sentence from words that may be capitalised by their place. White space and
-    case change no more than marks. With ``values`` a placeholder is followed by what it stands for.
+    case change no more than marks. With ``values`` a number stands before its placeholder, a unit after it.
     """
-    keep = "$0" if values else ""
     out = F.regexp_replace(F.translate(text, _NAME + _NUMBER + _UNIT + _FIRST, ""), r"[\s\u00a0]+", " ")
-    out = F.regexp_replace(out, _NUMBER_RE, _NUMBER + keep)
-    out = F.when(F.contains(out, F.lit(_NUMBER)), F.regexp_replace(out, "(?i)" + _UNIT_RE, f" {_UNIT}" + ("$1" if values else ""))).otherwise(out)
+    out = F.regexp_replace(out, _NUMBER_RE, ("$0" if values else "") + _NUMBER)
+    out = F.when(F.contains(out, F.lit(_NUMBER)), F.regexp_replace(out, _UNIT_RE, f" {_UNIT}" + ("$1" if values else ""))).otherwise(out)
     out = F.regexp_replace(F.regexp_replace(out, _NAME_RE, _NAME + "$0"), _CAPITAL_RE, _FIRST + "$0")
     return F.filter(F.split(F.lower(out), _GAP_RE), lambda w: w != "")
 
@@ -91,41 +84,61 @@ def window_hashes(words: Column, window: int = WINDOW) -> Column:
     return F.coalesce(hashed, F.array().cast("array<bigint>"))
 
 
+_SLOT_RE = rf"^[{_NAME}{_UNIT}]|^{_NUMBER_RE}{_NUMBER}$"
+
+
 def _slot(word: Column) -> Column:
-    return F.rlike(word, F.lit("^[\u0001-\u0003]"))
+    return F.rlike(word, F.lit(_SLOT_RE))
 
 
 def _plain(words: Column) -> Column:
-    """The template word of a word with its value."""
-    return F.transform(words, lambda w: F.when(_slot(w), F.substring(w, 1, 1)).otherwise(F.regexp_replace(w, r"\u0002[0-9.,]+", _NUMBER)))
+    """Marked template words of marked words with their values."""
+    return F.transform(words, lambda w: F.when(F.startswith(w, F.lit(_UNIT)), F.lit(_UNIT)).otherwise(F.regexp_replace(w, _NUMBER_RE + _NUMBER, _NUMBER)))
 
 
-def _plain_marked(words: Column) -> Column:
-    """The same, with the marks of capitalised words."""
-    return F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[\u0002\u0003]")), F.substring(w, 1, 1)).otherwise(F.regexp_replace(w, r"\u0002[0-9.,]+", _NUMBER)))
+def _placed(words: Column, lengths: list[int]) -> Column:
+    """Of each window of marked words with values: its place, its hashes in both forms and its words."""
 
+    def of(length: int) -> Column:
+        def placed(plain: Column) -> Column:
+            both = F.arrays_zip(window_hashes(_lower(plain), length).alias("a"), window_hashes(_named(plain), length).alias("b"))
+            return F.transform(both, lambda z, i: F.struct(i.alias("at"), F.array_distinct(F.array(z.a, z.b)).alias("h"), F.slice(words, i + 1, length).alias("w")))
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY) -> DataFrame:
+        return let(_plain(words), placed)
+
+    return F.concat(*[of(n) for n in lengths])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = COVERAGE, consistency: float = CONSISTENCY, least: int = LEAST) -> DataFrame:
     """``(doc_id, item_id, n_windows, n_found, coverage, n_slots, consistency, reparameterised, text_hash)``.
 
     A row for each pair of a document and an item of which the document holds at least ``coverage`` of the
-    windows, with at least ``consistency`` of the item's slot values replaced in one way (1 without slots).
-    Null or short texts (under ``window`` template words) match nothing; repeated documents or items and ties
-    give one row for each (document id, text, item id); a null id stays null; empty tables give no rows; other
-    columns are not looked at. Items' windows are broadcast when there are 200,000 at most (counted).
+    windows, with at least ``consistency`` of the item's slot values replaced in one way (1 without slots). An item
+    of fewer than ``window`` template words has one window, all of it; one of fewer than ``least`` words matches
+    nothing, nor does a null text; repeated documents or items and ties give one row for each (document id, text,
+    item id); a null id stays null; empty tables give no rows; other columns are not looked at. Items' windows are
+    broadcast when there are 200,000 at most (counted).
     """
     quiz = items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("item_text")).distinct()
     quiz = quiz.select("item_id", "item_text", F.xxhash64("item_text").alias("item_hash"), marked_words(F.col("item_text")).alias("words"))
-    quiz = quiz.select("item_id", "item_text", "item_hash", *[window_hashes(form(F.col("words")), window).alias(name) for name, form in (("hashes", _lower), ("named", _named))])
-    quiz = materialise(quiz.filter(F.size("hashes") > 0).withColumn("n_windows", F.size(F.array_distinct("hashes"))), "items")
+    quiz = materialise(quiz.filter(F.size("words") >= least).withColumn("length", F.least(F.size("words"), F.lit(window))), "items")
+    # At most ``window`` lengths; documents are cut into windows of those that occur.
+    lengths = sorted(r[0] for r in quiz.select("length").distinct().collect()) or [window]
+    sized = lambda form: F.coalesce(*[F.when(F.col("length") == n, window_hashes(form(F.col("words")), n)) for n in lengths])
+    quiz = quiz.select("item_id", "item_text", "item_hash", "length", sized(_lower).alias("hashes"), sized(_named).alias("named"))
+    quiz = materialise(quiz.withColumn("n_windows", F.size(F.array_distinct("hashes"))), "item_windows")
     asked = quiz.select("item_id", "item_hash", "n_windows", F.explode(F.arrays_zip("hashes", "named")).alias("z"))
     asked = asked.select("item_id", "item_hash", "n_windows", F.col("z.hashes").alias("own"), F.explode(F.array("z.hashes", "z.named")).alias("h"))
     asked = materialise(asked.distinct(), "windows")
 
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")).withColumn("text_hash", F.xxhash64("doc_text"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("doc_text")).withColumn("text_hash", F.xxhash64("doc_text"))
+
+    def both(words: Column, length: int) -> Column:
+        pair = F.struct(window_hashes(_lower(words), length).alias("a"), window_hashes(_named(words), length).alias("b"))
+        return let(pair, lambda x: F.concat(x.a, F.array_except(x.b, x.a)))
+
     # Each array is made once.
-    windows = let(marked_words(F.col("doc_text")), lambda w: F.struct(window_hashes(_lower(w), window).alias("a"), window_hashes(_named(w), window).alias("b")))
-    found = let(windows, lambda x: F.concat(x.a, F.array_except(x.b, x.a)))
+    found = let(marked_words(F.col("doc_text")), lambda w: F.concat(*[both(w, n) for n in lengths]))
     windows = text.select("doc_id", "text_hash", F.explode(found).alias("h"))
     met = join_checked(windows, asked, "h")
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
@@ -135,17 +148,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     known = text.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
     some = materialise(near.select(F.xxhash64("doc_id", "text_hash").alias("k")).distinct(), "found")
     texts = join_checked(known.withColumn("k", F.xxhash64("d", "t")), some, "k", "left_semi").drop("k").distinct()
-    def placed(words: Column) -> Column:
-        """Each window's hashes in both forms and its words."""
-        slices = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda i: F.slice(words, i, window))
-        plain = _plain(_lower(words)), _named(_plain_marked(words))
-        return F.arrays_zip(window_hashes(plain[0], window).alias("a"), window_hashes(plain[1], window).alias("b"), slices.alias("w"))
-
-    full = texts.select("d", "t", marked_words(F.col("doc_text"), values=True).alias("words")).select("d", "t", F.posexplode(placed(F.col("words"))).alias("at", "z"))
-    full = full.select("d", "t", "at", F.explode(F.array_distinct(F.array("z.a", "z.b"))).alias("h"), F.col("z.w").alias("w")).filter("h is not null")
-    asks = quiz.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), marked_words(F.col("item_text"), values=True).alias("words"))
-    asks = asks.select("i", "ih", F.posexplode(placed(F.col("words"))).alias("item_at", "z"))
-    asks = asks.select("i", "ih", "item_at", F.explode(F.array_distinct(F.array("z.a", "z.b"))).alias("ih_window"), F.col("z.w").alias("item_w")).filter("ih_window is not null")
+    full = texts.select("d", "t", marked_words(F.col("doc_text"), values=True).alias("words")).select("d", "t", F.explode(_placed(F.col("words"), lengths)).alias("z"))
+    full = full.select("d", "t", F.col("z.at").alias("at"), F.explode("z.h").alias("h"), F.col("z.w").alias("w"))
+    asks = quiz.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "length", marked_words(F.col("item_text"), values=True).alias("words"))
+    asks = asks.select("i", "ih", "length", F.explode(_placed(F.col("words"), lengths)).alias("z")).filter(F.size("z.w") == F.col("length"))
+    asks = asks.select("i", "ih", F.col("z.at").alias("item_at"), F.explode("z.h").alias("ih_window"), F.col("z.w").alias("item_w"))
     sides = near.join(full, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
     sides = sides.join(asks, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")) & (F.col("h") == F.col("ih_window")))
     lined = sides.select(*pair, "n_windows", "n_found", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "w", "item_w")
@@ -156,7 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     chosen = lined.alias("a").join(best.alias("b"), same("a", "b") & (F.col("a.shift") == F.col("b.best_shift")))
     slots = chosen.select(*[F.col(f"a.{c}") for c in pair], F.explode(F.arrays_zip("item_w", "w")).alias("z")).select(*pair, F.col("z.item_w").alias("asked"), F.col("z.w").alias("stands"))
     # A word that may be capitalised by its place shows other parameters, but is no value that must be consistent.
-    slots = slots.filter(F.rlike("asked", F.lit("^[\u0001-\u0004]"))).select(*pair, _slot(F.col("asked")).alias("slot"), _unmarked(F.col("asked")).alias("asked"), _unmarked(F.col("stands")).alias("stands"))
+    slots = slots.filter(_slot(F.col("asked")) | F.startswith("asked", F.lit(_FIRST))).select(*pair, _slot(F.col("asked")).alias("slot"), _unmarked(F.col("asked")).alias("asked"), _unmarked(F.col("stands")).alias("stands"))
     values = slots.groupBy(*pair, "asked").agg(F.max("slot").alias("slot"), F.count_distinct("stands").alias("forms"), F.max((F.col("asked") != F.col("stands")).cast("int")).alias("other"))
     consistent = F.avg(F.when(F.col("slot"), (F.col("forms") == 1).cast("double")))
     values = values.groupBy(*pair).agg(F.count_if("slot").alias("n_slots"), consistent.alias("consistency"), (F.max("other") == 1).alias("reparameterised"))
@@ -171,7 +178,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """``docs`` without those that hold an item; rows with a null text stay."""
-    found = materialise(contaminated(docs, items, id_col, text_col, **rules).select(F.xxhash64("doc_id", "text_hash").alias("__k")).distinct(), "contaminated")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col))))
-    return join_checked(keyed, found, "__k", "left_anti").drop("__k")
+    """``docs`` without those that hold an item; all else stays, row for row.
+
+    Null and empty texts and null ids stay unless an item is found; of repeated rows all go or stay; columns may have
+    any name; empty tables take nothing away.
+    """
+    key = fresh(docs.columns, "key")
+    found = materialise(contaminated(docs, items, id_col, text_col, **rules).select(F.xxhash64("doc_id", "text_hash").alias(key)).distinct(), "contaminated")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))
+    return join_checked(keyed, found, key, "left_anti").select(*docs.columns)
