@@ -11,8 +11,7 @@ from tessera.session import materialise
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognised language go: null texts and texts without a letter."""
     model = langid.train(docs.filter(langid.training_rows()))
-    known = langid.identify(docs, model)
-    return known.filter(known.lang_pred != langid.UNKNOWN).select(*docs.columns)
+    return langid.recognised(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
