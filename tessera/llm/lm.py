@@ -1,43 +1,48 @@
-"""LM scoring: word counts, and an online logistic mix of context bit predictors.
-
-A text, A-Z in lower case, is coded byte by byte and then an end mark. Each byte is a path of bits in a code tree
-that belongs to the byte before it. For a bit four predictors, the tree's node alone and with one, two and four
-bytes before that, look up how often it was set in all training texts in that very context. The counts are a table
-that grows with the texts, dealt out by ranges of mixed contexts: texts are put into blocks, a block asks for the
-contexts it holds, and is scored beside the answers. The predictors' log-odds are mixed by
-weights that a gate selects, from how well known the longer contexts are. Weights start alike for every text, move
-along the gradient after each chunk of the text, and a table from mixed to observed odds refines the result,
+"""LM scoring: word counts, and an online logistic mix of hashed-context bit predictors.
+
+A text, A-Z in lower case, is coded byte by byte and then an end mark. Its units are words, each with the white-space
+byte or end that follows. A byte is a path of bits in a code tree that belongs to the byte before it in the unit. For
+a bit six predictors look up how often it was set in the training texts: in the tree's node alone, with two, three,
+four and five earlier bytes of the unit, and with all of them. The units of all training texts and their counts are
+a table that grows with the texts, from which the predictors' tables are counted; where contexts share a slot, the
+most frequent keeps it, and check bits tell the others that it is not theirs. The predictors' log-odds are mixed by
+weights that a gate selects, from how well known the longest contexts are. Weights start alike for every text and move
+along the gradient after each chunk of 64 bits of the text, and a table from mixed to observed odds refines the result,
 so that a text's score does not depend on where or beside what it is scored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.memory import map_batches
+from tessera.llm.memory import fresh, map_batches, others
 from tessera.session import materialise
 
-#: Bytes of text in a block, and of training text for each range of contexts, about.
-BLOCK_BYTES = 4_000_000
 #: Counted words that every task is given, the most frequent, at most; the rest are joined by shuffle.
 HEAD_WORDS = 400_000
-CHUNK, RATE, REFINE_RATE, START_WEIGHT = 256, 0.005, 0.02, 0.4
+#: Each hashed predictor has four slots for each unit of the training texts, and 2^MAX_SLOT_BITS (8 MB) at most.
+MAX_SLOT_BITS = 22
+CHUNK, RATE, REFINE_RATE, START_WEIGHT = 64, 0.02, 0.02, 0.35
 
-_END = 255  # no byte of UTF-8
-_BACK = ((), (2,), (2, 3), (2, 3, 4, 5))  # earlier bytes of each predictor, beside the last one
+_END, _GO_ON = 255, 254  # no bytes of UTF-8: before a unit's first byte, and before that of a unit that goes on
+_ORDERS = (2, 3, 4, 5)  # earlier bytes of the hashed predictors; the last one has all of the unit
+_PREDICTORS = len(_ORDERS) + 2
 _GATES, _BINS = 16, 33
-_HELD = 3_000_000  # decisions that are counted at a time
-_KEPT = 2_000_000  # contexts that a task sums up before they go out
-_KEY_BITS, _KEY_MIX = 62, 0x1E3779B97F4A7C15
-_STRETCH = 127.0  # steps of a quantised log-odds unit; 8 levels of confidence above it
+_UNIT = 24  # bytes of a unit at most; longer words go on in the next one
+_CHECK_BITS = 6
+_SLICE_BYTES = 700_000  # bytes of text that are scored at a time
+_LONG_BYTES = 30_000  # texts from here on are scored beside one another, so that no turn has one text alone
+_KEPT_UNITS = 600_000  # units that a task counts before they go out
+_KEPT_ROWS = 4_000_000  # decisions of units that a task keeps
+_KEPT_KEYS = 6_000_000  # slots that a task sums up before they go out
 
 
 @dataclass(frozen=True)
@@ -82,12 +87,6 @@ def _raw(texts: list[str | None]) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
 
 
-def _bytes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' bytes, each text with an end mark, and their lengths."""
-    raw = _raw(texts)
-    return np.frombuffer(b"".join(r + b"\xff" for r in raw), np.uint8), np.array([len(r) + 1 for r in raw], np.int64)
-
-
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32, _END])
 _BYTE_KEYS = np.random.default_rng(20240517).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -98,84 +97,66 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of the hash's base and of its inverse, 0 to n at least."""
     if not _POWERS or len(_POWERS[0]) <= n:
-        size = max(1 << 18, 2 * n)
+        size = max(1 << 18, n + (n >> 2))
         _POWERS[:] = [np.multiply.accumulate(np.append(np.uint64(1), np.full(size, base, np.uint64))) for base in (_BASE, pow(_BASE, -1, 1 << 64))]
     return _POWERS
 
 
-def _words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' words, each text with an end, and their numbers; a word's hash is a mixed polynomial of its bytes."""
-    data, lengths = _bytes(texts)
-    up, down = _powers(len(data))
-    total = np.append(np.uint64(0), np.cumsum(_BYTE_KEYS[data] * up[: len(data)]))
-    gap = _SPACE[data]
-    before = np.append(True, gap[:-1]) if len(data) else gap
-    start, stop = np.flatnonzero(before & ~gap), np.flatnonzero(gap & ~before)
-    hashes = (total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)
+def _stirred(hashes: np.ndarray) -> np.ndarray:
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0xBF58476D1CE4E5B9)
     hashes ^= hashes >> np.uint64(32)
-    owner = np.searchsorted(np.cumsum(lengths), start, side="right")
-    sizes = np.bincount(owner, minlength=len(lengths)) + 1
-    out = np.full(int(sizes.sum()), _END_HASH, np.uint64)
-    out[np.arange(len(start)) + owner] = hashes
-    return out.view(np.int64), sizes
-
-
-def _paths(trees: Trees, data: np.ndarray, lengths: np.ndarray) -> tuple[Callable[[int], np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The k-th byte before each byte, decisions of each byte, nodes, bits, and the decisions of each text."""
-    starts = np.cumsum(lengths) - lengths
-    within = np.arange(len(data)) - np.repeat(starts, lengths)
-    before = lambda k: np.where(within >= k, np.roll(data, k), _END)
-    pair = before(1).astype(np.int64) * 256 + data
-    size = trees.length[pair]
-    ends = np.cumsum(size)
-    path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(trees.start[pair] - (ends - size), size)
-    return before, size, trees.node[path], trees.bit[path], np.add.reduceat(size, starts) if len(starts) else size
-
-
-def _decisions(trees: Trees, data: np.ndarray, lengths: np.ndarray, slot_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots (predictor, decision), bits, and the decisions of each text, for tables of hashed slots."""
-    before, size, node, bit, sizes = _paths(trees, data, lengths)
-    slots = np.empty((len(_BACK), len(node)), np.int32)
-    slots[0] = node
-    spread = node.astype(np.uint32) * np.uint32(0x9E3779B1)
-    for k, back in enumerate(_BACK[1:], 1):
-        code = np.zeros(len(data), np.uint32)
-        for j in back:
-            code = (code + before(j) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-            code ^= code >> np.uint32(13)
-        mixed = np.repeat(code, size)
-        mixed ^= spread
-        mixed *= np.uint32(0xC2B2AE35)
-        mixed >>= np.uint32(32 - slot_bits)
-        slots[k] = mixed
-    return slots, bit, sizes
-
-
-def _keys(trees: Trees, data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (longer predictor, decision), nodes, bits, and the decisions of each text.
-
-    A key holds the predictor, its earlier bytes and the node, 50 bits, multiplied by an odd number: no two contexts share one.
+    return hashes
+
+
+class _Split:
+    """Texts as one array of bytes, each with an end mark, cut into words and into units.
+
+    A stretch of one long text may be ``open`` at its end, and go on with a word (``going``).
     """
-    before, size, node, bit, sizes = _paths(trees, data, lengths)
-    keys = np.empty((len(_BACK) - 1, len(node)), np.int64)
-    for k, back in enumerate(_BACK[1:]):
-        code = np.full(len(data), k, np.int64)
-        for j in back:
-            code = code << 8 | before(j)
-        keys[k] = np.repeat(code << 16, size)
-        keys[k] |= node
-    keys *= _KEY_MIX
-    keys &= (1 << _KEY_BITS) - 1
-    return keys, node, bit, sizes
-
-
-def _slices(column: pa.Array, limit: int = 200_000) -> Iterator[tuple[int, int]]:
+
+    def __init__(self, raw: list[bytes], going: bool = False, open: bool = False) -> None:
+        self.raw, self.going = raw[0] if open else b"".join(r + b"\xff" for r in raw), going
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.lengths = np.array([len(r) + (not open) for r in raw], np.int64)
+        self.ends = np.cumsum(self.lengths)
+        up, self.down = _powers(len(self.data))
+        self.total = np.append(np.uint64(0), np.cumsum(_BYTE_KEYS[self.data] * up[: len(self.data)]))
+        gap = np.flatnonzero(_SPACE[self.data])
+        self.stop = gap + 1 if not open or _SPACE[self.data[-1]] else np.append(gap + 1, len(self.data))  # of each word and the byte after it
+        self.start = np.append(0, self.stop[:-1]) if len(self.stop) else gap
+
+    def hashes(self, start: np.ndarray, stop: np.ndarray, mark: np.ndarray | int = 0) -> np.ndarray:
+        """Hashes of stretches of bytes; a hash is a mixed polynomial of them."""
+        found = (self.total[stop] - self.total[start]) * self.down[start] + (stop - start).astype(np.uint64)
+        return _stirred(found + np.asarray(mark).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all texts' words, each text with an end, and their numbers."""
+        some = self.stop - self.start > 1
+        start, stop = self.start[some], self.stop[some] - 1
+        owner = np.searchsorted(self.ends, start, side="right")
+        sizes = np.bincount(owner, minlength=len(self.lengths)) + 1
+        out = np.full(int(sizes.sum()), _END_HASH, np.uint64)
+        out[np.arange(len(start)) + owner] = self.hashes(start, stop)
+        return out.view(np.int64), sizes
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, stops, marks and hashes of the units, in order."""
+        pieces = -(-(self.stop - self.start) // _UNIT)
+        place = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(self.start, pieces) + place * _UNIT
+        stop = np.minimum(start + _UNIT, np.repeat(self.stop, pieces))
+        mark = np.where(place > 0, _GO_ON, _END).astype(np.uint8)
+        mark[:1] = _GO_ON if self.going else _END
+        return start, stop, mark, self.hashes(start, stop, mark).view(np.int64)
+
+
+def _slices(column: pa.Array, limit: int = _SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of a column of texts, of about ``limit`` bytes each."""
     size, a = 0, 0
     for i, x in enumerate(column):
-        size += len(x.as_py() or "") + 1
+        size += len(x.as_buffer() or b"") + 1
         if size >= limit:
             yield a, i + 1
             a, size = i + 1, 0
@@ -183,83 +164,230 @@ def _slices(column: pa.Array, limit: int = 200_000) -> Iterator[tuple[int, int]]
         yield a, len(column)
 
 
-def _alike(sizes: np.ndarray, limit: int = 100_000, least: int = 8) -> Iterator[np.ndarray]:
-    """Rows in groups of about ``limit`` bytes and ``least`` rows, of like sizes, so that no text is long after the others' end."""
-    order = np.argsort(sizes, kind="stable")
-    total = first = 0
-    for i, row in enumerate(order.tolist()):
-        total += int(sizes[row]) + 1
-        if total >= limit and i + 1 - first >= least:
-            yield order[first : i + 1]
-            total, first = 0, i + 1
-    if first < len(order):
-        yield order[first:]
+_GAP = re.compile(rb"[ \t-\r]")
 
 
-@dataclass(frozen=True)
-class Model:
-    """Code trees and, for each predictor, quantised log-odds and confidence of each slot.
+def _stretches(raw: bytes, limit: int = _SLICE_BYTES) -> Iterator[_Split]:
+    """A long text in stretches, cut where a unit ends."""
+    at, going = 0, False
+    while len(raw) - at > limit:
+        cut = at + limit
+        space = max(raw.rfind(c, at, cut) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        cut = space + 1 if space >= at else cut - limit % _UNIT
+        yield _Split([raw[at:cut]], going, open=True)
+        at, going = cut, space < at
+    yield _Split([raw[at:]], going)
 
-    With ``contexts``, a materialised ``(p, keys, vals)`` of the longer predictors' contexts by ranges of their keys,
-    2^part_bits in all, ``tables`` holds the nodes' alone.
-    """
 
-    trees: Trees
-    tables: list[np.ndarray]
-    slot_bits: int = 0
-    contexts: DataFrame | None = None
-    part_bits: int = 0
+def _word_hash(word: bytes) -> np.ndarray:
+    """The hash of one long word."""
+    up, total = _powers(_SLICE_BYTES)[0], 0
+    for at in range(0, len(word), _SLICE_BYTES):
+        part = np.frombuffer(word[at : at + _SLICE_BYTES], np.uint8)
+        total += int((_BYTE_KEYS[part] * up[: len(part)]).sum()) * pow(_BASE, at, 1 << 64)
+    return _stirred(np.array([(total + len(word)) % (1 << 64)], np.uint64))
 
 
-def _pack(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Quantised log-odds and, in the last three bits, how often a slot was seen."""
-    odds = np.log((ones + 0.2) / (total - ones + 0.2))
-    sure = np.minimum(7, np.floor(np.log2(total + 1)))
-    return (np.rint(np.clip(odds, -8, 8) * _STRETCH) * 8 + sure).astype(np.int16)
+def _long_words(raw: bytes, limit: int = _SLICE_BYTES) -> np.ndarray:
+    """Hashes of a long text's words and its end; no more than about ``limit`` bytes are looked at side by side."""
+    out, at = [], 0
+    while at < len(raw):
+        found = _GAP.search(raw, at + limit)
+        cut = found.start() if found else len(raw)
+        space = max(raw.rfind(c, at, at + limit) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        begin = max(at, space + 1)
+        long = cut - begin > limit
+        out.append(_Split([raw[at : begin if long else cut]]).words()[0][:-1])
+        if long:
+            out.append(_word_hash(raw[begin:cut]).view(np.int64))
+        at = cut
+    return np.concatenate([*out, np.array([_END_HASH]).view(np.int64)])
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _decided(trees: Trees, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes (hashed predictor, decision), nodes, bits, and the decisions of each unit.
 
+    ``data`` holds the units' bytes one after the other, ``sizes`` of them each, ``first`` the mark of each.
+    """
+    starts = np.cumsum(sizes) - sizes
+    within = np.arange(len(data)) - np.repeat(starts, sizes)
+    mark = np.repeat(first, sizes)
+    before = [np.where(within >= k, np.roll(data, k), mark) for k in range(1, max(_ORDERS) + 1)]
+    pair = before[0].astype(np.int64) * 256 + data
+    length = trees.length[pair]
+    ends = np.cumsum(length)
+    path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(trees.start[pair] - (ends - length), length)
+    node, bit = trees.node[path], trees.bit[path]
+    spread = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    hashes = np.empty((len(_ORDERS) + 1, len(node)), np.uint64)
+    code, k = np.zeros(len(data), np.uint64), 0
+    for j, own in enumerate(before, 1):
+        code = code << np.uint64(8) | own
+        if j == _ORDERS[k]:
+            hashes[k] = np.repeat(_stirred((code + np.uint64(j)) * np.uint64(0xC2B2AE3D27D4EB4F)), length)
+            k += 1
+    up, down = _powers(len(data))
+    total = np.append(np.uint64(0), np.cumsum(_BYTE_KEYS[data] * up[: len(data)]))
+    origin = np.repeat(starts, sizes)
+    hashes[-1] = np.repeat(_stirred((total[:-1] - total[origin]) * down[origin] + mark), length)
+    hashes ^= spread
+    hashes *= np.uint64(0xD6E8FEB86659FD93)
+    return hashes, node, bit, np.add.reduceat(length, starts) if len(starts) else sizes
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of byte pairs (what 0) and of words (what 1); words go out whenever many are held."""
-    pairs = np.zeros(65536, np.int64)
-    held: list[np.ndarray] = []
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def rows(what: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), what, np.int8)), pa.array(key), pa.array(n)], names=["what", "key", "n"])
+def _slots(hashes: np.ndarray, slot_bits: int) -> np.ndarray:
+    """Slots and, in the last bits, their checks."""
+    return (hashes >> np.uint64(64 - slot_bits - _CHECK_BITS)).astype(np.int64)
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        new, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
-        held.clear()
-        both, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
-        return both, np.bincount(place, np.concatenate([counts, n]), len(both)).astype(np.int64)
 
-    for batch in batches:
-        for a, b in _slices(batch.column(0)):
-            texts = batch.column(0).slice(a, b - a).to_pylist()
-            data, lengths = _bytes(texts)
-            last = np.roll(data, 1)
-            last[np.cumsum(lengths) - lengths] = _END
-            pairs += np.bincount(last.astype(np.int64) * 256 + data, minlength=65536)
-            held.append(_words(texts)[0])
-            if sum(map(len, held)) > _HELD // 3:
-                keys, counts = merged()
-                if len(keys) > _HELD // 3:
-                    yield rows(1, keys, counts)
-                    keys, counts = keys[:0], counts[:0]
-    yield rows(1, *merged())
-    seen = np.flatnonzero(pairs)
-    yield rows(0, seen, pairs[seen])
+@dataclass(frozen=True)
+class Model:
+    """Code trees and, for each predictor, what each slot holds: check bits, confidence and quantised log-odds."""
 
+    trees: Trees
+    tables: list[np.ndarray]
+    slot_bits: int
 
-def count(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The materialised ``(what, key, n)``: byte pairs (0) and words by hash (1) of all rows of ``docs``."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    found = map_batches(texts, _first_pass, "what tinyint, key long, n long")
-    return materialise(found.groupBy("what", "key").agg(F.sum("n").alias("n")), "counts")
+
+def _pack(ones: np.ndarray, total: np.ndarray, check: np.ndarray | int = 0) -> np.ndarray:
+    """Log-odds in eighths (7 bits), how often a context was seen (3 bits) and its check bits."""
+    odds = np.log((ones + 0.2) / (total - ones + 0.2))
+    sure = np.minimum(7, np.floor(np.log2(total + 1))).astype(np.int64)
+    return (np.clip(np.rint(odds * 8), -63, 63).astype(np.int64) + 64 | sure << 7 | np.asarray(check) << 10).astype(np.uint16)
+
+
+class _Profiles:
+    """Decisions of units, eight bytes each: the predictors' log-odds, the gate and the sign of the bit."""
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.keys, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.rows = np.zeros(0, np.int64)
+
+    def _made(self, data: np.ndarray, mark: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        model = self.model
+        hashes, node, bit, decisions = _decided(model.trees, data, mark, sizes)
+        rows = np.zeros((len(node), 8), np.int8)
+        rows[:, 0] = (model.tables[0][node] & 127).astype(np.int8) - 64
+        for k in range(1, _PREDICTORS):
+            places = _slots(hashes[k - 1], model.slot_bits)
+            held = model.tables[k][places >> _CHECK_BITS]
+            own = (held >> 10) == (places & (1 << _CHECK_BITS) - 1)
+            rows[:, k] = np.where(own, (held & 127).astype(np.int8) - 64, 0)
+            if k >= _PREDICTORS - 2:
+                sure = np.where(own, held >> 8 & 3, 0).astype(np.int8)
+                rows[:, 6] += sure << 2 if k == _PREDICTORS - 1 else sure
+        rows[:, 7] = 2 * bit.astype(np.int8) - 1
+        return rows.view(np.int64).ravel(), decisions
+
+    def decisions(self, split: _Split) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The decisions of all texts, how many each unit has, and the units' starts."""
+        start, stop, mark, keys = split.units()
+        one, first, place = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.rows) > _KEPT_ROWS:
+            self.__init__(self.model)
+        at = np.searchsorted(self.keys, one)
+        there = self.keys[np.minimum(at, len(self.keys) - 1)] == one if len(self.keys) else np.zeros(len(one), bool)
+        if not there.all():
+            new = first[~there]
+            sizes = stop[new] - start[new]
+            offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rows, counts = self._made(split.data[np.repeat(start[new], sizes) + offset], mark[new], sizes)
+            begin = len(self.rows) + np.cumsum(counts) - counts
+            both = np.concatenate([self.keys, one[~there]])
+            order = np.argsort(both, kind="stable")
+            self.keys = both[order]
+            self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, counts])[order]
+            self.rows = np.concatenate([self.rows, rows])
+            at = np.searchsorted(self.keys, one)
+        size = self.size[at][place]
+        ends = np.cumsum(size)
+        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at][place] - (ends - size), size)
+        return self.rows[index], size, start
+
+
+class _Mixer:
+    """Weights and refining tables of texts that are scored side by side, and the bits that they have taken."""
+
+    def __init__(self, texts: int) -> None:
+        self.weights = np.zeros((texts, _GATES, 8), np.float32)
+        self.weights[..., :_PREDICTORS] = START_WEIGHT
+        self.refine = np.tile(np.linspace(-8, 8, _BINS, dtype=np.float32), (texts, 1))
+        self.bits = np.zeros(texts)
+
+    def turn(self, rows: np.ndarray) -> None:
+        """Score one chunk of each of the first texts, (text, decision), filled up with zeros, and move their weights."""
+        n = len(rows)
+        lane = np.arange(n)[:, None]
+        inputs = rows.view(np.int8).reshape(-1, 8).astype(np.float32)
+        sign = inputs[:, 7]
+        used = ((rows >> 48 & 15) + lane * _GATES).ravel()
+        own, table = self.weights[:n].reshape(-1, 8), self.refine[:n].reshape(-1)
+        dot = np.einsum("ij,ij->i", own[used], inputs)
+        dot *= np.float32(0.125)
+        np.clip(dot, -8, 8, out=dot)
+        bins = (dot * np.float32((_BINS - 1) / 16) + np.float32(_BINS / 2)).astype(np.int64).reshape(n, -1)
+        bins += lane * _BINS
+        bins = bins.ravel()
+        dot += dot
+        dot += table[bins]
+        dot *= sign
+        dot *= np.float32(-1 / 3)
+        np.exp(dot, out=dot)
+        wrong = dot / (dot + 1)
+        wrong *= sign
+        self.bits[:n] += np.log1p(dot).reshape(n, -1).sum(1, dtype=np.float64)
+        self.bits[:n] -= np.log(2.0) * (rows == 0).sum(1)
+        for k in range(_PREDICTORS):
+            own[:, k] += np.bincount(used, wrong * inputs[:, k], len(own)).astype(np.float32) * np.float32(RATE / 8)
+        table += np.bincount(bins, wrong, len(table)).astype(np.float32) * np.float32(REFINE_RATE)
+
+
+def _side_by_side(profiles: _Profiles, split: _Split) -> np.ndarray:
+    """Bits that each of some texts takes."""
+    rows, size, start = profiles.decisions(split)
+    owner = np.searchsorted(split.ends, start, side="right")
+    sizes = np.bincount(owner, size, len(split.lengths)).astype(np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    chunks = -(-sizes[order] // CHUNK)
+    active = np.searchsorted(-chunks, -np.arange(int(chunks[0]) if len(chunks) else 0), side="left")
+    offset = np.cumsum(active) - active
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    grid = np.zeros((int(active.sum()), CHUNK), np.int64)
+    grid.reshape(-1)[(offset[within // CHUNK] + np.repeat(rank, sizes)) * CHUNK + within % CHUNK] = rows
+    mixer = _Mixer(len(sizes))
+    for first, n in zip(offset.tolist(), active.tolist()):
+        mixer.turn(grid[first : first + n])
+    return mixer.bits[rank] / np.log(2)
+
+
+def _alone(profiles: _Profiles, raw: bytes) -> float:
+    """Bits that a long text takes; it is walked in stretches that carry the weights on."""
+    mixer, left = _Mixer(1), np.zeros(0, np.int64)
+    for part in _stretches(raw):
+        left = np.concatenate([left, profiles.decisions(part)[0]])
+        whole = len(left) // CHUNK * CHUNK
+        for row in left[:whole].reshape(-1, 1, CHUNK):
+            mixer.turn(row)
+        left = left[whole:]
+    if len(left):
+        mixer.turn(np.append(left, np.zeros(CHUNK - len(left), np.int64))[None])
+    return float(mixer.bits[0] / np.log(2))
+
+
+def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Bits that the model takes for each text and its end mark."""
+    raw, profiles = _raw(texts), _Profiles(model)
+    out = np.zeros(len(raw))
+    some = [i for i, r in enumerate(raw) if len(r) <= _SLICE_BYTES]
+    if some:
+        out[some] = _side_by_side(profiles, _Split([raw[i] for i in some]))
+    for i, r in enumerate(raw):
+        if len(r) > _SLICE_BYTES:
+            out[i] = _alone(profiles, r)
+    return out
 
 
 def _summed(keys: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,40 +398,123 @@ def _summed(keys: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[np.n
     return (keys[start], np.add.reduceat(ones[order], start), np.add.reduceat(total[order], start)) if len(keys) else (keys, ones, total)
 
 
-class _Counts:
-    """Distinct contexts of what was added, with how often their bit was set and how often they came."""
+class _Vocabulary:
+    """Units with their bytes, words and counts; what has no unit is a word or an end."""
 
     def __init__(self) -> None:
-        self.codes: list[np.ndarray] = []
-        self.sums = (np.zeros(0, np.int64),) * 3
-
-    def add(self, keys: np.ndarray, bit: np.ndarray) -> None:
-        self.codes.append((keys << 1 | bit).ravel())
-        if sum(map(len, self.codes)) > 4 * _HELD:
-            self.merge()
-
-    def merge(self) -> None:
-        if self.codes:
-            codes = np.concatenate(self.codes)
-            self.codes.clear()
-            codes.sort()
-            keys = codes >> 1
-            start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            new = keys[start], np.add.reduceat(codes & 1, start), np.diff(start, append=len(keys))
-            self.sums = _summed(*map(np.concatenate, zip(self.sums, new)))
-
-    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.merge()
-        out, self.sums = self.sums, (np.zeros(0, np.int64),) * 3
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.n, self.word, self.unit = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def _add(self, keys: np.ndarray, n: np.ndarray, word: np.ndarray, unit_of) -> None:
+        at = np.searchsorted(self.keys, keys)
+        there = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        self.n[at[there]] += n[there]
+        new = np.flatnonzero(~there)
+        if len(new):
+            units = np.empty(len(new), object)
+            units[:] = [unit_of(i) for i in new.tolist()]
+            both = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(both, kind="stable")
+            self.keys = both[order]
+            self.n, self.word, self.unit = (np.concatenate(x)[order] for x in ((self.n, n[new]), (self.word, word[new]), (self.unit, units)))
+
+    def units(self, split: _Split) -> None:
+        """Count the units of some texts; words that are cut are not counted here."""
+        start, stop, mark, keys = split.units()
+        one, first, n = np.unique(keys, return_index=True, return_counts=True)
+        start, stop, mark = start[first], stop[first], mark[first]
+        whole = (mark == _END) & _SPACE[split.data[stop - 1]] & (stop - start > 1) if len(first) else np.zeros(0, bool)
+        word = np.zeros(len(first), np.int64)
+        word[whole] = split.hashes(start[whole], stop[whole] - 1).view(np.int64)
+        self._add(one, n, word, lambda i: bytes([mark[i]]) + split.raw[start[i] : stop[i]])
+
+    def words(self, hashes: np.ndarray) -> None:
+        """Count words, and ends, that no unit stands for."""
+        one, n = np.unique(hashes, return_counts=True)
+        self._add(one, n, one, lambda i: None)
+
+    def rows(self) -> pa.RecordBatch:
+        word = pa.array(self.word, mask=self.word == 0)
+        out = pa.RecordBatch.from_arrays([pa.array(self.keys), word, pa.array(self.unit.tolist(), pa.binary()), pa.array(self.n)], names=["h", "w", "unit", "n"])
+        self.clear()
         return out
 
 
-def _ranges(keys: np.ndarray, part_bits: int) -> Iterator[tuple[int, slice]]:
-    """Ranges of sorted keys that are not empty."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << part_bits, dtype=np.int64) << (_KEY_BITS - part_bits)).tolist()
-    for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keys)])):
-        if a < b:
-            yield p, slice(a, b)
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units of texts; they go out whenever many are held."""
+    held = _Vocabulary()
+    ends = 0
+    for batch in batches:
+        for a, b in _slices(batch.column(0)):
+            raw = _raw(batch.column(0).slice(a, b - a).to_pylist())
+            ends += len(raw)
+            short = [r for r in raw if len(r) <= _SLICE_BYTES]
+            if short:
+                split = _Split(short)
+                held.units(split)
+                cut = (split.stop - split.start) > _UNIT
+                held.words(split.hashes(split.start[cut], split.stop[cut] - 1).view(np.int64))
+            for r in raw:
+                if len(r) > _SLICE_BYTES:
+                    for part in _stretches(r):
+                        held.units(part)
+                        if len(held.keys) > _KEPT_UNITS:
+                            yield held.rows()
+                    held.words(_cut_words(r))
+            if len(held.keys) > _KEPT_UNITS:
+                yield held.rows()
+    held.words(np.full(ends, _END_HASH, np.uint64).view(np.int64))
+    yield held.rows()
+
+
+def _cut_words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a long text that are cut into several units."""
+    words = (m[0] for m in re.finditer(rb"[^ \t-\r]{%d,}" % _UNIT, raw))
+    return np.concatenate([np.zeros(0, np.int64), *(_word_hash(w).view(np.int64) for w in words)])
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The materialised ``(h, w, unit, n)`` of all rows of ``docs``: each unit, its whole word's hash and its count.
+
+    Words that are cut into units, and ends, have rows of their own without a unit.
+    """
+    found = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), _seen, "h long, w long, unit binary, n long")
+    return materialise(found.groupBy("h", "w", "unit").agg(F.sum("n").alias("n")), "units")
+
+
+def _unit_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes, marks and sizes of units, whose first byte is the mark."""
+    units = column.to_pylist()
+    sizes = np.array([len(u) for u in units], np.int64)
+    every = np.frombuffer(b"".join(units), np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(every), bool)
+    inner[starts] = False
+    return every[inner], every[starts], sizes - 1
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (byte or mark before, byte) in units."""
+    pairs = np.zeros(65536, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 50_000):
+            part = batch.slice(at, 50_000)
+            data, mark, sizes = _unit_bytes(part.column(0))
+            starts = np.cumsum(sizes) - sizes
+            last = np.roll(data, 1)
+            last[starts] = mark
+            n = np.repeat(part.column(1).to_numpy(), sizes)
+            pairs += np.bincount(last.astype(np.int64) * 256 + data, n, 65536).astype(np.int64)
+    seen = np.flatnonzero(pairs)
+    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(pairs[seen])], names=["key", "n"])
+
+
+def _halved(ones: np.ndarray, total: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts in 16 bits, great ones in proportion."""
+    by = np.maximum(1.0, total / 65535)
+    return np.rint(ones / by).astype(np.uint16).tobytes(), np.rint(total / by).astype(np.uint16).tobytes()
 
 
 def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
@@ -311,120 +522,71 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
 
 
-def train(docs: DataFrame, text_col: str = "text", slot_bits: int | None = None, counts: DataFrame | None = None) -> Model:
-    """Learn from all rows of ``docs``: byte pairs for the trees, then bits in every context that occurs.
+def train(docs: DataFrame, text_col: str = "text", slot_bits: int | None = None, units: DataFrame | None = None) -> Model:
+    """Learn from all rows of ``docs``: their units, of these the byte pairs for the trees, then bits in every context.
 
-    Nothing but the 65,536 pairs comes to the driver. Contexts stay a table, which grows with the texts: each task
-    sums its own, and a range of keys, of which there are as many as the texts need, is summed up by one task.
-    Contexts are told apart exactly; ``slot_bits`` is not used any more.
+    The driver is given 65,536 pairs, and tables whose slots follow the number of units up to 2^MAX_SLOT_BITS. Contexts
+    are counted by ranges of slots; of those that share a slot the most frequent keeps it.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    found = (count(docs, text_col) if counts is None else counts).filter("what = 0").toArrow()
+    units = vocabulary(docs, text_col) if units is None else units
+    some = units.filter("unit is not null").select("unit", "n")
+    found = map_batches(some, _pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(65536, np.int64)
     pairs[found["key"].to_numpy()] = found["n"].to_numpy()
     trees = build_trees(pairs.reshape(256, 256))
-    known = spark.sparkContext.broadcast(trees)
     each = np.repeat(pairs, trees.length)
     nodes = _pack(np.bincount(trees.node, each * trees.bit, 1 << 16), np.bincount(trees.node, each, 1 << 16))
-    part_bits = max(3, int(pairs.sum() // BLOCK_BYTES).bit_length())
+    bits = slot_bits or min(MAX_SLOT_BITS, max(12, (4 * units.count()).bit_length()))
+    hashed, known = len(_ORDERS) + 1, spark.sparkContext.broadcast(trees)
+    step = 1 << min(bits, 18)  # slots of a range
+    parts = (hashed << bits) // step
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counts()
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def rows() -> pa.RecordBatch:
-            keys, ones, total = held.take()
-            parts = list(_ranges(keys, part_bits))
-            data = [pa.array([x[r].tobytes() for _, r in parts], pa.binary()) for x in (keys, ones.astype(np.int32), total.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), *data], names=["p", "keys", "ones", "total"])
+            keys, ones, total = _summed(*map(np.concatenate, zip(*held)))
+            held.clear()
+            cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.int64) * (step << _CHECK_BITS)).tolist()
+            own = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+            counts = [_halved(ones[r], total[r]) for _, r in own]
+            data = [[keys[r].astype(np.uint32).tobytes() for _, r in own], [o for o, _ in counts], [t for _, t in counts]]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int64()), *(pa.array(x, pa.binary()) for x in data)], names=["p", "keys", "ones", "total"])
 
         for batch in batches:
-            for a, b in _slices(batch.column(0)):
-                keys, _, bit, _ = _keys(known.value, *_bytes(batch.column(0).slice(a, b - a).to_pylist()))
-                held.add(keys, bit)
-                if len(held.sums[0]) > _KEPT:
+            for at in range(0, batch.num_rows, 10_000):
+                part = batch.slice(at, 10_000)
+                hashes, _, bit, decisions = _decided(known.value, *_unit_bytes(part.column(0)))
+                n = np.repeat(part.column(1).to_numpy(), decisions)
+                keys = _slots(hashes, bits) + (np.arange(hashed, dtype=np.int64)[:, None] << bits + _CHECK_BITS)
+                held.append(_summed(keys.ravel(), np.tile(n * bit, hashed), np.tile(n, hashed)))
+                if sum(len(x[0]) for x in held) > _KEPT_KEYS:
                     yield rows()
-        yield rows()
-
-    def summed(rows: pa.Table) -> pa.Table:
-        ones, total = (_joined(rows[c], np.int32).astype(np.int64) for c in ("ones", "total"))
-        keys, ones, total = _summed(_joined(rows["keys"], np.int64), ones, total)
-        return pa.table({"p": rows["p"][:1], "keys": pa.array([keys.tobytes()], pa.binary()), "vals": pa.array([_pack(ones, total).tobytes()], pa.binary())})
-
-    counted = map_batches(texts, bits, "p long, keys binary, ones binary, total binary").repartition(1 << part_bits, "p")
-    contexts = materialise(counted.groupBy("p").applyInArrow(summed, "p long, keys binary, vals binary"), "contexts")
-    return Model(trees, [nodes], contexts=contexts, part_bits=part_bits)
-
-
-def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Bits that a model with tables of hashed slots takes for each text and its end mark."""
-    slots, bit, sizes = _decisions(model.trees, *_bytes(texts), model.slot_bits)
-    return _mixed(model.tables, slots, bit, sizes)
-
-
-def _mixed(tables: list[np.ndarray], slots: np.ndarray, bit: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bits that each text takes, from each predictor's table and the slots of its decisions.
-
-    Decisions are laid out in chunks, one row each, filled up with decisions without a sign, which move nothing.
-    A turn takes one chunk of every text that has as many, and then moves the weights.
-    """
-    chunks = -(-sizes // CHUNK)
-    text = np.repeat(np.arange(len(sizes)), chunks)
-    turn = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
-    by_turn = np.lexsort((text, turn))
-    rank = np.empty(len(by_turn), np.int64)
-    rank[by_turn] = np.arange(len(by_turn))
-    count = np.minimum(CHUNK, sizes[text] - turn * CHUNK)
-    place = np.arange(len(bit)) + np.repeat(rank * CHUNK - (np.cumsum(count) - count), count)
-    text, turn = text[by_turn], turn[by_turn]
-    odds = np.zeros((len(_BACK), len(text) * CHUNK), np.float32)
-    gate, longest = np.zeros(len(text) * CHUNK, np.uint8), len(_BACK) - 1
-    for k, table in enumerate(tables):
-        packed = np.take(table, slots[k], mode="clip")
-        odds[k][place] = (packed >> 3) * np.float32(1 / _STRETCH)
-        if k >= longest - 1:
-            gate[place] += ((packed & 6) >> 1 if k == longest - 1 else (packed & 6) << 1).astype(np.uint8)
-    sign = np.zeros(gate.shape, np.float32)
-    sign[place] = bit * np.float32(2) - 1
-    weights = np.full((len(_BACK), len(sizes) * _GATES), START_WEIGHT, np.float32)
-    refine = np.tile(np.linspace(-8, 8, _BINS, dtype=np.float32), len(sizes))
-    out = np.zeros(len(sizes))
-    turns = np.flatnonzero(np.diff(turn, prepend=-1)).tolist()
-    for first, last in zip(turns, [*turns[1:], len(turn)]):
-        part, who = slice(first * CHUNK, last * CHUNK), text[first:last]
-        low = int(who[0])
-        n = int(who[-1]) + 1 - low
-        own = weights[:, low * _GATES : (low + n) * _GATES]
-        used = (gate[part].reshape(-1, CHUNK) + ((who - low) * _GATES)[:, None]).ravel()
-        dot = own[0][used]
-        dot *= odds[0, part]
-        for k in range(1, len(_BACK)):
-            term = own[k][used]
-            term *= odds[k, part]
-            dot += term
-        np.clip(dot, -8, 8, out=dot)
-        bins = (dot * np.float32((_BINS - 1) / 16) + np.float32((_BINS - 1) / 2 + 0.5)).astype(np.int64)
-        bins.reshape(-1, CHUNK)[...] += ((who - low) * _BINS)[:, None]
-        table = refine[low * _BINS : (low + n) * _BINS]
-        dot += dot
-        dot += table[bins]
-        dot *= sign[part]
-        dot *= np.float32(-1 / 3)
-        np.exp(dot, out=dot)
-        wrong = dot.copy()
-        dot += 1
-        wrong /= dot
-        wrong *= sign[part]
-        out[who] += np.log(np.multiply.reduce(dot.reshape(-1, CHUNK // 8, 8), axis=2)).sum(1)
-        for k in range(len(_BACK)):
-            own[k] += (RATE * np.bincount(used, wrong * odds[k, part], n * _GATES)).astype(np.float32)
-        table += (REFINE_RATE * np.bincount(bins, wrong, n * _BINS)).astype(np.float32)
-    return out / np.log(2) - (chunks * CHUNK - sizes)
-
-
-def _known_words(head: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -> list[pa.Array]:
+        if held:
+            yield rows()
+
+    def kept(rows: pa.Table) -> pa.Table:
+        keys = _joined(rows["keys"], np.uint32).astype(np.int64)
+        ones, total = (_joined(rows[c], np.uint16).astype(np.int64) for c in ("ones", "total"))
+        keys, ones, total = _summed(keys, ones, total)
+        order = np.lexsort((-keys, total, keys >> _CHECK_BITS))
+        slot = keys[order] >> _CHECK_BITS
+        last = order[np.flatnonzero(np.append(slot[1:] != slot[:-1], True))]
+        vals = np.full(step, 64, np.uint16)
+        vals[(keys[last] >> _CHECK_BITS) - rows["p"][0].as_py() * step] = _pack(ones[last], total[last], keys[last] & (1 << _CHECK_BITS) - 1)
+        return pa.table({"p": rows["p"][:1], "vals": pa.array([vals.tobytes()], pa.binary())})
+
+    ranges = map_batches(some, counted, "p long, keys binary, ones binary, total binary").repartition(parts, "p")
+    found = ranges.groupBy("p").applyInArrow(kept, "p long, vals binary").toArrow()
+    tables = np.full((parts, step), 64, np.uint16)
+    for p, vals in zip(found["p"].to_pylist(), found["vals"].to_pylist()):
+        tables[p] = np.frombuffer(vals, np.uint16)
+    return Model(trees, [nodes, *tables.reshape(hashed, 1 << bits)], bits)
+
+
+def _known_words(head: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, sizes: np.ndarray) -> list[pa.Array]:
     """Of each text: words and end, those in ``head``, the sum of their logs, and the hashes of the others."""
-    hashes, sizes = _words(texts)
     starts = np.cumsum(sizes) - sizes
     one, place = np.unique(hashes, return_inverse=True)
     at = np.minimum(np.searchsorted(head[0], one), max(0, len(head[0]) - 1))
@@ -435,110 +597,62 @@ def _known_words(head: tuple[np.ndarray, np.ndarray], texts: list[str | None]) -
     return [pa.array(sizes), pa.array(np.add.reduceat(known, starts, dtype=np.int64)), pa.array(np.add.reduceat(logs, starts)), tail]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, their text first, in blocks of about BLOCK_BYTES of text: a number and the rows as an Arrow stream."""
-    task, made, size, held = TaskContext.get().partitionId(), 0, 0, []
-
-    def block() -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema) as out:
-            out.write_table(pa.Table.from_batches(held).combine_chunks())
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([task << 32 | made], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
-
-    for batch in batches:
-        for a, b in _slices(batch.column(0)):
-            part = batch.slice(a, b - a)
-            held.append(part)
-            size += sum(len(x.as_buffer() or b"") for x in part.column(0))
-            if size >= BLOCK_BYTES:
-                yield block()
-                made, size = made + 1, 0
-    if held:
-        yield block()
-
-
-class _Lookup:
-    """Places in sorted distinct keys of keys that are all there."""
-
-    def __init__(self, keys: np.ndarray) -> None:
-        bits = len(keys).bit_length() + 1
-        self.keys, self.shift = keys, _KEY_BITS - bits
-        self.first = np.append(0, np.cumsum(np.bincount(keys >> self.shift, minlength=1 << bits))).astype(np.int32)
-
-    def __call__(self, asked: np.ndarray) -> np.ndarray:
-        at = self.first[asked >> self.shift]
-        left = np.flatnonzero(self.keys[at] != asked)
-        while len(left):
-            at[left] += 1
-            left = left[self.keys[at[left]] != asked[left]]
-        return at
-
-
 def score(docs: DataFrame, model: Model, text_col: str = "text", head: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """All columns of ``docs`` but the text, with ``bits`` and ``n_bytes``, row for row.
+    """All columns of ``docs`` but the text, with ``bits`` and ``n_bytes``, one row for each.
 
-    ``model`` is one of :func:`train`. With ``head``, sorted hashes of words and logs of their counts, also
-    ``n_tokens``, ``n_known``, ``logs`` and ``tail``. Blocks of rows and ranges of contexts meet by shuffle.
+    With ``head``, sorted hashes of words and logs of their counts, also ``n_tokens``, ``n_known``, ``logs`` and
+    ``tail``, the hashes of words that are not in it. A column of ``docs`` that has the name of an output is left out
+    in its favour. Null texts are empty; null ids and repeated rows come out as they go in.
     """
-    part_bits = model.part_bits
-    known = docs.sparkSession.sparkContext.broadcast((model.trees, model.tables[0], head))
-    rest = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(text_col).cast("string").alias("__text"), *rest)
+    known = docs.sparkSession.sparkContext.broadcast((model, head))
     more = ["bits double", "n_bytes long", *(["n_tokens long", "n_known long", "logs double", "tail array<long>"] if head else [])]
-    target = rows.drop("__text").limit(0).selectExpr("*", *(f"cast(null as {t}) as {n}" for n, t in map(str.split, more))).schema
+    rows = docs.select(F.col(text_col).cast("string").alias(fresh(docs.columns, "text_")), *others(docs.columns, [text_col, *(m.split()[0] for m in more)]))
+    target = rows.drop(rows.columns[0]).limit(0).selectExpr("*", *(f"cast(null as {t}) as {n}" for n, t in map(str.split, more))).schema
     names = [f.name for f in target.fields]
-    blocks = materialise(map_batches(rows, _blocks, "block long, rows binary"), "blocks")
-    n_blocks = max(1, blocks.count())
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = known.value[0]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, head = known.value
+        profiles = _Profiles(model)
+
+        def scored(part: pa.RecordBatch, raw: list[bytes]) -> pa.RecordBatch:
+            if len(raw) == 1 and len(raw[0]) > _SLICE_BYTES:
+                bits = np.array([_alone(profiles, raw[0])])
+                words = [_long_words(raw[0])]
+                words.append(np.array([len(words[0])]))
+            else:
+                split = _Split(raw)
+                bits, words = _side_by_side(profiles, split), split.words()
+            found = _known_words(head, *words) if head else []
+            return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(bits), pa.array([len(r) for r in raw], pa.int64()), *found], names=names)
+
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text, held = pa.ipc.open_stream(data.as_buffer()).read_all().column(0).combine_chunks(), _Counts()
-                for a, b in _slices(text):
-                    keys, _, bit, _ = _keys(trees, *_bytes(text.slice(a, b - a).to_pylist()))
-                    held.add(keys, bit)
-                keys = held.take()[0]
-                parts = list(_ranges(keys, part_bits))
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([keys[r].tobytes() for _, r in parts], pa.binary())], names=["p", "block", "keys"])
-
-    def answer(rows: pa.Table) -> pa.Table:
-        p, block, asked, vals = (rows[c].to_pylist() for c in ("p", "block", "keys", "vals"))
-        own = [i for i, b in enumerate(block) if b is None]
-        keys, packed = (np.frombuffer(x[own[0]] if own else b"", t) for x, t in ((asked, np.int64), (vals, np.int16)))
-        keys, packed = np.append(keys, np.int64(-1)), np.append(packed, np.int16(0))  # the last for those that are not there
-        out = []
-        for b, x in zip(block, asked):
-            if b is not None:
-                want = np.frombuffer(x, np.int64)
-                at = np.searchsorted(keys[:-1], want)
-                out.append((b, np.where(keys[at] == want, packed[at], np.int16(0)).tobytes(), x))
-        data = [pa.array([x[i] for x in out], t) for i, t in ((0, pa.int64()), (2, pa.binary()), (1, pa.binary()))]
-        return pa.table({"block": data[0], "p": pa.array(p[:1] * len(out), pa.int64()), "keys": data[1], "vals": data[2]})
-
-    def run(table: pa.Table) -> pa.Table:
-        trees, nodes, head = known.value
-        table = table.sort_by("p")
-        texts = pa.ipc.open_stream(next(x for x in table["rows"] if x.is_valid).as_buffer()).read_all()
-        place, vals = _Lookup(_joined(table["keys"], np.int64)), _joined(table["vals"], np.int16)
-        tables = [nodes, *[vals] * (len(_BACK) - 1)]
-        sizes = np.array([len(x.as_buffer() or b"") for x in texts.column(0)], np.int64)
-        out = []
-        for part in _alike(sizes):
-            rows = texts.take(pa.array(part)).combine_chunks()
-            some = rows.column(0).to_pylist()
-            keys, node, bit, counts = _keys(trees, *_bytes(some))
-            words = _known_words(head, some) if head else []
-            bits = _mixed(tables, [node, *map(place, keys)], bit, counts)
-            out.append(pa.Table.from_arrays([*rows.columns[1:], pa.array(bits), pa.array(sizes[part]), *words], names=names))
-        return pa.concat_tables(out)
-
-    asked = map_batches(blocks, ask, "p long, block long, keys binary").withColumn("vals", F.lit(None).cast("binary"))
-    stored = model.contexts.select("p", F.lit(None).cast("long").alias("block"), "keys", "vals")
-    met = asked.unionByName(stored).repartition(1 << part_bits, "p").groupBy("p").applyInArrow(answer, "block long, p long, keys binary, vals binary")
-    both = met.unionByName(blocks.withColumn("p", F.lit(-1).cast("long")), allowMissingColumns=True)
-    return both.repartition(n_blocks, "block").groupBy("block").applyInArrow(run, target)
+            for a, b in _slices(batch.column(0)):
+                part = batch.slice(a, b - a)
+                raw = _raw(part.column(0).to_pylist())
+                short = [i for i, r in enumerate(raw) if len(r) < _LONG_BYTES]
+                if short:
+                    yield scored(part.take(pa.array(short)), [raw[i] for i in short])
+                for i, r in enumerate(raw):
+                    if len(r) > _SLICE_BYTES:
+                        yield scored(part.slice(i, 1), [r])
+                    elif len(r) >= _LONG_BYTES:
+                        waiting.append(part.take(pa.array([i])))
+                        size += len(r)
+                if size > 2 * _SLICE_BYTES:
+                    part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                    yield scored(part, _raw(part.column(0).to_pylist()))
+                    waiting, size = [], 0
+        if waiting:
+            part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            yield scored(part, _raw(part.column(0).to_pylist()))
+
+    return map_batches(rows, run, target)
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def held_out(id_col: str) -> Column:
@@ -553,15 +667,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the whole text in lower case (A-Z) and its end, bits_per_byte its bits over the text's bytes. Both learn
     from the rows whose crc32 of the id as text, modulo seven, is not two. A null text is empty and has the end
     alone; a row with a null id is scored, teaches nothing and is not held out; repeated rows count as often as
-    they come; an empty table gives an empty result. Words are told by 64-bit hashes,
-    contexts by themselves; ``slot_bits`` is not used any more.
+    they come; an empty table gives an empty result; other columns are not looked at. Words are told by 64-bit hashes.
     """
     key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
     rows = _texts(docs, id_col, text_col)
     teach = F.coalesce(~held_out("doc_id"), F.lit(False))
-    counts = count(rows.filter(teach))
-    model = train(rows.filter(teach), counts=counts)
-    words = counts.filter("what = 1").select(F.col("key").alias("h"), F.col("n").alias("c"))
+    units = vocabulary(rows.filter(teach))
+    model = train(rows.filter(teach), slot_bits=slot_bits, units=units)
+    words = materialise(units.filter("w is not null").groupBy(F.col("w").alias("h")).agg(F.sum("n").alias("c")), "words")
     levels = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") >= 1 << j).cast("long")).alias(f"l{j}") for j in range(48)]).first()
     n, v = levels["n"] or 0, levels["v"]
     least = next(1 << j for j in range(48) if (levels[f"l{j}"] or 0) <= head_words)
