@@ -1,14 +1,17 @@
 """HTML extraction by two passes of block rules.
 
-A page is cut into blocks at block tags. The first pass classes each block by its containers, link density,
-length and stop-word density: boilerplate, text, or undecided where a block is short. In the second pass an
-undecided block takes the label of the nearest decided neighbours.
+A page is cut into blocks at block tags. Containers whose names or states tell that they surround an article are
+judged by what they hold: one that holds nearly all of a page's plain text, or most of it and an article, surrounds
+nothing. The first pass classes each block by its containers, link density, length and stop-word density: boilerplate,
+text, or undecided, as where a block is short. In the second pass an undecided block takes the label of the nearest
+decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,56 +37,95 @@ BLOCK_TAGS = frozenset(
 SILENT_TAGS = frozenset("script style noscript template svg math iframe object textarea title head select option button canvas audio video".split())
 OUTER_TAGS = frozenset("nav footer header aside form menu dialog".split())
 OUTER_WORDS = frozenset(
-    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe taboola toolbar widget".split()
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted related share sharing sidebar social sponsor sponsored subscribe taboola toolbar widget".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEAD_TAGS = frozenset("head meta link base title style script noscript template".split())
+#: The open blocks that the start of a block ends; of all others it ends an open paragraph.
+ENDED = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "tr": ("p", "td", "th", "tr"), "td": ("p", "td", "th"), "th": ("p", "td", "th"), "option": ("option",)}
 
 #: Blocks of fewer characters are short; link density of boilerplate; stop-word densities of text, for long and other blocks.
 SHORT, LONG, LINKS, STOP_HIGH, STOP_LOW = 70, 200, 0.33, 0.30, 0.15
+#: A page of lower stop-word density is in a language whose stop words are not known; there length and links decide.
+STOP_KNOWN = 0.03
+#: Shares of a page's plain text from which a container with an article, and one without, surrounds nothing.
+MOST, NEARLY_ALL = 0.5, 0.9
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<[!?][^>]*(?:>|\Z)|<[/a-zA-Z][^<>]*\Z", re.S
+)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+@dataclass
+class Region:
+    """A container that may surround an article, in one around it or none (-1)."""
+
+    around: int
+    kind: str  # hidden, comments, tag or words
+    plain: int = 0
+    article: bool = False
+    closed: bool = False
+    outer: bool = False
+
+
 @dataclass
 class Block:
     """A stretch of text between block tags."""
 
-    tag: str
-    outer: bool
+    region: int
     inside: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    outer: bool = False
+    heading: bool = False
 
 
-def _is_outer(tag: str, attributes: str) -> bool:
-    if tag in OUTER_TAGS:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    words = (w for m in _ATTRIBUTE.finditer(attributes) for w in _SPLIT.split(m[1].lower()))
-    return any(w in OUTER_WORDS for w in words) or bool(_HIDDEN.search(attributes))
+def _kind(tag: str, raw: str, inside: bool) -> str:
+    """What kind of region a tag opens, or none."""
+    attributes = {}
+    for name, value in _ATTRIBUTE.findall(raw) if raw else ():
+        attributes.setdefault(name.lower(), html.unescape(value).strip("\"'"))
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _NOT_SHOWN.search(attributes.get("style", "")):
+        return "hidden" if tag not in ("html", "body") else ""
+    words = {w for a in ("class", "id", "role", "aria-label") if a in attributes for w in _SPLIT.split(attributes[a].lower())}
+    if tag in ("html", "body", "main"):
+        return ""
+    if words & COMMENT_WORDS:
+        return "comments"
+    if tag == "article":
+        return ""
+    if tag in OUTER_TAGS and not (tag == "header" and inside):
+        return "words" if tag == "form" else "tag"
+    return "words" if words & OUTER_WORDS else ""
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks that hold text, in order."""
+def _cut(page: str) -> tuple[list[Block], list[Region]]:
+    """The page's blocks that hold text, in order, and its regions, those around others first."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, silent, outer
-    silent = outer = link = inside = 0
-    current = Block("", False, False)
+    regions: list[Region] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, silent, region, link
+    places: dict[str, list[int]] = defaultdict(list)  # of each open tag in the stack
+    opened: list[int] = []  # places of open blocks
+    silent = link = inside = 0
+    region = -1
+    current = Block(-1, False)
 
-    def close(tag: str) -> None:
+    def close() -> None:
         nonlocal current
         text = " ".join("".join(current.parts).split())
         if text:
             current.text = text
             found.append(current)
-        current = Block(tag, outer > 0, inside > 0)
+        current = Block(region, inside > 0)
 
     def say(raw: str) -> None:
         if raw and not silent:
@@ -92,14 +134,21 @@ def blocks(page: str) -> list[Block]:
             if link:
                 current.linked += len(text)
 
-    def leave(k: int) -> None:
-        nonlocal silent, outer, link, inside
-        for name, was_silent, was_outer in stack[k:]:
+    def leave(k: int, by: str = "") -> None:
+        """Close all that was opened at place ``k`` of the stack and since."""
+        nonlocal silent, link, inside, region
+        while len(stack) > k:
+            tag, was_silent, own, was_link = stack.pop()
+            places[tag].pop()
+            if opened and opened[-1] == len(stack):
+                opened.pop()
             silent -= was_silent
-            outer -= was_outer
-            link -= name == "a"
-            inside -= name in ("article", "main")
-        del stack[k:]
+            link -= was_link
+            inside -= tag in ("article", "main")
+            if own >= 0:
+                regions[own].closed = len(stack) == k and tag == by
+                region = regions[own].around
+        current.region, current.inside = region, inside > 0
 
     at = 0
     while at < len(page):
@@ -109,63 +158,110 @@ def blocks(page: str) -> list[Block]:
             break
         say(page[at : token.start()])
         at = token.end()
-        if token[2] is None:
+        name = token[2] or token[5]
+        if name is None:
             continue
-        tag = token[2].lower()
-        if token[1]:
-            k = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[i][0] == tag), None)
-            if tag in BLOCK_TAGS:
-                close(tag)
-            if k is not None:
-                leave(k)
-                current.outer, current.inside = outer > 0, inside > 0
+        tag, raw, block = name.lower(), token[3] or token[6] or "", name.lower() in BLOCK_TAGS
+        if token[1] or token[4]:
+            if block:
+                close()
+            # An end tag ends its innermost open element; that of no block ends nothing beyond a block.
+            if places[tag] and (block or tag in SILENT_TAGS or not opened or places[tag][-1] > opened[-1]):
+                leave(places[tag][-1], tag)
             continue
-        if tag in BLOCK_TAGS:
-            if tag in ("p", "li", "tr", "td", "th", "dd", "dt", "option"):  # an open one ends here
-                k = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1) if stack[i][0] == tag), None)
-                if k is not None and not any(s[0] in ("ul", "ol", "table", "div") for s in stack[k:]):
-                    leave(k)
-            close(tag)
-        if tag in VOID_TAGS or token[3].rstrip().endswith("/"):
+        if places["head"] and tag not in HEAD_TAGS:
+            close()
+            leave(places["head"][-1])
+        if block:
+            close()
+            while opened and stack[opened[-1]][0] in ENDED.get(tag, ("p",)):
+                leave(opened[-1])
+        elif tag == "a" and places["a"] and (not opened or places["a"][-1] > opened[-1]):
+            leave(places["a"][-1])
+        if tag in VOID_TAGS or raw.rstrip().endswith("/"):
             continue
-        is_silent = tag in SILENT_TAGS
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        is_outer = _is_outer(tag, token[3])
-        stack.append((tag, is_silent, is_outer))
-        silent += is_silent
-        outer += is_outer
-        link += tag == "a"
+        kind, own = _kind(tag, raw, inside > 0), -1
+        if kind:
+            if not block:  # a region's text is in blocks of its own
+                close()
+            own = len(regions)
+            regions.append(Region(region, kind))
+            region = own
+        if block:
+            opened.append(len(stack))
+        places[tag].append(len(stack))
+        is_link = tag == "a" and bool(_HREF.search(raw))  # others are anchors, which hold nothing
+        stack.append((tag, tag in SILENT_TAGS, own, is_link))
+        silent += tag in SILENT_TAGS
+        link += is_link
         inside += tag in ("article", "main")
-        current.outer, current.inside = outer > 0, inside > 0
-        if tag in BLOCK_TAGS:
-            current.tag = tag
-    close("")
+        if tag in ("article", "main") and region >= 0 and kind != "comments":
+            regions[region].article = True
+        current.region, current.inside = region, inside > 0
+        current.heading |= tag in HEADINGS
+    close()
+    return found, regions
+
+
+def blocks(page: str) -> list[Block]:
+    """The page's blocks that hold text, in order, with what their containers say of them."""
+    found, regions = _cut(page)
+    off = []  # whether a region is hidden, or of comments, or in such a one
+    for r in regions:
+        off.append(r.kind in ("hidden", "comments") or (r.around >= 0 and off[r.around]))
+    total = 0
+    for b in found:
+        if b.region < 0 or not off[b.region]:
+            plain = len(b.text) - min(len(b.text), b.linked)
+            total += plain
+            if b.region >= 0:
+                regions[b.region].plain += plain
+    for i in range(len(regions) - 1, -1, -1):
+        r = regions[i]
+        if r.around >= 0:
+            regions[r.around].plain += r.plain
+            regions[r.around].article |= r.article and not off[i]
+    for i, r in enumerate(regions):
+        spared = r.plain > MOST * total if r.article else r.plain > NEARLY_ALL * total and (r.kind == "words" or not r.closed)
+        r.outer = off[i] or not spared or (r.around >= 0 and regions[r.around].outer)
+    for b in found:
+        b.outer = b.region >= 0 and regions[b.region].outer
     return found
 
 
-def _first_pass(block: Block) -> bool | None:
-    """Text, boilerplate, or undecided."""
+def _stop_words(text: str) -> tuple[int, int]:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _first_pass(block: Block, known: bool) -> bool | None:
+    """Text, boilerplate, or undecided; ``known`` is whether the page's stop words are."""
     size = len(block.text)
     if block.outer:
         return False
-    if block.linked > LINKS * size or "©" in block.text[:40]:
+    if block.linked > LINKS * size or ("©" in block.text and size < LONG):
         return False
     if size < SHORT:
         return None
-    words = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not known:
+        return True
+    stops, words = _stop_words(block.text)
+    density = stops / max(1, words)
     if density >= STOP_HIGH or (size >= LONG and density >= STOP_LOW):
         return True
-    return None if density >= STOP_LOW or block.inside else False
+    return None if density >= STOP_LOW or block.inside or not block.linked else False
 
 
 def extract(page: str | None) -> str:
     """The main text of a page: its text blocks, joined by single spaces."""
     found = blocks(page or "")
-    first = [_first_pass(b) for b in found]
+    counts = [_stop_words(b.text) for b in found if not b.outer]
+    known = sum(stops for stops, _ in counts) >= STOP_KNOWN * sum(words for _, words in counts)
+    first = [_first_pass(b, known) for b in found]
     # Blocks within an article or main element are decided against by rule only; the others keep to them.
     has_inside = any(b.inside for b in found)
     before: list[tuple[bool, int] | None] = []
@@ -186,6 +282,8 @@ def extract(page: str | None) -> str:
                 label = any(x[0] for x in inner) or not inner
             elif not near:
                 label = not has_inside
+            elif found[i].heading and after is not None:  # a heading belongs to what follows
+                label = after[0]
             elif len(near) == 2 and near[0][0] != near[1][0]:
                 label = near[0][0] if i - near[0][1] < near[1][1] - i else near[1][0] if i - near[0][1] > near[1][1] - i else False
             else:
