@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tessera.session import materialise
 
 WINDOW = 5
-#: A line goes if more than LINE_DOCS documents of its host hold it, and more than LINE_SHARE of them.
-LINE_DOCS, LINE_SHARE = 20, 0.02
+#: A line goes if more than LINE_DOCS documents of its host hold it, however large the host is.
+LINE_DOCS = 20
 #: A document needs so many words after that, and so great a share of its words.
 LEFT_WORDS, LEFT_SHARE = 10, 0.3
 #: The rules on one text: least words, and the greatest percentage of repeated words.
@@ -92,7 +92,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     )
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, left_words: int = LEFT_WORDS, left_share: float = LEFT_SHARE) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_left)``, row for row.
 
     base_failed: fewer than MIN_WORDS words, or more than REPEAT_PERCENT percent of them repeated. n_left: words in
@@ -108,9 +108,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     held = texts.select("host", "text_key", F.explode("lines").alias("line")).select("host", "text_key", F.col("line.h").alias("h"), F.col("line.n").alias("n"))
     counts = held.groupBy("host", "h", "text_key").agg(F.sum("n").alias("n"))
     often = counts.groupBy("host", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") > line_docs)
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
-    often = often.alias("o").join(hosts.alias("g"), F.col("o.host").eqNullSafe(F.col("g.host"))).filter(F.col("docs") > line_share * F.col("host_docs"))
-    often = materialise(often.select(F.col("o.host").alias("host_"), F.col("h").alias("h_")), "lines")
+    often = materialise(often.select(F.col("host").alias("host_"), F.col("h").alias("h_")), "lines")
     gone = counts.join(often, F.col("host").eqNullSafe(F.col("host_")) & (F.col("h") == F.col("h_")))
     gone = gone.groupBy("host", "text_key").agg(F.sum("n").alias("n_gone")).select(F.col("host").alias("host_"), F.col("text_key").alias("key_"), "n_gone")
     out = rows.drop("lines").join(gone, F.col("host").eqNullSafe(F.col("host_")) & (F.col("text_key") == F.col("key_")), "left")
@@ -136,8 +134,7 @@ l AS (SELECT r, host, text, unnest(own) AS line FROM d),
 m AS (SELECT r, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS h,
              len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
 o AS (SELECT host, h, count(DISTINCT text) AS docs FROM m GROUP BY host, h),
-s AS (SELECT host, count(DISTINCT text) AS host_docs FROM d GROUP BY host),
-f AS (SELECT o.host, o.h FROM o JOIN s ON o.host IS NOT DISTINCT FROM s.host WHERE docs > 20 AND docs > 0.02 * host_docs),
+f AS (SELECT host, h FROM o WHERE docs > 20),
 x AS (SELECT m.r, sum(m.n)::BIGINT AS n_gone FROM m JOIN f ON m.host IS NOT DISTINCT FROM f.host AND m.h = f.h GROUP BY m.r),
 b AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
