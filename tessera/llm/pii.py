@@ -1,9 +1,10 @@
 """Personal data, with DataFrame functions only: four patterns, and terms that give protected values away.
 
-What the patterns find are protected entities. Over the corpus, co-occurrence tells how strongly a term beside
-an entity reveals it: with P(e) the share of texts that hold the entity and P(e|t) that among the texts with
-the term, the term discloses log2 P(e|t) / P(e) bits. Terms above the thresholds are generalised, or removed
-when they all but name the entity.
+What the patterns find are protected entities. Over the corpus, co-occurrence tells how strongly a term, anywhere in
+a text, reveals an entity in it: with P(e) the share of texts that hold the entity and P(e|t) that among the texts
+with the term, the term discloses log2 P(e|t) / P(e) bits. Terms above the thresholds are generalised to their kind, or
+removed when they all but name the entity. Entities that stand in the very same texts are one class, and so are terms,
+so that a text that lists many of both gives a pair of classes and not all pairs.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.memory import fresh
 from tessera.session import join_checked, materialise
 
 KINDS = ("email", "ip", "card", "phone")
-#: Least texts in which a term stands beside an entity; least P(e|t); least bits; P(e|t) from which a term is removed.
+#: Least texts that a term shares with an entity; least P(e|t); least bits; P(e|t) from which a term is removed.
 SUPPORT, GIVEN, BITS, REMOVE = 3, 0.5, 3.0, 0.9
-#: Words on either side of an entity that count as beside it, and the characters in which they are looked for.
-NEAR_WORDS, NEAR_CHARS = 6, 80
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 #: A start within a run is tried only where the last match ended: elsewhere it would fail like the run's first.
@@ -28,7 +28,9 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _FIRST = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
-_TERM_GAP = r"[^\p{L}\p{N}]+"
+_TERM_GAP, _TERM = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N}]+"
+#: Elements that a running sum or a cut of a text handles at a time.
+_BLOCK, _PIECE = 64, 1024
 
 _SPANS = "array<struct<start:bigint,stop:bigint,value:string>>"
 
@@ -38,18 +40,32 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, combine) -> Column:
+    """Running sums, or the like, of an array of longs, block by block, so that the work grows with its size."""
+    none = F.array().cast("array<bigint>")
+    last = lambda x: F.get(x, F.size(x) - 1)
+    grown = lambda acc, x: F.concat(acc, F.array(combine(last(acc), x)))
+    starts = lambda v: F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(v) / _BLOCK).cast("int") - 1))
+    blocks = let(values, lambda v: F.transform(starts(v), lambda b: F.slice(v, b * _BLOCK + 1, _BLOCK)))
+    own = F.transform(blocks, lambda block: F.aggregate(block, none, grown))
+    carried = lambda x: F.aggregate(x, none, lambda acc, block: F.concat(acc, F.array(F.coalesce(combine(last(acc), last(block)), last(acc)))))
+    both = let(own, lambda x: F.arrays_zip(x.alias("own"), F.concat(F.array(F.lit(None).cast("bigint")), carried(x)).alias("before")))
+    return F.flatten(F.transform(F.filter(both, lambda z: z.own.isNotNull()), lambda z: F.transform(z.own, lambda x: combine(z.before, x))))
+
+
+def added(a: Column, b: Column) -> Column:
+    return F.coalesce(a, F.lit(0).cast("bigint")) + b
+
+
 def places(text: Column, pattern: Column) -> Column:
     """Leftmost non-overlapping matches as (start, stop, value), in code points."""
     both = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        low = acc.at + F.length(x.gap)
-        high = low + F.length(x.m)
-        one = F.struct(low.cast("bigint").alias("start"), high.cast("bigint").alias("stop"), x.m.alias("value"))
-        return F.struct(high.cast("bigint").alias("at"), F.concat(acc.out, F.array(one)).alias("out"))
+    def spans(found: Column) -> Column:
+        stops = running(F.transform(found, lambda x: (F.length(x.gap) + F.length(x.m)).cast("bigint")), added)
+        return F.transform(F.arrays_zip(found.alias("x"), stops.alias("stop")), lambda z: F.struct((z.stop - F.length(z.x.m)).alias("start"), z.stop.alias("stop"), z.x.m.alias("value")))
 
-    return F.aggregate(F.filter(both, lambda x: x.m.isNotNull()), start, step, lambda acc: acc.out)
+    return let(F.filter(both, lambda x: x.m.isNotNull()), spans)
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,82 +96,85 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.filter(F.split(F.lower(text), _TERM_GAP), lambda t: F.length(t) > 2)
+    """Runs of letters and digits, in lower case."""
+    return F.transform(F.filter(F.split(text, _TERM_GAP), lambda t: t != ""), F.lower)
 
 
-def _beside(text: Column, span: Column) -> Column:
-    """Terms beside a span; a word that the stretch of characters cuts is left out."""
-    low = F.greatest(span.start - NEAR_CHARS, F.lit(0))
-    left = F.substr(text, (low + 1).cast("int"), (span.start - low).cast("int"))
-    left = F.when(low > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.substr(text, (span.stop + 1).cast("int"), F.lit(NEAR_CHARS))
-    right = F.when(F.length(right) >= NEAR_CHARS, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    last = let(terms(left), lambda t: F.slice(t, F.greatest(F.size(t) - NEAR_WORDS + 1, F.lit(1)), NEAR_WORDS))
-    return F.concat(last, F.slice(terms(right), 1, NEAR_WORDS))
+def text_key(text: Column) -> Column:
+    return F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b"))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_key, email, ip, card, phone, beside)`` row for row; beside holds (entity, term) pairs."""
+    """``(doc_id, text_key, email, ip, card, phone)`` row for row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS])
-    def named(kind: str) -> Column:
-        entity = lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s.value))
-        return F.flatten(F.transform(F.col(kind), lambda s: F.transform(_beside(F.col("text"), s), lambda t: F.struct(entity(s).alias("entity"), t.alias("term")))))
+    return rows.select("doc_id", text_key(F.col("text")).alias("text_key"), *[F.coalesce(base_spans(F.col("text"), k), F.array().cast(_SPANS)).alias(k) for k in KINDS])
+
 
-    pairs = [named(kind) for kind in KINDS]
-    key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
-    any_found = F.greatest(*[F.size(k) for k in KINDS]) > 0
-    return rows.select("doc_id", key.alias("text_key"), *[F.coalesce(F.col(k), F.array().cast(_SPANS)).alias(k) for k in KINDS], F.when(any_found, F.array_distinct(F.concat(*pairs))).alias("beside"))
+def _classes(rows: DataFrame, name: str, support: int) -> DataFrame:
+    """``(name, class, n)`` of the values of ``rows(text_key, name)``, distinct, that stand in ``support`` texts or more.
+
+    Values that stand in the same texts, told by their number and two hashes of 64 bits, are one class, named by the least.
+    """
+    known = rows.groupBy(name).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("text_key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "text_key")).alias("y")).filter(F.col("n") >= support)
+    least = known.groupBy("n", "x", "y").agg(F.min(name).alias("class"))
+    return materialise(known.join(least, ["n", "x", "y"]).select(name, "class", "n"), f"{name}_classes")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, given: float = GIVEN, bits: float = BITS) -> tuple[DataFrame, DataFrame]:
-    """Terms that give entities away, ``(term, given, bits)``, and ``(text_key, term)`` of the texts that hold them.
+def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", support: int = SUPPORT, given: float = GIVEN, bits: float = BITS) -> DataFrame:
+    """The materialised ``(term, given, bits)`` of the terms that give entities away.
 
     ``found`` is a materialised :func:`scanned`. Copies of a text count once. The whole corpus is counted, for
-    those terms only that stand beside one entity in ``support`` texts.
+    those terms only that can reach the thresholds: an entity and a term must share ``support`` texts, and the term
+    stands in at least as many texts as it shares with any entity.
     """
-    pairs = found.filter("beside is not null").select("text_key", F.explode("beside").alias("p")).select("text_key", "p.entity", "p.term").distinct()
-    # A term is in as many texts at least as hold it beside any entity: those that cannot reach ``given`` go at once.
-    beside = pairs.select("text_key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    pairs = pairs.join(beside, "term").filter(F.col("both") >= given * F.col("n_beside")).drop("n_beside")
-    pairs = materialise(pairs, "pairs")
-    asked = materialise(pairs.select("term").distinct(), "terms")
-    key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    words = text.select(key.alias("text_key"), F.explode(terms(F.col("text"))).alias("term"))
-    held = materialise(join_checked(words, asked, "term", "left_semi").distinct(), "held") if not asked.isEmpty() else materialise(words.limit(0), "held")
-    with_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = found.filter("beside is not null").select("text_key", F.explode("beside").alias("p")).select("text_key", "p.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entity = lambda kind: F.transform(F.col(kind), lambda s: F.concat(F.lit(f"{kind}:"), F.lower(s.value)))
+    named = F.concat(*[entity(k) for k in KINDS])
+    held = found.filter(F.size(named) > 0).select("text_key", F.explode(named).alias("entity")).distinct()
+    held = materialise(held, "entities")
+    entities = _classes(held, "entity", support)
+    of_texts = materialise(join_checked(held, entities, "entity").select("text_key", F.col("class").alias("entity_class"), F.col("n").alias("n_entity")).distinct(), "entity_texts")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", text_key(F.col("text")))
+    some = join_checked(texts, of_texts.select("text_key").distinct(), "text_key", "left_semi")
+    words = materialise(some.select("text_key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct(), "entity_terms")
+    classes = _classes(words, "term", support)
+    term_texts = join_checked(words, classes, "term").select("text_key", F.col("class").alias("term_class"), F.col("n").alias("n_beside")).distinct()
+    pairs = of_texts.join(term_texts, "text_key").groupBy("entity_class", "term_class", "n_entity", "n_beside").agg(F.count("*").alias("both"))
+    pairs = materialise(pairs.filter((F.col("both") >= support) & (F.col("both") >= given * F.col("n_beside"))), "pairs")
+    asked = materialise(classes.join(pairs.select(F.col("term_class").alias("class")).distinct(), "class", "left_semi").select("term", "class"), "terms")
+    every = texts.select("text_key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    n_term = join_checked(every, asked.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     n_texts = found.select("text_key").distinct().count() or 1
     share = F.col("both") / F.col("n_term")
-    rows = pairs.join(with_term, "term").join(entities, "entity").withColumn("given", share).withColumn("bits", F.log2(share / (F.col("n_entity") / F.lit(n_texts))))
+    rows = asked.join(n_term, "term").join(pairs, F.col("class") == F.col("term_class")).withColumn("given", share)
+    rows = rows.withColumn("bits", F.log2(share / (F.col("n_entity") / F.lit(n_texts))))
     best = rows.filter((F.col("given") >= given) & (F.col("bits") >= bits)).groupBy("term").agg(F.max("given").alias("given"), F.max("bits").alias("bits"))
-    return materialise(best, "disclosing"), held
+    return materialise(best, "disclosing")
+
+
+_TERM_SPANS = "array<struct<start:bigint,stop:bigint,value:string,given:double>>"
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """``(doc_id, text_key, email, ip, card, phone, term)`` row for row, each an array of (start, stop, value).
 
-    A term's spans do not overlap the patterns'. Null and empty texts have no spans; null ids and repeated rows
-    are returned as they come; copies of a text have the same spans; an empty table gives an empty result.
+    A term has its P(e|t) beside that, ``given``; its spans do not overlap the patterns'. Null and empty texts have no
+    spans; null ids and repeated rows are returned as they come; copies of a text have the same spans; an empty table
+    gives an empty result; other columns are not looked at.
     """
     found = materialise(scanned(docs, id_col, text_col), "scanned")
-    given_away, held = disclosures(docs, found, text_col, **thresholds)
-    none = F.array().cast(_SPANS)
+    given_away = disclosures(docs, found, text_col, **thresholds)
+    none = F.array().cast(_TERM_SPANS)
     if given_away.isEmpty():
-        return found.drop("beside").withColumn("term", none)
-    hits = materialise(join_checked(held, given_away.select("term"), "term").groupBy("text_key").agg(F.sort_array(F.collect_set("term")).alias("terms")), "hits")
-    key = F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b"))
-    texts = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("text_key", key)
-    texts = join_checked(texts, hits, "text_key").dropDuplicates(["text_key"])
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    spans = materialise(texts.select(F.col("text_key").alias("k"), places(F.col("text"), pattern).alias("term")), "term_spans")
-    out = found.drop("beside").join(spans, F.col("text_key") == F.col("k"), "left").drop("k")
+        return found.withColumn("term", none)
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    words = texts.select(text_key(F.col("text")).alias("k"), "text", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    texts = join_checked(words, given_away.select("term"), "term", "left_semi").select("k", "text").dropDuplicates(["k"])
+    words = texts.select("k", F.explode(places(F.col("text"), F.lit(_TERM))).alias("s")).select("k", "s", F.lower("s.value").alias("term"))
+    spans = join_checked(words, given_away.select("term", "given"), "term").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop", "s.value", "given"))).alias("term"))
+    out = found.join(materialise(spans, "term_spans"), F.col("text_key") == F.col("k"), "left").drop("k")
     base = F.concat(*[F.col(k) for k in KINDS])
     free = F.filter(F.coalesce("term", none), lambda t: ~F.exists(base, lambda b: (t.start < b.stop) & (b.start < t.stop)))
-    return out.withColumn("term", free)
+    return out.withColumn("term", F.when(F.size(base) > 0, free).otherwise(F.coalesce("term", none)))
 
 
 def written(kinds: tuple[str, ...]) -> Column:
@@ -164,20 +183,46 @@ def written(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*[line(k) for k in kinds]), ",")
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """``docs`` with protected values and the terms that give them away replaced by <KIND> in ``text_col``."""
+def generalised(value: Column) -> Column:
+    """What a term is replaced by: the kind of thing it is."""
+    return (
+        F.when(F.rlike(value, F.lit(r"^\p{N}+$")), "<NUMBER>").when(F.rlike(value, F.lit(r"\p{N}")), "<CODE>").when(F.rlike(value, F.lit(r"^\p{Lu}")), "<NAME>").otherwise("<TERM>")
+    )
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """A text with each of its spans (start, stop, by), in order, replaced; of spans that overlap the first is."""
+
+    def cut(pieces: Column, low: Column, high: Column) -> Column:
+        first = F.floor(low / _PIECE).cast("int")
+        some = F.array_join(F.slice(pieces, first + 1, F.floor(high / _PIECE).cast("int") - first + 1), "")
+        return F.substr(some, (low % _PIECE + 1).cast("int"), (high - low).cast("int"))
+
+    def joined(pieces: Column) -> Column:
+        until = running(F.transform(spans, lambda s: s.stop), lambda a, b: F.greatest(a, b))
+
+        def parts(u: Column) -> Column:
+            zero = F.lit(0).cast("bigint")
+            before = lambda i: F.coalesce(F.get(u, i - 1), zero)
+            put = F.transform(spans, lambda s, i: F.when(s.start >= before(i), F.concat(cut(pieces, before(i), s.start), s.by)).otherwise(""))
+            rest = cut(pieces, F.get(u, F.size(u) - 1), F.length(text).cast("bigint"))
+            return F.concat(F.array_join(put, ""), rest)
+
+        return let(until, parts)
+
+    return F.when(F.size(spans) > 0, let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), joined)).otherwise(text)
+
+
+def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", remove: float = REMOVE, **thresholds) -> DataFrame:
+    """``docs`` with protected values replaced by <KIND>, and the terms that give them away generalised or removed.
+
+    A term is removed with ``given`` of ``remove`` or more, else replaced by the kind of thing that it is. Row for row:
+    null and empty texts stay, repeated rows are treated alike, columns may have any name.
+    """
     marked = find_pii(docs, id_col, text_col, **thresholds)
     tag = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.lit(f"<{kind.upper()}>").alias("by")))
-    spans = marked.select(F.col("text_key").alias("k"), F.array_sort(F.concat(*[tag(k) for k in (*KINDS, "term")])).alias("s")).filter(F.size("s") > 0).dropDuplicates(["k"])
-    key = F.struct(F.xxhash64(F.col(text_col).cast("string")).alias("a"), F.hash(F.col(text_col).cast("string")).alias("b"))
-    rows = docs.withColumn("__key", key).join(spans.withColumnRenamed("k", "__key").withColumnRenamed("s", "__spans"), "__key", "left")
-    text = F.col(text_col)
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int")), s.by)
-        new = F.struct(F.greatest(acc.at, s.stop).alias("at"), piece.alias("out"))
-        return F.when(s.start >= acc.at, new).otherwise(F.struct(F.greatest(acc.at, s.stop).alias("at"), acc.out.alias("out")))
-
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col("__spans"), start, step, lambda acc: F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"))))
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), done).otherwise(text)).select(*docs.columns)
+    term = F.transform("term", lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), F.when(s.given >= remove, "").otherwise(generalised(s.value)).alias("by")))
+    key, spans = fresh(docs.columns, "key"), fresh(docs.columns, "spans")
+    found = marked.select(F.col("text_key").alias(key), F.array_sort(F.concat(*[tag(k) for k in KINDS], term)).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([key])
+    rows = docs.withColumn(key, text_key(F.col(text_col).cast("string"))).join(found, key, "left")
+    return rows.withColumn(text_col, F.when(F.col(spans).isNotNull(), replaced(F.col(text_col), F.col(spans))).otherwise(F.col(text_col))).select(*docs.columns)
