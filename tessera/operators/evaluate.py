@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+from tessera.session import join_checked
+
 #: Phrases by which an answer declines.
 REFUSAL_PHRASES = (
     "context does not contain",
@@ -233,6 +236,35 @@ def router_score(expected_mode: Column, mode: Column, expected_kwargs: Column, k
     )
 
 
+def holders(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "id", item_text: str = "question", window: int = 4) -> DataFrame:
+    """``(item_id, doc_id)``: the documents that hold an item's text as it is.
+
+    The words within an item, without its first and last, stand whole in a document that holds it: hashes of up to
+    ``window`` of them find the candidates, which are then searched. Items of fewer than three words are searched in
+    every document.
+    """
+    asked = items.select(item_id, F.col(item_text).alias("item"), T.words(F.col(item_text)).alias("w")).filter("length(item) > 0")
+    asked = asked.withColumn("n", F.least(F.greatest(F.size("w") - 2, F.lit(0)), F.lit(window)))
+    sizes = sorted(r[0] for r in asked.select("n").distinct().collect())
+    texts = docs.select(doc_id, F.col(doc_text).alias("held"))
+    found = []
+    for n in sizes:
+        own = asked.filter(F.col("n") == n)
+        if n:
+            cut = lambda w, n=n: F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+            windows = texts.select(doc_id, "held", T.words(F.col("held")).alias("w")).filter(F.size("w") >= n)
+            windows = windows.select(doc_id, "held", F.explode(F.array_distinct(T.let(F.transform("w", lambda x: F.xxhash64(x)), lambda h: cut(h)))).alias("h"))
+            keyed = own.select(item_id, "item", F.xxhash64(*[F.xxhash64(F.get("w", F.lit(1 + k))) for k in range(n)]).alias("h"))
+            met = join_checked(windows, keyed, "h").filter(F.contains("held", "item"))
+        else:
+            met = texts.join(own, F.contains("held", "item"))
+        found.append(met.select(item_id, doc_id))
+    out = found[0] if found else items.select(item_id).limit(0).join(docs.select(doc_id), F.lit(False))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
+
+
 def hit_recall(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
     """``(id, kind, hit, recall)`` from ``retrieved(id, doc_id)`` and ``questions(id, kind, expected_docs)``.
 

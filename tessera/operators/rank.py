@@ -56,10 +56,25 @@ def dedup_jaccard(rows: DataFrame, threshold: float = 0.95, key: str = "query_id
     return kept.select(key, *[F.col(f"x.{c}").alias(c) for c in fields])
 
 
-def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text") -> DataFrame:
-    """``(by, a, b, score)`` for pairs of a group that share a token, by a join on (group, token)."""
-    tokens = rows.select(by, id_col, T.token_set(F.col(text)).alias("t")).select(by, id_col, F.size("t").alias("n"), F.explode("t").alias("token"))
-    left = tokens.select(by, "token", F.col(id_col).alias("a"), F.col("n").alias("na"))
-    right = tokens.select(by, "token", F.col(id_col).alias("b"), F.col("n").alias("nb"))
-    met = left.join(right, [by, "token"]).filter("a < b").groupBy(by, "a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return met.select(by, "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("score"))
+def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """``(links, members)``: pairs of a group's distinct token sets with a Jaccard index of ``threshold`` or more.
+
+    links is ``(by, a, b, score)`` between the least ids of equal token sets, members ``(by, id, least)`` for every row.
+    Tokens are put in order from the rarest on; two sets as alike as that share one of their first n - ceil(threshold n)
+    + 1 tokens, so only rows that meet in those are compared, and frequent tokens make no pairs.
+    """
+    sets = rows.select(F.col(by), F.col(id_col).alias("id"), F.array_sort(T.token_set(F.col(text))).alias("t")).withColumn("k", F.sha2(F.array_join("t", " "), 256))
+    members = sets.select(by, "id", "k").join(sets.groupBy(by, "k").agg(F.min("id").alias("least")), [by, "k"]).select(by, "id", "least")
+    once = sets.groupBy(by, "k").agg(F.min("id").alias("id"), F.first("t").alias("t")).filter(F.size("t") > 0).select(by, "id", "t")
+    tokens = once.select(by, "id", F.explode("t").alias("token"))
+    seen = tokens.groupBy(by, "token").agg(F.count("*").alias("n"))
+    ranked = tokens.join(seen, [by, "token"]).groupBy(by, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s.token).alias("t"))
+    size = F.size("t")
+    prefix = F.slice("t", 1, size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
+    first = ranked.select(by, "id", size.alias("size"), F.explode(prefix).alias("token"))
+    left = first.select(by, "token", F.col("id").alias("a"), F.col("size").alias("na"))
+    right = first.select(by, "token", F.col("id").alias("b"), F.col("size").alias("nb"))
+    near = left.join(right, [by, "token"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select(by, "a", "b").distinct()
+    met = near.join(once.select(by, F.col("id").alias("a"), F.col("t").alias("ta")), [by, "a"]).join(once.select(by, F.col("id").alias("b"), F.col("t").alias("tb")), [by, "b"])
+    links = met.select(by, "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= threshold)
+    return links, members

@@ -1,4 +1,9 @@
-"""Retrieval: a table of queries against a table of chunks, scored by joins on tokens or by blocks of vectors."""
+"""Retrieval: a table of queries against a table of chunks.
+
+Top-k searches deal queries into blocks and chunks into parts, both of bounded size. Each block meets each part in
+one task, which passes on k rows a query, so that a frequent token or a large table makes more tasks and no larger
+ones, and what is shuffled after that is small.
+"""
 
 from __future__ import annotations
 
@@ -11,13 +16,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.session import materialise
 
 DEFAULT_K = 5
 #: Chunks for a mode; other modes take 3.
 MODE_K = {"deep_research": 10, "open_analysis": 7, "perspective_shift": 5, "exam_grader": 5, "debate": 7, "satirical_podcast": 6}
 #: Query rows whose tokens are broadcast; more are joined by shuffle.
 BROADCAST_QUERIES = 20_000
+#: Queries of a block and rows of a part, about; tasks in which blocks meet parts, at most (a task may take several in turn).
+BLOCK_ROWS, PART_ROWS, MOST_TASKS = 8_192, 20_000, 20_000
 
 
 def topk(rows: DataFrame, k: int | Column | None = None, by: str = "score", key: str = "query_id", order: tuple[str, ...] = ()) -> DataFrame:
@@ -49,74 +55,165 @@ def keyword_scores(queries: DataFrame, chunks: DataFrame, query_text: str = "tex
     return met.select("query_id", chunk_id, (F.col("shared") / (F.col("n_query") + 1)).alias("score"))
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", **columns) -> DataFrame:
-    """The best chunks of each query by keyword overlap; ties by chunk id."""
-    return topk(keyword_scores(queries, chunks, chunk_id=chunk_id, **columns), k, order=(chunk_id,))
+def _meet(queries: DataFrame, rows: DataFrame, owner: str, where: list[str], fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, block_rows: int, part_rows: int) -> DataFrame:
+    """``fn`` of every block of ``queries`` with every part of ``rows``; rows of one ``owner`` are in one part.
 
+    Columns ``where`` must be equal on both sides.
+    """
+    blocks = max(1, -(-queries.count() // block_rows))
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // part_rows))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", numbers(parts))
+    right = rows.withColumn("part", F.pmod(F.xxhash64(owner), F.lit(parts)).cast("int")).withColumn("block", numbers(blocks))
+    keys = ["block", "part", *where]
+    tasks = min(blocks * parts, MOST_TASKS)  # alike on both sides, which adaptive execution must not coalesce apart
+    return left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInArrow(fn, schema)
+
+
+def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of each query; ties go to the lesser row."""
+    order = np.lexsort((row, -score, query))
+    asked = query[order]
+    first = np.flatnonzero(np.append(True, asked[1:] != asked[:-1])) if len(asked) else np.zeros(0, np.int64)
+    return order[np.arange(len(asked)) - np.repeat(first, np.diff(np.append(first, len(asked)))) < k]
+
+
+def _overlaps(kind: str, k: int, owner: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best rows of a part for each query of a block by shared tokens; rows without a shared token come last."""
+
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        asked, tokens, held = block["query_id"], block["query_tokens"].to_pylist(), part["row_tokens"].to_pylist()
+        ids = sorted(set(part[owner].to_pylist()))
+        number = {x: i for i, x in enumerate(ids)}
+        owners = np.array([number[x] for x in part[owner].to_pylist()], np.int64)
+        places: dict[str, list[int]] = {}
+        for i, own in enumerate(tokens):
+            for t in own or ():
+                places.setdefault(t, []).append(i)
+        found = {t: np.array(x, np.int64) for t, x in places.items()}
+        n_query = np.array([len(t or ()) for t in tokens], np.float64)
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def settled() -> tuple[np.ndarray, ...]:
+            query, row, score = (np.concatenate(x) for x in zip(kept, *waiting))
+            waiting.clear()
+            order = np.lexsort((-score, row, query))  # of an owner's rows the best
+            new = np.append(True, (query[order][1:] != query[order][:-1]) | (row[order][1:] != row[order][:-1])) if len(order) else np.zeros(0, bool)
+            query, row, score = (x[order[new]] for x in (query, row, score))
+            best = _best(query, row, score, k)
+            return query[best], row[best], score[best]
+
+        size = 0
+        for own, row in zip(held, owners.tolist()):
+            hits = [found[t] for t in own or () if t in found]
+            if hits:
+                shared = np.bincount(np.concatenate(hits), minlength=len(tokens))
+                query = np.flatnonzero(shared)
+                both = shared[query].astype(np.float64)
+                score = both / (n_query[query] + 1) if kind == "keyword" else both / (n_query[query] + len(own) - both)
+                waiting.append((query, np.full(len(query), row), score))
+                size += len(query)
+                if size > 2_000_000:
+                    kept, size = settled(), 0
+        kept = settled()
+        counts = np.bincount(kept[0], minlength=len(tokens))
+        for query in np.flatnonzero(counts < min(k, len(ids))).tolist():
+            there = set(kept[1][kept[0] == query].tolist())
+            rest = [i for i in range(min(len(ids), k + len(there))) if i not in there][: k - len(there)]
+            waiting.append((np.full(len(rest), query), np.array(rest, np.int64), np.zeros(len(rest))))
+        query, row, score = (np.concatenate(x) for x in zip(kept, *waiting))
+        return pa.table({"query_id": asked.take(pa.array(query)), owner: pa.array([ids[i] for i in row.tolist()], part[owner].type), "score": pa.array(score)})
+
+    return run
 
-def jaccard_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None) -> DataFrame:
-    """The best chunks of each query by the Jaccard index of token sets; ties by chunk id."""
-    met = _shared_tokens(queries, chunks, query_text, chunk_text, chunk_id, where)
-    score = F.col("shared") / (F.col("n_query") + F.col("n_chunk") - F.col("shared"))
-    return topk(met.select("query_id", chunk_id, score.alias("score")), k, order=(chunk_id,))
 
+def _token_topk(kind: str, queries: DataFrame, chunks: DataFrame, k: int | None, owner: str, query_text: str, chunk_text: str, where: list[str] | None) -> DataFrame:
+    keys, k = where or [], k or DEFAULT_K
+    q = queries.select("query_id", *keys, T.token_set(F.col(query_text)).alias("query_tokens"))
+    c = chunks.select(owner, *keys, T.token_set(F.col(chunk_text)).alias("row_tokens"))
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, {owner} {c.schema[owner].dataType.simpleString()}, score double"
+    return topk(_meet(q, c, owner, keys, _overlaps(kind, k, owner), schema, BLOCK_ROWS, PART_ROWS), k, order=(owner,))
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", group: int = 1024) -> DataFrame:
-    """``(query_id, vec_id, score, rank)``: the nearest vectors by cosine, exactly.
 
-    Queries are dealt into groups of about ``group`` rows by hash; each vector meets every group. One task
-    multiplies its vectors with a group's matrix and passes on k rows a query, so that what is shuffled is small.
-    The group's matrix is read in the task from a broadcast of one group at a time.
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None) -> DataFrame:
+    """The ``k`` best chunks of each query by shared tokens over query tokens plus one; ties by chunk id.
+
+    Chunks without a shared token follow with score 0, so that a query has k rows wherever there are as many chunks.
+    ``chunk_id`` may name what several chunks belong to: its best chunk counts. ``where`` names columns of both sides
+    that must be equal.
     """
-    q = materialise(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).cast("array<float>").alias("q")), "queries")
-    parts = max(1, -(-q.count() // group))
-    found = None
-    for part in range(parts):
-        block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toArrow()
-        if not block.num_rows:
-            continue
-        ids = block["query_id"].to_numpy()
-        matrix = np.stack([np.asarray(x, np.float32) for x in block["q"].to_pylist()])
-        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True) + 1e-9
-        known = q.sparkSession.sparkContext.broadcast((ids, matrix))
-        one = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v")).mapInArrow(_nearest(known, k), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return q.limit(0).select("query_id", F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return topk(found, k, order=("vec_id",))
-
-
-def _nearest(known, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = known.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([np.asarray(x, np.float32) for x in batch.column(1).to_pylist()])
-            rows = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
-            scores = matrix @ rows.T
-            names = batch.column(0).to_numpy()
-            order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, order.shape[1])), pa.array(names[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel().astype(np.float64))],
-                names=["query_id", "vec_id", "score"],
-            )
+    return _token_topk("keyword", queries, chunks, k, chunk_id, query_text, chunk_text, where)
+
+
+def jaccard_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None) -> DataFrame:
+    """The same by the Jaccard index of token sets."""
+    return _token_topk("jaccard", queries, chunks, k, chunk_id, query_text, chunk_text, where)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of numbers as unit vectors."""
+    flat = column.combine_chunks()
+    rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1), np.float32)
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+
+
+def _nearest(k: int, step: int = 1024) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The nearest rows of a part for each query of a block, ``step`` rows of the part at a time."""
+
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        asked, rows, names = _matrix(block["q"]), _matrix(part["v"]), part["vec_id"].to_numpy()
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        for at in range(0, len(rows), step):
+            scores = asked @ rows[at : at + step].T
+            most = min(k, scores.shape[1])
+            near = np.argpartition(-scores, most - 1, axis=1)[:, :most] if len(scores) else np.zeros((0, most), np.int64)
+            # Rows as near as the last one may be as good by their id.
+            least = np.take_along_axis(scores, near, 1).min(1, keepdims=True) if len(scores) else scores
+            query, place = np.nonzero(scores >= least)
+            found = query, names[at + place], scores[query, place].astype(np.float64)
+            both = tuple(np.concatenate(x) for x in zip(kept, found))
+            best = _best(*both, k)
+            kept = tuple(x[best] for x in both)
+        return pa.table({"query_id": block["query_id"].take(pa.array(kept[0])), "vec_id": pa.array(kept[1]), "score": pa.array(kept[2])})
 
     return run
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bucket_length: float = 2.0, tables: int = 8, seed: int = 7, most: float = 1.4) -> DataFrame:
-    """Approximate nearest vectors: random projection hashing finds candidates, which are scored exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vec_id: str = "vec_id", embedding: str = "embedding", block_rows: int = 4 * BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """``(query_id, vec_id, score, rank)``: the nearest vectors by cosine, exactly; ties by id."""
+    q = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(embedding).cast("array<float>").alias("q"))
+    v = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
+    return topk(_meet(q, v, "vec_id", [], _nearest(k), "query_id long, vec_id long, score double", block_rows, part_rows), k, order=("vec_id",))
+
+
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 24, seed: int = 7) -> DataFrame:
+    """Approximate nearest vectors by cosine: those on the same side of ``bits`` random planes, in any of ``tables`` draws, are scored exactly.
+
+    A vector is dealt out once for each table by its sides, so that the share of pairs that are compared falls with
+    ``bits``; a query whose buckets hold fewer than k vectors gets fewer rows.
+    """
+    width = vectors.select(F.size("embedding")).first()
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width[0] if width else 1)).astype(np.float32)
+
+    def sided(id_col: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            powers = 1 << np.arange(bits)
+            for batch in batches:
+                rows = _matrix(pa.chunked_array([batch.column(1)]))
+                sides = ((rows @ planes.T > 0).reshape(len(rows), tables, bits) * powers).sum(2) + np.arange(tables) * (1 << bits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sides.size + 1, tables), pa.int32()), pa.array(sides.ravel().astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=[id_col, "e", "buckets"])
+
+        return run
 
-    unit = lambda c: F.transform(c, lambda x: (x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))).cast("double"))
-    q = queries.select("query_id", F.col("embedding").alias("qe"), array_to_vector(unit(F.col("embedding"))).alias("features"))
-    v = vectors.select("vec_id", F.col("embedding").alias("ve"), array_to_vector(unit(F.col("embedding"))).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(v)
-    near = model.approxSimilarityJoin(q, v, most, distCol="d")
-    rows = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    return topk(rows, k, order=("vec_id",))
+    dealt = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("embedding").cast("array<float>").alias("e")).mapInArrow(sided(name), f"{name} long, e array<float>, buckets array<long>")
+    q, v = dealt(queries, "query_id"), dealt(vectors, "vec_id")
+    met = q.select("query_id", F.explode("buckets").alias("bucket")).join(v.select("vec_id", F.explode("buckets").alias("bucket")), "bucket").select("query_id", "vec_id").distinct()
+    both = met.join(q.select("query_id", F.col("e").alias("qe")), "query_id").join(v.select("vec_id", F.col("e").alias("ve")), "vec_id")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    score = dot(F.col("qe"), F.col("ve")) / F.sqrt(dot(F.col("qe"), F.col("qe")) * dot(F.col("ve"), F.col("ve")))
+    return topk(both.select("query_id", "vec_id", score.alias("score")), k, order=("vec_id",))
 
 
 def with_rerank(candidates: DataFrame, fn: Callable | None, k: int, reverse: bool = False) -> DataFrame:
@@ -148,9 +245,11 @@ def with_rerank(candidates: DataFrame, fn: Callable | None, k: int, reverse: boo
 def apply_rerank(candidates: DataFrame, results: DataFrame, k: int, fallback: bool = True) -> DataFrame:
     """Candidates in the order of a reranker's ``results(query_id, idx, relevance)``; idx counts from 0.
 
-    Indexes out of range and repeated ones go; with ``fallback`` a query without a result keeps its order.
+    Indexes out of range go, and of repeated ones all but the first to arrive, by ``arrival`` where results have it, else
+    by the reranker's own order of relevance; with ``fallback`` a query without a result keeps its order.
     """
-    once = results.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "idx").orderBy(F.desc("relevance")))).filter("__n = 1").drop("__n")
+    order = F.asc("arrival") if "arrival" in results.columns else F.desc("relevance")
+    once = results.withColumn("__n", F.row_number().over(W.partitionBy("query_id", "idx").orderBy(order))).filter("__n = 1").drop("__n", "arrival")
     known = candidates.withColumn("idx", F.col("rank") - 1)
     met = known.join(once, ["query_id", "idx"]).withColumn("score", F.col("relevance")).drop("relevance")
     if fallback:

@@ -26,13 +26,16 @@ _QT = f"(SELECT item_id AS query_id, len(t) AS n_query, unnest(t) AS token FROM
 _CT = f"(SELECT doc_id AS chunk_id, len(t) AS n_chunk, unnest(t) AS token FROM (SELECT doc_id, {_toks('text')} AS t FROM documents))"
 _MET = f"(SELECT query_id, chunk_id, n_query, n_chunk, count(*) AS shared FROM {_QT} JOIN {_CT} USING (token) GROUP BY ALL)"
 _KEYWORD = f"(SELECT query_id, chunk_id, shared::DOUBLE / (n_query + 1) AS score FROM {_MET})"
+# Searches give rows that share no token too, after the others.
+_EVERY = "(SELECT b.item_id AS query_id, d.doc_id AS chunk_id, coalesce(s.score, 0) AS score FROM benchmark b CROSS JOIN documents d LEFT JOIN {scores} s ON s.query_id = b.item_id AND s.chunk_id = d.doc_id)"
+_SEARCHED = _EVERY.format(scores=_KEYWORD)
 
 
 def _top(rows, k, order="score DESC, chunk_id"):
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM {rows}) WHERE rank <= {k})"
 
 
-_TOP5 = _top(_KEYWORD, 5)
+_TOP5 = _top(_SEARCHED, 5)
 
 
 @query(f"SELECT query_id, chunk_id, score, rank FROM {_TOP5}")
@@ -40,12 +43,12 @@ def keyword_topk(spark, sf_dir):
     return E.keyword_topk(_queries(spark, sf_dir), _documents(spark, sf_dir), 5)
 
 
-@query(f"SELECT query_id, chunk_id, score, rank FROM {_top(f'(SELECT query_id, chunk_id, shared::DOUBLE / (n_query + n_chunk - shared) AS score FROM {_MET})', 5)}")
+@query(f"SELECT query_id, chunk_id, score, rank FROM {_top(_EVERY.format(scores=f'(SELECT query_id, chunk_id, shared::DOUBLE / (n_query + n_chunk - shared) AS score FROM {_MET})'), 5)}")
 def jaccard_topk(spark, sf_dir):
     return E.jaccard_topk(_queries(spark, sf_dir), _documents(spark, sf_dir), 5)
 
 
-@query(f"SELECT query_id, chunk_id, score, rank FROM {_top(f'(SELECT k.* FROM {_KEYWORD} k JOIN documents d ON d.doc_id = k.chunk_id WHERE source = (CASE WHEN query_id % 2 = 0 THEN {chr(39)}src1{chr(39)} ELSE {chr(39)}src2{chr(39)} END))', 3)}")
+@query(f"SELECT query_id, chunk_id, score, rank FROM {_top(f'(SELECT k.* FROM {_SEARCHED} k JOIN documents d ON d.doc_id = k.chunk_id WHERE source = (CASE WHEN query_id % 2 = 0 THEN {chr(39)}src1{chr(39)} ELSE {chr(39)}src2{chr(39)} END))', 3)}")
 def filtered_topk(spark, sf_dir):
     q = _queries(spark, sf_dir).withColumn("source", F.when(F.col("query_id") % 2 == 0, "src1").otherwise("src2"))
     return E.keyword_topk(q, _documents(spark, sf_dir), 3, where=["source"])
@@ -77,7 +80,7 @@ def _shorter_first(frame):
     return -frame["text"].str.len() + 0.0
 
 
-_TOP20 = f"(SELECT t.*, d.text FROM {_top(_KEYWORD, 20)} t JOIN documents d ON d.doc_id = t.chunk_id)"
+_TOP20 = f"(SELECT t.*, d.text FROM {_top(_SEARCHED, 20)} t JOIN documents d ON d.doc_id = t.chunk_id)"
 
 
 @query(f"SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(text), rank) AS rank FROM {_TOP20} QUALIFY rank <= 5".replace("QUALIFY rank", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(text), rank)"))
@@ -97,7 +100,7 @@ def rerank_reverse(spark, sf_dir):
 def rerank_apply(spark, sf_dir):
     c = E.keyword_topk(_queries(spark, sf_dir), _documents(spark, sf_dir), 5)
     odd = c.filter("query_id % 2 = 0 and rank % 2 = 1").select("query_id", (F.col("rank") - 1).alias("idx"), (F.col("rank") / 10).alias("relevance"))
-    results = odd.unionByName(odd).unionByName(odd.withColumn("idx", F.col("idx") + 50))
+    results = odd.select("query_id", F.explode(F.array("idx", "idx", F.col("idx") + 50)).alias("idx"), "relevance")  # repeated and out of range
     return E.apply_rerank(c, results, 4).select("query_id", "chunk_id", "rank")
 
 
@@ -132,13 +135,14 @@ def dedup_within_query(spark, sf_dir):
     return rank.dedup_jaccard(_candidates(spark, sf_dir), 0.9).select("query_id", "chunk_id", "rank")
 
 
-_PAIR_T = f"(SELECT source, doc_id, len(t) AS n, unnest(t) AS token FROM (SELECT source, doc_id, {_toks('text')} AS t FROM documents WHERE n_chars < 600))"
+@query()
+def jaccard_pairs(spark, sf_dir):
+    return rank.jaccard_pairs(table(spark, sf_dir, "documents"), "source", "doc_id")[0].withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT source, a, b, round(n_both::DOUBLE / (na + nb - n_both), 6) AS score FROM (SELECT x.source, x.doc_id AS a, y.doc_id AS b, x.n AS na, y.n AS nb, count(*) AS n_both FROM {_PAIR_T} x JOIN {_PAIR_T} y ON x.source = y.source AND x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL)")
-def jaccard_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("n_chars < 600")
-    return rank.jaccard_pairs(rows, "source", "doc_id").withColumn("score", F.round("score", 6))
+@query(f"SELECT source, doc_id AS id, min(doc_id) OVER (PARTITION BY source, list_sort({_toks('text')})) AS least FROM documents")
+def jaccard_members(spark, sf_dir):
+    return rank.jaccard_pairs(table(spark, sf_dir, "documents"), "source", "doc_id")[1]
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 7 ELSE 3 END AS k FROM events")
@@ -197,7 +201,7 @@ def distinct_queries(spark, sf_dir):
     return keys.join(once.select("query_key"), "query_key").agg(F.count("*").alias("queries"), F.count_distinct("query_key").alias("once"))
 
 
-@query(f"SELECT query_id, chunk_id, rank, substr(text, 1, 300) AS text FROM (SELECT t.*, d.text FROM {_top(_KEYWORD, 8)} t JOIN documents d ON d.doc_id = t.chunk_id) WHERE rank <= 5")
+@query(f"SELECT query_id, chunk_id, rank, substr(text, 1, 300) AS text FROM (SELECT t.*, d.text FROM {_top(_SEARCHED, 8)} t JOIN documents d ON d.doc_id = t.chunk_id) WHERE rank <= 5")
 def citations(spark, sf_dir):
     return E.citations(_candidates(spark, sf_dir, 8)).select("query_id", "chunk_id", "rank", "text")
 
@@ -213,7 +217,7 @@ def _items(spark, sf_dir):
     return rows.withColumn("text", F.substring("text", 1, 100)).withColumnRenamed("chunk_id", "doc_id")
 
 
-_ITEMS = f"(SELECT t.query_id, t.rank, t.chunk_id AS doc_id, d.source AS chapter, substr(d.text, 1, 100) AS text, t.score FROM {_top(_KEYWORD, 4)} t JOIN documents d ON d.doc_id = t.chunk_id)"
+_ITEMS = f"(SELECT t.query_id, t.rank, t.chunk_id AS doc_id, d.source AS chapter, substr(d.text, 1, 100) AS text, t.score FROM {_top(_SEARCHED, 4)} t JOIN documents d ON d.doc_id = t.chunk_id)"
 _CUT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _HEAD = "'Relevant knowledge:' || chr(10) || chr(10) || "
 _NL = "chr(10) || chr(10)"
@@ -252,10 +256,9 @@ _EXPECTED = "(SELECT b.item_id AS id, list(d.doc_id ORDER BY d.doc_id) AS docs F
 
 
 def _questions(spark, sf_dir):
-    """Benchmark items with the documents that hold them; the scan meets each document with all items, a short list."""
+    """Benchmark items with the documents that hold them."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("question"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = d.join(F.broadcast(b), F.contains("text", "question")).groupBy("id").agg(F.collect_set("doc_id").alias("expected_docs"))
+    held = evaluate.holders(table(spark, sf_dir, "documents"), b).groupBy("id").agg(F.collect_set("doc_id").alias("expected_docs"))
     rows = b.join(held, "id", "left").withColumn("expected_docs", F.coalesce("expected_docs", F.array().cast("array<bigint>")))
     n = F.size("expected_docs")
     return rows.select("id", "question", "expected_docs", F.when(n == 0, "distractor").when(n == 1, "easy").otherwise("multi").alias("kind"))
@@ -264,9 +267,7 @@ def _questions(spark, sf_dir):
 def _chunk_rank(spark, sf_dir, strategy, **options):
     """Documents in the order of their best chunk."""
     chunks = chunk.build_chunks(table(spark, sf_dir, "documents"), strategy, **options)
-    scores = E.keyword_scores(_queries(spark, sf_dir), chunks)
-    best = scores.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    return E.topk(best, 10, order=("doc_id",))
+    return E.keyword_topk(_queries(spark, sf_dir), chunks, 10, chunk_id="doc_id")
 
 
 _HITS = f"""(SELECT b.item_id AS id, CASE WHEN docs IS NULL THEN 'distractor' WHEN len(docs) = 1 THEN 'easy' ELSE 'multi' END AS kind, coalesce(docs, []) AS docs, list(t.chunk_id ORDER BY rank) AS got
@@ -295,7 +296,7 @@ def misses(spark, sf_dir):
     return evaluate.misses(_scored(spark, sf_dir)).select("id", "kind")
 
 
-_RANKS = f"(SELECT item_id AS query_id, min(rank) AS rank FROM benchmark LEFT JOIN (SELECT t.query_id, t.rank FROM {_top(_KEYWORD, 10)} t JOIN documents d ON d.doc_id = t.chunk_id WHERE contains(lower(d.source), CASE WHEN t.query_id % 2 = 0 THEN 'src1' ELSE 'src2' END)) ON query_id = item_id GROUP BY item_id)"
+_RANKS = f"(SELECT item_id AS query_id, min(rank) AS rank FROM benchmark LEFT JOIN (SELECT t.query_id, t.rank FROM {_top(_SEARCHED, 10)} t JOIN documents d ON d.doc_id = t.chunk_id WHERE contains(lower(d.source), CASE WHEN t.query_id % 2 = 0 THEN 'src1' ELSE 'src2' END)) ON query_id = item_id GROUP BY item_id)"
 
 
 def _ranks(spark, sf_dir):
@@ -314,7 +315,7 @@ def pattern_metrics(spark, sf_dir):
     return evaluate.retrieval_metrics(_ranks(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("recall_at_5", "recall_at_10", "mrr_at_10")})
 
 
-_NOW = f"(SELECT query_id, min(rank) AS rank FROM (SELECT t.query_id, t.rank, t.chunk_id FROM {_top(_KEYWORD, 10)} t) JOIN (SELECT id, unnest(docs) AS doc_id FROM {_EXPECTED}) x ON x.id = query_id AND x.doc_id = chunk_id GROUP BY query_id)"
+_NOW = f"(SELECT query_id, min(rank) AS rank FROM (SELECT t.query_id, t.rank, t.chunk_id FROM {_top(_SEARCHED, 10)} t) JOIN (SELECT id, unnest(docs) AS doc_id FROM {_EXPECTED}) x ON x.id = query_id AND x.doc_id = chunk_id GROUP BY query_id)"
 _WAS = _NOW.replace("shared::DOUBLE / (n_query + 1)", "shared::DOUBLE / (n_query + n_chunk - shared)")
 
 
