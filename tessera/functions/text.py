@@ -39,10 +39,10 @@ def strip_refs(text: Column) -> Column:
 
 
 def drop_clerical(text: Column, prefixes: tuple[str, ...] = CLERICAL_PREFIXES) -> Column:
-    """Without lines that start, after blanks, with a clerical prefix; blank lines stay."""
+    """Without lines that start, after white space, with a clerical prefix; blank lines stay."""
 
     def clerical(line: Column) -> Column:
-        start = F.ltrim(line)
+        start = F.regexp_replace(line, r"^\s+", "")
         found = F.lit(False)
         for prefix in prefixes:
             found = found | F.startswith(start, F.lit(prefix))
@@ -65,7 +65,9 @@ def normalise_ws(text: Column) -> Column:
 
 def html_to_text(html: Column) -> Column:
     """Visible text of HTML: scripts, styles, navigation and comments go, then tags; the usual entities are decoded."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|nav)\b.*?</(?:script|style|nav)>", " ")
+    out = html
+    for tag in ("script", "style", "nav"):  # scripts first, so that one within navigation does not end it
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
     out = F.regexp_replace(out, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
@@ -73,11 +75,34 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
-def wiki_to_text(text: Column, depth: int = 6) -> Column:
-    """Plain text of wiki markup: refs, templates up to ``depth`` deep, file and category links go; labels of links stay."""
-    out = strip_refs(text)
-    for _ in range(depth):
-        out = F.regexp_replace(out, r"\{\{[^{}]*\}\}", "")
+def drop_templates(text: Column) -> Column:
+    """Without ``{{ }}`` templates, however deep; an opening without its end stays, as does an end without an opening.
+
+    Those within which there are no braces go first, level by level; where others are left the pieces between braces are
+    folded from left to right onto a stack that never holds more than what is open.
+    """
+    for _ in range(3):
+        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
+    pieces = F.split(F.regexp_replace(text, r"\{\{|\}\}", "\u0001$0\u0001"), "\u0001")
+
+    def step(open_: Column, piece: Column) -> Column:
+        # The last entry is what was read since the innermost open template began; those before it lie around.
+        size = F.size(open_)
+        said = F.concat(F.get(open_, size - 1), piece)
+        rest = F.slice(open_, 1, size - 1)
+        return (
+            F.when(piece == "{{", F.concat(open_, F.array(F.lit(""))))
+            .when((piece == "}}") & (size > 1), rest)
+            .otherwise(F.concat(rest, F.array(said)))
+        )
+
+    folded = F.aggregate(pieces, F.array(F.lit("")), step, lambda left: F.array_join(left, "{{"))
+    return F.when(F.contains(text, F.lit("{{")), folded).otherwise(text)
+
+
+def wiki_to_text(text: Column) -> Column:
+    """Plain text of wiki markup: refs, templates, file and category links go; labels of links stay."""
+    out = drop_templates(strip_refs(text))
     out = F.regexp_replace(out, r"(?i)\[\[(?:File|Image|Category):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", "")
     out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
     out = F.regexp_replace(out, r"\[https?://\S+\s+([^\]]*)\]", "$1")

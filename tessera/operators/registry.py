@@ -91,3 +91,8 @@ def drop_empty_tags(rows: DataFrame, tags: str = "themes") -> DataFrame:
 def counts_by(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows for each key."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def attribution(pages: DataFrame, title: str = "title", url: str = "url") -> DataFrame:
+    """``pages`` with the ``line`` that names each one's title and address."""
+    return pages.withColumn("line", F.format_string("%s | %s", title, url))

@@ -19,7 +19,7 @@ def turns(spark, sf_dir):
     modes = F.array(*[F.lit(m) for m in ("open_analysis", "guided_learning", "perspective_shift", "none")])
     mode = F.get(modes, ((F.col("conv_id") + F.col("turn_index") * F.col("turn_index")) % 4).cast("int"))
     words = lambda x: F.coalesce(F.regexp_count(x, F.lit(r"\S+")), F.lit(0)).cast("long")
-    rows = rows.withColumn("mode", mode).withColumn("user_message", F.regexp_replace(F.substring("text", 1, 40), "[\"\\\\\n]", " ")).withColumn("said", F.regexp_replace(F.substring(F.coalesce("reply", F.lit("none")), 1, 60), "[\"\\\\\n]", " "))
+    rows = rows.withColumn("mode", mode).withColumn("user_message", F.regexp_replace("text", "[\"\\\\\n]", " ")).withColumn("said", F.regexp_replace(F.coalesce("reply", F.lit("none")), "[\"\\\\\n]", " "))
     field = F.when(F.col("mode") == "open_analysis", "analysis").when(F.col("mode") == "guided_learning", "explanation").otherwise("character_response")
     return rows.select(
         F.col("conv_id").alias("conversation_id"), "turn_index", "user_message", F.concat(F.lit('{"'), field, F.lit('": "'), F.col("said"), F.lit('"}')).alias("agent_response"), "mode",
@@ -28,8 +28,8 @@ def turns(spark, sf_dir):
 
 
 _BASE = "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_index FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reply FROM conversations) WHERE role = 'user')"
-_CLEAN = "regexp_replace(substr({x}, 1, {n}), '[\"\\\\\\n]', ' ', 'g')"
-TURNS = f"""(SELECT conv_id AS conversation_id, turn_index, {_CLEAN.format(x='text', n=40)} AS user_message, trim({_CLEAN.format(x="coalesce(reply, 'none')", n=60)}, ' ') AS said, ['open_analysis', 'guided_learning', 'perspective_shift', 'none'][(conv_id + turn_index * turn_index) % 4 + 1] AS mode,
+_CLEAN = "regexp_replace({x}, '[\"\\\\\\n]', ' ', 'g')"
+TURNS = f"""(SELECT conv_id AS conversation_id, turn_index, {_CLEAN.format(x='text')} AS user_message, trim({_CLEAN.format(x="coalesce(reply, 'none')")}, ' ') AS said, ['open_analysis', 'guided_learning', 'perspective_shift', 'none'][(conv_id + turn_index * turn_index) % 4 + 1] AS mode,
  CASE WHEN conv_id % 3 = 0 THEN 'iris' END AS character, {count_sql('text')} AS tokens_in, coalesce({count_sql('reply')}, 0) AS tokens_out, {count_sql('text')} / 1000.0::DOUBLE AS cost_usd FROM {_BASE})"""
 
 

@@ -12,16 +12,16 @@ from tessera.plans.base import count_sql, fixed_sql, query, table, words_sql
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with wiki-like markup around their text."""
     docs = table(spark, sf_dir, "documents")
-    parts = [F.lit("{{Infobox|a=1}}Front '''"), F.col("source"), F.lit("''' is here<ref name=\"x\">cite "), F.col("doc_id").cast("string"), F.lit("</ref> and <ref name=y /> there.<!-- gone\nnow -->\n| row = "), F.col("lang"), F.lit("\n120px|thumb|caption\nCategory:"), F.col("lang"), F.lit("\n\n\n\n"), F.substring("text", 1, 400), F.lit("\n== Biography ==\n"), F.substring("text", 1, 900), F.lit("\n=== Early life {{x}} ===\n"), F.substring("text", 401, 900), F.lit("\n== References ==\nnone")]
+    parts = [F.lit("{{Infobox|a=1}}Front '''"), F.col("source"), F.lit("''' is here<ref name=\"x\">cite "), F.col("doc_id").cast("string"), F.lit("</ref> and <ref name=y /> there.<!-- gone\nnow -->\n| row = "), F.col("lang"), F.lit("\n120px|thumb|caption\nCategory:"), F.col("lang"), F.lit("\n\n\n\n"), F.col("text"), F.lit("\n== Biography ==\n"), F.col("text"), F.lit("\n=== Early life {{x}} ===\n"), F.col("text"), F.lit("\n== References ==\nnone")]
     return docs.select("doc_id", "lang", "source", F.concat(*parts).alias("markup"))
 
 
 MARKED_SQL = """(SELECT doc_id, lang, source, '{{Infobox|a=1}}Front ''''''' || source || ''''''' is here<ref name="x">cite ' || doc_id || '</ref> and <ref name=y /> there.<!-- gone' || chr(10) || 'now -->' || chr(10) || '| row = ' || lang
- || chr(10) || '120px|thumb|caption' || chr(10) || 'Category:' || lang || chr(10) || chr(10) || chr(10) || chr(10) || substr(text, 1, 400) || chr(10) || '== Biography ==' || chr(10) || substr(text, 1, 900)
- || chr(10) || '=== Early life {{x}} ===' || chr(10) || substr(text, 401, 900) || chr(10) || '== References ==' || chr(10) || 'none' AS markup FROM documents)"""
+ || chr(10) || '120px|thumb|caption' || chr(10) || 'Category:' || lang || chr(10) || chr(10) || chr(10) || chr(10) || text || chr(10) || '== Biography ==' || chr(10) || text
+ || chr(10) || '=== Early life {{x}} ===' || chr(10) || text || chr(10) || '== References ==' || chr(10) || 'none' AS markup FROM documents)"""
 
 _REFS = r"regexp_replace(regexp_replace(regexp_replace(markup, '(?is)<ref[^>/]*/>', '', 'g'), '(?is)<ref[^>]*>.*?</ref>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
-_CLERICAL = "array_to_string(list_filter(string_split(markup, chr(10)), lambda x: NOT (starts_with(ltrim(x), '|') OR starts_with(ltrim(x), '{{') OR starts_with(ltrim(x), '}}') OR starts_with(ltrim(x), 'Category:'))), chr(10))"
+_CLERICAL = r"array_to_string(list_filter(string_split(markup, chr(10)), lambda x: NOT (starts_with(regexp_replace(x, '^\s+', ''), '|') OR starts_with(regexp_replace(x, '^\s+', ''), '{{') OR starts_with(regexp_replace(x, '^\s+', ''), '}}') OR starts_with(regexp_replace(x, '^\s+', ''), 'Category:'))), chr(10))"
 
 
 @query(f"SELECT doc_id, {_REFS} AS cleaned FROM {MARKED_SQL}")
@@ -40,7 +40,7 @@ def drop_image_residue(spark, sf_dir):
 
 
 @query(
-    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|nav)\b.*?</(?:script|style|nav)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<nav\b.*?</nav\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages)
     SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS page_text FROM a"""
 )
 def html_to_text(spark, sf_dir):
@@ -74,9 +74,9 @@ def collapse_paragraph(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.collapse_paragraph(text, 60).alias("paragraph"))
 
 
-@query("SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN s = '' THEN 'section' ELSE s END AS slug FROM (SELECT doc_id, lower(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS s FROM documents)")
 def slugify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.substring("text", 1, 40)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
 
 
 @query()
@@ -94,9 +94,9 @@ def section_tree(spark, sf_dir):
 
 
 @query(
-    rf"""SELECT doc_id, ['Biography'] AS path, regexp_replace(substr(text, 1, 900), '^\s+|\s+$', '', 'g') AS section_text FROM documents
-    WHERE {count_sql("substr(text, 1, 900)")} >= 60
-    UNION ALL SELECT doc_id, ['Biography', 'Early life'], regexp_replace(substr(text, 401, 900), '^\s+|\s+$', '', 'g') FROM documents WHERE {count_sql("substr(text, 401, 900)")} >= 60"""
+    rf"""SELECT doc_id, ['Biography'] AS path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS section_text FROM documents
+    WHERE {count_sql("text")} >= 60
+    UNION ALL SELECT doc_id, ['Biography', 'Early life'], regexp_replace(text, '^\s+|\s+$', '', 'g') FROM documents WHERE {count_sql("text")} >= 60"""
 )
 def kept_sections(spark, sf_dir):
     rows = chunk.keep_sections(_sections(spark, sf_dir), ["biography", "relationships"], ["references", "trivia"])
@@ -137,13 +137,14 @@ def chunk_paragraph(spark, sf_dir):
     return _slim(chunk.build_chunks(table(spark, sf_dir, "documents"), "paragraph", sep="\n"))
 
 
-@query(
-    rf"""WITH p AS (SELECT doc_id, c[i] AS p, i FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {_PARAGRAPHS} AS c FROM documents))),
+_RECURSIVE_SQL = rf"""WITH p AS (SELECT doc_id, c[i] AS p, i FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, {_PARAGRAPHS} AS c FROM documents))),
     w AS (SELECT doc_id, i, p, {words_sql("p")} AS w FROM p),
     x AS (SELECT doc_id, i, 0 AS k, p AS text FROM w WHERE len(w) <= 300
       UNION ALL SELECT doc_id, i, k, array_to_string(w[k+1:k+300], ' ') FROM (SELECT *, unnest(range(0, len(w), 250)) AS k FROM w WHERE len(w) > 300))
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1)::INT AS chunk_index, text, 'recursive' AS strategy FROM x"""
-)
+
+
+@query(_RECURSIVE_SQL)
 def chunk_recursive(spark, sf_dir):
     return _slim(chunk.build_chunks(table(spark, sf_dir, "documents"), "recursive", sep="\n"))
 
@@ -164,9 +165,9 @@ def ingest_with_metadata(spark, sf_dir):
     return rows.select("chunk_id", "doc_id", F.col("metadata")["collection"].alias("collection"), "chunk_type")
 
 
-@query(f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, sum({count_sql('text')})::BIGINT AS n_words FROM (SELECT * FROM ({_FIXED_SQL}) UNION ALL SELECT * FROM ({_SENTENCE_SQL}) UNION ALL SELECT * FROM ({_PARAGRAPH_SQL})) GROUP BY strategy")
+@query(f"SELECT strategy, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, sum({count_sql('text')})::BIGINT AS n_words FROM (SELECT * FROM ({_FIXED_SQL}) UNION ALL SELECT * FROM ({_SENTENCE_SQL}) UNION ALL SELECT * FROM ({_PARAGRAPH_SQL}) UNION ALL SELECT * FROM ({_RECURSIVE_SQL})) GROUP BY strategy")
 def chunk_sweep(spark, sf_dir):
-    rows = chunk.sweep(table(spark, sf_dir, "documents"), {"fixed": {}, "sentence": {}, "paragraph": {"sep": "\n"}})
+    rows = chunk.sweep(table(spark, sf_dir, "documents"), {"fixed": {}, "sentence": {}, "paragraph": {"sep": "\n"}, "recursive": {"sep": "\n"}})
     return rows.groupBy("strategy").agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.sum(T.token_count(F.col("text"))).alias("n_words"))
 
 
@@ -258,7 +259,7 @@ def upsert_latest(spark, sf_dir):
 @query("SELECT doc_id, 'd' || doc_id AS title, source || '/' || lang AS url, 'd' || doc_id || ' | ' || source || '/' || lang AS line FROM documents")
 def attribution(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.concat_ws("/", "source", "lang").alias("url"))
-    return rows.withColumn("line", F.format_string("%s | %s", "title", "url"))
+    return registry.attribution(rows)
 
 
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")

@@ -11,17 +11,16 @@ from tessera.plans.base import query, table
 def _answers(spark, sf_dir):
     """Documents as answers: cited tokens are words of the text, expected ones its language and source."""
     d = table(spark, sf_dir, "documents")
-    head = F.substring("text", 1, 160)
-    answer = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("The provided context does not say. "), head)).otherwise(head)
+    answer = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("The provided context does not say. "), F.col("text"))).otherwise(F.col("text"))
     return d.select(
-        "doc_id", answer.alias("answer"), F.substring("text", 161, 120).alias("more"), F.substring("text", 281, 40).alias("tail"),
-        F.concat_ws(" ", F.col("lang"), F.col("source"), F.lit("THE")).alias("expected"), F.concat_ws(" ", F.substring("text", 1, 300), F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("cited"),
+        "doc_id", answer.alias("answer"), F.col("text").alias("more"), F.col("text").alias("tail"),
+        F.concat_ws(" ", F.col("lang"), F.col("source"), F.lit("THE")).alias("expected"), F.concat_ws(" ", F.col("text"), F.when(F.col("doc_id") % 2 == 0, F.col("source"))).alias("cited"),
         F.when(F.col("doc_id") % 9 == 0, "distractor").otherwise("easy").alias("kind"), F.element_at(F.array(F.lit("high "), F.lit("Low"), F.lit("sure")), (F.col("doc_id") % 3 + 1).cast("int")).alias("confidence"), "text", "source", "lang",
     )
 
 
-_A = """(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'The provided context does not say. ' || substr(text, 1, 160) ELSE substr(text, 1, 160) END AS answer, substr(text, 161, 120) AS more, substr(text, 281, 40) AS tail,
- lang || ' ' || source || ' THE' AS expected, substr(text, 1, 300) || CASE WHEN doc_id % 2 = 0 THEN ' ' || source ELSE '' END AS cited,
+_A = """(SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'The provided context does not say. ' || text ELSE text END AS answer, text AS more, text AS tail,
+ lang || ' ' || source || ' THE' AS expected, text || CASE WHEN doc_id % 2 = 0 THEN ' ' || source ELSE '' END AS cited,
  CASE WHEN doc_id % 9 = 0 THEN 'distractor' ELSE 'easy' END AS kind, ['high ', 'Low', 'sure'][doc_id % 3 + 1] AS confidence, text, source, lang FROM documents)"""
 
 
@@ -103,12 +102,12 @@ def perspective_scorers(spark, sf_dir):
     )
 
 
-@query("SELECT d.doc_id, (length(text) >= 100 AND length(source) >= 4 AND length(lang) >= 2 AND length(substr(text, 101, 30)) >= 30 AND length(substr(text, 131, 20)) >= 20) AS analysis, (abs(quality * 20 - toxic * 10 - 10) <= 15 AND (toxic = 1) = (quality = 1) AND length(substr(text, 1, 40)) >= 20) AS graded FROM documents d JOIN labels USING (doc_id)")
+@query("SELECT d.doc_id, (length(text) >= 100 AND length(source) >= 4 AND length(lang) >= 2 AND length(text) >= 30 AND length(text) >= 20) AS analysis, (abs(quality * 20 - toxic * 10 - 10) <= 15 AND (toxic = 1) = (quality = 1) AND length(text) >= 20) AS graded FROM documents d JOIN labels USING (doc_id)")
 def analysis_and_grader(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     return d.select(
-        "doc_id", I.analysis_pass(d.text, F.substring("text", 101, 30), F.substring("text", 131, 20)).alias("analysis"),
-        I.grader_pass(d.quality * 20, d.toxic * 10 + 10, d.toxic == 1, d.quality == 1, F.substring("text", 1, 40)).alias("graded"),
+        "doc_id", I.analysis_pass(d.text, F.col("text"), F.col("text")).alias("analysis"),
+        I.grader_pass(d.quality * 20, d.toxic * 10 + 10, d.toxic == 1, d.quality == 1, F.col("text")).alias("graded"),
     )
 
 

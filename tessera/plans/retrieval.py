@@ -214,10 +214,10 @@ def context_string(spark, sf_dir):
 
 def _items(spark, sf_dir):
     rows = _candidates(spark, sf_dir, 4).join(_documents(spark, sf_dir).select("chunk_id", F.col("source").alias("chapter")), "chunk_id")
-    return rows.withColumn("text", F.substring("text", 1, 100)).withColumnRenamed("chunk_id", "doc_id")
+    return rows.withColumnRenamed("chunk_id", "doc_id")
 
 
-_ITEMS = f"(SELECT t.query_id, t.rank, t.chunk_id AS doc_id, d.source AS chapter, substr(d.text, 1, 100) AS text, t.score FROM {_top(_SEARCHED, 4)} t JOIN documents d ON d.doc_id = t.chunk_id)"
+_ITEMS = f"(SELECT t.query_id, t.rank, t.chunk_id AS doc_id, d.source AS chapter, d.text, t.score FROM {_top(_SEARCHED, 4)} t JOIN documents d ON d.doc_id = t.chunk_id)"
 _CUT = "regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _HEAD = "'Relevant knowledge:' || chr(10) || chr(10) || "
 _NL = "chr(10) || chr(10)"
