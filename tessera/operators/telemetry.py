@@ -7,10 +7,49 @@ session_id, capability, success, latency_ms and cost_usd.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import materialise
+
+
+def values_at(rows: DataFrame, value: str, keys: list[str], places: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
+    """``keys`` and, by name, the values of each group at 0-based places of their order, which ``places`` finds from the group's size.
+
+    Equal values are counted first; the counts are dealt out by ranges of key and value, and running sums go over the
+    ranges and then within each, so that no task has a whole group. ``weight`` is how often a row counts. Null values
+    are left out.
+    """
+    count = F.count("*") if weight is None else F.sum(weight)
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(count.alias("__c"))
+    ranged = materialise(counted.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "ranged")
+    marks = ranged.groupBy(*keys, "__part").agg(F.sum("__c").alias("__m"))
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    marks = marks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"), F.sum("__m").over(W.partitionBy(*keys)).alias("__size"))
+    met = F.col("__part") == F.col("__p")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = W.partitionBy(*keys, "__part").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    placed = ranged.join(marks, met).withColumn("__to", F.col("__start") + F.sum("__c").over(within))
+    here = lambda at: (at(F.col("__size")) < F.col("__to")) & (at(F.col("__size")) >= F.col("__to") - F.col("__c"))
+    found = [F.max(F.when(here(at), F.col("__v"))).alias(name) for name, at in places.items()]
+    return placed.groupBy(*keys).agg(*found, F.max("__size").alias("n"))
+
+
+def percentile_cont(rows: DataFrame, value: str, shares: list[float], keys: list[str], weight: str | None = None) -> DataFrame:
+    """``keys``, interpolated percentiles ``p50``, ... and the number ``n`` of values that are not null."""
+    at = lambda p, n: F.lit(p) * (n - 1)
+    places = {}
+    for p in shares:
+        places |= {f"__low{p}": lambda n, p=p: F.floor(at(p, n)), f"__high{p}": lambda n, p=p: F.ceil(at(p, n))}
+    found = values_at(rows, value, keys, places, weight)
+    part = lambda p: at(p, F.col("n")) - F.floor(at(p, F.col("n")))
+    low, high = (lambda p, end=end: F.col(f"`__{end}{p}`").cast("double") for end in ("low", "high"))
+    return found.select(*keys, *[(low(p) + (high(p) - low(p)) * part(p)).alias(f"p{round(p * 100)}") for p in shares], "n")
+
 
 def estimate_cost(events: DataFrame, pricing: DataFrame, default: str = "default") -> DataFrame:
     """``events`` with ``estimated``: tokens at the model's rate for a million, else at the default's.
@@ -89,7 +128,7 @@ def latency_by_kind(events: DataFrame, since: float | None = None) -> DataFrame:
     """Interpolated p50 and p95 of each kind from a cutoff on, null latencies left out."""
     rows = events.filter("latency_ms is not null")
     rows = rows if since is None else rows.filter(F.col("ts") >= since)
-    return rows.groupBy("kind").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50"), F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"), F.count("*").alias("n"))
+    return percentile_cont(rows, "latency_ms", [0.5, 0.95], ["kind"])
 
 
 def events_of_kind(events: DataFrame, kind: str) -> DataFrame:
@@ -126,25 +165,25 @@ def success_rate(turns: DataFrame) -> DataFrame:
 def percentile_nearest(rows: DataFrame, value: str, shares: list[float], keys: list[str] | None = None) -> DataFrame:
     """Nearest-rank percentiles: the value at place min(int(n * p), n - 1) of the sorted ones, 0-based.
 
-    With keys the place is found by window, so that a group may be large. Without, the rows are counted first and
-    the place becomes the share of a discrete percentile, whose partial sums are made in each task.
+    Groups may be large: see :func:`values_at`.
     """
-    known = rows.filter(F.col(value).isNotNull())
-    if not keys:
-        n = known.count()
-        share = lambda p: (min(int(n * p), n - 1) + 0.5) / n if n else p
-        return known.agg(*[F.expr(f"percentile_disc({share(p)!r}D) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in shares])
-    counts = known.groupBy(*keys).agg(F.count("*").alias("__n"))
-    at = F.row_number().over(W.partitionBy(*keys).orderBy(value)) - 1
-    joined = known.select(*keys, F.col(value).alias("__v"), at.alias("__at")).join(counts, keys)
-    place = lambda p: F.least(F.floor(F.col("__n") * F.lit(p)), F.col("__n") - 1)
-    return joined.groupBy(*keys).agg(*[F.max(F.when(F.col("__at") == place(p), F.col("__v"))).alias(f"p{round(p * 100)}") for p in shares])
+    place = lambda p: lambda n: F.least(F.floor(n * F.lit(p)), n - 1)
+    found = values_at(rows, value, keys or [], {f"p{round(p * 100)}": place(p) for p in shares})
+    return found.drop("n")
 
 
 def latency_summary(rows: DataFrame, value: str = "latency_ms", keys: list[str] | None = None) -> DataFrame:
     """min, max, mean and interpolated p50, p95, p99."""
-    share = lambda p: F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(*(keys or [])).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), share(0.5).alias("p50"), share(0.95).alias("p95"), share(0.99).alias("p99"))
+    keys = keys or []
+    base = rows.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    shares = percentile_cont(rows, value, [0.5, 0.95, 0.99], keys).drop("n")
+    if not keys:
+        return base.join(F.broadcast(shares), F.lit(True), "left")  # one row each
+    shares = shares.select(*[F.col(k).alias(f"__{k}") for k in keys], "p50", "p95", "p99")
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return base.join(shares, met, "left").drop(*[f"__{k}" for k in keys])
 
 
 def cost_per_task(turns: DataFrame, capability: str | None = None) -> DataFrame:
@@ -169,7 +208,7 @@ def slow_trace_bottleneck(events: DataFrame, seconds: float = 5.0, trace: str =
     """p95 latency by agent and kind within traces that last longer than ``seconds``."""
     slow = events.groupBy(trace).agg((F.max("ts") - F.min("ts")).alias("__s")).filter(F.col("__s") > seconds).select(trace)
     rows = events.join(slow, trace, "left_semi").filter("latency_ms is not null")
-    return rows.groupBy(agent, "kind").agg(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95"), F.count("*").alias("n"))
+    return percentile_cont(rows, "latency_ms", [0.95], [agent, "kind"])
 
 
 def flatten_payload(payload: Column, cut: int = 256) -> Column:

@@ -49,7 +49,7 @@ def stream_cost_rollup(spark, sf_dir):
 @query("SELECT date_trunc('day', ts) AS day, event_type AS kind, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY ALL")
 def stream_latency_rollup(spark, sf_dir):
     rows = _stream(spark, sf_dir).select("ts", F.col("event_type").alias("kind"), F.col("value").alias("latency_ms"))
-    out = drained(K.stream_latency(rows, "1 day"), "complete")
+    out = K.latency_of_counts(drained(K.stream_latency(rows, "1 day"), "complete"))
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 

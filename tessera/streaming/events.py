@@ -12,8 +12,7 @@ from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 from tessera.operators.assemble import assemble
-from tessera.operators.retrieve import topk
-from tessera.operators.telemetry import estimate_cost
+from tessera.operators.telemetry import estimate_cost, percentile_cont
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -35,11 +34,24 @@ def stream_cost(events: DataFrame, pricing: DataFrame, window: str = "1 hour", d
 
 
 def stream_latency(events: DataFrame, window: str = "1 hour", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """p50 and p95 latency of each window and kind."""
+    """How often each latency came in each window and kind, ``(window, kind, latency_ms, n)``; :func:`latency_of_counts` reads them.
+
+    State is one small row for each of these, and no list of a window's values.
+    """
     rows = events.withWatermark("ts", delay).filter("latency_ms is not null")
     frame = F.window("ts", window, slide) if slide else F.window("ts", window)
-    share = lambda p: F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY latency_ms)")
-    return rows.groupBy(frame, "kind").agg(share(0.5).alias("p50"), share(0.95).alias("p95"), F.count("*").alias("n"))
+    return rows.groupBy(frame, "kind", "latency_ms").agg(F.count("*").alias("n"))
+
+
+def latency_of_counts(counts: DataFrame) -> DataFrame:
+    """p50, p95 and number of each window and kind, from the newest rows of :func:`stream_latency`."""
+    newest = counts.groupBy("window", "kind", "latency_ms").agg(F.max("n").alias("times"))
+    return percentile_cont(newest, "latency_ms", [0.5, 0.95], ["window", "kind"], weight="times")
+
+
+def late_rows(query) -> int:
+    """Rows that a stream has left out because they came behind the watermark, over all its batches."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"])
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", delay: str | None = None) -> DataFrame:
@@ -113,14 +125,44 @@ def stream_topk(rows: DataFrame, k: int, key: str = "query_id") -> DataFrame:
     return rows.groupBy(key).transformWithStateInPandas(_TopK(k, rows.columns, rows.schema), out, "Update", "None")
 
 
-def stream_context(rows: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 5, **options):
-    """A writer that assembles the context of each micro-batch's queries and hands it to ``sink``."""
+class _Context(StatefulProcessor):
+    """Keeps what was unlike all before it, and sends a key's k best of that whenever it has new rows."""
+
+    def __init__(self, k: int, least: float, threshold: float, fields: list[str], schema: StructType):
+        self.k, self.least, self.fields, self.schema = k, least, fields, schema
+        self.dedup = _Dedup(threshold, None)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.dedup.init(handle)
+        self.best = handle.getListState("best", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = [tuple(x) for x in self.best.get()] if self.best.exists() else []
+        good = (part[part["score"] >= self.least].reset_index(drop=True) for part in rows)
+        new = list(self.dedup.handleInputRows(key, good, timers))
+        if new:
+            frame = pd.concat([*([pd.DataFrame(held, columns=self.fields)] if held else []), *new], ignore_index=True)
+            frame = frame.sort_values("score", ascending=False, kind="stable").head(self.k)
+            self.best.put([tuple(x) for x in frame.itertuples(index=False)])
+            yield frame.assign(rank=range(1, len(frame) + 1))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_context(rows: DataFrame, sink: Callable[[DataFrame, int], None], k: int = 5, least: float = 0.0, threshold: float = 0.95, key: str = "query_id", **options):
+    """A writer that leaves out low scores and near-duplicates of kept rows, and hands the contexts of the k best to ``sink``.
+
+    What was kept and what is best are state: a query's context is made of all its rows so far, and is sent anew in
+    each batch that changes it.
+    """
+    out = StructType([*rows.schema.fields]).add("rank", "integer")
+    best = rows.groupBy(key).transformWithStateInPandas(_Context(k, least, threshold, rows.columns, rows.schema), out, "Update", "None")
 
     def each(batch: DataFrame, number: int) -> None:
-        best = topk(batch.drop("rank") if "rank" in batch.columns else batch, k, order=("doc_id",))
-        sink(assemble(best, **options), number)
+        sink(assemble(batch, threshold=1.01, **options), number)
 
-    return rows.writeStream.foreachBatch(each)
+    return best.writeStream.outputMode("update").foreachBatch(each)
 
 
 class _TurnIndex(StatefulProcessor):

@@ -35,9 +35,11 @@ def test_events_once(spark, source):
 
 
 def test_latency_and_cost_windows(spark, source):
-    got = drain(spark, K.stream_latency(stream(spark, source), "1 day"), "latency", "update")
-    want = source[1].groupBy(F.window("ts", "1 day"), "kind").agg(F.count("*").alias("n"))
-    assert got.groupBy("window", "kind").agg(F.max("n").alias("n")).exceptAll(want).count() == 0
+    got = K.latency_of_counts(drain(spark, K.stream_latency(stream(spark, source), "1 day"), "latency", "update"))
+    exact = [F.round(F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY latency_ms)"), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))]
+    want = source[1].groupBy(F.window("ts", "1 day"), "kind").agg(*exact, F.count("*").alias("n"))
+    got = got.select("window", "kind", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
     pricing = spark.createDataFrame([("default", 1.0, 1.0)], "model string, input double, output double")
     calls = stream(spark, source).selectExpr("ts", "'m' model", "kind capability", "1000000 tokens_in", "0 tokens_out")
     cost = drain(spark, K.stream_cost(calls, pricing, "365 days"), "cost", "complete")
@@ -73,9 +75,49 @@ def test_turn_index_compaction_and_streaks(spark, tmp_path):
     assert [r.failures for r in drain(spark, K.stream_streaks(df, 3, "conversation_id"), "streaks").collect()] == [3]
 
 
-def test_context_of_each_batch(spark, tmp_path):
-    df = small(spark, tmp_path, [(1, 10, "ch", "some text", 0.9), (1, 11, "ch", "more words", 0.8)], "query_id long, doc_id long, chapter string, text string, score double")
+def batches(spark, tmp_path, parts, schema):
+    """A stream that takes one part after the other."""
+    path = tmp_path / "parts"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(path))
+        new = max(path.glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+        import os
+
+        os.utime(new, (1_700_000_000 + i, 1_700_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_context_is_kept_across_batches(spark, tmp_path):
+    K.use_rocksdb(spark)
+    parts = [
+        [(1, 10, "ch", "some text", 0.9), (1, 11, "ch", "more words", 0.8), (2, 12, "ch", "low", 0.1)],
+        [(1, 13, "ch", "some text", 0.95), (1, 14, "ch", "third thing", 0.85), (3, 15, "ch", "other", 0.5)],
+        [(1, 16, "ch", "more words", 0.99)],
+    ]
+    df = batches(spark, tmp_path, parts, "query_id long, doc_id long, chapter string, text string, score double")
     seen = []
-    q = K.stream_context(df, lambda out, n: seen.extend(out.collect()), strategy="naive").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert len(seen) == 1 and seen[0].context.endswith("some text\n\nmore words")
+    q = K.stream_context(df, lambda out, n: seen.extend((n, r.query_id, r.context) for r in out.collect()), k=2, least=0.2, strategy="naive").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    head = "Relevant knowledge:\n\n"
+    assert sorted(seen) == [(0, 1, f"{head}some text\n\nmore words"), (1, 1, f"{head}some text\n\nthird thing"), (1, 3, f"{head}other")]
+
+
+def test_late_rows_are_left_out_and_counted(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    parts = [[(at(0), "a", 1), (at(200), "a", 2)], [(at(210), "a", 3)], [(at(5), "a", 4), (at(7), "b", 5), (at(220), "b", 6)]]
+    df = batches(spark, tmp_path, parts, "ts timestamp, turn_id string, seq int")
+    q = K.stream_events(df, "10 minutes").writeStream.format("memory").queryName("late").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.seq for r in spark.table("late").collect()) == [1, 2, 3, 6] and K.late_rows(q) == 2
+
+
+def test_sessions_as_a_stream(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    parts = [[("a", at(0)), ("a", at(20))], [("a", at(45)), ("b", at(50))], [("a", at(300))], [("b", at(600))]]
+    df = batches(spark, tmp_path, parts, "user_id string, ts timestamp")
+    got = drain(spark, K.sessions(df, "30 minutes", delay="5 minutes"), "spans")
+    assert sorted((r.user_id, r.session.start, r.events) for r in got.collect()) == [("a", at(0), 3), ("a", at(300), 1), ("b", at(50), 1)]
