@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,29 +82,35 @@ def budget(rows: DataFrame, most: int, reserved: int = 0, key: str = "session_id
     return rows.groupBy(key).agg(F.sum("tokens").alias("used")).withColumn("remaining", F.lit(most - reserved) - F.col("used"))
 
 
-def fit_budget(rows: DataFrame, most: int, key: str = "session_id", order: str = "ts") -> DataFrame:
+def fit_budget(rows: DataFrame, most: int, key: str = "session_id", order: str = "ts", compress: Callable[[list[str]], str] | None = None, protected: tuple[str, ...] = ("system",)) -> DataFrame:
     """The entries ``(session_id, role, content, tokens, priority, ts)`` that a session holds at its end, with ``error`` for those refused.
 
-    Entries come in order. To make room the lowest by (priority, ts) go, never system ones; an entry over the
-    budget is refused, as is one for which nothing more can go. A session is the bounded group of the fold.
+    Entries come in order. To make room the lowest by (priority, ts) go, never ``protected`` roles. If nothing more can
+    go, ``compress`` makes one entry of priority 2 of all retrieved ones; an entry over the budget is refused, as is one
+    for which there is no room even then. A session is the bounded group of the fold.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         held, refused = [], []
         for row in frame.sort_values(order, kind="stable").to_dict("records"):
-            used = sum(h["tokens"] for h in held)
             if row["tokens"] > most:
                 refused.append(row | {"error": "entry exceeds budget"})
                 continue
-            free = sorted((h for h in held if h["role"] != "system"), key=lambda h: (h["priority"], h[order]))
-            gone = []
-            while used + row["tokens"] > most and free:
-                gone.append(free.pop(0))
-                used -= gone[-1]["tokens"]
-            if used + row["tokens"] > most:
-                refused.append(row | {"error": "budget exhausted"})
-                continue
-            held = [h for h in held if not any(h is g for g in gone)] + [row | {"error": None}]
+            while sum(h["tokens"] for h in held) + row["tokens"] > most:
+                free = [h for h in held if h["role"] not in protected]
+                found = [h for h in held if h["role"] == "retrieval"]
+                if free:
+                    gone = [min(free, key=lambda h: (h["priority"], h[order]))]
+                elif compress is not None and len(found) > sum(h["priority"] == 2.0 for h in found):
+                    gone = found
+                    said = compress([h["content"] for h in found])
+                    held.append(found[-1] | {"content": said, "tokens": len(said.split()), "priority": 2.0})
+                else:
+                    refused.append(row | {"error": "budget exhausted"})
+                    break
+                held = [h for h in held if not any(h is g for g in gone)]
+            else:
+                held.append(row | {"error": None})
         return pd.DataFrame([*held, *refused], columns=[*frame.columns, "error"])
 
     return rows.groupBy(key).applyInPandas(run, rows.withColumn("error", F.lit(None).cast("string")).schema)

@@ -389,6 +389,24 @@ def split_overlap(train: DataFrame, held_out: DataFrame, key: str = "text") -> D
     return train.select(key).intersect(held_out.select(key))
 
 
+def split_sizes(train: DataFrame, held_out: DataFrame, least_train: int = 15, least_held_out: int = 1) -> DataFrame:
+    """Rows of both parts, and whether there are enough."""
+    both = train.agg(F.count("*").alias("n_train")).join(held_out.agg(F.count("*").alias("n_held_out")), F.lit(True))
+    return both.withColumn("enough", (F.col("n_train") >= least_train) & (F.col("n_held_out") >= least_held_out))
+
+
+#: Score bands of which an evaluation set should have rows, both ends included.
+BANDS = {"very low": (None, 20), "middle": (40, 70), "high": (80, None)}
+
+
+def class_spread(rows: DataFrame, value: str, bands: dict[str, tuple] = BANDS) -> DataFrame:
+    """``(band, n, covered)`` for each band of a value."""
+    c = F.col(value)
+    inside = lambda low, high: (F.lit(True) if low is None else c >= low) & (F.lit(True) if high is None else c <= high)
+    counts = rows.agg(*[F.count_if(inside(*ends)).alias(band) for band, ends in bands.items()])
+    return counts.unpivot([], list(bands), "band", "n").withColumn("covered", F.col("n") > 0)
+
+
 def unknown_citations(rows: DataFrame, docs: DataFrame, citations: str = "expected_docs") -> DataFrame:
     """``(id, doc_id)`` of citations of unknown documents."""
     return rows.select("id", F.explode(citations).alias("doc_id")).join(docs.select("doc_id").distinct(), "doc_id", "left_anti")

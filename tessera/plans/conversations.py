@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import assemble as A
 from tessera.operators import conversation as G
-from tessera.plans.base import count_sql, query, table
+from tessera.operators import hooks
+from tessera.plans.base import count_sql, query, table, words_sql
 
 
 def turns(spark, sf_dir):
@@ -231,6 +232,18 @@ def fit_budget(spark, sf_dir):
     return A.fit_budget(entries(spark, sf_dir), 200).select("session_id", "ts", "tokens", "error")
 
 
+@query()
+def fit_budget_compressed(spark, sf_dir):
+    first = lambda texts: " ".join(t.split()[0] if t.split() else "" for t in texts)
+    return A.fit_budget(entries(spark, sf_dir), 200, compress=first, protected=("system", "retrieval")).select("session_id", "ts", "tokens", "priority", "error")
+
+
+@query(f"SELECT conv_id, turn, array_to_string(({words_sql('text')})[1:3], ' ') AS said FROM conversations")
+def summarised_turns(spark, sf_dir):
+    beginnings = hooks.text_hook(lambda texts: [" ".join(t.split()[:3]) for t in texts])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", beginnings(F.col("text")).alias("said"))
+
+
 @query(f"SELECT session_id, ts FROM {ENTRIES} WHERE role <> 'retrieval'")
 def clear_retrieval(spark, sf_dir):
     return A.clear_retrieval(entries(spark, sf_dir)).select("session_id", "ts")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunk, registry
+from tessera.operators import chunk, hooks, registry
 from tessera.plans.base import count_sql, fixed_sql, query, table, words_sql
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,3 +265,9 @@ def attribution(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
 def counts_by_key(spark, sf_dir):
     return registry.counts_by(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents")
+def embedded_documents(spark, sf_dir):
+    vectors = table(spark, sf_dir, "documents").select("doc_id", hooks.embedder(hooks.hashing_embedder(64))(F.col("text")).alias("v"))
+    return vectors.select("doc_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 3).alias("length"))

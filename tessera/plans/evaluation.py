@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as I
+from tessera.operators import hooks
 from tessera.plans.base import query, table
 
 
@@ -224,6 +225,27 @@ def split_overlap(spark, sf_dir):
     return I.split_overlap(d.filter("doc_id % 2 = 0"), d.filter("doc_id % 2 = 1"))
 
 
+@query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS n_train, (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) AS n_held_out, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) >= 15 AND (SELECT count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) >= 15 AS enough")
+def split_sizes(spark, sf_dir):
+    d, known = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    return I.split_sizes(d.join(known, "doc_id", "left_anti"), d.join(known, "doc_id", "left_semi"), 15, 15)
+
+
+@query("SELECT band, n, n > 0 AS covered FROM (SELECT 'very low' AS band, count(*) FILTER (n_chars <= 20) AS n FROM documents UNION ALL SELECT 'middle', count(*) FILTER (n_chars BETWEEN 40 AND 70) FROM documents UNION ALL SELECT 'high', count(*) FILTER (n_chars >= 80) FROM documents)")
+def class_spread(spark, sf_dir):
+    return I.class_spread(table(spark, sf_dir, "documents"), "n_chars")
+
+
+@query("SELECT doc_id, contains(text, source) AS correct, CASE WHEN contains(text, source) THEN 'named' ELSE 'not named' END AS reason FROM documents")
+def judged_answers(spark, sf_dir):
+    def judge(frame):
+        found = [(str(r) in str(a)) for a, r in zip(frame["answer"], frame["reference"])]
+        return [(x, "named" if x else "not named") for x in found]
+
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", hooks.judge_hook(judge)(F.col("lang"), F.col("text"), F.col("source")).alias("v")).select("doc_id", "v.correct", "v.reason")
+
+
 @query("SELECT doc_id AS id, doc_id + 5 AS doc_id FROM labels WHERE doc_id + 5 NOT IN (SELECT doc_id FROM labels)")
 def unknown_citations(spark, sf_dir):
     known = table(spark, sf_dir, "labels")

@@ -48,7 +48,10 @@ def jaccard_topk(spark, sf_dir):
     return E.jaccard_topk(_queries(spark, sf_dir), _documents(spark, sf_dir), 5)
 
 
-@query(f"SELECT query_id, chunk_id, score, rank FROM {_top(f'(SELECT k.* FROM {_SEARCHED} k JOIN documents d ON d.doc_id = k.chunk_id WHERE source = (CASE WHEN query_id % 2 = 0 THEN {chr(39)}src1{chr(39)} ELSE {chr(39)}src2{chr(39)} END))', 3)}")
+_FILTERED3 = _top(f'(SELECT k.* FROM {_SEARCHED} k JOIN documents d ON d.doc_id = k.chunk_id WHERE source = (CASE WHEN query_id % 2 = 0 THEN {chr(39)}src1{chr(39)} ELSE {chr(39)}src2{chr(39)} END))', 3)
+
+
+@query(f"SELECT query_id, chunk_id, score, rank FROM {_FILTERED3}")
 def filtered_topk(spark, sf_dir):
     q = _queries(spark, sf_dir).withColumn("source", F.when(F.col("query_id") % 2 == 0, "src1").otherwise("src2"))
     return E.keyword_topk(q, _documents(spark, sf_dir), 3, where=["source"])
@@ -270,9 +273,10 @@ def _chunk_rank(spark, sf_dir, strategy, **options):
     return E.keyword_topk(_queries(spark, sf_dir), chunks, 10, chunk_id="doc_id")
 
 
-_HITS = f"""(SELECT b.item_id AS id, CASE WHEN docs IS NULL THEN 'distractor' WHEN len(docs) = 1 THEN 'easy' ELSE 'multi' END AS kind, coalesce(docs, []) AS docs, list(t.chunk_id ORDER BY rank) AS got
- FROM benchmark b LEFT JOIN {_EXPECTED} e ON e.id = b.item_id LEFT JOIN {_TOP5} t ON t.query_id = b.item_id GROUP BY ALL)"""
-_SCORED = "(SELECT id, kind, kind = 'distractor' OR len(list_intersect(docs, got)) > 0 AS hit, CASE WHEN kind = 'distractor' OR len(docs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(docs, got))::DOUBLE / len(docs) END AS recall FROM " + _HITS + ")"
+_HITS_OF = """(SELECT b.item_id AS id, CASE WHEN docs IS NULL THEN 'distractor' WHEN len(docs) = 1 THEN 'easy' ELSE 'multi' END AS kind, coalesce(docs, []) AS docs, list(t.chunk_id ORDER BY rank) AS got
+ FROM benchmark b LEFT JOIN {expected} e ON e.id = b.item_id LEFT JOIN {top} t ON t.query_id = b.item_id GROUP BY ALL)"""
+_SCORED_OF = "(SELECT id, kind, kind = 'distractor' OR len(list_intersect(docs, got)) > 0 AS hit, CASE WHEN kind = 'distractor' OR len(docs) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(docs, got))::DOUBLE / len(docs) END AS recall FROM " + _HITS_OF + ")"
+_SCORED = _SCORED_OF.format(expected=_EXPECTED, top=_TOP5)
 
 
 def _scored(spark, sf_dir):
@@ -291,9 +295,11 @@ def summarise_strategy(spark, sf_dir):
     return evaluate.summarise_strategy(rows).drop("tokens").withColumns({c: F.round(c, 6) for c in ("hit_rate", "recall")})
 
 
-@query(f"SELECT id, kind FROM {_SCORED} WHERE NOT hit")
+@query("SELECT id, kind FROM {} WHERE NOT hit".format(_SCORED_OF.format(expected=_EXPECTED, top=_FILTERED3)))
 def misses(spark, sf_dir):
-    return evaluate.misses(_scored(spark, sf_dir)).select("id", "kind")
+    """A search of one source misses what other sources hold."""
+    got = filtered_topk(spark, sf_dir).select(F.col("query_id").alias("id"), F.col("chunk_id").alias("doc_id"))
+    return evaluate.misses(evaluate.hit_recall(got, _questions(spark, sf_dir))).select("id", "kind")
 
 
 _RANKS = f"(SELECT item_id AS query_id, min(rank) AS rank FROM benchmark LEFT JOIN (SELECT t.query_id, t.rank FROM {_top(_SEARCHED, 10)} t JOIN documents d ON d.doc_id = t.chunk_id WHERE contains(lower(d.source), CASE WHEN t.query_id % 2 = 0 THEN 'src1' ELSE 'src2' END)) ON query_id = item_id GROUP BY item_id)"

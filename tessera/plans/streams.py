@@ -18,8 +18,8 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, written batch by batch to the shared folder and read back."""
+def _drain(df: DataFrame, mode: str) -> tuple[DataFrame, int]:
+    """What a stream gives for all that is there now, and how many rows came too late."""
     spark = df.sparkSession
     path = shared_path(spark, "drained")
     write = {"complete": "overwrite"}.get(mode, "append")
@@ -29,7 +29,48 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
 
     run = df.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream")).foreachBatch(each).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), K.late_rows(run)
+
+
+def drained(df: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives for all that is there now, written batch by batch to the shared folder and read back."""
+    return _drain(df, mode)[0]
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, parts: int = 4, late: bool = False) -> DataFrame:
+    """A stream of the events in ``parts`` stretches of time, one batch each; if ``late`` every fiftieth event comes with the last."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - ends.low) * parts / max(1, ends.high - ends.low)))
+    part = F.when(F.lit(late) & (F.col("event_id") % 50 == 0), F.lit(parts - 1)).otherwise(part)
+    path = shared_path(spark, "parts")
+    for k in range(parts):
+        e.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_SPREAD = "(SELECT *, least(3, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 4.0::DOUBLE / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()))) AS part FROM events)"
+
+
+@query(
+    f"""WITH s AS {_SPREAD}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM s WHERE part <= 1 AND event_id % 50 <> 0), l AS (SELECT count(*) AS n FROM s, m WHERE event_id % 50 = 0 AND ts < mark)
+    SELECT (SELECT count(*) FROM events) - l.n AS n_kept, l.n AS n_late FROM l"""
+)
+def stream_late_data(spark, sf_dir):
+    """A batch's rows are late by the watermark that the batch before it began with, so by the first two of four."""
+    rows, late = _drain(K.stream_events(_in_parts(spark, sf_dir, late=True).select("ts", F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq")), "1 hour"), "append")
+    return rows.agg(F.count("*").alias("n_kept"), F.lit(late).cast("long").alias("n_late"))
+
+
+@query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m)
+    SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+)
+def stream_sessions(spark, sf_dir):
+    """Sessions that have ended by the watermark."""
+    out = drained(K.sessions(_in_parts(spark, sf_dir).select("user_id", "ts"), "2 hours", delay="1 hour"))
+    return out.select("user_id", F.col("session.start").cast("timestamp_ntz").alias("started"), "events")
 
 
 @query("SELECT user_id, floor(value)::BIGINT AS seq FROM events GROUP BY ALL")
@@ -91,6 +132,23 @@ def chunk_files(spark, sf_dir):
     return files.count_stored(files.read_chunks(spark, path, rows.schema.simpleString()[7:-1].replace(":", " ")))
 
 
+@query("SELECT page_id::VARCHAR AS slug, url AS canonical_url, html AS wikitext FROM pages")
+def raw_pages(spark, sf_dir):
+    path = shared_path(spark, "pages")
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("slug"), F.col("url").alias("canonical_url"), F.col("html").alias("wikitext"))
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+    return files.read_pages(spark, path).select("slug", "canonical_url", "wikitext")
+
+
+@query()
+def stream_contexts(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(F.col("conversation_id").alias("query_id"), F.col("turn").cast("long").alias("doc_id"), F.col("role").alias("chapter"), "text", (1 / (F.col("turn") + 1)).alias("score"))
+    path = shared_path(spark, "contexts")
+    run = K.stream_context(rows, lambda out, number: out.withColumn("batch", F.lit(number)).write.mode("append").parquet(path), k=3, least=0.1, strategy="citation")
+    run.option("checkpointLocation", shared_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("query_id long, context string, batch long").parquet(path)
+
+
 @query("SELECT lang, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY lang")
 def eval_rows(spark, sf_dir):
     rows = files.write_eval(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), shared_path(spark, "eval"))
@@ -108,10 +166,13 @@ def stream_turn_index(spark, sf_dir):
     return drained(K.stream_turn_index(_turns(spark, sf_dir).select("conversation_id", "text"))).select("conversation_id", "turn_index")
 
 
-@query("SELECT conv_id AS conversation_id, unnest(range(2, n - 1, 2)) AS up_to_turn FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+@query(
+    """WITH c AS (SELECT conv_id, substr(text, 1, 80) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), f AS (SELECT conv_id, unnest(range(2, n - 1, 2)) AS up_to_turn FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id))
+    SELECT f.conv_id AS conversation_id, up_to_turn, string_agg(said, ' | ' ORDER BY i) AS summary FROM f JOIN c ON c.conv_id = f.conv_id AND i <= up_to_turn GROUP BY ALL"""
+)
 def stream_compaction(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("conversation_id", "text")
-    return drained(K.stream_compact(rows, threshold=3, keep=2)).select("conversation_id", "up_to_turn")
+    return drained(K.stream_compact(rows, threshold=3, keep=2)).select("conversation_id", "up_to_turn", "summary")
 
 
 @query()

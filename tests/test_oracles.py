@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests import oracle
 
-SF_DIR = "/root/testdata/sf0.001"
+SF_DIR = __import__("os").environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
 
 
