@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import discard, materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        current = materialise(_small_star(_large_star(current)), "edges")
+        last, current = current, materialise(_small_star(_large_star(current)), "edges")
+        discard(last)
         after = _digest(current)
         if after == before:
             break

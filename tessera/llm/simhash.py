@@ -25,8 +25,8 @@ from tessera.session import materialise
 SHINGLE = 3
 SEED = 42
 THRESHOLD = 3
-#: Homes of one anchor that one task compares at a time.
-BLOCK = 1024
+#: Homes of one anchor that one task compares at a time, and how many members it compares them with for each.
+BLOCK, MEMBERS = 1024, 16
 
 _STEP = 1 << 15
 
@@ -159,19 +159,18 @@ def _link_batches(threshold: int):
 def links(prints: DataFrame, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``(u, v)``: links between the distinct fingerprints of ``prints(fp)``, as many as connect all linked ones."""
     rows = anchors(prints)
-    hot = materialise(
-        rows.filter("home").groupBy("anchor").count().filter(F.col("count") > block).select("anchor", F.ceil(F.col("count") / block).cast("int").alias("m")), "hot"
-    )
+    sizes = rows.groupBy("anchor").agg(F.count_if("home").alias("homes"), F.count("*").alias("members")).filter((F.col("homes") > block) | (F.col("members") > MEMBERS * block))
+    cells = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int").alias(n)
+    hot = materialise(sizes.select("anchor", cells("homes", block), cells("members", MEMBERS * block)), "hot")
     if hot.isEmpty():
         rows = rows.select("anchor", F.lit(0).alias("a"), F.lit(0).alias("b"), "fp", "home")
     else:
-        m = F.coalesce("m", F.lit(1))
-        own, every = F.array(F.pmod(F.xxhash64("fp"), m).cast("int")), F.sequence(F.lit(0), m - 1)
-        rows = rows.join(hot, "anchor", "left").withColumn("m", m)
-        homes = rows.filter("home").select("anchor", F.explode(own).alias("a"), "m", "fp", "home")
-        homes = homes.select("anchor", "a", F.explode(every).alias("b"), "fp", "home")
-        members = rows.select("anchor", F.explode(every).alias("a"), "m", "fp")
-        members = members.select("anchor", "a", F.explode(own).alias("b"), "fp", F.lit(False).alias("home"))
+        one = F.lit(1)
+        rows = rows.join(hot, "anchor", "left").withColumns({c: F.coalesce(c, one) for c in ("homes", "members")})
+        own = lambda m: F.pmod(F.xxhash64("fp"), F.col(m)).cast("int")
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+        homes = rows.filter("home").select("anchor", own("homes").alias("a"), every("members").alias("b"), "fp", "home")
+        members = rows.select("anchor", every("homes").alias("a"), own("members").alias("b"), "fp", F.lit(False).alias("home"))
         rows = homes.union(members)
     dealt = rows.repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
     return map_batches(dealt, _link_batches(threshold), "u long, v long")
