@@ -35,25 +35,39 @@ def random_key(id_col: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(word), 1, _KEY_BITS // 4), 16, 10).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums over those before each one in ``order``, by name; ``order`` tells all rows apart.
+
+    Rows are dealt out by ranges; sums go over the ranges, one row each, and then within each range.
+    """
+    names = list(sums)
+    ranged = materialise(rows.withColumns({f"own_{n}": c for n, c in sums.items()}).repartitionByRange(*order).withColumn("range_", F.spark_partition_id()), "ranges")
+    before = W.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    marks = ranged.groupBy("range_").agg(*[F.sum(f"own_{n}").alias(f"all_{n}") for n in names])
+    marks = marks.select("range_", *[F.coalesce(F.sum(f"all_{n}").over(before), F.lit(0)).alias(f"start_{n}") for n in names])
+    within = W.partitionBy("range_").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.join(marks, "range_").withColumns({n: F.col(f"start_{n}") + F.coalesce(F.sum(f"own_{n}").over(within), F.lit(0)) for n in names})
+    return out.drop("range_", *[f"{k}_{n}" for k in ("own", "start") for n in names])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``sizes(source, source_size, ...)`` with ``target``: shares of the total by weight, stopped at ``most`` times the size.
 
     What is above a stop is shared anew by weight among the rest until none is above; that is one level for
     all sources not stopped, found from running sums in the order of stop over weight. One row a source.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.row_number().over(order) - 1) % len(weights))
-    rows = sizes.withColumn("w", weight).withColumn("stop", (F.col("source_size") * most).cast("double") / F.col("w"))
-    by_stop = W.orderBy("stop", F.col("source").asc_nulls_last())
-    before = by_stop.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.partitionBy(F.lit(0))
-    rows = rows.withColumn("total", F.sum("source_size").over(everything)).withColumn("w_total", F.sum("w").over(everything))
-    level = (F.col("total") - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.col("w_total") - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    rows = rows.withColumn("level", level)
-    fits = F.when(F.col("level") <= F.col("stop"), F.col("level"))
-    rows = rows.withColumn("level", F.max(fits).over(everything))
-    share = F.when(F.col("stop") <= F.coalesce("level", F.col("stop")), F.col("source_size") * F.lit(float(most))).otherwise(F.col("level") * F.col("w"))
-    return rows.withColumn("target", share).drop("w", "stop", "total", "w_total", "level")
+    by_name = F.col("source").asc_nulls_last()
+    rows = running(sizes, [by_name], {"place": F.lit(1).cast("long")})
+    rows = rows.withColumn("w", F.get(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights)).cast("int"))).drop("place")
+    rows = rows.withColumn("stop", (F.col("source_size") * most).cast("double") / F.col("w"))
+    rows = running(rows, [F.col("stop").asc(), by_name], {"size_before": F.col("source_size"), "w_before": F.col("w").cast("long")})
+    total = rows.agg(F.sum("source_size").alias("total"), F.sum("w").alias("w_total"))
+    level = (F.col("total") - most * F.col("size_before")) / (F.col("w_total") - F.col("w_before"))
+    rows = materialise(rows.join(F.broadcast(total), F.lit(True)).withColumn("level", level).drop("size_before", "w_before", "total", "w_total"), "levels")  # one row is broadcast
+    found = rows.agg(F.max(F.when(F.col("level") <= F.col("stop"), F.col("level"))).alias("found"))
+    rows = rows.drop("level").join(F.broadcast(found), F.lit(True))
+    share = F.when(F.col("stop") <= F.coalesce("found", F.col("stop")), F.col("source_size") * F.lit(float(most))).otherwise(F.col("found") * F.col("w"))
+    return rows.withColumn("target", share).drop("w", "stop", "found")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -63,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     gives a part, so that a source's taken words are its target without the fraction. A null text has size 0; a
     null source is a source of its own, last in order; a null id is hashed as the empty string; equal keys are
     taken in order of size, and rows alike in all that is returned are interchangeable. An empty table gives an
-    empty result. The table of sources, one narrow row each, is the only one that a single task sorts.
+    empty result. No task sorts a whole table, that of the sources included.
     """
     rows = materialise(
         docs.select(
