@@ -20,31 +20,38 @@ def _spans(column: str, kind: str) -> F.Column:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, as a separator scan over flat token files finds them."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes from every document."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
     return html_text.extract_pages(_table(spark, sf_dir, "pages"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and mixed log10 probability of every document."""
     return lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and all spans of secrets of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.train(docs))
     return found.select(
@@ -56,6 +63,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern counts and all spans of personal data, disclosing terms included, of every document."""
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
@@ -66,10 +74,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that may teach."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(langid.training_rows()))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
