@@ -141,8 +141,10 @@ def disclosures(docs: DataFrame, found: DataFrame, text_col: str = "text", suppo
     pairs = of_texts.join(term_texts, "text_key").groupBy("entity_class", "term_class", "n_entity", "n_beside").agg(F.count("*").alias("both"))
     pairs = materialise(pairs.filter((F.col("both") >= support) & (F.col("both") >= given * F.col("n_beside"))), "pairs")
     asked = materialise(classes.join(pairs.select(F.col("term_class").alias("class")).distinct(), "class", "left_semi").select("term", "class"), "terms")
-    every = texts.select("text_key", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    n_term = join_checked(every, asked.select("term"), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    # A text of which there are several copies counts by its share in each, so that counts are summed in each task.
+    copies = materialise(found.groupBy("text_key").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    every = join_checked(texts, copies, "text_key", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    n_term = join_checked(every, asked.select("term"), "term", "left_semi").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_term"))
     n_texts = found.select("text_key").distinct().count() or 1
     share = F.col("both") / F.col("n_term")
     rows = asked.join(n_term, "term").join(pairs, F.col("class") == F.col("term_class")).withColumn("given", share)
