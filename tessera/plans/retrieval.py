@@ -71,7 +71,7 @@ def vector_topk(spark, sf_dir):
 def vector_topk_lsh(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return E.vector_topk_lsh(q, v, 10)
+    return E.vector_topk_lsh(q, v, 10, bits=4)  # these vectors are nearly orthogonal: wide buckets
 
 
 def _candidates(spark, sf_dir, k=20):
