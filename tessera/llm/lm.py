@@ -39,10 +39,10 @@ _GATES, _BINS = 16, 33
 _UNIT = 24  # bytes of a unit at most; longer words go on in the next one
 _CHECK_BITS = 6
 _SLICE_BYTES = 700_000  # bytes of text that are scored at a time
-_LONG_BYTES = 30_000  # texts from here on are scored beside one another, so that no turn has one text alone
+_POOL_BYTES = 8_000_000  # bytes of text from which texts of like sizes are taken, so that no turn has one text alone
 _KEPT_UNITS = 600_000  # units that a task counts before they go out
-_KEPT_ROWS = 4_000_000  # decisions of units that a task keeps
-_KEPT_KEYS = 6_000_000  # slots that a task sums up before they go out
+_KEPT_ROWS = 5_000_000  # decisions of units that a task keeps
+_COUNTED_UNITS = 60_000  # units whose contexts a task sums up at a time
 
 
 @dataclass(frozen=True)
@@ -303,7 +303,10 @@ class _Profiles:
         size = self.size[at][place]
         ends = np.cumsum(size)
         index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at][place] - (ends - size), size)
-        return self.rows[index], size, start
+        return np.take(self.rows, index, mode="clip"), size, start
+
+
+_EIGHTHS = np.full(8, 0.125, np.float32)
 
 
 class _Mixer:
@@ -320,24 +323,27 @@ class _Mixer:
         n = len(rows)
         lane = np.arange(n)[:, None]
         inputs = rows.view(np.int8).reshape(-1, 8).astype(np.float32)
-        sign = inputs[:, 7]
-        used = ((rows >> 48 & 15) + lane * _GATES).ravel()
+        sign = np.ascontiguousarray(inputs[:, 7])
+        used = ((rows >> 48 & _GATES - 1) + lane * _GATES).ravel()
         own, table = self.weights[:n].reshape(-1, 8), self.refine[:n].reshape(-1)
-        dot = np.einsum("ij,ij->i", own[used], inputs)
-        dot *= np.float32(0.125)
+        dot = (np.take(own, used, axis=0, mode="clip") * inputs) @ _EIGHTHS
         np.clip(dot, -8, 8, out=dot)
         bins = (dot * np.float32((_BINS - 1) / 16) + np.float32(_BINS / 2)).astype(np.int64).reshape(n, -1)
         bins += lane * _BINS
         bins = bins.ravel()
         dot += dot
-        dot += table[bins]
+        dot += np.take(table, bins, mode="clip")
         dot *= sign
         dot *= np.float32(-1 / 3)
         np.exp(dot, out=dot)
-        wrong = dot / (dot + 1)
+        sums = dot + 1
+        wrong = dot / sums
         wrong *= sign
-        self.bits[:n] += np.log1p(dot).reshape(n, -1).sum(1, dtype=np.float64)
-        self.bits[:n] -= np.log(2.0) * (rows == 0).sum(1)
+        np.log(sums, out=sums)
+        self.bits[:n] += sums.reshape(n, -1).sum(1, dtype=np.float64)
+        filled = rows[:, -1] == 0  # only a text's last chunk is filled up
+        if filled.any():
+            self.bits[:n] -= np.log(2.0) * (rows == 0).sum(1)
         for k in range(_PREDICTORS):
             own[:, k] += np.bincount(used, wrong * inputs[:, k], len(own)).astype(np.float32) * np.float32(RATE / 8)
         table += np.bincount(bins, wrong, len(table)).astype(np.float32) * np.float32(REFINE_RATE)
@@ -354,9 +360,17 @@ def _side_by_side(profiles: _Profiles, split: _Split) -> np.ndarray:
     chunks = -(-sizes[order] // CHUNK)
     active = np.searchsorted(-chunks, -np.arange(int(chunks[0]) if len(chunks) else 0), side="left")
     offset = np.cumsum(active) - active
-    within = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # Chunks are copied one by one into their rows of the grid: the k-th of a text to the k-th turn's row for its rank.
+    own = -(-sizes // CHUNK)
+    begin, turn = np.repeat(np.cumsum(sizes) - sizes, own), np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    first = begin + turn * CHUNK
+    length = np.minimum(CHUNK, np.repeat(np.cumsum(sizes), own) - first)
     grid = np.zeros((int(active.sum()), CHUNK), np.int64)
-    grid.reshape(-1)[(offset[within // CHUNK] + np.repeat(rank, sizes)) * CHUNK + within % CHUNK] = rows
+    row = offset[turn] + np.repeat(rank, own)
+    full = length == CHUNK
+    grid[row[full]] = rows[first[full, None] + np.arange(CHUNK)]
+    for r, a, size in zip(row[~full].tolist(), first[~full].tolist(), length[~full].tolist()):
+        grid[r, :size] = rows[a : a + size]
     mixer = _Mixer(len(sizes))
     for first, n in zip(offset.tolist(), active.tolist()):
         mixer.turn(grid[first : first + n])
@@ -392,10 +406,17 @@ def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
 
 def _summed(keys: np.ndarray, ones: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct keys and their sums."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[start], np.add.reduceat(ones[order], start), np.add.reduceat(total[order], start)) if len(keys) else (keys, ones, total)
+    if not len(keys):
+        return keys, ones, total
+    low = (len(keys) - 1).bit_length()
+    if int(keys.max()) >> 63 - low:
+        order = np.argsort(keys)
+        keys = keys[order]
+    else:  # places ride along in the low bits of what is sorted
+        packed = np.sort(keys << low | np.arange(len(keys)))
+        order, keys = packed & (1 << low) - 1, packed >> low
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[start], np.add.reduceat(np.take(ones, order), start), np.add.reduceat(np.take(total, order), start)
 
 
 class _Vocabulary:
@@ -484,6 +505,18 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return materialise(found.groupBy("h", "w", "unit").agg(F.sum("n").alias("n")), "units")
 
 
+def _windows(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many rows each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches(rows)
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches(rows)
+
+
 def _unit_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes, marks and sizes of units, whose first byte is the mark."""
     units = column.to_pylist()
@@ -543,28 +576,18 @@ def train(docs: DataFrame, text_col: str = "text", slot_bits: int | None = None,
     parts = (hashed << bits) // step
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def rows() -> pa.RecordBatch:
-            keys, ones, total = _summed(*map(np.concatenate, zip(*held)))
-            held.clear()
+        def rows(keys: np.ndarray, ones: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
             cuts = np.searchsorted(keys, np.arange(parts + 1, dtype=np.int64) * (step << _CHECK_BITS)).tolist()
             own = [(p, slice(a, b)) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
             counts = [_halved(ones[r], total[r]) for _, r in own]
             data = [[keys[r].astype(np.uint32).tobytes() for _, r in own], [o for o, _ in counts], [t for _, t in counts]]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.int64()), *(pa.array(x, pa.binary()) for x in data)], names=["p", "keys", "ones", "total"])
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 10_000):
-                part = batch.slice(at, 10_000)
-                hashes, _, bit, decisions = _decided(known.value, *_unit_bytes(part.column(0)))
-                n = np.repeat(part.column(1).to_numpy(), decisions)
-                keys = _slots(hashes, bits) + (np.arange(hashed, dtype=np.int64)[:, None] << bits + _CHECK_BITS)
-                held.append(_summed(keys.ravel(), np.tile(n * bit, hashed), np.tile(n, hashed)))
-                if sum(len(x[0]) for x in held) > _KEPT_KEYS:
-                    yield rows()
-        if held:
-            yield rows()
+        for some in _windows(batches, _COUNTED_UNITS):
+            hashes, _, bit, decisions = _decided(known.value, *_unit_bytes(some.column(0)))
+            n = np.repeat(some.column(1).to_numpy(), decisions)
+            for k, own in enumerate(hashes):
+                yield rows(*_summed(_slots(own, bits) + (k << bits + _CHECK_BITS), n * bit, n))
 
     def kept(rows: pa.Table) -> pa.Table:
         keys = _joined(rows["keys"], np.uint32).astype(np.int64)
@@ -625,28 +648,27 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head: tuple[np.
             found = _known_words(head, *words) if head else []
             return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(bits), pa.array([len(r) for r in raw], pa.int64()), *found], names=names)
 
+        def settled(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pool = pa.Table.from_batches(waiting).combine_chunks()
+            sizes = np.array([len(x.as_buffer() or b"") for x in pool.column(0)], np.int64)
+            order = np.argsort(sizes, kind="stable")
+            # Texts of like sizes, about a slice of bytes each time; a longer one is alone.
+            group = np.where(sizes[order] > _SLICE_BYTES, np.arange(len(order)) + len(order) * 2, np.cumsum(sizes[order] + 1) // _SLICE_BYTES)
+            for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
+                own = pool.take(pa.array(part)).combine_chunks().to_batches()[0]
+                yield scored(own, _raw(own.column(0).to_pylist()))
+
         waiting: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
             for a, b in _slices(batch.column(0)):
-                part = batch.slice(a, b - a)
-                raw = _raw(part.column(0).to_pylist())
-                short = [i for i, r in enumerate(raw) if len(r) < _LONG_BYTES]
-                if short:
-                    yield scored(part.take(pa.array(short)), [raw[i] for i in short])
-                for i, r in enumerate(raw):
-                    if len(r) > _SLICE_BYTES:
-                        yield scored(part.slice(i, 1), [r])
-                    elif len(r) >= _LONG_BYTES:
-                        waiting.append(part.take(pa.array([i])))
-                        size += len(r)
-                if size > 2 * _SLICE_BYTES:
-                    part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-                    yield scored(part, _raw(part.column(0).to_pylist()))
+                waiting.append(batch.slice(a, b - a))
+                size += sum(len(x.as_buffer() or b"") for x in waiting[-1].column(0))
+                if size > _POOL_BYTES:
+                    yield from settled(waiting)
                     waiting, size = [], 0
         if waiting:
-            part = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-            yield scored(part, _raw(part.column(0).to_pylist()))
+            yield from settled(waiting)
 
     return map_batches(rows, run, target)
 
