@@ -18,7 +18,7 @@ MODES = ("deep_research", "guided_learning", "exam_grader", "open_analysis", "pe
 TERSE_WORDS = ("nothing", "hmm", "ok", "okay", "idk", "nah", "yeah", "sure", "no", "yes")
 #: Fields that outlast a turn, by mode and else in this order.
 DURABLE_FIELDS = ("character_response", "analysis", "answer", "explanation")
-#: The character that stands for none.
+#: The character that stands for none.
 DEFAULT_CHARACTER = "Dumbledore"
 
 

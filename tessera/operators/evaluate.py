@@ -116,21 +116,21 @@ def research_score(expected: Column, found: Column, answer: Column, kind: Column
     return cited + fits + size + sure
 
 
-def _spoils(c: Column) -> Column:
-    return _any_in(F.lower(_text(c)), SPOILER_PHRASES)
+def _spoils(c: Column, phrases: tuple[str, ...]) -> Column:
+    return _any_in(F.lower(_text(c)), phrases)
 
 
-def socratic_pass(hint: Column, question: Column, explanation: Column) -> Column:
-    """No spoiler, a question mark, a hint of 20 characters."""
-    return ~_spoils(hint) & ~_spoils(explanation) & F.endswith(_trimmed(question), F.lit("?")) & (F.length(_text(hint)) >= 20)
+def socratic_pass(hint: Column, question: Column, explanation: Column, phrases: tuple[str, ...] = SPOILER_PHRASES) -> Column:
+    """None of the ``phrases`` that give an answer away, a question mark, a hint of 20 characters."""
+    return ~_spoils(hint, phrases) & ~_spoils(explanation, phrases) & F.endswith(_trimmed(question), F.lit("?")) & (F.length(_text(hint)) >= 20)
 
 
-def socratic_score(hint: Column, question: Column, explanation: Column) -> Column:
+def socratic_score(hint: Column, question: Column, explanation: Column, phrases: tuple[str, ...] = SPOILER_PHRASES) -> Column:
     """0.4, 0.3, 0.2 and 0.1 for hint, question, explanation and length."""
     return (
-        F.when((_text(hint) != "") & ~_spoils(hint), 0.4).otherwise(0.0)
+        F.when((_text(hint) != "") & ~_spoils(hint, phrases), 0.4).otherwise(0.0)
         + F.when(F.endswith(_trimmed(question), F.lit("?")), 0.3).otherwise(0.0)
-        + F.when((_text(explanation) != "") & ~_spoils(explanation), 0.2).otherwise(0.0)
+        + F.when((_text(explanation) != "") & ~_spoils(explanation, phrases), 0.2).otherwise(0.0)
         + F.when(F.length(_text(hint)).between(30, 400), 0.1).otherwise(0.0)
     )
 

@@ -29,7 +29,9 @@ OUTPUT_RULES = (
     (r"(my system prompt|my instructions are|i was told to)", "Potential system prompt leak"),
     (r"\b(make\s+a\s+bomb|synthesize\s+\w+\s+drug)\b", "Harmful content policy violation"),
 )
+#: What stands in place of a blocked answer; messages of input checks.
 SAFE_TEXT = "I'm unable to provide that response due to a content policy restriction."
+TOO_SHORT, TOO_LONG, DISALLOWED, PATTERN = "Input too short (min %d)", "Input too long (max %d chars)", "Input contains disallowed characters", "Blocked pattern matched: "
 #: What makes a turn escalate.
 ESCALATION_PHRASES = ("speak to a human", "talk to someone", "real person", "not helpful", "wrong answer")
 ESCALATION_ERRORS = ("AuthenticationError", "RateLimitError", "PermissionError")
@@ -55,11 +57,11 @@ def prompt_guard(text: Column, rules=PROMPT_RULES) -> Column:
 def validate_input(text: Column, least: int = 1, most: int = 4096, allowed: str | None = None, blocked: tuple[str, ...] = ()) -> Column:
     """(level, reason, matched) by length, allowed characters and blocked patterns."""
     block = lambda reason: _verdict(F.lit("block"), reason, F.lit(""))
-    checks = [F.when(F.length(text) < least, block(F.lit(f"Input too short (min {least})"))), F.when(F.length(text) > most, block(F.lit(f"Input too long (max {most} chars)")))]
+    checks = [F.when(F.length(text) < least, block(F.lit(TOO_SHORT % least))), F.when(F.length(text) > most, block(F.lit(TOO_LONG % most)))]
     if allowed:
-        checks.append(F.when(~F.rlike(text, F.lit(rf"(?s)\A[{allowed}]+\z")), block(F.lit("Input contains disallowed characters"))))
+        checks.append(F.when(~F.rlike(text, F.lit(rf"(?s)\A[{allowed}]+\z")), block(F.lit(DISALLOWED))))
     for p in blocked:
-        checks.append(F.when(F.rlike(text, F.lit(f"(?i){p}")), block(F.concat(F.lit("Blocked pattern matched: "), F.regexp_extract(text, f"(?i){p}", 0)))))
+        checks.append(F.when(F.rlike(text, F.lit(f"(?i){p}")), block(F.concat(F.lit(PATTERN), F.regexp_extract(text, f"(?i){p}", 0)))))
     return F.coalesce(*checks, _safe())
 
 

@@ -1,11 +1,13 @@
 """Every query with SQL gives the SQL's rows; the others run."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
 from tests import oracle
 
-SF_DIR = __import__("os").environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 NAMES = [n for n in entry.queries() if not n.startswith("op") and n != "pipeline"]
 
 
