@@ -1,9 +1,9 @@
 """LM scoring: word counts, and an online logistic mix of hashed-context bit predictors.
 
 A text, A-Z in lower case, is coded byte by byte and then an end mark. Its units are words, each with the white-space
-byte or end that follows. A byte is a path of bits in a code tree that belongs to the byte before it in the unit. For
-a bit six predictors look up how often it was set in the training texts: in the tree's node alone, with two, three,
-four and five earlier bytes of the unit, and with all of them. The units of all training texts and their counts are
+byte or end that follows. A byte is a path of bits in a code tree that belongs to the two bytes before it in the unit
+where these are frequent, else to the one before. For a bit six predictors look up how often it was set in the training
+texts: in the tree's node alone, with three, four, five and six earlier bytes of the unit, and with all of them. The units of all training texts and their counts are
 a table that grows with the texts, from which the predictors' tables are counted; where contexts share a slot, the
 most frequent keeps it, and check bits tell the others that it is not theirs. The predictors' log-odds are mixed by
 weights that a gate selects, from how well known the longest contexts are. Weights start alike for every text and move
@@ -33,7 +33,8 @@ MAX_SLOT_BITS = 22
 CHUNK, RATE, REFINE_RATE, START_WEIGHT = 64, 0.02, 0.02, 0.35
 
 _END, _GO_ON = 255, 254  # no bytes of UTF-8: before a unit's first byte, and before that of a unit that goes on
-_ORDERS = (2, 3, 4, 5)  # earlier bytes of the hashed predictors; the last one has all of the unit
+_TREES = 512  # pairs of last bytes that have a code tree of their own, the most frequent
+_ORDERS = (3, 4, 5, 6)  # earlier bytes of the hashed predictors; the last one has all of the unit
 _PREDICTORS = len(_ORDERS) + 2
 _GATES, _BINS = 16, 33
 _UNIT = 24  # bytes of a unit at most; longer words go on in the next one
@@ -47,39 +48,53 @@ _COUNTED_UNITS = 60_000  # units whose contexts a task sums up at a time
 
 @dataclass(frozen=True)
 class Trees:
-    """A code tree for each last byte: where a byte's path starts, how long it is, and its nodes and bits."""
+    """Code trees: which one is used after the last two bytes; where a byte's path starts, how long it is, its nodes and bits."""
 
+    which: np.ndarray
     start: np.ndarray
     length: np.ndarray
     node: np.ndarray
     bit: np.ndarray
 
 
-def build_trees(pairs: np.ndarray) -> Trees:
-    """Huffman trees from counts of (last byte, byte); a byte that was never seen has a path too."""
-    length, nodes, bits = np.zeros(65536, np.int64), [], []
-    for last in range(256):
-        heap = [(int(n) * 256 + 1, b, b) for b, n in enumerate(pairs[last])]
-        heapq.heapify(heap)
-        parent: dict[int, tuple[int, int]] = {}
-        made = 256
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
-            heapq.heappush(heap, (a[0] + b[0], made, made))
-            made += 1
-        own_nodes: list[int] = []
-        own_bits: list[int] = []
-        for b in range(256):
-            at, first = b, len(own_nodes)
-            while at in parent:
-                at, bit = parent[at]
-                own_nodes.insert(first, last * 255 + at - 256)
-                own_bits.insert(first, bit)
-            length[last * 256 + b] = len(own_nodes) - first
-        nodes.append(np.array(own_nodes, np.int32))
-        bits.append(np.array(own_bits, np.uint8))
-    return Trees(np.cumsum(length) - length, length, np.concatenate(nodes), np.concatenate(bits))
+def _paths(weights: list[int]) -> list[tuple[list[int], list[int]]]:
+    """Nodes, numbered from the first that was made, and bits of each byte's way down a Huffman tree."""
+    heap = [(n, b, b) for b, n in enumerate(weights)]
+    heapq.heapify(heap)
+    parent, made = [(-1, 0)] * 511, 256
+    while len(heap) > 1:
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a[2]], parent[b[2]] = (made, 0), (made, 1)
+        heapq.heappush(heap, (a[0] + b[0], made, made))
+        made += 1
+    ways: list[tuple[list[int], list[int]]] = [([], [])] * 511
+    for at in range(509, -1, -1):  # a node is made after those below it
+        above, bit = parent[at]
+        nodes, bits = ways[above]
+        ways[at] = [*nodes, above - 256], [*bits, bit]
+    return ways[:256]
+
+
+def build_trees(pairs: np.ndarray, deeper: dict[int, np.ndarray]) -> tuple[Trees, np.ndarray]:
+    """A tree for each last byte, and one for each of ``deeper``'s two last bytes; and how often each (tree, byte) came.
+
+    ``pairs`` counts (last byte, byte), ``deeper`` a byte after two. Bytes that were never seen have a path too.
+    """
+    which = np.arange(65536) % 256
+    counts = [*pairs.astype(np.int64), *(deeper[c].astype(np.int64) for c in sorted(deeper))]
+    for k, c in enumerate(sorted(deeper)):
+        which[c] = 256 + k
+        counts[c % 256] = counts[c % 256] - counts[256 + k]
+    weights = [[int(n) * 256 + 1 for n in row] for row in pairs]
+    weights += [[(int(n) << 20) + (w >> 8 if w < 1 << 28 else 1 << 20) + 1 for n, w in zip(deeper[c], weights[c % 256])] for c in sorted(deeper)]
+    length, nodes, bits = [], [], []
+    for tree, own in enumerate(weights):
+        for way, turns in _paths(own):
+            length.append(len(way))
+            nodes += [tree * 255 + n for n in way]
+            bits += turns
+    size = np.array(length, np.int64)
+    return Trees(which, np.cumsum(size) - size, size, np.array(nodes, np.int32), np.array(bits, np.uint8)), np.concatenate(counts)
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
@@ -213,7 +228,7 @@ def _decided(trees: Trees, data: np.ndarray, first: np.ndarray, sizes: np.ndarra
     within = np.arange(len(data)) - np.repeat(starts, sizes)
     mark = np.repeat(first, sizes)
     before = [np.where(within >= k, np.roll(data, k), mark) for k in range(1, max(_ORDERS) + 1)]
-    pair = before[0].astype(np.int64) * 256 + data
+    pair = trees.which[before[1].astype(np.int64) * 256 + before[0]] * 256 + data
     length = trees.length[pair]
     ends = np.cumsum(length)
     path = np.arange(ends[-1] if len(ends) else 0) + np.repeat(trees.start[pair] - (ends - length), length)
@@ -528,20 +543,15 @@ def _unit_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return every[inner], every[starts], sizes - 1
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (byte or mark before, byte) in units."""
-    pairs = np.zeros(65536, np.int64)
-    for batch in batches:
-        for at in range(0, batch.num_rows, 50_000):
-            part = batch.slice(at, 50_000)
-            data, mark, sizes = _unit_bytes(part.column(0))
-            starts = np.cumsum(sizes) - sizes
-            last = np.roll(data, 1)
-            last[starts] = mark
-            n = np.repeat(part.column(1).to_numpy(), sizes)
-            pairs += np.bincount(last.astype(np.int64) * 256 + data, n, 65536).astype(np.int64)
-    seen = np.flatnonzero(pairs)
-    yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(pairs[seen])], names=["key", "n"])
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of bytes (or marks) two before and before a byte, and the byte, in units."""
+    for part in _windows(batches, 100_000):
+        data, mark, sizes = _unit_bytes(part.column(0))
+        within, mark = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(mark, sizes)
+        one, two = (np.where(within >= k, np.roll(data, k), mark).astype(np.int64) for k in (1, 2))
+        seen, place = np.unique(two << 16 | one << 8 | data, return_inverse=True)
+        n = np.bincount(place, np.repeat(part.column(1).to_numpy(), sizes), len(seen)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], names=["key", "n"])
 
 
 def _halved(ones: np.ndarray, total: np.ndarray) -> tuple[bytes, bytes]:
@@ -558,20 +568,26 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 def train(docs: DataFrame, text_col: str = "text", slot_bits: int | None = None, units: DataFrame | None = None) -> Model:
     """Learn from all rows of ``docs``: their units, of these the byte pairs for the trees, then bits in every context.
 
-    The driver is given 65,536 pairs, and tables whose slots follow the number of units up to 2^MAX_SLOT_BITS. Contexts
+    The driver is given 65,536 pairs and what comes after _TREES of them, and tables whose slots follow the number of units up to 2^MAX_SLOT_BITS. Contexts
     are counted by ranges of slots; of those that share a slot the most frequent keeps it.
     """
     spark = docs.sparkSession
     units = vocabulary(docs, text_col) if units is None else units
     some = units.filter("unit is not null").select("unit", "n")
-    found = map_batches(some, _pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    found = materialise(map_batches(some, _triples, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "triples")
+    counted = found.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(65536, np.int64)
-    pairs[found["key"].to_numpy()] = found["n"].to_numpy()
-    trees = build_trees(pairs.reshape(256, 256))
-    each = np.repeat(pairs, trees.length)
-    nodes = _pack(np.bincount(trees.node, each * trees.bit, 1 << 16), np.bincount(trees.node, each, 1 << 16))
+    pairs[counted["key"].to_numpy()] = counted["n"].to_numpy()
+    last = F.shiftright("key", 8)
+    often = found.groupBy(last.alias("last")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "last").limit(_TREES)
+    deeper: dict[int, np.ndarray] = {}
+    for key, n in zip(*(c.to_pylist() for c in found.join(F.broadcast(often.select("last")), last == F.col("last")).select("key", "n").toArrow().columns)):
+        deeper.setdefault(key >> 8, np.zeros(256, np.int64))[key & 255] = n
+    trees, each = build_trees(pairs.reshape(256, 256), deeper)
+    known, each = spark.sparkContext.broadcast(trees), np.repeat(each, trees.length)
+    nodes = _pack(np.bincount(trees.node, each * trees.bit), np.bincount(trees.node, each))
     bits = slot_bits or min(MAX_SLOT_BITS, max(12, (4 * units.count()).bit_length()))
-    hashed, known = len(_ORDERS) + 1, spark.sparkContext.broadcast(trees)
+    hashed = len(_ORDERS) + 1
     step = 1 << min(bits, 18)  # slots of a range
     parts = (hashed << bits) // step
 

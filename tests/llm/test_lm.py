@@ -28,20 +28,24 @@ def plain_units(text):
 def plain_contexts(trees, unit):
     """(contexts of the predictors, bit) of each decision of a unit."""
     for i in range(1, len(unit)):
-        pair = unit[i - 1] * 256 + unit[i]
+        last = unit[:1] * 2 + unit[1:i]
+        pair = trees.which[last[-2] * 256 + last[-1]] * 256 + unit[i]
         at = trees.start[pair]
         for node, bit in zip(trees.node[at : at + trees.length[pair]].tolist(), trees.bit[at : at + trees.length[pair]].tolist()):
-            past = unit[:1] * 5 + unit[1:i]
+            past = unit[:1] * max(lm._ORDERS) + unit[1:i]
             yield [(node,), *((k, past[-k:], node) for k in lm._ORDERS), ("all", unit[:i], node)], bit
 
 
 def plain_model(texts):
     units = Counter(u for t in texts for u in plain_units(t))
-    pairs = np.zeros((256, 256), np.int64)
+    pairs, deeper = np.zeros((256, 256), np.int64), {}
     for u, n in units.items():
-        for a, b in zip(u, u[1:]):
+        for z, a, b in zip(u[:1] + u, u, u[1:]):
             pairs[a, b] += n
-    trees = lm.build_trees(pairs)
+            deeper.setdefault(z * 256 + a, np.zeros(256, np.int64))[b] += n
+    assert len(deeper) <= lm._TREES
+    trees, counts = lm.build_trees(pairs, deeper)
+    assert counts.sum() == pairs.sum() and counts.min() == 0 and counts[:65536].sum() == 0
     ones, total = Counter(), Counter()
     for u, n in units.items():
         for contexts, bit in plain_contexts(trees, u):
@@ -89,8 +93,9 @@ def some_texts(seed, n, most=120):
 
 def test_paths_are_a_code():
     trees = plain_model(["abracadabra"])[0]
-    for last in (0, ord("a"), 255, 254):
-        assert sum(0.5 ** int(x) for x in trees.length[last * 256 : last * 256 + 256]) == 1
+    for tree in {*trees.which.tolist()}:
+        assert sum(0.5 ** int(x) for x in trees.length[tree * 256 : tree * 256 + 256]) == 1
+    assert trees.which.max() > 255
 
 
 def test_units_and_words_match_a_plain_cut():
