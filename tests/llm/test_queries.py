@@ -17,6 +17,7 @@ COLUMNS = {
     "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op9_benchmark_decontamination": "doc_id item_id n_windows n_found coverage n_slots consistency reparameterised",
     "op10_language_id": "doc_id held_out lang_pred score",
+    "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
 }
 
 
