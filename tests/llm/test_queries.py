@@ -18,6 +18,7 @@ COLUMNS = {
     "op9_benchmark_decontamination": "doc_id item_id n_windows n_found coverage n_slots consistency reparameterised",
     "op10_language_id": "doc_id held_out lang_pred score",
     "op11_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op13_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
