@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, html_text, langid, line_dedup, lm, merkle, mixing, pii, quality, secrets, simhash, tokens
+from tessera.llm import decontaminate, hard_negatives, html_text, langid, line_dedup, lm, merkle, mixing, pii, quality, secrets, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive."""
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that its version of the tree has."""
     found = merkle.versions(_table(spark, sf_dir, "documents"))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_language_id": op10_language_id,
     "op11_line_dedup": op11_line_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -118,5 +124,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.MIX_SQL.replace("{docs}", "documents"),
     "op5_quality_rules": quality.JUDGE_SQL.replace("{docs}", "documents"),
     "op11_line_dedup": line_dedup.DEDUP_SQL.replace("{docs}", "documents"),
+    "op12_hard_negatives": hard_negatives.MINE_SQL.replace("{vectors}", "embeddings"),
     "op13_merkle_manifest": merkle.versions_sql().replace("{docs}", "documents"),
 }
