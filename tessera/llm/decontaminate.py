@@ -32,9 +32,10 @@ UNITS = (
 _NAME, _NUMBER, _UNIT, _FIRST = "\u0001", "\u0002", "\u0003", "\u0004"
 _NAME_RE = r"\p{Lu}(?<=[\p{Ll},;:)] \p{Lu})\p{L}*"
 _CAPITAL_RE = r"(?<![\p{L}\p{N}\u0001-\u0004])\p{Lu}\p{L}*"
-_NUMBER_RE = r"[0-9]+(?:[.,][0-9]+)*"
+# Repeats of groups are possessive: Java then walks them in a loop, where it would else go down one call each time.
+_NUMBER_RE = r"[0-9]++(?:[.,][0-9]++)*+"
 _UNIT_RE = rf"(?i)(?<=\u0002) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
-_GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0004.,]|(?<![0-9])[.,]|[.,](?![0-9]))+"
+_GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0004.,]|(?<![0-9])[.,]|[.,](?![0-9]))++"
 
 
 def let(value: Column, body) -> Column:
@@ -150,11 +151,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     texts = join_checked(known.withColumn("k", F.xxhash64("d", "t")), some, "k", "left_semi").drop("k").distinct()
     full = texts.select("d", "t", marked_words(F.col("doc_text"), values=True).alias("words")).select("d", "t", F.explode(_placed(F.col("words"), lengths)).alias("z"))
     full = full.select("d", "t", F.col("z.at").alias("at"), F.explode("z.h").alias("h"), F.col("z.w").alias("w"))
-    asks = quiz.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "length", marked_words(F.col("item_text"), values=True).alias("words"))
-    asks = asks.select("i", "ih", "length", F.explode(_placed(F.col("words"), lengths)).alias("z")).filter(F.size("z.w") == F.col("length"))
-    asks = asks.select("i", "ih", F.col("z.at").alias("item_at"), F.explode("z.h").alias("ih_window"), F.col("z.w").alias("item_w"))
-    sides = near.join(full, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-    sides = sides.join(asks, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")) & (F.col("h") == F.col("ih_window")))
+    asks = quiz.select(F.col("item_id").alias("i"), F.col("item_hash").alias("ih"), "length", "item_text")
+    known = near.select(F.col("item_id").alias("some"), F.col("item_hash").alias("some_hash")).distinct()
+    asks = asks.join(known, F.col("i").eqNullSafe(F.col("some")) & (F.col("ih") == F.col("some_hash")), "left_semi")
+    asks = asks.select("i", "ih", "length", F.explode(_placed(marked_words(F.col("item_text"), values=True), lengths)).alias("z")).filter(F.size("z.w") == F.col("length"))
+    asks = materialise(asks.select("i", "ih", F.col("z.at").alias("item_at"), F.explode("z.h").alias("h"), F.col("z.w").alias("item_w")), "asked_windows")
+    # Windows meet by their hash first: a document of many windows that holds many items makes no pairs of all of them.
+    sides = join_checked(full, asks, "h")
+    sides = sides.join(near, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_hash") == F.col("ih")))
     lined = sides.select(*pair, "n_windows", "n_found", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "w", "item_w")
     lined = materialise(lined, "aligned")
     best = lined.groupBy(*pair, "shift").agg(F.count_distinct("item_at").alias("n"))
