@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import connected_components
 from tessera.llm.memory import fresh, map_batches
-from tessera.session import materialise
+from tessera.session import discard, join_checked, materialise
 
 SHINGLE = 3
 SEED = 42
@@ -51,14 +51,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        prints = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["id", "text_key", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)`` for each row of ``docs``; fp holds the 64 bits as a signed long."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_batches(slim, _fingerprint_batches, "id long, fp long")
+    """``(id, text_key, fp)`` for each row of ``docs``; fp holds the 64 bits as a signed long, text_key a hash of the text."""
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    return map_batches(slim, _fingerprint_batches, "id long, text_key long, fp long")
+
+
+def _rooted(rows: DataFrame, threshold: int) -> DataFrame:
+    """``(fp, root)``: one fingerprint of the component of each of the fingerprints of ``rows``."""
+    prints = rows.select("fp").distinct()
+    roots = connected_components(links(prints, threshold))
+    return prints.join(roots, prints.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def _flips() -> list[list[int]]:
@@ -188,9 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover {THRESHOLD} differing bits at most")
     rows = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = connected_components(links(prints.select("fp"), threshold))
-    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rows.groupBy("fp").agg(F.min("id").alias("least")).join(_rooted(rows, threshold), "fp")
     named = named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
     return rows.join(named, "fp").select("id", "fp", "component")
 
@@ -201,21 +206,30 @@ def hex_fingerprint(fp: F.Column) -> F.Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
-    """``docs`` with one row of each component of near-duplicates, the one with the least id.
+    """``docs`` with one row of each component of near-duplicates: the one with the least id, and of those the least hash of the text.
 
+    A row is known by its id and its text together: rows of one id whose texts are unlike are documents of their own.
     A null id counts as a negative number made from the text. Of repeated rows with one id and text one stays.
     Null and wordless texts are copies of one another. Columns may have any name; an empty table stays empty.
-    The ids to drop are broadcast if they are at most ``max_broadcast`` (counted); else the join shuffles.
+    The rows to drop are broadcast if they are at most ``max_broadcast`` (counted); else the join shuffles.
     """
     key = fresh(docs.columns, "row_key")
+    text_key = fresh([*docs.columns, key], "text_key")
     number = F.coalesce(F.col(id_col).cast("long"), -F.shiftrightunsigned(F.xxhash64(F.col(text_col)), 1) - 1)
-    keyed = docs.withColumn(key, number)
-    found = materialise(near_duplicates(keyed, key, text_col), "components")
-    dropped = materialise(found.filter("id <> component").select(F.col("id").alias(key)).distinct(), "dropped")
+    keyed = docs.withColumn(key, number).withColumn(text_key, F.xxhash64(F.col(text_col)))
+    prints = materialise(with_fingerprints(keyed, key, text_col), "fingerprints")
+    rows = prints.groupBy("id", "text_key", "fp").agg(F.count("*").alias("n")).join(_rooted(prints, THRESHOLD), "fp")
+    rows = materialise(rows.select("id", "text_key", "root", "n"), "components")
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", F.struct("id", "text_key") == F.col("first"))
+    both = [F.col("id").alias(key), F.col("text_key").alias(text_key)]
+    dropped = materialise(judged.filter(~F.col("stays")).select(*both), "dropped")
     small = dropped.count() <= max_broadcast
-    kept = keyed.join(F.broadcast(dropped) if small else dropped, key, "left_anti")
-    twice = materialise(found.groupBy("id").count().filter("count > 1").select(F.col("id").alias(key)), "twice")
+    kept = keyed.join(F.broadcast(dropped) if small else dropped, [key, text_key], "left_anti")
+    twice = materialise(judged.filter(F.col("stays") & (F.col("n") > 1)).select(*both), "twice")
     if not twice.isEmpty():
-        single = kept.join(twice, key, "left_anti")
-        kept = single.unionByName(kept.join(twice, key, "left_semi").dropDuplicates([key]))
+        single = join_checked(kept, twice, [key, text_key], "left_anti")
+        kept = single.unionByName(join_checked(kept, twice, [key, text_key], "left_semi").dropDuplicates([key, text_key]))
+    discard(prints)
+    discard(rows)
     return kept.select(*docs.columns)

@@ -61,6 +61,15 @@ def test_stages_take_empty_tables(spark, docs, k):
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF_DIR).count() == 0
 
 
+def test_rows_of_one_id_with_unlike_texts_are_documents_of_their_own(spark):
+    schema, other = "doc_id long, text string, n int", "Nothing that is said in this row is found in any of those above it or below it, in whatever order"
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, schema)).collect())
+    assert kept([(5, TEXT, 0), (5, other, 1)]) == [(5, other), (5, TEXT)]
+    assert kept([(1, TEXT, 0), (5, TEXT, 1), (5, other, 2)]) == [(1, TEXT), (5, other)]
+    assert kept([(5, TEXT, 0), (5, TEXT, 1), (5, other, 2), (5, other, 3), (6, other, 4)]) == [(5, other), (5, TEXT)]
+    assert len(kept([(None, TEXT, 0), (None, other, 1), (None, other, 2), (7, TEXT, 3)])) == 2
+
+
 def test_mix_row_for_row(spark, docs):
     out = corpus_pipeline.STAGES[4][1](spark, docs, SF_DIR)
     rows = out.collect()
