@@ -175,8 +175,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     spans = join_checked(words, given_away.select("term", "given"), "term").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("s.start", "s.stop", "s.value", "given"))).alias("term"))
     out = found.join(materialise(spans, "term_spans"), F.col("text_key") == F.col("k"), "left").drop("k")
     base = F.concat(*[F.col(k) for k in KINDS])
-    free = F.filter(F.coalesce("term", none), lambda t: ~F.exists(base, lambda b: (t.start < b.stop) & (b.start < t.stop)))
-    return out.withColumn("term", F.when(F.size(base) > 0, free).otherwise(F.coalesce("term", none)))
+    own = F.coalesce("term", none)
+    return out.withColumn("term", F.when((F.size(base) > 0) & (F.size(own) > 0), _free(own, base)).otherwise(own))
+
+
+def _free(terms_: Column, base: Column) -> Column:
+    """Those of ``terms_`` that overlap none of ``base``: both are merged by start, and the furthest end before and the next start after carried along."""
+    entry = lambda s, value, given: F.struct(s.start.alias("start"), s.stop.alias("stop"), value.alias("value"), given.alias("given"))
+    no_value, no_share = F.lit(None).cast("string"), F.lit(None).cast("double")
+    both = F.array_sort(F.concat(F.transform(base, lambda s: entry(s, no_value, no_share)), F.transform(terms_, lambda s: entry(s, s.value, s.given))))
+    none, furthest = F.lit(-(1 << 62)), lambda a, b: F.greatest(a, b)
+
+    def judged(merged: Column) -> Column:
+        ends = running(F.transform(merged, lambda m: F.when(m.value.isNull(), m.stop).otherwise(none)), furthest)
+        starts = F.reverse(running(F.transform(F.reverse(merged), lambda m: F.when(m.value.isNull(), -m.start).otherwise(none)), furthest))
+        rows = F.arrays_zip(merged.alias("m"), ends.alias("e"), starts.alias("s"))
+        kept = F.filter(rows, lambda r: r.m.value.isNotNull() & (r.e <= r.m.start) & (-r.s >= r.m.stop))
+        return F.transform(kept, lambda r: r.m)
+
+    return let(both, judged)
 
 
 def written(kinds: tuple[str, ...]) -> Column:
