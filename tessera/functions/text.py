@@ -1,15 +1,31 @@
-"""Column functions over text: cleaning, counting, splitting. All are native expressions."""
+"""Column functions over text: cleaning, counting, splitting.
+
+All are native expressions but one: templates nested deeper than three levels are taken out by a scanner in Arrow
+batches, which other texts do not enter. Every function's time grows with the length of a text, whatever is in it:
+patterns look for an end only where one is to come (``closed``), and repeated groups are possessive, so that Java
+walks them in a loop and does not go down one call each time.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Prefixes of clerical lines, of image residue and of notices.
 CLERICAL_PREFIXES = ("|", "{{", "}}", "Category:")
-IMAGE_RESIDUE = r"(?m)^\s*(?:\d+px\||thumb\||left\||right\||center\||border\|)+[^\n]*$"
+IMAGE_RESIDUE = r"\d+px\||thumb\||left\||right\||center\||border\|"
 NOTICE_PREFIXES = ("this article is about", "you may be looking for", "warning:", "spoiler:")
 
+#: White space as patterns know it.
+BLANKS = " \t\n\x0b\x0c\r"
+
+#: Stands for a line that :func:`drop_image_residue` takes out; a text's own are dropped.
+_MARK = "\u0001"
+
 
 def let(value: Column, body) -> Column:
     """``body`` of a value that is worked out once."""
@@ -31,11 +47,47 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(words(F.lower(text)))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def closed(text: Column, end: str, body) -> Column:
+    """``body`` of a text up to the last ``end`` in it, and the rest as it is.
+
+    What begins after the last end cannot be closed: a pattern that looked for one would read on to the end of the text,
+    again and again.
+    """
+
+    def cut(t: Column) -> Column:
+        tail = F.substring_index(t, end, -1)
+        head = F.left(t, F.char_length(t) - F.char_length(tail))
+        return F.when(F.contains(t, F.lit(end)), F.concat(body(head), tail)).otherwise(t)
+
+    return let(text, cut)
+
+
+def closed_by(text: Column, end: str, body) -> Column:
+    """The same for a pattern of an end."""
+
+    def cut(t: Column) -> Column:
+        tail = F.element_at(F.split(t, end), -1)
+        head = F.left(t, F.char_length(t) - F.char_length(tail))
+        return F.when(F.rlike(t, F.lit(end)), F.concat(body(head), tail)).otherwise(t)
+
+    return let(text, cut)
+
+
+def _without(text: Column, begin: str, end: str, put: str = "") -> Column:
+    """Without elements from ``begin`` to the next ``end``, patterns both."""
+    return closed_by(text, f"(?i){end}", lambda x: F.regexp_replace(x, f"(?is){begin}.*?{end}", put))
+
+
 def strip_refs(text: Column) -> Column:
-    """Without ``<ref>`` blocks, self-closed refs and HTML comments."""
-    out = F.regexp_replace(text, r"(?is)<ref[^>/]*/>", "")
-    out = F.regexp_replace(out, r"(?is)<ref[^>]*>.*?</ref>", "")
-    return F.regexp_replace(out, r"(?s)<!--.*?-->", "")
+    """Without ``<ref>`` blocks, self-closed refs and HTML comments; a tag has no ``<`` in it."""
+    out = F.regexp_replace(text, r"(?i)<ref[^<>/]*+/>", "")
+    out = _without(out, r"<ref[^<>]*+>", "</ref>")
+    return closed(out, "-->", lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->", ""))
 
 
 def drop_clerical(text: Column, prefixes: tuple[str, ...] = CLERICAL_PREFIXES) -> Column:
@@ -52,62 +104,76 @@ def drop_clerical(text: Column, prefixes: tuple[str, ...] = CLERICAL_PREFIXES) -
 
 
 def drop_image_residue(text: Column) -> Column:
-    """Without lines that are left over from image captions."""
-    return F.regexp_replace(text, IMAGE_RESIDUE, "")
+    """Without lines that are left over from image captions; white space before such a line goes with it, up to the end of a line."""
+    residue = rf"^\s*+(?:{IMAGE_RESIDUE})"
+    clean = F.replace(text, F.lit(_MARK), F.lit(""))
+    marked = F.array_join(F.transform(F.split(clean, "\n"), lambda x: F.when(F.rlike(x, F.lit(residue)), _MARK).otherwise(x)), "\n")
+    # From the marks backwards, so that only white space that leads to one is read.
+    back = rf"{_MARK}\s*+\z|{_MARK}\s*(?=\n)"
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(_MARK)), F.reverse(F.regexp_replace(F.reverse(m), back, ""))).otherwise(m))
 
 
 def normalise_ws(text: Column) -> Column:
     """Runs of blanks and tabs as one blank, three or more newlines as two, trimmed."""
     out = F.regexp_replace(text, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
 def html_to_text(html: Column) -> Column:
     """Visible text of HTML: scripts, styles, navigation and comments go, then tags; the usual entities are decoded."""
     out = html
     for tag in ("script", "style", "nav"):  # scripts first, so that one within navigation does not end it
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"<[^>]*>", " ")
+        out = _without(out, rf"<{tag}\b", rf"</{tag}\s*+>", " ")
+    out = closed(out, "-->", lambda x: F.regexp_replace(x, r"(?s)<!--.*?-->", " "))
+    out = closed(out, ">", lambda x: F.regexp_replace(x, r"<[^>]*+>", " "))
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         out = F.replace(out, F.lit(entity), F.lit(char))
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def without_templates(text: str) -> str:
+    """``text`` without templates, however deep, in one pass: what lies open is a stack of places in what is kept."""
+    kept, open_, at = [], [], 0
+    for found in re.finditer(r"\{\{|\}\}", text):
+        kept.append(text[at : found.start()])
+        at = found.end()
+        if found[0] == "{{":
+            open_.append(len(kept))
+            kept.append("{{")
+        elif open_:
+            del kept[open_.pop() :]
+        else:
+            kept.append("}}")
+    return "".join(kept) + text[at:]
+
+
+@F.arrow_udf(StringType())
+def _scanned(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else without_templates(t) for t in texts.to_pylist()], pa.string())
+
+
 def drop_templates(text: Column) -> Column:
     """Without ``{{ }}`` templates, however deep; an opening without its end stays, as does an end without an opening.
 
-    Those within which there are no braces go first, level by level; where others are left the pieces between braces are
-    folded from left to right onto a stack that never holds more than what is open.
+    Those within which there are no braces go first, level by level; texts that still hold both marks go on to a scanner.
     """
     for _ in range(3):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
-    pieces = F.split(F.regexp_replace(text, r"\{\{|\}\}", "\u0001$0\u0001"), "\u0001")
-
-    def step(open_: Column, piece: Column) -> Column:
-        # The last entry is what was read since the innermost open template began; those before it lie around.
-        size = F.size(open_)
-        said = F.concat(F.get(open_, size - 1), piece)
-        rest = F.slice(open_, 1, size - 1)
-        return (
-            F.when(piece == "{{", F.concat(open_, F.array(F.lit(""))))
-            .when((piece == "}}") & (size > 1), rest)
-            .otherwise(F.concat(rest, F.array(said)))
-        )
-
-    folded = F.aggregate(pieces, F.array(F.lit("")), step, lambda left: F.array_join(left, "{{"))
-    return F.when(F.contains(text, F.lit("{{")), folded).otherwise(text)
+        text = F.regexp_replace(text, r"\{\{[^{}]*+\}\}", "")
+    deep = F.contains(text, F.lit("{{")) & F.contains(text, F.lit("}}"))
+    return F.coalesce(_scanned(F.when(deep, text)), text)
 
 
 def wiki_to_text(text: Column) -> Column:
-    """Plain text of wiki markup: refs, templates, file and category links go; labels of links stay."""
+    """Plain text of wiki markup: refs, templates, file and category links go; labels of links stay.
+
+    A web address ends at white space or at an opening bracket.
+    """
     out = drop_templates(strip_refs(text))
-    out = F.regexp_replace(out, r"(?i)\[\[(?:File|Image|Category):[^\[\]]*(?:\[\[[^\[\]]*\]\][^\[\]]*)*\]\]", "")
+    out = F.regexp_replace(out, r"(?i)\[\[(?:File|Image|Category):[^\[\]]*+(?:\[\[[^\[\]]*+\]\][^\[\]]*+)*+\]\]", "")
     out = F.regexp_replace(out, r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]", "$1")
-    out = F.regexp_replace(out, r"\[https?://\S+\s+([^\]]*)\]", "$1")
+    out = closed(out, "]", lambda x: F.regexp_replace(x, r"\[https?://[^\s\[]++\s++([^\]]*+)\]", "$1"))
     out = F.regexp_replace(out, r"'{2,}", "")
-    out = F.regexp_replace(out, r"(?s)<[^>]+>", "")
+    out = closed(out, ">", lambda x: F.regexp_replace(x, r"<[^>]++>", ""))
     return normalise_ws(drop_image_residue(drop_clerical(out)))
 
 
@@ -116,7 +182,7 @@ def lead(text: Column, first_chars: int = 4000) -> Column:
     at = F.instr(text, "'''")
     head = F.substr(text, F.lit(1), F.lit(first_chars))
     start = F.when(at > 0, F.substr(text, at)).otherwise(F.element_at(F.split(head, r"\}\}"), -1))
-    return F.regexp_replace(F.get(F.split(start, r"\n==", 2), F.lit(0)), r"^\s+|\s+$", "")
+    return strip(F.get(F.split(start, r"\n==", 2), F.lit(0)))
 
 
 def collapse_paragraph(text: Column, max_words: int = 400) -> Column:
@@ -128,7 +194,7 @@ def collapse_paragraph(text: Column, max_words: int = 400) -> Column:
             found = found | F.startswith(F.lower(line), F.lit(prefix))
         return found
 
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(text, "\n"), strip)
     joined = F.regexp_replace(F.array_join(F.filter(lines, lambda x: ~notice(x)), " "), r"\s+", " ")
     for residue, mended in ((r"\s+,", ","), (r",\s*,+", ","), (r"\(\s*,?\s*\)", ""), (r"\s+\.", "."), (r"\s{2,}", " ")):
         joined = F.regexp_replace(joined, residue, mended)

@@ -18,7 +18,7 @@ PREAMBLE = "Relevant knowledge:"
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return T.strip(c)
 
 
 def format_naive(items: Column, preamble: str = PREAMBLE) -> Column:

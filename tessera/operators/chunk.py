@@ -28,7 +28,7 @@ def by_sentence(text: Column, most: int = 5) -> Column:
 
 def by_paragraph(text: Column, sep: str = r"\n\s*\n") -> Column:
     """Trimmed paragraphs that are not empty."""
-    return F.filter(F.transform(F.split(text, sep), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, sep), T.strip), lambda p: p != "")
 
 
 def recursive(text: Column, size: int = SIZE, sep: str = r"\n\s*\n") -> Column:
@@ -103,7 +103,7 @@ def sections(pages: DataFrame, text: str = "text") -> DataFrame:
         level = F.when(head, F.length(F.get(cut, F.lit(0)))).otherwise(F.lit(0))
         title = F.when(head, F.trim(F.regexp_replace(F.get(cut, F.lit(1)), r"\{\{[^{}]*\}\}", "")))
         body = F.when(head, F.get(cut, F.lit(2))).otherwise(p)
-        return F.struct(level.alias("level"), title.alias("title"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"))
+        return F.struct(level.alias("level"), title.alias("title"), T.strip(body).alias("body"))
 
     item = "struct<level:int,title:string>"
     start = F.struct(F.array().cast(f"array<{item}>").alias("open"), F.array().cast("array<struct<path:array<string>,body:string>>").alias("out"))

@@ -68,7 +68,7 @@ def _text(c: Column) -> Column:
 
 
 def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(_text(c), r"^\s+|\s+$", "")
+    return T.strip(_text(c))
 
 
 def _any_in(text: Column, phrases) -> Column:
