@@ -127,7 +127,7 @@ def twin(page):
     parser = Twin()
     parser.feed(page)
     parser.close_block()
-    labels = []
+    labels, outer = [], []
     for text, linked, path in parser.blocks:
         tags = [t for t, _ in path]
         words = {w for _, a in path for w in re.split("[^a-z]+", f"{a.get('class', '')} {a.get('id', '')}")}
@@ -135,8 +135,8 @@ def twin(page):
         share, inside = sum(stops) / max(1, len(stops)), "article" in tags
         if {"nav", "footer", "aside", "form"} & set(tags) or words & (html_text.OUTER_WORDS | html_text.COMMENT_WORDS) or ("header" in tags and not inside):
             label = False
-        elif linked > 0.33 * len(text) or ("©" in text and len(text) < 200):
-            label = False
+        elif linked > 0.33 * len(text):
+            label = None if inside else False
         elif len(text) < 70:
             label = None
         elif share >= 0.3 or (len(text) >= 200 and share >= 0.15):
@@ -144,11 +144,13 @@ def twin(page):
         else:
             label = None if share >= 0.15 or inside or not linked else False
         labels.append((label, inside))
+        outer.append(bool({"nav", "footer", "aside", "form"} & set(tags) or words & (html_text.OUTER_WORDS | html_text.COMMENT_WORDS) or ("header" in tags and not inside)))
+    lends = [x is not None and (any(own for _, own in labels) or not off) for (x, _), off in zip(labels, outer)]
     out = []
     for i, (label, inside) in enumerate(labels):
         if label is None:
-            left = next((j for j in range(i - 1, -1, -1) if labels[j][0] is not None), None)
-            right = next((j for j in range(i + 1, len(labels)) if labels[j][0] is not None), None)
+            left = next((j for j in range(i - 1, -1, -1) if lends[j]), None)
+            right = next((j for j in range(i + 1, len(labels)) if lends[j]), None)
             near = [j for j in (left, right) if j is not None]
             if inside:
                 own = [labels[j][0] for j in near if labels[j][1]]
