@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Callable
 
@@ -87,31 +88,52 @@ def fit_budget(rows: DataFrame, most: int, key: str = "session_id", order: str =
 
     Entries come in order. To make room the lowest by (priority, ts) go, never ``protected`` roles. If nothing more can
     go, ``compress`` makes one entry of priority 2 of all retrieved ones; an entry over the budget is refused, as is one
-    for which there is no room even then. A session is the bounded group of the fold.
+    for which there is no room even then. A session is the bounded group of the fold, which keeps a heap and running sums.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        held, refused = [], []
+        held, refused = {}, []  # entries by their number in order of arrival
+        free: list[tuple] = []  # a heap of those that may go: the lowest (priority, time) first, then the earliest
+        retrieved: dict[int, dict] = {}  # those held of the retrieval role
+        fresh = used = 0  # retrieved entries that are no summary; tokens held
+
+        def add(number: int, row: dict) -> None:
+            nonlocal fresh, used
+            held[number], used = row, used + row["tokens"]
+            if row["role"] not in protected:
+                heapq.heappush(free, (row["priority"], row[order], number))
+            if row["role"] == "retrieval":
+                retrieved[number], fresh = row, fresh + (row["priority"] != 2.0)
+
+        def drop(number: int) -> None:
+            nonlocal fresh, used
+            row = held.pop(number)
+            used -= row["tokens"]
+            if retrieved.pop(number, None) is not None:
+                fresh -= row["priority"] != 2.0
+
+        number = 0
         for row in frame.sort_values(order, kind="stable").to_dict("records"):
             if row["tokens"] > most:
                 refused.append(row | {"error": "entry exceeds budget"})
                 continue
-            while sum(h["tokens"] for h in held) + row["tokens"] > most:
-                free = [h for h in held if h["role"] not in protected]
-                found = [h for h in held if h["role"] == "retrieval"]
+            while used + row["tokens"] > most:
                 if free:
-                    gone = [min(free, key=lambda h: (h["priority"], h[order]))]
-                elif compress is not None and len(found) > sum(h["priority"] == 2.0 for h in found):
-                    gone = found
+                    drop(heapq.heappop(free)[2])
+                elif compress is not None and fresh:
+                    found = list(retrieved.values())
                     said = compress([h["content"] for h in found])
-                    held.append(found[-1] | {"content": said, "tokens": len(said.split()), "priority": 2.0})
+                    for n in list(retrieved):
+                        drop(n)
+                    number += 1
+                    add(number, found[-1] | {"content": said, "tokens": len(said.split()), "priority": 2.0})
                 else:
                     refused.append(row | {"error": "budget exhausted"})
                     break
-                held = [h for h in held if not any(h is g for g in gone)]
             else:
-                held.append(row | {"error": None})
-        return pd.DataFrame([*held, *refused], columns=[*frame.columns, "error"])
+                number += 1
+                add(number, row | {"error": None})
+        return pd.DataFrame([*held.values(), *refused], columns=[*frame.columns, "error"])
 
     return rows.groupBy(key).applyInPandas(run, rows.withColumn("error", F.lit(None).cast("string")).schema)
 

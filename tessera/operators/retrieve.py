@@ -7,8 +7,11 @@ ones, and what is shuffled after that is small.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import join_checked, materialise
 
 DEFAULT_K = 5
 #: Chunks for a mode; other modes take 3.
@@ -24,6 +28,10 @@ MODE_K = {"deep_research": 10, "open_analysis": 7, "perspective_shift": 5, "exam
 BROADCAST_QUERIES = 20_000
 #: Queries of a block and rows of a part, about; tasks in which blocks meet parts, at most (a task may take several in turn).
 BLOCK_ROWS, PART_ROWS, MOST_TASKS = 8_192, 20_000, 20_000
+#: Aliases of one automaton, about.
+ALIAS_ROWS = 200_000
+#: Characters of a word at whose end an alias does not end.
+WORD = frozenset(string.ascii_letters + string.digits + "_")
 
 
 def topk(rows: DataFrame, k: int | Column | None = None, by: str = "score", key: str = "query_id", order: tuple[str, ...] = ()) -> DataFrame:
@@ -287,23 +295,60 @@ def scoped_or_general(scoped: DataFrame, general: DataFrame) -> DataFrame:
     return scoped.unionByName(general.join(scoped.select("query_id").distinct(), "query_id", "left_anti"))
 
 
-def detect_alias(rows: DataFrame, text: str, aliases: DataFrame, key: str) -> DataFrame:
+def _alias_finder(known: list[tuple[str, str, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(key, size, ordinal, slug)`` of the longest of ``known`` in each text, by one pass of an automaton over the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for alias, slug, ordinal in known:
+            held = automaton.get(alias, None)
+            if held is None or ordinal < held[1]:
+                automaton.add_word(alias, (len(alias), ordinal, slug))
+        automaton.make_automaton()
+        for batch in batches:
+            rows = [[], [], [], []]
+            for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
+                best = None
+                for end, found in automaton.iter(text or ""):
+                    size, ordinal, slug = found
+                    start = end - size + 1
+                    if (best is None or (size, -ordinal) > (best[0], -best[1])) and (start == 0 or text[start - 1] not in WORD) and (end + 1 == len(text) or text[end + 1] not in WORD):
+                        best = found
+                if best is not None:
+                    for column, x in zip(rows, (key, *best)):
+                        column.append(x)
+            keys = pa.array([x.as_py() for x in rows[0]], batch.schema.types[0])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.string())], names=["key", "size", "ordinal", "slug"])
+
+    return run
+
+
+def detect_alias(rows: DataFrame, text: str, aliases: DataFrame, key: str, part_rows: int = ALIAS_ROWS) -> DataFrame:
     """``rows`` with the ``slug`` of the longest alias in the text, at word boundaries, in any case; ties by ``ordinal``.
 
-    ``aliases(alias, slug, ordinal)`` is a short list.
+    ``aliases(alias, slug, ordinal)`` may be of any size: it is dealt into parts of about ``part_rows``, each of which
+    becomes an automaton that reads the texts once. A boundary is the text's end or a character other than A-Z, a-z,
+    0-9 and ``_``. Empty and null aliases match nothing, null texts get null, repeated keys are one row's texts together.
     """
-    names = F.broadcast(aliases.select(F.lower("alias").alias("__alias"), F.col("slug").alias("__slug"), F.col("ordinal").alias("__ordinal")))
-    pattern = F.concat(F.lit(r"(^|\W)"), F.regexp_replace("__alias", r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"($|\W)"))
-    met = rows.select(key, F.lower(text).alias("__t")).join(names, F.contains(F.col("__t"), F.col("__alias")) & F.rlike(F.col("__t"), pattern))
-    best = met.groupBy(key).agg(F.max_by("__slug", F.struct(F.length("__alias"), -F.col("__ordinal"))).alias("slug"))
-    return rows.join(best, key, "left")
+    names = materialise(aliases.select(F.lower("alias").alias("alias"), F.col("slug").cast("string").alias("slug"), F.col("ordinal").cast("long").alias("ordinal")).filter("alias <> ''"), "aliases")
+    parts = max(1, -(-names.count() // part_rows))
+    texts = rows.select(F.col(key).alias("key"), F.lower(text).alias("t")).filter("t IS NOT NULL")
+    found = []
+    for part in range(parts):
+        known = names.filter(F.pmod(F.xxhash64("alias"), F.lit(parts)) == part).collect()  # bounded by part_rows, about
+        if known:
+            found.append(texts.mapInArrow(_alias_finder([(r.alias, r.slug, r.ordinal) for r in known]), f"key {texts.schema['key'].dataType.simpleString()}, size int, ordinal long, slug string"))
+    if not found:
+        return rows.withColumn("slug", F.lit(None).cast("string"))
+    best = reduce(DataFrame.union, found).groupBy("key").agg(F.max_by("slug", F.struct("size", -F.col("ordinal"))).alias("slug"))
+    return rows.join(best.withColumnRenamed("key", "__key"), F.col(key) == F.col("__key"), "left").drop("__key")
 
 
 def normalise_alias(rows: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     """``slug``: an alias's slug, else the name in lower case with hyphens."""
-    known = F.broadcast(aliases.select(F.lower("alias").alias("__alias"), F.col("slug").alias("__slug")))
+    known = materialise(aliases.select(F.lower("alias").alias("__alias"), F.col("slug").alias("__slug")), "aliases")
     low = F.lower(F.trim(name))
-    return rows.join(known, low == F.col("__alias"), "left").withColumn("slug", F.coalesce("__slug", F.regexp_replace(low, r"\s+", "-"))).drop("__alias", "__slug")
+    return join_checked(rows, known, low == F.col("__alias"), "left").withColumn("slug", F.coalesce("__slug", F.regexp_replace(low, r"\s+", "-"))).drop("__alias", "__slug")
 
 
 def query_text(*parts: Column) -> Column:

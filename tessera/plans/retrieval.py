@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import assemble as A
-from tessera.operators import chunk, evaluate, rank
+from tessera.operators import chunk, evaluate, rank, vector_index
 from tessera.operators import retrieve as E
 from tessera.plans.base import query, table
 
@@ -74,6 +74,14 @@ def vector_topk_lsh(spark, sf_dir):
     return E.vector_topk_lsh(q, v, 10, bits=4)  # these vectors are nearly orthogonal: wide buckets
 
 
+@query()
+def vector_topk_ivf(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    # These vectors are nearly orthogonal: most lists are scanned by their codes, few vectors are scored.
+    return vector_index.search(vector_index.build(v, cells=32), q, 10, probes=24, rerank=15)
+
+
 def _candidates(spark, sf_dir, k=20):
     top = E.keyword_topk(_queries(spark, sf_dir), _documents(spark, sf_dir), k)
     return top.join(_documents(spark, sf_dir).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "text", "score", "rank")
