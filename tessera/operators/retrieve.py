@@ -136,27 +136,34 @@ def _overlaps(kind: str, k: int, owner: str) -> Callable[[pa.Table, pa.Table], p
     return run
 
 
-def _token_topk(kind: str, queries: DataFrame, chunks: DataFrame, k: int | None, owner: str, query_text: str, chunk_text: str, where: list[str] | None) -> DataFrame:
+def _token_topk(kind: str, queries: DataFrame, chunks: DataFrame, k: int | None, owner: str, query_text: str, chunk_text: str, where: list[str] | None, block_rows: int) -> DataFrame:
     keys, k = where or [], k or DEFAULT_K
     q = queries.select("query_id", *keys, T.token_set(F.col(query_text)).alias("query_tokens"))
     c = chunks.select(owner, *keys, T.token_set(F.col(chunk_text)).alias("row_tokens"))
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, {owner} {c.schema[owner].dataType.simpleString()}, score double"
-    return topk(_meet(q, c, owner, keys, _overlaps(kind, k, owner), schema, BLOCK_ROWS, PART_ROWS), k, order=(owner,))
+    by_blocks = lambda some: _meet(some, c, owner, keys, _overlaps(kind, k, owner), schema, BLOCK_ROWS, PART_ROWS)
+    if queries.limit(block_rows + 1).count() <= block_rows:  # one block: the chunks are read once as they are
+        found = by_blocks(q)
+    else:
+        from tessera.operators.postings import posting_topk
+
+        found = posting_topk(kind, q, c, k, owner, keys, by_blocks)
+    return topk(found, k, order=(owner,))
 
 
-def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None) -> DataFrame:
+def keyword_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The ``k`` best chunks of each query by shared tokens over query tokens plus one; ties by chunk id.
 
     Chunks without a shared token follow with score 0, so that a query has k rows wherever there are as many chunks.
     ``chunk_id`` may name what several chunks belong to: its best chunk counts. ``where`` names columns of both sides
-    that must be equal.
+    that must be equal. Up to ``block_rows`` queries meet all chunks in one block; more are looked up in posting lists.
     """
-    return _token_topk("keyword", queries, chunks, k, chunk_id, query_text, chunk_text, where)
+    return _token_topk("keyword", queries, chunks, k, chunk_id, query_text, chunk_text, where, block_rows)
 
 
-def jaccard_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None) -> DataFrame:
+def jaccard_topk(queries: DataFrame, chunks: DataFrame, k: int | None = None, chunk_id: str = "chunk_id", query_text: str = "text", chunk_text: str = "text", where: list[str] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same by the Jaccard index of token sets."""
-    return _token_topk("jaccard", queries, chunks, k, chunk_id, query_text, chunk_text, where)
+    return _token_topk("jaccard", queries, chunks, k, chunk_id, query_text, chunk_text, where, block_rows)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
