@@ -10,14 +10,17 @@ from tessera.functions import text as T
 
 
 def latest(rows: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The last row of each key."""
+    """The first row of each key in ``order``."""
     n = F.row_number().over(W.partitionBy(*key).orderBy(*order))
     return rows.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 
-def upsert(store: DataFrame, updates: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
-    """``store`` with ``updates`` written over it by key; of updates with one key the first in ``order`` wins."""
-    new = latest(updates, key, order) if order else updates.dropDuplicates(key)
+def upsert(store: DataFrame, updates: DataFrame, key: list[str], order: list) -> DataFrame:
+    """``store`` with ``updates`` written over it by key; of updates with one key the first in ``order`` wins, as in descending time.
+
+    :class:`tessera.sources.store.KeyedStore` does so in place, partition by partition.
+    """
+    new = latest(updates, key, order)
     return store.join(new.select(*key), key, "left_anti").unionByName(new.select(*store.columns))
 
 

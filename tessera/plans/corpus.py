@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunk, hooks, registry
 from tessera.plans.base import count_sql, fixed_sql, query, table, words_sql
+from tessera.session import shared_path
+from tessera.sources.store import KeyedStore
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with wiki-like markup around their text."""
@@ -256,6 +258,17 @@ def upsert_latest(spark, sf_dir):
     return registry.upsert(store, new, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
 
 
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey HAVING o_custkey % 7 <> 0")
+def upsert_in_place(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    kept = KeyedStore(spark, shared_path(spark, "store"), rows.schema.simpleString()[len("struct<") : -1], ["o_custkey"], parts=16)
+    newest = [F.desc("o_orderdate"), F.desc("o_orderkey")]
+    kept.upsert(rows.filter("o_orderdate < '1996-01-01'"), newest)
+    kept.apply(rows.filter("o_orderdate >= '1996-01-01'"), newest)
+    kept.delete(rows.filter("o_custkey % 7 = 0"))
+    return kept.read().drop("o_orderdate")
+
+
 @query("SELECT doc_id, 'd' || doc_id AS title, source || '/' || lang AS url, 'd' || doc_id || ' | ' || source || '/' || lang AS line FROM documents")
 def attribution(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("title"), F.concat_ws("/", "source", "lang").alias("url"))

@@ -22,8 +22,8 @@ def read_tagged_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tagged_text(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """Documents ``(doc_id, text)`` as tagged text."""
-    docs.select(F.format_string("doc_id: %s\n%s\n", F.col("doc_id").cast("string"), F.col("text"))).write.mode(mode).text(path)
+    """Documents ``(doc_id, text)`` as tagged text; those without an id or a text are left out, as they would be on reading."""
+    docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.format_string("doc_id: %s\n%s\n", F.col("doc_id").cast("string"), F.col("text"))).write.mode(mode).text(path)
 
 
 def read_pages(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA) -> DataFrame:
