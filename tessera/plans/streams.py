@@ -22,14 +22,15 @@ def _drain(df: DataFrame, mode: str) -> tuple[DataFrame, int]:
     """What a stream gives for all that is there now, and how many rows came too late."""
     spark = df.sparkSession
     path = shared_path(spark, "drained")
-    write = {"complete": "overwrite"}.get(mode, "append")
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode(write).parquet(path)
+    def whole(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
 
+    each = whole if mode == "complete" else K.once_by_batch(path)
     run = df.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream")).foreachBatch(each).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path), K.late_rows(run)
+    found = spark.read.schema(df.schema).parquet(path) if mode == "complete" else K.read_batches(spark, path, df.schema)
+    return found, K.late_rows(run)
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -37,16 +38,16 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
     return _drain(df, mode)[0]
 
 
-def _in_parts(spark: SparkSession, sf_dir: str, parts: int = 4, late: bool = False) -> DataFrame:
+def _in_parts(spark: SparkSession, sf_dir: str, parts: int = 4, late: bool = False, files: int = 4) -> DataFrame:
     """A stream of the events in ``parts`` stretches of time, one batch each; if ``late`` every fiftieth event comes with the last."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     ends = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
     part = F.least(F.lit(parts - 1), F.floor((F.unix_micros("ts") - ends.low) * parts / max(1, ends.high - ends.low)))
     part = F.when(F.lit(late) & (F.col("event_id") % 50 == 0), F.lit(parts - 1)).otherwise(part)
     path = shared_path(spark, "parts")
-    for k in range(parts):
-        e.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for k in range(parts):  # later stretches have later files; as many files of each are a batch
+        e.filter(part == k).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 _SPREAD = "(SELECT *, least(3, floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 4.0::DOUBLE / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ()))) AS part FROM events)"
@@ -94,6 +95,27 @@ def stream_latency_rollup(spark, sf_dir):
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "n")
 
 
+@query()
+def stream_latency_sketches(spark, sf_dir):
+    rows = _stream(spark, sf_dir).select("ts", F.col("event_type").alias("kind"), F.col("value").alias("latency_ms"))
+    out = drained(K.stream_latency_sketch(rows, "1 hour"), "complete").withColumn("day", F.date_trunc("day", "window.start").cast("timestamp_ntz"))
+    return K.latency_of_sketches(out, ["day", "kind"])
+
+
+@query(
+    """WITH o AS (SELECT event_id AS turn_id, ts, value FROM events WHERE event_id % 2 = 0), c AS (SELECT event_id - 1 AS turn_id, ts, event_type FROM events WHERE event_id % 2 = 1),
+    m AS (SELECT least((SELECT max(ts) FROM o), (SELECT max(ts) FROM c)) AS ended),
+    j AS (SELECT o.turn_id, o.ts, c.ts AS closed, c.event_type FROM o LEFT JOIN c ON o.turn_id = c.turn_id AND c.ts >= o.ts AND c.ts <= o.ts + INTERVAL 12 HOUR)
+    SELECT turn_id, CASE WHEN closed IS NULL OR event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'escalated' ELSE 'completed' END AS status FROM j, m WHERE closed IS NOT NULL OR ts + INTERVAL 12 HOUR < ended - INTERVAL 1 HOUR"""
+)
+def stream_turn_status(spark, sf_dir):
+    """Every even event opens a turn that the next one may close; turns that are not closed fail as the watermark passes."""
+    opened = _in_parts(spark, sf_dir).filter("event_id % 2 = 0").select(F.col("event_id").alias("turn_id"), "ts")
+    outcome = F.when(F.col("event_type") == "signup", "escalated").otherwise(F.col("event_type"))
+    closed = _in_parts(spark, sf_dir).filter("event_id % 2 = 1").select((F.col("event_id") - 1).alias("turn_id"), "ts", outcome.alias("outcome"))
+    return drained(K.stream_turn_status(opened, closed, "12 hours", "1 hour")).select("turn_id", "status")
+
+
 @query(
     """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
     s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS started, count(*) AS events FROM s GROUP BY user_id, s"""
@@ -178,7 +200,7 @@ def stream_compaction(spark, sf_dir):
 @query()
 def stream_near_dedup(spark, sf_dir):
     rows = _turns(spark, sf_dir).select("conversation_id", "text")
-    return drained(K.stream_dedup(rows, 0.9, "conversation_id"))
+    return drained(K.stream_dedup(rows, 0.9, "conversation_id", ttl_ms=None))
 
 
 @query()

@@ -61,7 +61,7 @@ def test_dedup_and_topk(spark, tmp_path):
     K.use_rocksdb(spark)
     rows = [(1, "a b c d", 0.5), (1, "a b c d", 0.9), (1, "x y", 0.7), (2, "a b c d", 0.1)]
     df = small(spark, tmp_path, rows, "query_id long, text string, score double")
-    assert sorted(r.text for r in drain(spark, K.stream_dedup(df), "dedup").collect()) == ["a b c d", "a b c d", "x y"]
+    assert sorted(r.text for r in drain(spark, K.stream_dedup(df, ttl_ms=None), "dedup").collect()) == ["a b c d", "a b c d", "x y"]
     best = drain(spark, K.stream_topk(K.stream_min_score(df, 0.2), 2), "topk", "update")
     assert sorted((r.query_id, r.score, r.rank) for r in best.collect()) == [(1, 0.7, 2), (1, 0.9, 1)]
 
@@ -121,3 +121,78 @@ def test_sessions_as_a_stream(spark, tmp_path):
     df = batches(spark, tmp_path, parts, "user_id string, ts timestamp")
     got = drain(spark, K.sessions(df, "30 minutes", delay="5 minutes"), "spans")
     assert sorted((r.user_id, r.session.start, r.events) for r in got.collect()) == [("a", at(0), 3), ("a", at(300), 1), ("b", at(50), 1)]
+
+
+def test_sketches_are_near_the_exact_quantiles_and_state_is_bounded(spark, source):
+    df = K.stream_latency_sketch(stream(spark, source), "6 hours")
+    q = df.writeStream.outputMode("complete").format("memory").queryName("sketches").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    held = spark.table("sketches")
+    assert held.count() == source[1].groupBy(F.window("ts", "6 hours"), "kind").count().count() == max(op["numRowsTotal"] for p in q.recentProgress for op in p["stateOperators"])
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    for by in ([], ["kind"]):
+        for r in K.latency_of_sketches(held, by, shares).collect():
+            values = [x.latency_ms for x in source[1].filter(F.lit(True) if not by else F.col("kind") == r.kind).select("latency_ms").collect()]
+            assert r.n == len(values)
+            for name, p in shares.items():
+                low, high = sum(v < r[name] for v in values) / r.n, sum(v <= r[name] for v in values) / r.n
+                assert low - 0.0165 <= p <= high + 0.0165
+
+
+def test_a_batch_that_comes_again_is_written_once(spark, tmp_path):
+    path, schema = str(tmp_path / "out"), "a int"
+    write = K.once_by_batch(path)
+    first, second = (spark.createDataFrame([(i,) for i in r], schema) for r in (range(5), range(5, 9)))
+    for batch, number in ((first, 0), (second, 1), (second, 1), (first, 0)):
+        write(batch, number)
+    got = K.read_batches(spark, path, first.schema)
+    assert got.columns == ["a"] and sorted(r.a for r in got.collect()) == list(range(9))
+
+
+def test_turns_are_closed_by_a_join_of_streams(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    (tmp_path / "o").mkdir()
+    (tmp_path / "c").mkdir()
+    opened = batches(spark, tmp_path / "o", [[(1, at(0)), (2, at(1)), (3, at(2)), (4, at(3))], [(5, at(40))], [(9, at(500))], [(10, at(501))]], "turn_id int, ts timestamp")
+    closed = batches(spark, tmp_path / "c", [[(1, at(5), "ok")], [(2, at(30), "error"), (3, at(45), "escalated")], [(4, at(400), "ok")], [(9, at(502), "ok")]], "turn_id int, ts timestamp, outcome string")
+    got = drain(spark, K.stream_turn_status(opened, closed, "1 hour", "5 minutes"), "status").collect()
+    assert sorted((r.turn_id, r.status, r.seconds) for r in got) == [(1, "completed", 300.0), (2, "failed", 1740.0), (3, "escalated", 2580.0), (4, "failed", None), (5, "failed", None), (9, "completed", 120.0)]
+
+
+def test_banded_dedup_is_near_the_exact_one(spark, tmp_path):
+    import random
+
+    K.use_rocksdb(spark)
+    rng, rows = random.Random(3), []
+    for i in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows.append((1, " ".join(words)))
+        for n in (0, 1, 30):  # as it is, one word of 60 changed (0.967), half of them (0.33)
+            rows.append((1, " ".join(["new" + str(i)] * n + words[n:]) if n else " ".join(reversed(words))))
+    rows += [(2, None), (2, ""), (2, " "), (3, rows[0][1])]
+    df = small(spark, tmp_path, rows, "query_id long, text string")
+    got = drain(spark, K.stream_dedup(df, 0.9, ttl_ms=None), "banded").collect()
+    want, kept = 0, {}
+    for key, text in rows:
+        tokens = set((text or "").lower().split())
+        if not any((len(tokens & k) / len(tokens | k) if tokens | k else 1.0) >= 0.9 for k in kept.setdefault(key, [])):
+            kept[key].append(tokens)
+            want += 1
+    assert want <= len(got) <= want + 4  # of 80 copies at 0.97 or more at most 4 are not seen
+
+
+def test_dedup_forgets_what_is_old(spark, tmp_path):
+    K.use_rocksdb(spark)
+    df = batches(spark, tmp_path, [[(1, "a b c d")], [(1, "a b c d"), (1, "x y")]], "query_id long, text string")
+    for name, ttl, want in (("short", 1, 3), ("long", 3_600_000, 2)):
+        q = K.stream_dedup(df, ttl_ms=ttl).writeStream.format("memory").queryName(name).trigger(processingTime="1 second").start()
+        try:
+            for _ in range(60):
+                if sum(p["numInputRows"] for p in q.recentProgress) == 3:
+                    break
+                q.awaitTermination(1)
+        finally:
+            q.stop()
+        assert spark.table(name).count() == want
