@@ -177,15 +177,18 @@ def _nearest(k: int, step: int = 1024) -> Callable[[pa.Table, pa.Table], pa.Tabl
     """The nearest rows of a part for each query of a block, ``step`` rows of the part at a time."""
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        part = part.sort_by("vec_id")  # so that places are in the order of ids
         asked, rows, names = _matrix(block["q"]), _matrix(part["v"]), part["vec_id"].to_numpy()
         kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
         for at in range(0, len(rows), step):
             scores = asked @ rows[at : at + step].T
             most = min(k, scores.shape[1])
             near = np.argpartition(-scores, most - 1, axis=1)[:, :most] if len(scores) else np.zeros((0, most), np.int64)
-            # Rows as near as the last one may be as good by their id.
+            # Of the rows that are as near as the last one the first by id are as good.
             least = np.take_along_axis(scores, near, 1).min(1, keepdims=True) if len(scores) else scores
-            query, place = np.nonzero(scores >= least)
+            level = scores == least
+            free = most - (scores > least).sum(1, keepdims=True)
+            query, place = np.nonzero((scores > least) | (level & (np.cumsum(level, axis=1) <= free)))
             found = query, names[at + place], scores[query, place].astype(np.float64)
             both = tuple(np.concatenate(x) for x in zip(kept, found))
             best = _best(*both, k)

@@ -146,7 +146,11 @@ def dedup_within_query(spark, sf_dir):
     return rank.dedup_jaccard(_candidates(spark, sf_dir), 0.9).select("query_id", "chunk_id", "rank")
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT source, min(doc_id) AS id, t FROM (SELECT source, doc_id, list_sort({_toks('text')}) AS t FROM documents) GROUP BY source, t HAVING len(t) > 0),
+    p AS (SELECT a.source, a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS n, len(a.t) AS na, len(b.t) AS nb FROM s a JOIN s b ON a.source = b.source AND a.id < b.id AND least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t)) - 1e-9)
+    SELECT source, a, b, round(n / (na + nb - n)::DOUBLE, 6) AS score FROM p WHERE n / (na + nb - n)::DOUBLE >= 0.8"""
+)
 def jaccard_pairs(spark, sf_dir):
     return rank.jaccard_pairs(table(spark, sf_dir, "documents"), "source", "doc_id")[0].withColumn("score", F.round("score", 6))
 
