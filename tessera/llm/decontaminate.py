@@ -35,6 +35,8 @@ _CAPITAL_RE = r"(?<![\p{L}\p{N}\u0001-\u0004])\p{Lu}\p{L}*"
 # Repeats of groups are possessive: Java then walks them in a loop, where it would else go down one call each time.
 _NUMBER_RE = r"[0-9]++(?:[.,][0-9]++)*+"
 _UNIT_RE = rf"(?i)(?<=\u0002) ?({'|'.join(sorted(UNITS, key=lambda u: (-len(u), u)))})(?![\p{{L}}])"
+# What lies between words; the second form is for texts in which numbers still stand, whose points and commas are theirs.
+_PLAIN_GAP_RE = r"[^\p{L}\p{N}\u0001-\u0004]++"
 _GAP_RE = r"(?:[^\p{L}\p{N}\u0001-\u0004.,]|(?<![0-9])[.,]|[.,](?![0-9]))++"
 
 
@@ -53,7 +55,7 @@ def marked_words(text: Column, values: bool = False) -> Column:
     out = F.regexp_replace(out, _NUMBER_RE, ("$0" if values else "") + _NUMBER)
     out = F.when(F.contains(out, F.lit(_NUMBER)), F.regexp_replace(out, _UNIT_RE, f" {_UNIT}" + ("$1" if values else ""))).otherwise(out)
     out = F.regexp_replace(F.regexp_replace(out, _NAME_RE, _NAME + "$0"), _CAPITAL_RE, _FIRST + "$0")
-    return F.filter(F.split(F.lower(out), _GAP_RE), lambda w: w != "")
+    return F.filter(F.split(F.lower(out), _GAP_RE if values else _PLAIN_GAP_RE), lambda w: w != "")
 
 
 def _marked(word: Column) -> Column:
