@@ -323,7 +323,7 @@ def rank_delta(before: DataFrame, after: DataFrame, key: str = "query_id") -> Da
 def slo_check(rows: DataFrame, thresholds: DataFrame, mode: str = "mode", passed: str = "passed") -> DataFrame:
     """``(mode, pass_rate, threshold, ok)`` for each mode with a threshold; a mode without rows has rate 0."""
     rate = rows.groupBy(mode).agg(F.avg(F.col(passed).cast("double")).alias("pass_rate"))
-    out = F.broadcast(thresholds).join(rate, mode, "left")
+    out = thresholds.join(rate, mode, "left")
     return out.select(mode, F.coalesce("pass_rate", F.lit(0.0)).alias("pass_rate"), "threshold", (F.coalesce("pass_rate", F.lit(0.0)) >= F.col("threshold")).alias("ok"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.session import join_checked
+
 #: Rules on prompts (pattern, level, reason), in order.
 PROMPT_RULES = (
     (r"ignore\s+(all\s+)?(previous|prior|above)\s+instructions?", "block", "Role override: 'ignore previous instructions'"),
@@ -82,10 +84,9 @@ def screen_input(text: Column, **limits) -> Column:
 
 
 def audit_calls(calls: DataFrame, rules: DataFrame, default_allow: bool = False) -> DataFrame:
-    """``calls(capability, tool, ...)`` with ``allowed`` by ``rules(capability, tools)``, a short list."""
-    known = F.broadcast(rules.select("capability", "tools"))
+    """``calls(capability, tool, ...)`` with ``allowed`` by ``rules(capability, tools)``, a row a capability."""
     ok = F.when(F.col("tools").isNull(), F.lit(default_allow)).otherwise(F.array_contains("tools", F.col("tool")))
-    return calls.join(known, "capability", "left").withColumn("allowed", ok).drop("tools")
+    return join_checked(calls, rules.select("capability", "tools"), "capability", "left").withColumn("allowed", ok).drop("tools")
 
 
 def should_escalate(message: Column, context: Column, error: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import materialise
+from tessera.session import join_checked, materialise
 
 
 def values_at(rows: DataFrame, value: str, keys: list[str], places: dict[str, Callable[[Column], Column]], weight: str | None = None) -> DataFrame:
@@ -54,11 +54,11 @@ def percentile_cont(rows: DataFrame, value: str, shares: list[float], keys: list
 def estimate_cost(events: DataFrame, pricing: DataFrame, default: str = "default") -> DataFrame:
     """``events`` with ``estimated``: tokens at the model's rate for a million, else at the default's.
 
-    ``pricing(model, input, output)`` is a price list of a few rows.
+    ``pricing(model, input, output)`` has a row a model, one of them the default's.
     """
     rates = pricing.select(F.col("model").alias("__m"), F.col("input").alias("__i"), F.col("output").alias("__o"))
     fallback = pricing.filter(F.col("model") == default).select(F.col("input").alias("__di"), F.col("output").alias("__do"))
-    rows = events.join(F.broadcast(rates), F.col("model") == F.col("__m"), "left").join(F.broadcast(fallback), F.lit(True), "left")
+    rows = join_checked(events, rates, F.col("model") == F.col("__m"), "left").join(F.broadcast(fallback), F.lit(True), "left")
     cost = (F.col("tokens_in") * F.coalesce("__i", "__di") + F.col("tokens_out") * F.coalesce("__o", "__do")) / 1e6
     return rows.withColumn("estimated", F.coalesce(cost, F.lit(0.0))).drop("__m", "__i", "__o", "__di", "__do")
 
