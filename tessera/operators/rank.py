@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.retrieve import topk
+from tessera.session import discard, join_checked, materialise
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.5, embedding: str | None = "embedding", query: str = "query_embedding") -> DataFrame:
@@ -56,25 +61,84 @@ def dedup_jaccard(rows: DataFrame, threshold: float = 0.95, key: str = "query_id
     return kept.select(key, *[F.col(f"x.{c}").alias(c) for c in fields])
 
 
-def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+#: Tokens of a group whose numbers of rows order them, at most; below the rarest of these tokens stand in the order of their hashes.
+ORDERED_TOKENS = 1 << 20
+#: Share of a set's tokens by which its prefix is longer than the bound asks, so that more than one of them must be shared.
+LONGER = 0.05
+
+
+def _order(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent of ``tokens(h)`` in order, at most ``most`` of them, and how many rows hold each."""
+    counts = materialise(tokens.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    least, total = 2, 0
+    sizes = counts.groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.count("*").alias("rows"), F.max("n").alias("n"))  # a few hundred classes
+    for row in sorted(sizes.collect(), key=lambda r: -r.c):
+        total += row.rows
+        if total > most:
+            least = row.n + 1
+            break
+    found = counts.filter(F.col("n") >= least).toPandas()  # bounded by ``most``
+    discard(counts)
+    found = found.sort_values("h")
+    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def _prefixes(threshold: float, order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``(id, k1, k2, n, h, pos)``: the rarest tokens of each set, with their places from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = order.value
+        for batch in batches:
+            lists = batch.column(3)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            often = np.zeros(len(flat), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
+                often = np.where(hashes[at] == flat, seen[at], 0)
+            flat = flat[np.lexsort((flat, often, row))]
+            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
+            long = np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1 + (LONGER * n).astype(np.int64))
+            kept = np.flatnonzero(pos <= long[row])
+            of = pa.array(row[kept])
+            size, place = (pa.array(x, pa.int32()) for x in (n[row[kept]], pos[kept]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), size, pa.array(flat[kept]), place], names=["id", "k1", "k2", "n", "h", "pos"])
+
+    return run
+
+
+def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8, most: int = ORDERED_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: pairs of a group's distinct token sets with a Jaccard index of ``threshold`` or more.
 
     links is ``(by, a, b, score)`` between the least ids of equal token sets, members ``(by, id, least)`` for every row.
-    Tokens are put in order from the rarest on; two sets as alike as that share one of their first n - ceil(threshold n)
-    + 1 tokens, so only rows that meet in those are compared, and frequent tokens make no pairs.
+    Tokens are put in order from the rarest on, those beyond ``most`` of a group's by hash. A set's prefix is its first
+    n - ceil(threshold n) + 1 tokens and :data:`LONGER` of them more; only hashes of prefixes are shuffled, and equal sets
+    become one there. Two sets as alike as ``threshold`` share so many tokens of their prefixes, at such places, that what is
+    left can still hold the rest: pairs that cannot go by numbers alone, and the texts of the others are compared.
     """
-    sets = rows.select(F.col(by), F.col(id_col).alias("id"), F.array_sort(T.token_set(F.col(text))).alias("t")).withColumn("k", F.sha2(F.array_join("t", " "), 256))
-    members = sets.select(by, "id", "k").join(sets.groupBy(by, "k").agg(F.min("id").alias("least")), [by, "k"]).select(by, "id", "least")
-    once = sets.groupBy(by, "k").agg(F.min("id").alias("id"), F.first("t").alias("t")).filter(F.size("t") > 0).select(by, "id", "t")
-    tokens = once.select(by, "id", F.explode("t").alias("token"))
-    seen = tokens.groupBy(by, "token").agg(F.count("*").alias("n"))
-    ranked = tokens.join(seen, [by, "token"]).groupBy(by, "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda s: s.token).alias("t"))
-    size = F.size("t")
-    prefix = F.slice("t", 1, size - F.ceil(F.lit(threshold) * size - 1e-9).cast("int") + 1)
-    first = ranked.select(by, "id", size.alias("size"), F.explode(prefix).alias("token"))
-    left = first.select(by, "token", F.col("id").alias("a"), F.col("size").alias("na"))
-    right = first.select(by, "token", F.col("id").alias("b"), F.col("size").alias("nb"))
-    near = left.join(right, [by, "token"]).filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select(by, "a", "b").distinct()
-    met = near.join(once.select(by, F.col("id").alias("a"), F.col("t").alias("ta")), [by, "a"]).join(once.select(by, F.col("id").alias("b"), F.col("t").alias("tb")), [by, "b"])
+    spark = rows.sparkSession
+    docs = rows.select(F.col(by), F.col(id_col).alias("id"), F.col(text).alias("text"))
+    sets = docs.select(by, "id", F.array_sort(T.token_set(F.col("text"))).alias("t"))
+    keys = sets.select(by, "id", F.sha2(F.array_join("t", " "), 256).alias("k"))
+    members = keys.join(keys.groupBy(by, "k").agg(F.min("id").alias("least")), [by, "k"]).select(by, "id", "least")
+
+    hashed = sets.filter(F.col(by).isNotNull() & (F.size("t") > 0)).select("id", F.xxhash64(by, "t").alias("k1"), F.xxhash64("t", by).alias("k2"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
+    order = spark.sparkContext.broadcast(_order(hashed.select(F.explode("h").alias("h")), most))
+    kind = docs.schema["id"].dataType.simpleString()
+    first = hashed.mapInArrow(_prefixes(threshold, order), f"id {kind}, k1 long, k2 long, n int, h long, pos int")
+    first = first.repartition("h").groupBy("h", "k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"))
+    left, right = (first.select("h", *[F.col(c).alias(c + side) for c in ("id", "k1", "n", "pos")]) for side in "ab")
+    both = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9  # tokens that they must share
+    here = F.least("posa", "posb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
+    near = left.join(right, "h").filter((F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (here >= both))
+    near = near.groupBy("k1a", "k1b").agg(F.first("ida").alias("a"), F.first("idb").alias("b"), F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
+    # After the last token that the prefixes share, there is the rest of both sets; of one of them, what comes after its prefix.
+    after = lambda n: F.ceil(threshold * n - 1e-9) - 1 - F.floor(LONGER * n)
+    rest = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"), F.greatest(after(F.col("na")), after(F.col("nb")), F.lit(0)))
+    near = materialise(near.filter(F.col("c") + rest >= both).select("a", "b"), "near")
+    held = join_checked(docs, materialise(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), "id", "left_semi")
+    t = held.select(by, "id", T.token_set(F.col("text")).alias("t"))
+    met = near.join(t.select(by, F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(by, F.col("id").alias("b"), F.col("t").alias("tb")), [by, "b"])
     links = met.select(by, "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= threshold)
     return links, members

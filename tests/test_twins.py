@@ -175,6 +175,21 @@ def test_jaccard_pairs_match_brute_force(spark):
     assert all(got[i] == first[g, frozenset(tokens(t))] for i, g, t in rows if g is not None)
 
 
+@pytest.mark.parametrize("most", [0, 5, 1 << 20])
+def test_jaccard_pairs_shuffle_hashes_of_prefixes(spark, most):
+    rng = random.Random(8)
+    base = [[f"w{int(rng.paretovariate(0.4))}" for _ in range(n)] for n in range(4, 64) for _ in range(2)]
+    rows = [(i, "ab"[i % 2], " ".join(rng.sample(b, len(b) - len(b) // 12) + [f"x{rng.randint(0, 9)}" for _ in range(rng.randint(0, 1 + len(b) // 12))])) for i, b in enumerate(base * 4)]
+    links, _ = rank.jaccard_pairs(spark.createDataFrame(rows, "id int, g string, text string"), "g", "id", most=most)
+    first = {}
+    for i, g, t in rows:
+        first.setdefault((g, frozenset(tokens(t))), i)
+    want = {(g, *sorted((i, j)), round(alike(a, b), 9)) for (g, a), i in first.items() for (h, b), j in first.items() if g == h and i < j and alike(a, b) >= 0.8}
+    assert {(r.g, r.a, r.b, round(r.score, 9)) for r in links.collect()} == want and len(want) > 50
+    # The pairs that numbers alone leave are stored, and no token of a text passes a shuffle on the way to them.
+    assert "collect_list" not in links._jdf.queryExecution().toString() and "explode(t" not in links._jdf.queryExecution().toString()
+
+
 def test_holders_match_brute_force(spark):
     rng = random.Random(6)
     words = "a b cc dd eee".split()
