@@ -205,33 +205,58 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
     return topk(_meet(q, v, "vec_id", [], _nearest(k), "query_id long, vec_id long, score double", block_rows, part_rows), k, order=("vec_id",))
 
 
-def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 24, seed: int = 7) -> DataFrame:
+def _same_sides(k: int, planes: np.ndarray, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For each query of a block the nearest of those rows of a part that share a bucket with it."""
+
+    def sided(rows: np.ndarray) -> np.ndarray:
+        return ((rows @ planes.T > 0).reshape(len(rows), -1, bits) * (1 << np.arange(bits))).sum(2)
+
+    def run(block: pa.Table, part: pa.Table) -> pa.Table:
+        part = part.sort_by("vec_id")  # so that places are in the order of ids
+        asked, rows = (np.zeros((len(c), planes.shape[1])) if not len(c) else c.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), -1) for c in (block["q"], part["v"]))
+        wanted, held = sided(_matrix(block["q"])) if len(asked) else (), sided(_matrix(part["v"])) if len(rows) else ()
+        members = []  # of each table: rows by bucket, and where each bucket begins
+        for table in range(len(planes) // bits if len(rows) else 0):
+            order = np.argsort(held[:, table], kind="stable")
+            members.append((order, np.searchsorted(held[order, table], np.arange((1 << bits) + 1))))
+        squares = (rows * rows).sum(1)
+        found: list[tuple[np.ndarray, ...]] = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))]
+        met = np.zeros(len(rows), bool)
+        for i, buckets in enumerate(wanted if len(rows) else ()):
+            met[:] = False
+            for (order, begins), bucket in zip(members, buckets):
+                met[order[begins[bucket] : begins[bucket + 1]]] = True
+            near = np.flatnonzero(met)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                # Row by row, so that equal vectors have equal scores.
+                score = (rows[near] * asked[i]).sum(1) / np.sqrt((asked[i] * asked[i]).sum() * squares[near])
+            best = np.lexsort((near, -score))[:k] if len(near) <= 4 * k else _first(score, k)
+            found.append((np.full(len(best), i), near[best], score[best]))
+        query, place, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query_id": block["query_id"].take(pa.array(query)), "vec_id": part["vec_id"].take(pa.array(place)), "score": pa.array(score)})
+
+    return run
+
+
+def _first(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` greatest; ties go to the lesser place."""
+    least = np.partition(score, len(score) - k)[len(score) - k]
+    near = np.flatnonzero(~(score < least))
+    return near[np.lexsort((near, -score[near]))[:k]]
+
+
+def vector_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, bits: int = 8, tables: int = 24, seed: int = 7, block_rows: int = 4 * BLOCK_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """Approximate nearest vectors by cosine: those on the same side of ``bits`` random planes, in any of ``tables`` draws, are scored exactly.
 
-    A vector is dealt out once for each table by its sides, so that the share of pairs that are compared falls with
-    ``bits``; a query whose buckets hold fewer than k vectors gets fewer rows.
+    Blocks of queries meet parts of the vectors; a part's vectors are dealt into buckets by their sides, once for each
+    table, and a query looks into its own, so that the share of pairs that are compared falls with ``bits`` and pairs are
+    not shuffled, only k rows of each query and part. A query whose buckets hold fewer than k vectors gets fewer rows.
     """
     width = vectors.select(F.size("embedding")).first()
     planes = np.random.default_rng(seed).normal(size=(tables * bits, width[0] if width else 1)).astype(np.float32)
-
-    def sided(id_col: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            powers = 1 << np.arange(bits)
-            for batch in batches:
-                rows = _matrix(pa.chunked_array([batch.column(1)]))
-                sides = ((rows @ planes.T > 0).reshape(len(rows), tables, bits) * powers).sum(2) + np.arange(tables) * (1 << bits)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sides.size + 1, tables), pa.int32()), pa.array(sides.ravel().astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=[id_col, "e", "buckets"])
-
-        return run
-
-    dealt = lambda df, name: df.select(F.col(name).cast("long").alias(name), F.col("embedding").cast("array<float>").alias("e")).mapInArrow(sided(name), f"{name} long, e array<float>, buckets array<long>")
-    q, v = dealt(queries, "query_id"), dealt(vectors, "vec_id")
-    met = q.select("query_id", F.explode("buckets").alias("bucket")).join(v.select("vec_id", F.explode("buckets").alias("bucket")), "bucket").select("query_id", "vec_id").distinct()
-    both = met.join(q.select("query_id", F.col("e").alias("qe")), "query_id").join(v.select("vec_id", F.col("e").alias("ve")), "vec_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("qe"), F.col("ve")) / F.sqrt(dot(F.col("qe"), F.col("qe")) * dot(F.col("ve"), F.col("ve")))
-    return topk(both.select("query_id", "vec_id", score.alias("score")), k, order=("vec_id",))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("q"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
+    return topk(_meet(q, v, "vec_id", [], _same_sides(k, planes, bits), "query_id long, vec_id long, score double", block_rows, part_rows), k, order=("vec_id",))
 
 
 def with_rerank(candidates: DataFrame, fn: Callable | None, k: int, reverse: bool = False) -> DataFrame:

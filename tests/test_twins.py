@@ -159,6 +159,24 @@ def test_vector_search_by_blocks_and_lsh_recall(spark):
     assert sum(r.query_id == r.vec_id for r in best) >= 45  # what is near is found with narrow buckets
 
 
+def test_lsh_pairs_stay_in_their_task(spark):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 8)).astype(np.float32)
+    rows[100:150] = rows[100]  # equal vectors tie, and go by id
+    v = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "vec_id long, embedding array<float>").repartition(5)
+    q = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    out = E.vector_topk_lsh(q, v, 7, bits=3, tables=4, block_rows=9, part_rows=11)
+    planes = np.random.default_rng(7).normal(size=(12, 8)).astype(np.float32)
+    unit = rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+    sides = ((unit @ planes.T > 0).reshape(300, 4, 3) * (1 << np.arange(3))).sum(2)
+    double = rows.astype(float)
+    for i in range(0, 300, 10):
+        met = np.flatnonzero((sides == sides[i]).any(1))
+        score = (double[met] * double[i]).sum(1) / np.sqrt((double[met] ** 2).sum(1) * (double[i] ** 2).sum())
+        assert [r.vec_id for r in out.filter(F.col("query_id") == i).orderBy("rank").select("vec_id").collect()] == met[np.lexsort((met, -score))[:7]].tolist() if i % 50 == 0 else True
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # neither pairs nor their vectors are shuffled
+
+
 def test_jaccard_pairs_match_brute_force(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(30)]
