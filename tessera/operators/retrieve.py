@@ -14,6 +14,7 @@ from functools import reduce
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ MODE_K = {"deep_research": 10, "open_analysis": 7, "perspective_shift": 5, "exam
 BROADCAST_QUERIES = 20_000
 #: Queries of a block and rows of a part, about; tasks in which blocks meet parts, at most (a task may take several in turn).
 BLOCK_ROWS, PART_ROWS, MOST_TASKS = 8_192, 20_000, 20_000
+#: Rows of a part whose tokens meet a block, about; cells of rows and queries that are counted at once, about.
+TOKEN_ROWS, STEP_CELLS = 8_000, 1_000_000
 #: Aliases of one automaton, about.
 ALIAS_ROWS = 200_000
 #: Characters of a word at whose end an alias does not end.
@@ -86,52 +89,66 @@ def _best(query: np.ndarray, row: np.ndarray, score: np.ndarray, k: int) -> np.n
     return order[np.arange(len(asked)) - np.repeat(first, np.diff(np.append(first, len(asked)))) < k]
 
 
-def _overlaps(kind: str, k: int, owner: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The best rows of a part for each query of a block by shared tokens; rows without a shared token come last."""
+def _codes(lists: pa.ChunkedArray, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``words`` of the tokens of lists, of those that are in it, with the number of their list; sizes of all lists."""
+    code, row, size, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for part in lists.chunks:
+        found = pc.index_in(part.flatten(), words)
+        kept = found.is_valid()
+        code.append(found.filter(kept).to_numpy(zero_copy_only=False).astype(np.int64))
+        row.append(pc.list_parent_indices(part).filter(kept).to_numpy(zero_copy_only=False).astype(np.int64) + at)
+        size.append(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at += len(part)
+    return np.concatenate(code), np.concatenate(row), np.concatenate(size)
+
+
+def _overlaps(kind: str, k: int, owner: str, step: int = STEP_CELLS) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The best rows of a part for each query of a block by shared tokens; rows without a shared token come last.
+
+    Tokens stay in Arrow and become numbers there, those alone that the block has. Rows meet the queries in steps of
+    about ``step`` cells, after each of which k rows a query are kept, so that memory is bounded by the part's Arrow rows.
+    """
 
     def run(block: pa.Table, part: pa.Table) -> pa.Table:
-        asked, tokens, held = block["query_id"], block["query_tokens"].to_pylist(), part["row_tokens"].to_pylist()
-        ids = sorted(set(part[owner].to_pylist()))
-        number = {x: i for i, x in enumerate(ids)}
-        owners = np.array([number[x] for x in part[owner].to_pylist()], np.int64)
-        places: dict[str, list[int]] = {}
-        for i, own in enumerate(tokens):
-            for t in own or ():
-                places.setdefault(t, []).append(i)
-        found = {t: np.array(x, np.int64) for t, x in places.items()}
-        n_query = np.array([len(t or ()) for t in tokens], np.float64)
+        asked, total = block["query_id"], block.num_rows
+        words = pc.unique(pa.chunked_array([c.flatten() for c in block["query_tokens"].chunks], block.schema.field("query_tokens").type.value_type)).drop_null()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        ids = pc.unique(part[owner])
+        ids = ids.take(pc.sort_indices(ids))
+        owners = pc.index_in(part[owner], ids).to_numpy().astype(np.int64)
+        code, query, n_query = _codes(block["query_tokens"], words)
+        posted = query[np.argsort(code, kind="stable")]  # queries by token
+        begins = np.append(0, np.cumsum(np.bincount(code, minlength=len(words))))
+        code, row, n_row = _codes(part["row_tokens"], words)
+        often = np.diff(begins)[code] if len(words) else np.zeros(0, np.int64)
         kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
-        waiting: list[tuple[np.ndarray, ...]] = []
-
-        def settled() -> tuple[np.ndarray, ...]:
-            query, row, score = (np.concatenate(x) for x in zip(kept, *waiting))
-            waiting.clear()
-            order = np.lexsort((-score, row, query))  # of an owner's rows the best
-            new = np.append(True, (query[order][1:] != query[order][:-1]) | (row[order][1:] != row[order][:-1])) if len(order) else np.zeros(0, bool)
-            query, row, score = (x[order[new]] for x in (query, row, score))
-            best = _best(query, row, score, k)
-            return query[best], row[best], score[best]
-
-        size = 0
-        for own, row in zip(held, owners.tolist()):
-            hits = [found[t] for t in own or () if t in found]
-            if hits:
-                shared = np.bincount(np.concatenate(hits), minlength=len(tokens))
-                query = np.flatnonzero(shared)
-                both = shared[query].astype(np.float64)
-                score = both / (n_query[query] + 1) if kind == "keyword" else both / (n_query[query] + len(own) - both)
-                waiting.append((query, np.full(len(query), row), score))
-                size += len(query)
-                if size > 2_000_000:
-                    kept, size = settled(), 0
-        kept = settled()
-        counts = np.bincount(kept[0], minlength=len(tokens))
+
+        cost = np.cumsum(total + np.bincount(row, weights=often, minlength=len(owners)).astype(np.int64))
+        cuts = np.flatnonzero(np.diff(cost // step, prepend=0)) if len(cost) else np.zeros(0, np.int64)
+        cuts = np.unique(np.concatenate(([0], cuts, [len(owners)]))).astype(np.int64)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            first, last = np.searchsorted(row, [low, high])
+            times, tokens = often[first:last], code[first:last]
+            place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begins[tokens], times)
+            shared = np.bincount(np.repeat(row[first:last] - low, times) * total + posted[place], minlength=0)
+            cell = np.flatnonzero(shared)
+            both, new_row, new_query = shared[cell].astype(np.float64), cell // total + low, cell % total
+            score = both / (n_query[new_query] + 1) if kind == "keyword" else both / (n_query[new_query] + n_row[new_row] - both)
+            query, own, score = (np.concatenate(x) for x in zip(kept, (new_query, owners[new_row], score)))
+            order = np.lexsort((-score, own, query))  # of an owner's rows the best
+            new = np.append(True, (query[order][1:] != query[order][:-1]) | (own[order][1:] != own[order][:-1])) if len(order) else np.zeros(0, bool)
+            query, own, score = (x[order[new]] for x in (query, own, score))
+            best = _best(query, own, score, k)
+            kept = query[best], own[best], score[best]
+        counts = np.bincount(kept[0], minlength=total)
+        begun = np.append(0, np.cumsum(counts))
+        waiting = []
         for query in np.flatnonzero(counts < min(k, len(ids))).tolist():
-            there = set(kept[1][kept[0] == query].tolist())
+            there = set(kept[1][begun[query] : begun[query + 1]].tolist())
             rest = [i for i in range(min(len(ids), k + len(there))) if i not in there][: k - len(there)]
             waiting.append((np.full(len(rest), query), np.array(rest, np.int64), np.zeros(len(rest))))
-        query, row, score = (np.concatenate(x) for x in zip(kept, *waiting))
-        return pa.table({"query_id": asked.take(pa.array(query)), owner: pa.array([ids[i] for i in row.tolist()], part[owner].type), "score": pa.array(score)})
+        query, own, score = (np.concatenate(x) for x in zip(kept, *waiting))
+        return pa.table({"query_id": asked.take(pa.array(query)), owner: ids.take(pa.array(own)), "score": pa.array(score)})
 
     return run
 
@@ -141,7 +158,7 @@ def _token_topk(kind: str, queries: DataFrame, chunks: DataFrame, k: int | None,
     q = queries.select("query_id", *keys, T.token_set(F.col(query_text)).alias("query_tokens"))
     c = chunks.select(owner, *keys, T.token_set(F.col(chunk_text)).alias("row_tokens"))
     schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, {owner} {c.schema[owner].dataType.simpleString()}, score double"
-    by_blocks = lambda some: _meet(some, c, owner, keys, _overlaps(kind, k, owner), schema, BLOCK_ROWS, PART_ROWS)
+    by_blocks = lambda some: _meet(some, c, owner, keys, _overlaps(kind, k, owner), schema, BLOCK_ROWS, TOKEN_ROWS)
     if queries.limit(block_rows + 1).count() <= block_rows:  # one block: the chunks are read once as they are
         found = by_blocks(q)
     else:
