@@ -26,9 +26,14 @@ def write_tagged_text(docs: DataFrame, path: str, mode: str = "append") -> None:
     docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.format_string("doc_id: %s\n%s\n", F.col("doc_id").cast("string"), F.col("text"))).write.mode(mode).text(path)
 
 
-def read_pages(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA) -> DataFrame:
-    """Raw pages, one JSON object a file."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_pages(spark: SparkSession, path: str, schema: str = PAGE_SCHEMA, lines: bool = False) -> DataFrame:
+    """Raw pages, one JSON object a file; with ``lines`` one a line, so that many pages share a file and large files are split."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def write_pages(pages: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Raw pages as JSON lines, about a file for each task: a file of its own for each page costs more than the page."""
+    pages.write.mode(mode).json(path)
 
 
 def read_chunks(spark: SparkSession, path: str, schema: str = CHUNK_SCHEMA) -> DataFrame:
