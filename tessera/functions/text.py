@@ -93,14 +93,8 @@ def strip_refs(text: Column) -> Column:
 def drop_clerical(text: Column, prefixes: tuple[str, ...] = CLERICAL_PREFIXES) -> Column:
     """Without lines that start, after white space, with a clerical prefix; blank lines stay."""
 
-    def clerical(line: Column) -> Column:
-        start = F.regexp_replace(line, r"^\s+", "")
-        found = F.lit(False)
-        for prefix in prefixes:
-            found = found | F.startswith(start, F.lit(prefix))
-        return found
-
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~clerical(x)), "\n")
+    clerical = r"^\s*+(?:" + "|".join(rf"\Q{prefix}\E" for prefix in prefixes) + ")"
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(clerical))), "\n")
 
 
 def drop_image_residue(text: Column) -> Column:
@@ -115,7 +109,7 @@ def drop_image_residue(text: Column) -> Column:
 
 def normalise_ws(text: Column) -> Column:
     """Runs of blanks and tabs as one blank, three or more newlines as two, trimmed."""
-    out = F.regexp_replace(text, r"[ \t]+", " ")
+    out = F.regexp_replace(text, r"[ \t]{2,}+|\t", " ")  # single blanks stay as they are
     return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
 
 
@@ -203,13 +197,13 @@ def collapse_paragraph(text: Column, max_words: int = 400) -> Column:
 
 def slugify(text: Column) -> Column:
     """Lower case with hyphens for all but letters and digits; ``section`` when nothing is left."""
-    out = F.lower(F.regexp_replace(F.regexp_replace(text, r"[^A-Za-z0-9]+", "-"), "^-+|-+$", ""))
-    return F.when(out == "", F.lit("section")).otherwise(out)
+    out = F.lower(F.trim(F.regexp_replace(text, r"[\W_]++", "-"), F.lit("-")))
+    return F.coalesce(F.nullif(out, F.lit("")), F.when(text.isNotNull(), F.lit("section")))
 
 
 def sentences(text: Column) -> Column:
     """Sentences of a text whose newlines are blanks: cut after ``.!?`` before a capital, a quote or a parenthesis."""
-    return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), r"(?<=[.!?])\s+(?=[A-Z\"'(])"), lambda s: s != "")
+    return F.filter(F.split(F.trim(F.regexp_replace(text, r"\s{2,}+|[^\S ]", " ")), r"(?<=[.!?])\s+(?=[A-Z\"'(])"), lambda s: s != "")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -198,3 +198,20 @@ def test_tagged_text(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "x.json").write_text('{"slug": "s",\n "title": "t"}')
     assert files.read_pages(spark, str(tmp_path / "p")).first().slug == "s"
+
+
+def test_pages_share_files(spark, tmp_path):
+    pages = spark.range(50).selectExpr("concat('p', id) slug", "'u' canonical_url", "concat('a\\n{', id, '}') wikitext").coalesce(1)
+    files.write_pages(pages, str(tmp_path / "pages"))
+    assert len(list((tmp_path / "pages").glob("*.json"))) == 1
+    assert sorted(r.wikitext for r in files.read_pages(spark, str(tmp_path / "pages"), lines=True).collect()) == sorted(f"a\n{{{i}}}" for i in range(50))
+
+
+def test_slugs_are_cut_by_word_classes(spark):
+    assert many(spark, ["--A_b__C--", "é1\U0001f600Z ", "", None, "9"], T.slugify) == ["a-b-c", "1-z", "section", None, "9"]
+    assert "A-Za-z0-9" not in str(T.slugify(F.col("text")))  # a class of negated ranges takes several times as long
+
+
+def test_clerical_lines_and_blanks(spark):
+    assert many(spark, ["a\n \t|x\n{{y\nCategory:z\n b | c", "|", None], T.drop_clerical) == ["a\n b | c", "", None]
+    assert many(spark, ["a  b\tc \t d e\n\n\n\nf"], T.normalise_ws) == ["a b c d e\n\nf"]
