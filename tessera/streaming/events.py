@@ -122,12 +122,18 @@ def _signature(text: str, seeds: np.ndarray) -> np.ndarray:
 #: MinHash values of an item: bands, and values of a band. Two items at a Jaccard index of 0.9 share a band with
 #: probability 0.9999; the index is then estimated by the share of equal values, within 0.03 or so.
 BANDS, BAND_VALUES = 16, 8
+#: Kept items of a key that are read at once, one MB; a call to the state costs more than the comparison with all of them.
+HELD = 2048
 #: Days for which an item is remembered.
 REMEMBERED_DAYS = 7
 
 
 class _Dedup(StatefulProcessor):
-    """Remembers the signatures of kept items by band, and passes on what is unlike those it shares a band with."""
+    """Remembers the signatures of kept items, and passes on what is unlike those it shares a band with.
+
+    The first :data:`HELD` signatures of a key are a list, which is read once and added to once for each part of its rows.
+    Further ones are looked up by band, so that a key's memory is bounded.
+    """
 
     def __init__(self, threshold: float, ttl_ms: int | None):
         self.threshold, self.ttl_ms = threshold, ttl_ms
@@ -135,22 +141,41 @@ class _Dedup(StatefulProcessor):
         self.seeds = rng.integers(1, 1 << 63, (2, BANDS * BAND_VALUES), dtype=np.uint64) | np.uint64(1)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "signatures binary", self.ttl_ms)
         self.bands = handle.getMapState("bands", "band string", "signature binary", self.ttl_ms)
 
+    def _alike(self, held: np.ndarray, own: np.ndarray) -> bool:
+        same = held == own
+        return bool((same.reshape(-1, BANDS, BAND_VALUES).all(2).any(1) & (same.mean(1) >= self.threshold)).any())
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        before = np.frombuffer(b"".join(bytes(x[0]) for x in self.held.get()), np.uint32).reshape(-1, BANDS * BAND_VALUES)
+        n, held = len(before), np.empty((max(8, 2 * len(before)), BANDS * BAND_VALUES), np.uint32)
+        held[:n] = before
+        more = (n >= HELD or self.ttl_ms is not None) and self.bands.exists()  # some were kept when the list was full, which may have expired since
         for part in rows:
-            chosen = []
+            chosen, known = [], n
             for i, text in enumerate(part["text"]):
                 own = _signature("" if text is None else str(text), self.seeds)
-                names = [(f"{b}:{own[b * BAND_VALUES : (b + 1) * BAND_VALUES].tobytes().hex()}",) for b in range(BANDS)]
-                held = {self.bands.getValue(n)[0] for n in names if self.bands.containsKey(n)}
-                if any((np.frombuffer(bytes(x), np.uint32) == own).mean() >= self.threshold for x in held):
+                if n and self._alike(held[:n], own):
+                    continue
+                names = [(f"{b}:{own[b * BAND_VALUES : (b + 1) * BAND_VALUES].tobytes().hex()}",) for b in range(BANDS)] if more or n >= HELD else []
+                found = {self.bands.getValue(x)[0] for x in names if self.bands.containsKey(x)} if more else ()
+                if any((np.frombuffer(bytes(x), np.uint32) == own).mean() >= self.threshold for x in found):
                     continue
-                for n in names:
-                    self.bands.updateValue(n, (own.tobytes(),))
+                if n < HELD:
+                    if n == len(held):
+                        held = np.concatenate([held, np.empty_like(held)])
+                    held[n], n = own, n + 1
+                else:
+                    for x in names:
+                        self.bands.updateValue(x, (own.tobytes(),))
+                    more = True
                 chosen.append(i)
+            if n > known:
+                self.held.appendValue((held[known:n].tobytes(),))
             if chosen:
-                yield part.iloc[chosen]
+                yield part if len(chosen) == len(part) else part.iloc[chosen]
 
     def close(self) -> None:
         pass
@@ -159,8 +184,8 @@ class _Dedup(StatefulProcessor):
 def stream_dedup(rows: DataFrame, threshold: float = 0.9, key: str = "query_id", ttl_ms: int | None = REMEMBERED_DAYS * 86_400_000) -> DataFrame:
     """Rows unlike the kept rows of their key that came within ``ttl_ms`` before.
 
-    A kept row is remembered as 16 bands of its MinHash signature, about 12 KB of state whatever its length, for
-    ``ttl_ms`` of processing time. Token sets alike to 0.9 or more are found with the recall of :data:`BANDS`; null
+    A kept row is remembered as its MinHash signature, 512 bytes of state whatever its length, or after the first
+    :data:`HELD` of a key as its 16 bands, about 12 KB, for ``ttl_ms`` of processing time. Token sets alike to 0.9 or more are found with the recall of :data:`BANDS`; null
     texts are empty ones, and empty ones alike. With ``ttl_ms`` None nothing is forgotten, which is for streams that end:
     a query with a time to live runs on for its timers, also when it is to take what is there and stop.
     """

@@ -1,5 +1,6 @@
 """Streams drained into memory give what batches give."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,63 @@ def test_dedup_forgets_what_is_old(spark, tmp_path):
         finally:
             q.stop()
         assert spark.table(name).count() == want
+
+
+class FakeState:
+    """A list or a map of one key that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.pairs = 0, [], {}
+
+    def getListState(self, *_):
+        self.listed = FakeState()
+        return self.listed
+
+    def getMapState(self, *_):
+        self.mapped = FakeState()
+        return self.mapped
+
+    def __getattr__(self, name):
+        does = {
+            "get": lambda: iter(self.rows),
+            "exists": lambda: bool(self.rows or self.pairs),
+            "appendValue": lambda x: self.rows.append(x),
+            "put": lambda x: self.rows.__setitem__(slice(None), x),
+            "containsKey": lambda k: k in self.pairs,
+            "getValue": lambda k: self.pairs.get(k),
+            "updateValue": lambda k, x: self.pairs.__setitem__(k, x),
+        }
+        if name not in does:
+            raise AttributeError(name)
+        self.calls += 1
+        return does[name]
+
+
+def kept_texts(processor, texts, size):
+    """What a processor passes on of one key's texts, which come in parts of a batch each."""
+    parts = [pd.DataFrame({"text": texts[i : i + size], "score": 1.0}) for i in range(0, len(texts), size)]
+    return [t for p in parts for out in processor.handleInputRows((1,), iter([p]), None) for t in out["text"]]
+
+
+def test_dedup_calls_its_state_by_parts_not_by_rows():
+    processor, state = K._Dedup(0.9, None), FakeState()
+    processor.init(state)
+    texts = [f"word{i} text{i} of{i} its{i} own{i}" for i in range(300)]
+    assert kept_texts(processor, [*texts, *texts], 100) == texts
+    assert state.listed.calls + state.mapped.calls <= 6 * 3 and len(b"".join(x[0] for x in state.listed.rows)) == 300 * 512
+
+
+@pytest.mark.parametrize("ttl_ms", [None, 1000])
+def test_dedup_beyond_the_list(monkeypatch, ttl_ms):
+    texts = [f"word{i} text{i} of{i} its{i} own{i}" for i in range(30)]
+    for held in (1, 7, 2048):
+        monkeypatch.setattr(K, "HELD", held)
+        processor, state = K._Dedup(0.9, ttl_ms), FakeState()
+        processor.init(state)
+        assert kept_texts(processor, [*texts[:20], *texts, None, "", *texts], 8) == [*texts, None]
+        assert len(b"".join(x[0] for x in state.listed.rows)) == min(held, 31) * 512
+        assert len(state.mapped.pairs) == 16 * (31 - min(held, 31))
+        # The list's rows expire: those that were looked up by band are still known, and the list is filled anew.
+        if ttl_ms:
+            state.listed.rows.clear()
+            assert kept_texts(processor, texts, 8) == texts[: min(held, 30)]
