@@ -232,14 +232,18 @@ class _Context(StatefulProcessor):
         self.best = handle.getListState("best", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        held = [tuple(x) for x in self.best.get()] if self.best.exists() else []
-        good = (part[part["score"] >= self.least].reset_index(drop=True) for part in rows)
-        new = list(self.dedup.handleInputRows(key, good, timers))
-        if new:
-            frame = pd.concat([*([pd.DataFrame(held, columns=self.fields)] if held else []), *new], ignore_index=True)
-            frame = frame.sort_values("score", ascending=False, kind="stable").head(self.k)
-            self.best.put([tuple(x) for x in frame.itertuples(index=False)])
-            yield frame.assign(rank=range(1, len(frame) + 1))
+        good = (part if ok.all() else part[ok].reset_index(drop=True) for part in rows for ok in [(part["score"] >= self.least).to_numpy(bool)] if ok.any())
+        best = None  # of those that were kept before and of each part, the k best so far
+        for part in self.dedup.handleInputRows(key, good, timers):
+            if best is None:
+                held = [tuple(x) for x in self.best.get()]
+                best = pd.concat([pd.DataFrame(held, columns=self.fields), part], ignore_index=True) if held else part
+            else:
+                best = pd.concat([best, part], ignore_index=True)
+            best = best.iloc[np.argsort(-best["score"].to_numpy(float), kind="stable")[: self.k]]
+        if best is not None:
+            self.best.put(list(best.itertuples(index=False, name=None)))
+            yield best.assign(rank=np.arange(1, len(best) + 1))
 
     def close(self) -> None:
         pass

@@ -257,3 +257,24 @@ def test_dedup_beyond_the_list(monkeypatch, ttl_ms):
         if ttl_ms:
             state.listed.rows.clear()
             assert kept_texts(processor, texts, 8) == texts[: min(held, 30)]
+
+
+def test_context_holds_the_best_of_all_parts_with_two_calls_a_batch():
+    lists = []
+
+    class Handle(FakeState):
+        def getListState(self, *_):
+            lists.append(FakeState())
+            return lists[-1]
+
+    fields = ["query_id", "text", "score"]
+    processor = K._Context(3, 0.2, 0.95, fields, None)
+    processor.init(Handle())
+    best = lists[-1]
+    rows = [(1, f"word{i} text{i} of{i} its{i}", s) for i, s in enumerate([0.3, 0.1, None, 0.5, 0.5, 0.9, 0.2, 0.5, 0.1, 0.1, 0.95, 0.3])]
+    send = lambda part: [out for out in processor.handleInputRows((1,), (pd.DataFrame(part[i : i + 2], columns=fields) for i in range(0, len(part), 2)), None)]
+    (first,) = send(rows[:8])
+    assert [(t.split()[0], s, r) for t, s, r in zip(first["text"], first["score"], first["rank"])] == [("word5", 0.9, 1), ("word3", 0.5, 2), ("word4", 0.5, 3)]
+    assert best.calls == 2 and send(rows[8:10]) == [] and best.calls == 2
+    (last,) = send(rows[10:])
+    assert last["text"].str.split().str[0].tolist() == ["word10", "word5", "word3"] and best.calls == 4
