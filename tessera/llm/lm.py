@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,10 +39,13 @@ _PREDICTORS = len(_ORDERS) + 2
 _GATES, _BINS = 16, 33
 _UNIT = 24  # bytes of a unit at most; longer words go on in the next one
 _CHECK_BITS = 6
-_SLICE_BYTES = 700_000  # bytes of text that are scored at a time
+_SLICE_BYTES = 700_000  # bytes of text that are cut at a time; a longer text is walked in stretches
+_GROUP_BYTES = 2_800_000  # bytes of text that are scored side by side
 _POOL_BYTES = 8_000_000  # bytes of text from which texts of like sizes are taken, so that no turn has one text alone
 _KEPT_UNITS = 600_000  # units that a task counts before they go out
 _KEPT_ROWS = 5_000_000  # decisions of units that a task keeps
+_MADE_BYTES = 30_000  # bytes of new units whose decisions are made at a time
+_LANES = 256  # lanes into which texts are dealt, at most
 _COUNTED_UNITS = 60_000  # units whose contexts a task sums up at a time
 
 
@@ -179,6 +182,13 @@ def _slices(column: pa.Array, limit: int = _SLICE_BYTES) -> Iterator[tuple[int,
         yield a, len(column)
 
 
+def _sliced(raw: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in lists of about _SLICE_BYTES each."""
+    place = np.cumsum([len(r) + 1 for r in raw]) // _SLICE_BYTES
+    for part in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(place)) + 1):
+        yield [raw[i] for i in part.tolist()]
+
+
 _GAP = re.compile(rb"[ \t-\r]")
 
 
@@ -272,12 +282,15 @@ def _pack(ones: np.ndarray, total: np.ndarray, check: np.ndarray | int = 0) -> n
 
 
 class _Profiles:
-    """Decisions of units, eight bytes each: the predictors' log-odds, the gate and the sign of the bit."""
+    """Decisions of units, eight bytes each: the predictors' log-odds, the gate and the sign of the bit.
+
+    The first rows are a chunk of zeros, which texts are filled up with.
+    """
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.keys, self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.rows = np.zeros(0, np.int64)
+        self.rows = np.zeros(CHUNK, np.int64)
 
     def _made(self, data: np.ndarray, mark: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         model = self.model
@@ -295,115 +308,172 @@ class _Profiles:
         rows[:, 7] = 2 * bit.astype(np.int8) - 1
         return rows.view(np.int64).ravel(), decisions
 
-    def decisions(self, split: _Split) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The decisions of all texts, how many each unit has, and the units' starts."""
-        start, stop, mark, keys = split.units()
-        one, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    def _add(self, split: _Split, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, keys: np.ndarray) -> None:
+        """Keep the decisions of units that are new; so many are made at a time that their hashes stay in a cache."""
+        sizes = stop - start
+        made = []
+        for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(np.cumsum(sizes) // _MADE_BYTES)) + 1):
+            own = sizes[part]
+            offset = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            made.append(self._made(split.data[np.repeat(start[part], own) + offset], mark[part], own))
+        counts = np.concatenate([n for _, n in made])
+        begin = len(self.rows) + np.cumsum(counts) - counts
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.keys = both[order]
+        self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, counts])[order]
+        self.rows = np.concatenate([self.rows, *(r for r, _ in made)])
+
+    def forget(self) -> None:
+        """Leave out all units where many are kept; places that were given are no longer theirs."""
         if len(self.rows) > _KEPT_ROWS:
             self.__init__(self.model)
+
+    def places(self, split: _Split, fill: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all texts' decisions, each text filled up to whole chunks, and how many decisions each has."""
+        start, stop, mark, keys = split.units()
+        one, first, place = np.unique(keys, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, one)
         there = self.keys[np.minimum(at, len(self.keys) - 1)] == one if len(self.keys) else np.zeros(len(one), bool)
         if not there.all():
             new = first[~there]
-            sizes = stop[new] - start[new]
-            offset = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rows, counts = self._made(split.data[np.repeat(start[new], sizes) + offset], mark[new], sizes)
-            begin = len(self.rows) + np.cumsum(counts) - counts
-            both = np.concatenate([self.keys, one[~there]])
-            order = np.argsort(both, kind="stable")
-            self.keys = both[order]
-            self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, counts])[order]
-            self.rows = np.concatenate([self.rows, rows])
+            self._add(split, start[new], stop[new], mark[new], one[~there])
             at = np.searchsorted(self.keys, one)
-        size = self.size[at][place]
-        ends = np.cumsum(size)
-        index = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at][place] - (ends - size), size)
-        return np.take(self.rows, index, mode="clip"), size, start
+        begin, size = self.start[at][place], self.size[at][place]
+        owner = np.searchsorted(split.ends, start, side="right")
+        sizes = np.bincount(owner, size, len(split.lengths)).astype(np.int64)
+        if fill:  # as if one more unit stood after each text
+            last = np.searchsorted(owner, np.arange(len(sizes)), side="right")
+            begin, size = np.insert(begin, last, 0), np.insert(size, last, -sizes % CHUNK)
+        index = np.repeat((begin - np.cumsum(size) + size).astype(np.int32), size)
+        index += np.arange(len(index), dtype=np.int32)
+        return index, sizes
 
 
 _EIGHTHS = np.full(8, 0.125, np.float32)
+_FIRST_WEIGHTS = np.where(np.arange(8) < _PREDICTORS, START_WEIGHT, 0).astype(np.float32)
+_FIRST_REFINE = np.linspace(-8, 8, _BINS, dtype=np.float32)
 
 
 class _Mixer:
-    """Weights and refining tables of texts that are scored side by side, and the bits that they have taken."""
+    """Weights and refining tables of the lanes in which texts are scored side by side."""
+
+    def __init__(self, lanes: int) -> None:
+        self.weights, self.refine = np.empty((lanes, _GATES, 8), np.float32), np.empty((lanes, _BINS), np.float32)
+        self.moves = np.empty((lanes * _GATES, 4), np.complex64)
+        lane = np.arange(lanes)[:, None]
+        self.gates, self.bins = lane * _GATES, lane * _BINS
+
+    def begin(self, lanes: np.ndarray) -> None:
+        """Another text begins in these lanes."""
+        self.weights[lanes], self.refine[lanes] = _FIRST_WEIGHTS, _FIRST_REFINE
 
-    def __init__(self, texts: int) -> None:
-        self.weights = np.zeros((texts, _GATES, 8), np.float32)
-        self.weights[..., :_PREDICTORS] = START_WEIGHT
-        self.refine = np.tile(np.linspace(-8, 8, _BINS, dtype=np.float32), (texts, 1))
-        self.bits = np.zeros(texts)
+    def turn(self, rows: np.ndarray) -> np.ndarray:
+        """Score one chunk in each of the first lanes, (lane, decision), and move their weights; what each takes, in nats.
 
-    def turn(self, rows: np.ndarray) -> None:
-        """Score one chunk of each of the first texts, (text, decision), filled up with zeros, and move their weights."""
+        A zero that a chunk is filled up with moves nothing and takes log(2).
+        """
         n = len(rows)
-        lane = np.arange(n)[:, None]
         inputs = rows.view(np.int8).reshape(-1, 8).astype(np.float32)
-        sign = np.ascontiguousarray(inputs[:, 7])
-        used = ((rows >> 48 & _GATES - 1) + lane * _GATES).ravel()
+        sign = inputs[:, 7].copy()
+        used = rows >> 48
+        used &= _GATES - 1
+        used += self.gates[:n]
+        used = used.ravel()
         own, table = self.weights[:n].reshape(-1, 8), self.refine[:n].reshape(-1)
-        dot = (np.take(own, used, axis=0, mode="clip") * inputs) @ _EIGHTHS
-        np.clip(dot, -8, 8, out=dot)
-        bins = (dot * np.float32((_BINS - 1) / 16) + np.float32(_BINS / 2)).astype(np.int64).reshape(n, -1)
-        bins += lane * _BINS
+        dot = own.take(used, axis=0, mode="clip")
+        dot *= inputs
+        dot = dot @ _EIGHTHS
+        np.minimum(dot, _MOST, out=dot)
+        np.maximum(dot, -_MOST, out=dot)
+        bins = dot * _PER_ODDS
+        bins += _MIDDLE
+        bins = bins.astype(np.int64).reshape(n, -1)
+        bins += self.bins[:n]
         bins = bins.ravel()
         dot += dot
-        dot += np.take(table, bins, mode="clip")
+        dot += table.take(bins, mode="clip")
         dot *= sign
-        dot *= np.float32(-1 / 3)
+        dot *= _THIRD
         np.exp(dot, out=dot)
-        sums = dot + 1
-        wrong = dot / sums
-        wrong *= sign
+        sums = dot + _ONE
+        dot /= sums
+        dot *= sign
         np.log(sums, out=sums)
-        self.bits[:n] += sums.reshape(n, -1).sum(1, dtype=np.float64)
-        filled = rows[:, -1] == 0  # only a text's last chunk is filled up
-        if filled.any():
-            self.bits[:n] -= np.log(2.0) * (rows == 0).sum(1)
-        for k in range(_PREDICTORS):
-            own[:, k] += np.bincount(used, wrong * inputs[:, k], len(own)).astype(np.float32) * np.float32(RATE / 8)
-        table += np.bincount(bins, wrong, len(table)).astype(np.float32) * np.float32(REFINE_RATE)
+        inputs *= dot[:, None]
+        # Moves are summed up two by two, as complex numbers, in half the calls.
+        moves = self.moves[: len(own)]
+        moves[:] = 0
+        for k in range(_PREDICTORS // 2):
+            np.add.at(moves[:, k], used, inputs.view(np.complex64)[:, k])
+        moves *= _STEP
+        own += moves.view(np.float32)
+        table += np.bincount(bins, dot, len(table)).astype(np.float32) * _REFINE_STEP
+        return sums.reshape(n, -1).sum(1, dtype=np.float64)
+
 
+_ONE, _MOST, _THIRD = np.float32(1), np.float32(8), np.float32(-1 / 3)
+_PER_ODDS, _MIDDLE = np.float32((_BINS - 1) / 16), np.float32(_BINS / 2)
+_STEP, _REFINE_STEP = np.float32(RATE / 8), np.float32(REFINE_RATE)
 
-def _side_by_side(profiles: _Profiles, split: _Split) -> np.ndarray:
+
+def _dealt(chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Chunks in the order of turns and lanes, how many lanes each turn has, and the lanes in which a text begins in it.
+
+    Texts, of so many chunks each, are dealt one after the other into lanes of like length, the longest first. The
+    lanes of a turn are the first ones.
+    """
+    turns = max(int(chunks.max()), -(-int(chunks.sum()) // _LANES))
+    lanes = [(0, k) for k in range(-(-int(chunks.sum()) // turns))]
+    begin, lane = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+    for text in np.argsort(-chunks, kind="stable").tolist():
+        begin[text], lane[text] = lanes[0]
+        heapq.heapreplace(lanes, (lanes[0][0] + int(chunks[text]), lanes[0][1]))
+    lanes.sort(reverse=True)
+    rank = np.empty(len(lanes), np.int64)
+    rank[[k for _, k in lanes]] = np.arange(len(lanes))
+    lane = rank[lane]
+    active = np.searchsorted([-n for n, _ in lanes], -np.arange(lanes[0][0]), side="left")
+    first = np.cumsum(active) - active
+    turn = np.arange(int(chunks.sum())) + np.repeat(begin - (np.cumsum(chunks) - chunks), chunks)
+    order = np.empty(len(turn), np.int64)
+    order[first[turn] + np.repeat(lane, chunks)] = np.arange(len(turn))
+    by_turn = np.argsort(begin, kind="stable")
+    begins = np.split(lane[by_turn], np.searchsorted(begin[by_turn], np.arange(1, len(active))))
+    return order, active, begins
+
+
+def _side_by_side(profiles: _Profiles, splits: Iterable[_Split]) -> np.ndarray:
     """Bits that each of some texts takes."""
-    rows, size, start = profiles.decisions(split)
-    owner = np.searchsorted(split.ends, start, side="right")
-    sizes = np.bincount(owner, size, len(split.lengths)).astype(np.int64)
-    order = np.argsort(-sizes, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    chunks = -(-sizes[order] // CHUNK)
-    active = np.searchsorted(-chunks, -np.arange(int(chunks[0]) if len(chunks) else 0), side="left")
-    offset = np.cumsum(active) - active
-    # Chunks are copied one by one into their rows of the grid: the k-th of a text to the k-th turn's row for its rank.
-    own = -(-sizes // CHUNK)
-    begin, turn = np.repeat(np.cumsum(sizes) - sizes, own), np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-    first = begin + turn * CHUNK
-    length = np.minimum(CHUNK, np.repeat(np.cumsum(sizes), own) - first)
-    grid = np.zeros((int(active.sum()), CHUNK), np.int64)
-    row = offset[turn] + np.repeat(rank, own)
-    full = length == CHUNK
-    grid[row[full]] = rows[first[full, None] + np.arange(CHUNK)]
-    for r, a, size in zip(row[~full].tolist(), first[~full].tolist(), length[~full].tolist()):
-        grid[r, :size] = rows[a : a + size]
-    mixer = _Mixer(len(sizes))
-    for first, n in zip(offset.tolist(), active.tolist()):
-        mixer.turn(grid[first : first + n])
-    return mixer.bits[rank] / np.log(2)
+    profiles.forget()
+    index, sizes = (np.concatenate(x) for x in zip(*(profiles.places(s) for s in splits)))
+    index, chunks = index.reshape(-1, CHUNK), -(-sizes // CHUNK)
+    order, active, begins = _dealt(chunks)
+    mixer, nats, at = _Mixer(int(active[0])), np.empty(len(order)), 0
+    for n, begin in zip(active.tolist(), begins):
+        if len(begin):
+            mixer.begin(begin)
+        now = order[at : at + n]
+        nats[now] = mixer.turn(profiles.rows.take(index.take(now, axis=0)))
+        at += n
+    return np.add.reduceat(nats, np.cumsum(chunks) - chunks) / np.log(2) - -sizes % CHUNK
 
 
 def _alone(profiles: _Profiles, raw: bytes) -> float:
     """Bits that a long text takes; it is walked in stretches that carry the weights on."""
-    mixer, left = _Mixer(1), np.zeros(0, np.int64)
+    mixer, left, nats = _Mixer(1), np.zeros(0, np.int64), 0.0
+    mixer.begin(np.zeros(1, np.int64))
     for part in _stretches(raw):
-        left = np.concatenate([left, profiles.decisions(part)[0]])
+        profiles.forget()
+        index, _ = profiles.places(part, fill=False)
+        left = np.concatenate([left, profiles.rows.take(index)])
         whole = len(left) // CHUNK * CHUNK
-        for row in left[:whole].reshape(-1, 1, CHUNK):
-            mixer.turn(row)
+        nats += sum(mixer.turn(row)[0] for row in left[:whole].reshape(-1, 1, CHUNK))
         left = left[whole:]
+    fill = -len(left) % CHUNK
     if len(left):
-        mixer.turn(np.append(left, np.zeros(CHUNK - len(left), np.int64))[None])
-    return float(mixer.bits[0] / np.log(2))
+        nats += mixer.turn(np.append(left, np.zeros(fill, np.int64))[None])[0]
+    return float(nats / np.log(2) - fill)
 
 
 def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
@@ -412,7 +482,7 @@ def score_bits(model: Model, texts: list[str | None]) -> np.ndarray:
     out = np.zeros(len(raw))
     some = [i for i, r in enumerate(raw) if len(r) <= _SLICE_BYTES]
     if some:
-        out[some] = _side_by_side(profiles, _Split([raw[i] for i in some]))
+        out[some] = _side_by_side(profiles, map(_Split, _sliced([raw[i] for i in some])))
     for i, r in enumerate(raw):
         if len(r) > _SLICE_BYTES:
             out[i] = _alone(profiles, r)
@@ -656,20 +726,29 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", head: tuple[np.
         def scored(part: pa.RecordBatch, raw: list[bytes]) -> pa.RecordBatch:
             if len(raw) == 1 and len(raw[0]) > _SLICE_BYTES:
                 bits = np.array([_alone(profiles, raw[0])])
-                words = [_long_words(raw[0])]
-                words.append(np.array([len(words[0])]))
+                words = _long_words(raw[0])
+                words = [(words, np.array([len(words)]))]
             else:
-                split = _Split(raw)
-                bits, words = _side_by_side(profiles, split), split.words()
-            found = _known_words(head, *words) if head else []
+                words = []
+
+                def splits() -> Iterator[_Split]:
+                    for some in _sliced(raw):
+                        split = _Split(some)
+                        if head:
+                            words.append(split.words())
+                        yield split
+
+                bits = _side_by_side(profiles, splits())
+            found = _known_words(head, *map(np.concatenate, zip(*words))) if head else []
             return pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(bits), pa.array([len(r) for r in raw], pa.int64()), *found], names=names)
 
         def settled(waiting: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pool = pa.Table.from_batches(waiting).combine_chunks()
             sizes = np.array([len(x.as_buffer() or b"") for x in pool.column(0)], np.int64)
-            order = np.argsort(sizes, kind="stable")
-            # Texts of like sizes, about a slice of bytes each time; a longer one is alone.
-            group = np.where(sizes[order] > _SLICE_BYTES, np.arange(len(order)) + len(order) * 2, np.cumsum(sizes[order] + 1) // _SLICE_BYTES)
+            order = np.argsort(-sizes, kind="stable")
+            # Texts of like sizes side by side, the longest first; one longer than a slice is alone.
+            alone = sizes[order] > _SLICE_BYTES
+            group = np.where(alone, -1 - np.arange(len(order)), np.cumsum(np.where(alone, 0, sizes[order] + 1)) // _GROUP_BYTES)
             for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
                 own = pool.take(pa.array(part)).combine_chunks().to_batches()[0]
                 yield scored(own, _raw(own.column(0).to_pylist()))

@@ -166,6 +166,39 @@ def test_scores_do_not_depend_on_company_and_adapt_within_a_short_text(spark):
     assert lm.CHUNK <= 64 and lm._PREDICTORS >= 6
 
 
+def test_lanes_are_of_like_length_and_hold_texts_one_after_the_other(monkeypatch):
+    monkeypatch.setattr(lm, "_LANES", 8)
+    rng = random.Random(7)
+    for chunks in ([1], [3, 900, 1], [40] * 5 + [rng.randint(1, 6) for _ in range(200)]):
+        order, active, begins = lm._dealt(np.array(chunks))
+        assert sorted(order.tolist()) == list(range(sum(chunks))) and sorted(active.tolist(), reverse=True) == active.tolist()
+        assert len(active) == len(begins) <= max(max(chunks), 1.05 * sum(chunks) / 8) and active.max() <= 8
+        text = np.repeat(np.arange(len(chunks)), chunks)
+        firsts, holds, done, at = np.cumsum(chunks) - chunks, {}, Counter(), 0
+        for n, begin in zip(active.tolist(), begins):
+            now = order[at : at + n].tolist()
+            at += n
+            assert {lane for lane, c in enumerate(now) if c in firsts} == {*begin.tolist()}
+            for lane, c in enumerate(now):
+                if lane in begin:
+                    assert done[holds.get(lane, -1)] in (0, chunks[holds.get(lane, 0)])
+                    holds[lane] = int(text[c])
+                assert text[c] == holds[lane] and c - firsts[text[c]] == done[holds[lane]]
+                done[holds[lane]] += 1
+
+
+def test_turns_have_full_lanes_whatever_the_lengths(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_LANES", 8, raising=False)
+    monkeypatch.setattr(lm, "_GROUP_BYTES", 10**9, raising=False)
+    texts = [" ".join(some_texts(i, 12)) for i in range(5)] + some_texts(9, 150, 40) + ["", None]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), slot_bits=16)
+    alone = [lm.score_bits(model, [t])[0] for t in texts]
+    lanes, turn = [], lm._Mixer.turn
+    monkeypatch.setattr(lm._Mixer, "turn", lambda self, rows: lanes.append(len(rows)) or turn(self, rows))
+    assert lm.score_bits(model, texts) == pytest.approx(alone, rel=1e-5)
+    assert max(lanes) <= 8 and np.mean(lanes) > 7
+
+
 def test_frequent_contexts_keep_their_slots(spark):
     texts = ["common words here again " * 50] * 5 + ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz ", k=400)) for i in range(60)]
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
