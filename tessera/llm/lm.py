@@ -40,7 +40,7 @@ _GATES, _BINS = 16, 33
 _UNIT = 24  # bytes of a unit at most; longer words go on in the next one
 _CHECK_BITS = 6
 _SLICE_BYTES = 700_000  # bytes of text that are cut at a time; a longer text is walked in stretches
-_GROUP_BYTES = 2_800_000  # bytes of text that are scored side by side
+_GROUP_BYTES = 2_100_000  # bytes of text that are scored side by side
 _POOL_BYTES = 8_000_000  # bytes of text from which texts of like sizes are taken, so that no turn has one text alone
 _KEPT_UNITS = 600_000  # units that a task counts before they go out
 _KEPT_ROWS = 5_000_000  # decisions of units that a task keeps
@@ -311,18 +311,19 @@ class _Profiles:
     def _add(self, split: _Split, start: np.ndarray, stop: np.ndarray, mark: np.ndarray, keys: np.ndarray) -> None:
         """Keep the decisions of units that are new; so many are made at a time that their hashes stay in a cache."""
         sizes = stop - start
-        made = []
+        counts, before = [], len(self.rows)
         for part in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(np.cumsum(sizes) // _MADE_BYTES)) + 1):
             own = sizes[part]
             offset = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-            made.append(self._made(split.data[np.repeat(start[part], own) + offset], mark[part], own))
-        counts = np.concatenate([n for _, n in made])
-        begin = len(self.rows) + np.cumsum(counts) - counts
+            rows, n = self._made(split.data[np.repeat(start[part], own) + offset], mark[part], own)
+            self.rows.resize(len(self.rows) + len(rows), refcheck=False)  # grows where it is, so that there is no second copy
+            self.rows[-len(rows) :] = rows
+            counts.append(n)
+        size = np.concatenate(counts)
         both = np.concatenate([self.keys, keys])
         order = np.argsort(both, kind="stable")
         self.keys = both[order]
-        self.start, self.size = np.concatenate([self.start, begin])[order], np.concatenate([self.size, counts])[order]
-        self.rows = np.concatenate([self.rows, *(r for r, _ in made)])
+        self.start, self.size = np.concatenate([self.start, before + np.cumsum(size) - size])[order], np.concatenate([self.size, size])[order]
 
     def forget(self) -> None:
         """Leave out all units where many are kept; places that were given are no longer theirs."""
