@@ -108,10 +108,18 @@ def _prefixes(threshold: float, order) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
+def set_members(rows: DataFrame, by: str, id_col: str, text: str = "text") -> DataFrame:
+    """``(by, id, least)`` for every row: the least id of the group's rows with an equal token set. Only hashes of sets are shuffled."""
+    t = F.array_sort(T.token_set(F.col(text)))
+    keys = rows.select(by, F.col(id_col).alias("id"), F.sha2(F.array_join(t, " "), 256).alias("k"))
+    least = keys.groupBy(F.col(by).alias("__by"), F.col("k").alias("__k")).agg(F.min("id").alias("least"))
+    return keys.join(least, F.col(by).eqNullSafe(F.col("__by")) & F.col("k").eqNullSafe(F.col("__k"))).select(by, "id", "least")
+
+
 def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8, most: int = ORDERED_TOKENS) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: pairs of a group's distinct token sets with a Jaccard index of ``threshold`` or more.
 
-    links is ``(by, a, b, score)`` between the least ids of equal token sets, members ``(by, id, least)`` for every row.
+    links is ``(by, a, b, score)`` between the least ids of equal token sets, members are those of :func:`set_members`.
     Tokens are put in order from the rarest on, those beyond ``most`` of a group's by hash. A set's prefix is its first
     n - ceil(threshold n) + 1 tokens and :data:`LONGER` of them more; only hashes of prefixes are shuffled, and equal sets
     become one there. Two sets as alike as ``threshold`` share so many tokens of their prefixes, at such places, that what is
@@ -120,9 +128,6 @@ def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", thr
     spark = rows.sparkSession
     docs = rows.select(F.col(by), F.col(id_col).alias("id"), F.col(text).alias("text"))
     sets = docs.select(by, "id", F.array_sort(T.token_set(F.col("text"))).alias("t"))
-    keys = sets.select(by, "id", F.sha2(F.array_join("t", " "), 256).alias("k"))
-    members = keys.join(keys.groupBy(by, "k").agg(F.min("id").alias("least")), [by, "k"]).select(by, "id", "least")
-
     hashed = sets.filter(F.col(by).isNotNull() & (F.size("t") > 0)).select("id", F.xxhash64(by, "t").alias("k1"), F.xxhash64("t", by).alias("k2"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
     order = spark.sparkContext.broadcast(_order(hashed.select(F.explode("h").alias("h")), most))
     kind = docs.schema["id"].dataType.simpleString()
@@ -141,4 +146,4 @@ def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", thr
     t = held.select(by, "id", T.token_set(F.col("text")).alias("t"))
     met = near.join(t.select(by, F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(by, F.col("id").alias("b"), F.col("t").alias("tb")), [by, "b"])
     links = met.select(by, "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= threshold)
-    return links, members
+    return links, set_members(rows, by, id_col, text)

@@ -157,7 +157,7 @@ def jaccard_pairs(spark, sf_dir):
 
 @query(f"SELECT source, doc_id AS id, min(doc_id) OVER (PARTITION BY source, list_sort({_toks('text')})) AS least FROM documents")
 def jaccard_members(spark, sf_dir):
-    return rank.jaccard_pairs(table(spark, sf_dir, "documents"), "source", "doc_id")[1]
+    return rank.set_members(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 7 ELSE 3 END AS k FROM events")

@@ -208,6 +208,20 @@ def test_jaccard_pairs_shuffle_hashes_of_prefixes(spark, most):
     assert "collect_list" not in links._jdf.queryExecution().toString() and "explode(t" not in links._jdf.queryExecution().toString()
 
 
+def test_jaccard_members_look_for_no_pairs(spark, documents, monkeypatch):
+    monkeypatch.setattr(rank, "materialise", lambda *_: pytest.fail("members need no table on the way"))
+    sets, first = [frozenset(re.sub(r"[ \t\n\v\f\r]+", " ", t.lower()).split(" ")) - {""} for t in documents.text], {}
+    for i, g, t in sorted(zip(documents.doc_id, documents.source, sets)):
+        first.setdefault((g, t), i)
+    assert {(r.source, r.id, r.least) for r in rows_of(spark, "jaccard_members")} == {(g, i, first[g, t]) for i, g, t in zip(documents.doc_id, documents.source, sets)}
+
+
+def test_set_members_keep_rows_without_group_or_text(spark):
+    rows = spark.createDataFrame([(1, None, "x y"), (2, None, "y  X"), (3, "a", None), (4, "a", ""), (5, "a", None), (6, "b", "x")], "id int, g string, text string")
+    got = {r.id: (r.g, r.least) for r in rank.set_members(rows, "g", "id").collect()}
+    assert got == {1: (None, 1), 2: (None, 1), 3: ("a", 3), 4: ("a", 4), 5: ("a", 3), 6: ("b", 6)}
+
+
 def test_holders_match_brute_force(spark):
     rng = random.Random(6)
     words = "a b cc dd eee".split()
