@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators.retrieve import topk
-from tessera.session import discard, join_checked, materialise
+from tessera.session import discard, materialise
 
 
 def mmr(candidates: DataFrame, k: int, weight: float = 0.5, embedding: str | None = "embedding", query: str = "query_embedding") -> DataFrame:
@@ -61,14 +62,18 @@ def dedup_jaccard(rows: DataFrame, threshold: float = 0.95, key: str = "query_id
     return kept.select(key, *[F.col(f"x.{c}").alias(c) for c in fields])
 
 
-#: Tokens of a group whose numbers of rows order them, at most; below the rarest of these tokens stand in the order of their hashes.
+#: Classes of tokens whose numbers of rows order them, at most; below the rarest of these tokens stand in the order of their hashes.
 ORDERED_TOKENS = 1 << 20
-#: Share of a set's tokens by which its prefix is longer than the bound asks, so that more than one of them must be shared.
-LONGER = 0.05
+#: Sets of fewer tokens than this are one part, those of fewer than four times as many four parts, and so on.
+PART = 64
+#: Texts of a block, about; two blocks are compared in one task.
+BLOCK = 128
+#: Bits that mark ids.
+MARKS = 1 << 27
 
 
 def _order(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent of ``tokens(h)`` in order, at most ``most`` of them, and how many rows hold each."""
+    """Classes of the most frequent of ``tokens(h)`` in order, at most ``most`` of them, and how many rows hold each."""
     counts = materialise(tokens.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     least, total = 2, 0
     sizes = counts.groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.count("*").alias("rows"), F.max("n").alias("n"))  # a few hundred classes
@@ -80,34 +85,130 @@ def _order(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     found = counts.filter(F.col("n") >= least).toPandas()  # bounded by ``most``
     discard(counts)
     found = found.sort_values("h")
-    return found["h"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    return found["h"].to_numpy(np.int32), found["n"].to_numpy(np.int64)
 
 
 def _prefixes(threshold: float, order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``(id, k1, k2, n, h, pos)``: the rarest tokens of each set, with their places from 1."""
+    """``(id, k, h, sketch, before, place)``: the rarest tokens of each part of a set.
+
+    Of each token the hash, with the number of parts mixed in, and the hash of the one before it (0: none); of its part 64
+    parities. place is size, place from 1 and a bit for a set that is too large for the number of parts, side by side.
+    """
+
+    def parts(ids: pa.RecordBatch, flat: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        classes, seen = order.value
+        row = np.repeat(np.arange(len(n)), n)
+        often = np.zeros(len(flat), np.int64)
+        if len(classes):
+            of = (flat >> 32).astype(np.int32)
+            at = np.minimum(np.searchsorted(classes, of), len(classes) - 1)
+            often = np.where(classes[at] == of, seen[at], 0)
+        m, least, most = 1, 1, PART
+        while len(flat) and least <= n.max():
+            picked = np.flatnonzero(((n >= least) & (threshold * n - 1e-9 < most))[row])
+            h, part = flat[picked], row[picked] * m + ((flat[picked] >> 6) & (m - 1))
+            by = np.lexsort((h, often[picked], part))
+            h, part = h[by], part[by]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            size = np.diff(np.append(starts, len(part)))
+            long = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            of = np.repeat(np.arange(len(starts)), size)
+            pos = np.arange(len(h)) - starts[of] + 1
+            before = np.where(pos > 1, np.roll(h, 1), 0)
+            sketch = np.bitwise_xor.reduceat(np.int64(1) << (h & 63), starts) if len(starts) else size
+            kept = np.flatnonzero(pos <= long[of])
+            of, doc = of[kept], part[kept] // m
+            place = size[of] << 16 | pos[kept] << 1 | (n[doc] >= most)
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([ids.column(0).take(doc), ids.column(1).take(doc), *(pa.array(x) for x in (h[kept] ^ (m - 1) * 0x9E3779B9, sketch[of], before[kept], place))], names=["id", "k", "h", "sketch", "before", "place"])
+            m, least, most = m * 4, most, most * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = order.value
         for batch in batches:
-            lists = batch.column(3)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            often = np.zeros(len(flat), np.int64)
-            if len(hashes):
-                at = np.minimum(np.searchsorted(hashes, flat), len(hashes) - 1)
-                often = np.where(hashes[at] == flat, seen[at], 0)
-            flat = flat[np.lexsort((flat, often, row))]
-            pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
-            long = np.minimum(n, n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1 + (LONGER * n).astype(np.int64))
-            kept = np.flatnonzero(pos <= long[row])
-            of = pa.array(row[kept])
-            size, place = (pa.array(x, pa.int32()) for x in (n[row[kept]], pos[kept]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(of) for i in range(3)), size, pa.array(flat[kept]), place], names=["id", "k1", "k2", "n", "h", "pos"])
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                lists = some.column(2)
+                yield from parts(some, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
 
     return run
 
 
+def _near(hashed: DataFrame, threshold: float, most: int) -> DataFrame:
+    """``(a, b)``: pairs of ids of ``hashed(id, k, h)`` whose sets can be as alike as ``threshold``; equal sets, of equal k, are one."""
+    tokens = hashed.select(F.explode("h").alias("h")).select(F.shiftright("h", 32).cast("int").alias("h"))
+    order = hashed.sparkSession.sparkContext.broadcast(_order(tokens, most))
+    kind = hashed.schema["id"].dataType.simpleString()
+    first = hashed.mapInArrow(_prefixes(threshold, order), f"id {kind}, k long, h long, sketch long, before long, place long")
+    first = first.repartition("h").groupBy("h", "k").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("sketch", "before", "place")])
+    first = first.withColumns({"size": F.shiftright("place", 16), "pos": F.shiftright("place", 1).bitwiseAND(32767), "large": F.col("place").bitwiseAND(1)})
+    left, right = (first.select("h", *[F.col(c).alias(c + side) for c in ("id", "size", "pos", "large", "sketch", "before")]) for side in "ab")
+    both = threshold / (1 + threshold) * (F.col("sizea") + F.col("sizeb")) - 1e-9  # tokens that the parts must share
+    here = F.least("posa", "posb") + F.least(F.col("sizea") - F.col("posa"), F.col("sizeb") - F.col("posb"))
+    apart = F.bit_count(F.col("sketcha").bitwiseXOR(F.col("sketchb")))  # at least so many tokens are in one of them only
+    new = (F.col("beforea") != F.col("beforeb")) | (F.col("beforea") == 0)  # else the pair met at the token before
+    met = left.join(right, "h").filter((F.col("ida") < F.col("idb")) & new & (F.col("largea") + F.col("largeb") < 2) & (here >= both) & (apart <= F.col("sizea") + F.col("sizeb") - 2 * both))
+    return met.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()
+
+
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose id is not in ``ids``, for a join: one of :data:`MARKS` bits is set for each id."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)) + 1
+    found = ids.select(mark.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros((MARKS // 32768, 4096), np.uint8)
+    for row in found.collect():  # as many rows of 4 KB as there are buckets, at most
+        bits[row["at"] - 1] = np.frombuffer(row["bits"], np.uint8)
+    bits = rows.sparkSession.sparkContext.broadcast(bits.ravel())
+
+    @F.pandas_udf("boolean")
+    def holds(p: pd.Series) -> pd.Series:
+        return pd.Series((bits.value[(p.to_numpy() - 1) >> 3] >> ((p.to_numpy() - 1) & 7) & 1).astype(bool))
+
+    return rows.filter(holds(mark))
+
+
+def _compare(threshold: float, by: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """``(by, a, b, score)`` for the pairs of a cell, whose texts stand beside them."""
+
+    def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
+        group, sets = {}, {}
+        for i, g, t in zip(*(texts.column(c).to_pylist() for c in ("id", by, "t"))):
+            group[i], sets[i] = g, frozenset(t.split(" "))
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            if group[a] == group[b]:
+                both = len(sets[a] & sets[b])
+                score = both / (len(sets[a]) + len(sets[b]) - both)
+                if score >= threshold:
+                    out.append((group[a], a, b, score))
+        kinds = [texts.schema.field(by).type, *[texts.schema.field("id").type] * 2, pa.float64()]
+        return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=[by, "a", "b", "score"])
+
+    return run
+
+
+def _alike(docs: DataFrame, near: DataFrame, by: str, threshold: float, block: int, max_rows: int) -> DataFrame:
+    """``(by, a, b, score)`` of the pairs ``near(a, b)`` that are as alike as ``threshold``.
+
+    A pair goes with the least id that its first text is near to, and such a group of many texts is dealt into a grid of
+    blocks, so that a text is sent once to a cell and not with each of its pairs.
+    """
+    ends = F.explode(F.array("a", "b")).alias("id")
+    hubs = near.select("a", ends).groupBy(F.col("id").alias("a")).agg(F.min("a").alias("hub"))
+    pairs = near.join(hubs, "a")
+    blocks = pairs.select("hub", ends).distinct().groupBy("hub").agg(F.ceil(F.count("*") / block).alias("n"))
+    side = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
+    cells = materialise(pairs.join(blocks, "hub").select("hub", side("a").alias("i"), side("b").alias("j"), "a", "b"), "cells")
+    places = materialise(cells.select("hub", "i", "j", ends).distinct(), "places")
+    ids = materialise(places.select("id").distinct(), "ids")
+    if ids.limit(max_rows + 1).count() <= max_rows:
+        held = docs.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        held = _marked(docs, ids)
+    texts = held.select(by, "id", F.array_join(T.token_set(F.col("text")), " ").alias("t")).join(places, "id")
+    schema = f"{by} {docs.schema[by].dataType.simpleString()}, a {{0}}, b {{0}}, score double".format(docs.schema["id"].dataType.simpleString())
+    return cells.groupBy("hub", "i", "j").cogroup(texts.groupBy("hub", "i", "j")).applyInArrow(_compare(threshold, by), schema)
+
+
 def set_members(rows: DataFrame, by: str, id_col: str, text: str = "text") -> DataFrame:
     """``(by, id, least)`` for every row: the least id of the group's rows with an equal token set. Only hashes of sets are shuffled."""
     t = F.array_sort(T.token_set(F.col(text)))
@@ -116,34 +217,18 @@ def set_members(rows: DataFrame, by: str, id_col: str, text: str = "text") -> Da
     return keys.join(least, F.col(by).eqNullSafe(F.col("__by")) & F.col("k").eqNullSafe(F.col("__k"))).select(by, "id", "least")
 
 
-def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8, most: int = ORDERED_TOKENS) -> tuple[DataFrame, DataFrame]:
+def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", threshold: float = 0.8, most: int = ORDERED_TOKENS, block: int = BLOCK, max_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """``(links, members)``: pairs of a group's distinct token sets with a Jaccard index of ``threshold`` or more.
 
     links is ``(by, a, b, score)`` between the least ids of equal token sets, members are those of :func:`set_members`.
-    Tokens are put in order from the rarest on, those beyond ``most`` of a group's by hash. A set's prefix is its first
-    n - ceil(threshold n) + 1 tokens and :data:`LONGER` of them more; only hashes of prefixes are shuffled, and equal sets
-    become one there. Two sets as alike as ``threshold`` share so many tokens of their prefixes, at such places, that what is
-    left can still hold the rest: pairs that cannot go by numbers alone, and the texts of the others are compared.
+    Sets are dealt into parts of some 16 to 64 tokens by hashes of tokens; two sets as alike as ``threshold`` are so in one
+    part at least, as the tokens that they share and those that they do not are summed over the parts. Tokens are put in
+    order from the rarest on, those beyond ``most`` by hash, and two parts that are as alike share one of their first
+    n - ceil(threshold n) + 1. Only hashes of these are shuffled, with 64 parities of the part: the parts differ by as many tokens as
+    parities at least, which leaves next to no pairs but those that are alike, and their texts are compared.
     """
-    spark = rows.sparkSession
     docs = rows.select(F.col(by), F.col(id_col).alias("id"), F.col(text).alias("text"))
     sets = docs.select(by, "id", F.array_sort(T.token_set(F.col("text"))).alias("t"))
-    hashed = sets.filter(F.col(by).isNotNull() & (F.size("t") > 0)).select("id", F.xxhash64(by, "t").alias("k1"), F.xxhash64("t", by).alias("k2"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
-    order = spark.sparkContext.broadcast(_order(hashed.select(F.explode("h").alias("h")), most))
-    kind = docs.schema["id"].dataType.simpleString()
-    first = hashed.mapInArrow(_prefixes(threshold, order), f"id {kind}, k1 long, k2 long, n int, h long, pos int")
-    first = first.repartition("h").groupBy("h", "k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pos").alias("pos"))
-    left, right = (first.select("h", *[F.col(c).alias(c + side) for c in ("id", "k1", "n", "pos")]) for side in "ab")
-    both = threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9  # tokens that they must share
-    here = F.least("posa", "posb") + F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"))
-    near = left.join(right, "h").filter((F.col("ida") < F.col("idb")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & (here >= both))
-    near = near.groupBy("k1a", "k1b").agg(F.first("ida").alias("a"), F.first("idb").alias("b"), F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("posa").alias("posa"), F.max("posb").alias("posb"))
-    # After the last token that the prefixes share, there is the rest of both sets; of one of them, what comes after its prefix.
-    after = lambda n: F.ceil(threshold * n - 1e-9) - 1 - F.floor(LONGER * n)
-    rest = F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb"), F.greatest(after(F.col("na")), after(F.col("nb")), F.lit(0)))
-    near = materialise(near.filter(F.col("c") + rest >= both).select("a", "b"), "near")
-    held = join_checked(docs, materialise(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"), "id", "left_semi")
-    t = held.select(by, "id", T.token_set(F.col("text")).alias("t"))
-    met = near.join(t.select(by, F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(t.select(by, F.col("id").alias("b"), F.col("t").alias("tb")), [by, "b"])
-    links = met.select(by, "a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("score")).filter(F.col("score") >= threshold)
-    return links, set_members(rows, by, id_col, text)
+    hashed = sets.filter(F.col(by).isNotNull() & (F.size("t") > 0)).select("id", F.xxhash64(by, "t").alias("k"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
+    near = materialise(_near(hashed, threshold, most), "near")
+    return _alike(docs, near, by, threshold, block, max_rows), set_members(rows, by, id_col, text)

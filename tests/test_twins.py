@@ -14,6 +14,7 @@ from tessera.functions import text as T
 from tessera.operators import assemble as A
 from tessera.operators import evaluate, hooks, rank, registry, telemetry
 from tessera.operators import retrieve as E
+from tessera.session import materialise
 from tessera.streaming import events as K
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -208,6 +209,64 @@ def test_jaccard_pairs_shuffle_hashes_of_prefixes(spark, most):
     assert "collect_list" not in links._jdf.queryExecution().toString() and "explode(t" not in links._jdf.queryExecution().toString()
 
 
+def brute_links(rows):
+    first = {}
+    for i, g, t in rows:
+        first.setdefault((g, frozenset(tokens(t))), i)
+    return {(g, *sorted((i, j)), round(alike(a, b), 9)) for (g, a), i in first.items() for (h, b), j in first.items() if g == h and i < j and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and alike(a, b) >= 0.8}
+
+
+@pytest.mark.parametrize("block, max_rows", [(128, 200_000), (2, 0)], ids=["whole", "blocks"])
+def test_jaccard_pairs_of_parts(spark, block, max_rows):
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.sample(vocab, n) for n in (30, 56, 63, 64, 70, 230, 255, 256, 260, 300, 1020, 1026, 1250)]
+    rows = [(k, "ab"[k % 2], " ".join(rng.sample(b, len(b) - rng.randint(0, len(b) // 9)) + rng.sample(vocab, rng.randint(0, len(b) // 9)))) for k, b in enumerate(b for b in base for _ in range(16))]
+    links, _ = rank.jaccard_pairs(spark.createDataFrame(rows, "id int, g string, text string").repartition(3), "g", "id", block=block, max_rows=max_rows)
+    want, size = brute_links(rows), {i: len(tokens(t)) for i, _, t in rows}
+    assert {(r.g, r.a, r.b, round(r.score, 9)) for r in links.collect()} == want
+    for edge in (64, 256, 1024):  # links between sets of so many parts and of four times as many
+        assert sum(min(size[a], size[b]) < edge <= max(size[a], size[b]) for _, a, b, _ in want) > 5
+
+
+def joined_rows(df):
+    """Rows that come out of the joins of ``df``."""
+    df.collect()
+
+    def walk(plan):
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(plan.executedPlan())
+        if "QueryStage" in name:
+            return walk(plan.plan())
+        below = [walk(plan.children().apply(k)) for k in range(plan.children().size())]
+        return sum(below) + (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_jaccard_pairs_shuffle_few_pairs_but_links(spark, monkeypatch):
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(600)]
+    base = [rng.sample(vocab, n) for n in (40, 90, 300) for _ in range(100)]  # any two share tokens, and rare ones too
+    rows = [(i, "a", " ".join(b)) for i, b in enumerate(base)] + [(900 + i, "a", " ".join(b[1:])) for i, b in enumerate(base[:300:10])]
+    met = []
+    monkeypatch.setattr(rank, "materialise", lambda df, label: (met.append(joined_rows(df)) if label == "near" else None, materialise(df, label))[1])
+    links, _ = rank.jaccard_pairs(spark.createDataFrame(rows, "id int, g string, text string"), "g", "id")
+    assert links.count() == 30 and len(met) == 1 and met[0] < 1000  # of 54,285 pairs
+
+
+def test_jaccard_texts_go_to_cells_once(spark, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(rank, "materialise", lambda df, label: stored.setdefault(label, materialise(df, label)))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "a", " ".join(words + [f"x{i}"])) for i in range(50)]
+    links, _ = rank.jaccard_pairs(spark.createDataFrame(rows, "id int, g string, text string"), "g", "id", block=10)
+    assert links.count() == 1225
+    assert stored["cells"].select("i", "j").distinct().count() > 9  # a grid of blocks
+    assert stored["places"].count() <= 50 * 9  # a text meets each block on either side once, not with each of its 49 pairs
+
+
 def test_jaccard_members_look_for_no_pairs(spark, documents, monkeypatch):
     monkeypatch.setattr(rank, "materialise", lambda *_: pytest.fail("members need no table on the way"))
     sets, first = [frozenset(re.sub(r"[ \t\n\v\f\r]+", " ", t.lower()).split(" ")) - {""} for t in documents.text], {}
