@@ -66,15 +66,37 @@ def dedup_jaccard(rows: DataFrame, threshold: float = 0.95, key: str = "query_id
 ORDERED_TOKENS = 1 << 20
 #: Sets of fewer tokens than this are one part, those of fewer than four times as many four parts, and so on.
 PART = 64
+#: Classes that a task counts at a time.
+HELD = 1 << 23
 #: Texts of a block, about; two blocks are compared in one task.
-BLOCK = 128
+BLOCK = 512
 #: Bits that mark ids.
 MARKS = 1 << 27
 
 
-def _order(tokens: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the most frequent of ``tokens(h)`` in order, at most ``most`` of them, and how many rows hold each."""
-    counts = materialise(tokens.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(h, n)``: classes of tokens, which a task holds more than once, with their numbers; those of one row in each task go uncounted.
+
+    Counts only put tokens in order, and any order gives the same pairs.
+    """
+    h, n = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def found() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h[n > 1]), pa.array(n[n > 1])], names=["h", "n"])
+
+    for batch in batches:
+        own, times = np.unique((batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64) >> 32).astype(np.int32), return_counts=True)
+        h, at = np.unique(np.concatenate([h, own]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([n, times]), len(h)).astype(np.int64)
+        if len(h) > HELD:
+            yield found()
+            h, n = h[:0], n[:0]
+    yield found()
+
+
+def _order(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the most frequent tokens of ``counts(h, n)`` in order, at most ``most`` of them, and how many rows hold each."""
+    counts = materialise(counts.groupBy("h").agg(F.sum("n").alias("n")), "counts")
     least, total = 2, 0
     sizes = counts.groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.count("*").alias("rows"), F.max("n").alias("n"))  # a few hundred classes
     for row in sorted(sizes.collect(), key=lambda r: -r.c):
@@ -135,8 +157,7 @@ def _prefixes(threshold: float, order) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def _near(hashed: DataFrame, threshold: float, most: int) -> DataFrame:
     """``(a, b)``: pairs of ids of ``hashed(id, k, h)`` whose sets can be as alike as ``threshold``; equal sets, of equal k, are one."""
-    tokens = hashed.select(F.explode("h").alias("h")).select(F.shiftright("h", 32).cast("int").alias("h"))
-    order = hashed.sparkSession.sparkContext.broadcast(_order(tokens, most))
+    order = hashed.sparkSession.sparkContext.broadcast(_order(hashed.select("h").mapInArrow(_repeated, "h int, n long"), most))
     kind = hashed.schema["id"].dataType.simpleString()
     first = hashed.mapInArrow(_prefixes(threshold, order), f"id {kind}, k long, h long, sketch long, before long, place long")
     first = first.repartition("h").groupBy("h", "k").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("sketch", "before", "place")])
@@ -170,18 +191,22 @@ def _compare(threshold: float, by: str) -> Callable[[pa.Table, pa.Table], pa.Tab
     """``(by, a, b, score)`` for the pairs of a cell, whose texts stand beside them."""
 
     def run(pairs: pa.Table, texts: pa.Table) -> pa.Table:
-        group, sets = {}, {}
-        for i, g, t in zip(*(texts.column(c).to_pylist() for c in ("id", by, "t"))):
-            group[i], sets[i] = g, frozenset(t.split(" "))
-        out = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
-            if group[a] == group[b]:
-                both = len(sets[a] & sets[b])
-                score = both / (len(sets[a]) + len(sets[b]) - both)
-                if score >= threshold:
-                    out.append((group[a], a, b, score))
-        kinds = [texts.schema.field(by).type, *[texts.schema.field("id").type] * 2, pa.float64()]
-        return pa.table([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=[by, "a", "b", "score"])
+        lists = pc.split_pattern(texts.column("t").combine_chunks(), " ")
+        words = lists.flatten().dictionary_encode().indices.to_numpy()
+        n = pc.list_value_length(lists).to_numpy()
+        start = np.cumsum(n) - n
+        place, group = {i: k for k, i in enumerate(texts.column("id").to_pylist())}, np.array(texts.column(by).to_pylist(), object)
+        pairs = pairs.sort_by("a")
+        a, b = (np.array([place[i] for i in pairs.column(c).to_pylist()]) for c in "ab")
+        held, of, both = np.zeros(words.max() + 1, bool), -1, np.zeros(len(a), np.int64)
+        for k, (x, y) in enumerate(zip(a, b)):
+            if x != of:
+                held[:] = False
+                held[words[start[x] : start[x] + n[x]]], of = True, x
+            both[k] = np.count_nonzero(held[words[start[y] : start[y] + n[y]]])
+        score = both / (n[a] + n[b] - both)
+        kept = np.flatnonzero((group[a] == group[b]) & (score >= threshold))
+        return pa.table([texts.column(by).take(pa.array(a[kept])), *(pairs.column(c).take(pa.array(kept)) for c in "ab"), pa.array(score[kept])], names=[by, "a", "b", "score"])
 
     return run
 
@@ -197,7 +222,8 @@ def _alike(docs: DataFrame, near: DataFrame, by: str, threshold: float, block: i
     pairs = near.join(hubs, "a")
     blocks = pairs.select("hub", ends).distinct().groupBy("hub").agg(F.ceil(F.count("*") / block).alias("n"))
     side = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
-    cells = materialise(pairs.join(blocks, "hub").select("hub", side("a").alias("i"), side("b").alias("j"), "a", "b"), "cells")
+    i, j = side("a"), side("b")
+    cells = materialise(pairs.join(blocks, "hub").select("hub", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"), "cells")
     places = materialise(cells.select("hub", "i", "j", ends).distinct(), "places")
     ids = materialise(places.select("id").distinct(), "ids")
     if ids.limit(max_rows + 1).count() <= max_rows:
@@ -211,7 +237,7 @@ def _alike(docs: DataFrame, near: DataFrame, by: str, threshold: float, block: i
 
 def set_members(rows: DataFrame, by: str, id_col: str, text: str = "text") -> DataFrame:
     """``(by, id, least)`` for every row: the least id of the group's rows with an equal token set. Only hashes of sets are shuffled."""
-    t = F.array_sort(T.token_set(F.col(text)))
+    t = F.sort_array(T.token_set(F.col(text)))
     keys = rows.select(by, F.col(id_col).alias("id"), F.sha2(F.array_join(t, " "), 256).alias("k"))
     least = keys.groupBy(F.col(by).alias("__by"), F.col("k").alias("__k")).agg(F.min("id").alias("least"))
     return keys.join(least, F.col(by).eqNullSafe(F.col("__by")) & F.col("k").eqNullSafe(F.col("__k"))).select(by, "id", "least")
@@ -228,7 +254,7 @@ def jaccard_pairs(rows: DataFrame, by: str, id_col: str, text: str = "text", thr
     parities at least, which leaves next to no pairs but those that are alike, and their texts are compared.
     """
     docs = rows.select(F.col(by), F.col(id_col).alias("id"), F.col(text).alias("text"))
-    sets = docs.select(by, "id", F.array_sort(T.token_set(F.col("text"))).alias("t"))
-    hashed = sets.filter(F.col(by).isNotNull() & (F.size("t") > 0)).select("id", F.xxhash64(by, "t").alias("k"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
+    sets = docs.filter(F.col(by).isNotNull() & F.col("text").isNotNull()).select(by, "id", F.sort_array(T.token_set(F.col("text"))).alias("t"))
+    hashed = sets.select("id", F.xxhash64(by, "t").alias("k"), F.transform("t", lambda x: F.xxhash64(x, by)).alias("h"))
     near = materialise(_near(hashed, threshold, most), "near")
     return _alike(docs, near, by, threshold, block, max_rows), set_members(rows, by, id_col, text)
