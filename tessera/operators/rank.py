@@ -104,10 +104,11 @@ def _order(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
         if total > most:
             least = row.n + 1
             break
-    found = counts.filter(F.col("n") >= least).toPandas()  # bounded by ``most``
+    found = counts.filter(F.col("n") >= least).toArrow()  # bounded by ``most``
     discard(counts)
-    found = found.sort_values("h")
-    return found["h"].to_numpy(np.int32), found["n"].to_numpy(np.int64)
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    by = np.argsort(h)
+    return h[by], n[by]
 
 
 def _prefixes(threshold: float, order) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
